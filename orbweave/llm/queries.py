@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .mixing import OP10_SQL, op10_mixing
+from .packing import op5_packing
+from .token_counts import op2_token_counts
+from .token_output import op4_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op4_token_output": op4_token_output,
+    "op5_packing": op5_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }
