@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op5_packing
+from .simhash import op1_simhash
 from .token_counts import op2_token_counts
 from .token_output import op4_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op4_token_output": op4_token_output,
     "op5_packing": op5_packing,
