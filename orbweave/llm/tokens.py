@@ -9,14 +9,21 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Words that a worker remembers; beyond them it keeps those of few ids (in bytes), which are the frequent ones.
+REMEMBERED, FEW = 1_000_000, 8
+MARKS = b".,;:!?"
 _made: dict[str, WordTokenizer] = {}
 
 
+def folded(text: bytes) -> bytes:
+    """ASCII letters in lower case, as the tokenizer would, unless a special token may be in the text."""
+    return text if b"<|" in text else text.lower()
+
+
 class WordTokenizer:
     """Little-endian unsigned 32-bit ids of texts given as UTF-8."""
 
@@ -26,28 +33,57 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.ending = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ending[[k for x, k in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encoded(self, text: bytes) -> bytes:
-        """The ids of one text, words learned in blocks so that no text needs more than the table."""
-        words = text.split()
+            self.known = {w: ids for w, ids in self.known.items() if len(ids) <= FEW}
+            if len(self.known) > REMEMBERED // 2:
+                self.known.clear()
+            new = words.difference(self.known)
+        # A mark after an ASCII letter or digit is a token of its own, so words with and without it are encoded once.
+        marked = {w for w in new if w[-1] in MARKS and len(w) > 1 and w[-2] < 128 and w[-2:-1].isalnum()}
+        plain = (new - marked).union(w[:-1] for w in marked).difference(self.known)
+        texts = {w: w.decode("utf-8", "replace") for w in plain}
+        letters = [w for w, x in texts.items() if x.isalpha()]
+        for at in range(0, len(letters), 2000):
+            self._learn_letters(letters[at : at + 2000], texts)
+        others = [w for w in plain if w not in self.known]
+        for w, ids in zip(others, self._ids([texts[w] for w in others]), strict=True):
+            self.known[w] = pack(f"<{len(ids)}I", *ids)
+        for w in marked:
+            mark = w[-1:]
+            if mark not in self.known:
+                self.known[mark] = np.array(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.known[w] = self.known[w[:-1]] + self.known[mark]
+
+    def _ids(self, texts: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(texts), 5000):
+            yield from (e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False))
+
+    def _learn_letters(self, words: list[bytes], texts: dict[bytes, str]) -> None:
+        """Words of letters alone have one id that ends a word, so many are encoded as one text and told apart after."""
+        (ids,) = self._ids([" ".join([texts[w] for w in words])])
+        whole = np.array(ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(self.ending[whole]) + 1)
+        if len(ends) == len(words):
+            line, start = whole.tobytes(), 0
+            for w, end in zip(words, ends.tolist(), strict=True):
+                self.known[w] = line[start:end]
+                start = end
+
+    def encoded(self, words: list[bytes]) -> bytes:
+        """The ids of a text's words, learned in blocks so that no text needs more than the table."""
         out = []
         for at in range(0, len(words), 100_000):
-            block = words[at : at + 100_000]
+            block = words[at : at + 100_000] if at or len(words) > 100_000 else words
             try:
-                out.append(b"".join([self.known[w] for w in block]))
+                out.append(b"".join(map(self.known.__getitem__, block)))
             except KeyError:
                 self.learn(set(block))
-                out.append(b"".join([self.known[w] for w in block]))
+                out.append(b"".join(map(self.known.__getitem__, block)))
         return out[0] if len(out) == 1 else b"".join(out)
 
 
@@ -64,13 +100,13 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def id_batches(batches: Iterator, path: str, texts: int = 256) -> Iterator[tuple[list, list[bytes]]]:
+def id_batches(batches: Iterator, path: str, some: int = 512) -> Iterator[tuple[list, list[bytes]]]:
     """From Arrow batches of (doc_id, text as binary): ids of documents and their token ids, some documents at a time."""
     known = tokenizer(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, texts):
-            part = batch.slice(at, texts)
-            raw = [x or b"" for x in part.column(1).to_pylist()]
-            if sum(map(len, raw)) < 4_000_000:
-                known.learn(set().union(*[x.split() for x in raw]))
-            yield part.column(0).to_pylist(), [known.encoded(x) for x in raw]
+        for at in range(0, batch.num_rows, some):
+            part = batch.slice(at, some)
+            texts = [folded(x or b"").split() for x in part.column(1).to_pylist()]
+            if sum(map(len, texts)) < 1_000_000:
+                known.learn(set().union(*texts))
+            yield part.column(0).to_pylist(), [known.encoded(x) for x in texts]
