@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .mixing import OP10_SQL, op10_mixing
+from .neighbours import op7_neighbours
 from .packing import op5_packing
 from .secrets import op8_secret_scan
 from .simhash import op1_simhash
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_token_output": op4_token_output,
     "op5_packing": op5_packing,
+    "op7_neighbours": op7_neighbours,
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
