@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .language import op3_language
 from .mixing import OP10_SQL, op10_mixing
 from .neighbours import op7_neighbours
 from .packing import op5_packing
@@ -18,6 +19,7 @@ from .token_output import op4_token_output
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
+    "op3_language": op3_language,
     "op4_token_output": op4_token_output,
     "op5_packing": op5_packing,
     "op7_neighbours": op7_neighbours,
