@@ -52,10 +52,13 @@ def exact_classes(docs: DataFrame, hashed: Callable[[Column], Column] = content_
 
 def drop_exact_copies(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
     """The rows of docs that stay, all their columns; of repeated rows of one id and text, one."""
-    keep = exact_classes(docs, hashed).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = settled(exact_classes(docs, hashed).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
+    keep = rows.distinct()
     marked = docs.withColumn("_own", F.sha2(normalised(F.col("text")).cast("binary"), 256))
     joined = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    if rows.count() > keep.count():  # one more shuffle, only where rows are repeated
+        joined = joined.dropDuplicates(["doc_id", "_own"])
+    return joined.select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
