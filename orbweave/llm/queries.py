@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .language import op3_language
+from .language_model import op6_language_model
 from .mixing import OP10_SQL, op10_mixing
 from .neighbours import op7_neighbours
 from .packing import op5_packing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_token_output": op4_token_output,
     "op5_packing": op5_packing,
+    "op6_language_model": op6_language_model,
     "op7_neighbours": op7_neighbours,
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
