@@ -122,8 +122,8 @@ def discounts(n: list[int]) -> list[float]:
 class Model:
     """What the driver knows of a model; workers map the arrays in its folder."""
 
-    def __init__(self, folder: str, shards: int):
-        self.folder, self.shards = folder, shards
+    def __init__(self, folder: str, shards: int, width: int = RANGE):
+        self.folder, self.shards, self.width = folder, shards, width
         self.starts: list[int] = []
         self.tokens = self.words = self.documents = self.types = 0
         self.pair_discounts = self.word_discounts = [0.5, 1.0, 1.5]
@@ -157,9 +157,9 @@ class Model:
         """Values of word numbers (-1: zeros) in the arrays of the ranges."""
         out = np.zeros((len(number), 3) if name == "followers" else len(number), dtype=np.int64)
         known = np.flatnonzero(number >= 0)
-        for r, places in by_shard(number[known] // RANGE):
+        for r, places in by_shard(number[known] // self.width):
             if os.path.exists(f"{self.folder}/{name}-{r}.npy"):
-                out[known[places]] = self.mapped(f"{name}-{r}")[number[known[places]] % RANGE]
+                out[known[places]] = self.mapped(f"{name}-{r}")[number[known[places]] % self.width]
         return out
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
@@ -221,16 +221,16 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
-def train(docs: DataFrame, folder: str | None = None) -> Model:
+def train(docs: DataFrame, folder: str | None = None, shard: int = SHARD, block: int = BLOCK, width: int = RANGE) -> Model:
     """docs: doc_id, text. Only per-shard totals reach the driver."""
     import pyarrow as pa
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    model = Model(model_folder(docs.sparkSession, folder), 1 << max(0, int(size // SHARD)).bit_length())
+    model = Model(model_folder(docs.sparkSession, folder), 1 << int(size // shard).bit_length(), width)
     shards, path = model.shards, model.folder
 
     def words(batches: Iterator) -> Iterator:
-        for _, own, tokens, _ in blocks(batches):
+        for _, own, tokens, _ in blocks(batches, block):
             keys, counts = hashes(own), np.bincount(tokens, minlength=len(own)).astype("<u4")
             order = np.argsort(keys)
             keys, counts = keys[order], counts[order]
@@ -255,7 +255,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     model.documents = docs.count()
 
     def pairs(batches: Iterator) -> Iterator:
-        for _, own, tokens, begins in blocks(batches):
+        for _, own, tokens, begins in blocks(batches, block):
             now = model.numbers(own)[0][tokens]
             keys, counts = np.unique((contexts(now, begins, model.words).astype("<u8") << np.uint64(32)) | now.astype("<u8"), return_counts=True)
             rows = [(s, *packed(keys[at], counts[at].astype("<u4"))) for s, at in by_shard(mixed(keys, shards))]
@@ -272,34 +272,34 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         context, first = np.unique(keys >> np.uint64(32), return_index=True)
         kinds = [np.add.reduceat((np.minimum(counts, 3) == k).astype("<u4"), first).astype("<u4") for k in (1, 2, 3)]
         for name, ids, values in (("before", after, [types.astype("<u4")]), ("followers", context, kinds)):
-            for r, at in by_shard((ids // np.uint64(RANGE)).astype(np.int64)):
+            for r, at in by_shard((ids // np.uint64(width)).astype(np.int64)):
                 raw = packed(ids[at], *[v[at] for v in values])
                 rows.append((name, r, raw[0], b"".join(raw[1:])))
-        ones = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+        rows.append(("pairs", s, b"", b""))
+        once = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         return pa.table({
             "name": pa.array([r[0] for r in rows]), "range": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary()),
-            "shard": pa.array([s] * len(rows), pa.int32()), "n": pa.array([len(keys)] * len(rows), pa.int64()), "once": pa.array([ones] * len(rows), pa.list_(pa.int64())),
+            "once": pa.array([once] * len(rows), pa.list_(pa.int64())),
         })
 
     def merge_words_of(group: pa.Table) -> pa.Table:
         name, r = group.column("name")[0].as_py(), group.column("range")[0].as_py()
-        width = 3 if name == "followers" else 1
-        values = np.concatenate([unpacked(x, "<u4").reshape(width, -1) if width == 1 else np.stack([unpacked(x[k * len(x) // 3 : (k + 1) * len(x) // 3], "<u4") for k in range(3)]) for x in group.column("counts").to_pylist()], axis=1).astype("<i8")
+        if name == "pairs":
+            return pa.table({"name": [name], "types": pa.array([0], pa.int64()), "once": pa.array(group.column("once").to_pylist(), pa.list_(pa.int64()))})
+        kinds = 3 if name == "followers" else 1
+        values = np.concatenate([unpacked(x, "<u4").reshape(1, -1) if kinds == 1 else np.stack([unpacked(x[k * len(x) // 3 : (k + 1) * len(x) // 3], "<u4") for k in range(3)]) for x in group.column("counts").to_pylist()], axis=1).astype("<i8")
         ids, *values = summed(_keys(group.column("keys")), *values)
-        out = np.zeros((RANGE, width), dtype="<u4")
-        out[(ids % np.uint64(RANGE)).astype(np.int64)] = np.stack(values, axis=1)
-        _save(path, f"{name}-{r}", out if width == 3 else out[:, 0])
+        out = np.zeros((width, kinds), dtype="<u4")
+        out[(ids % np.uint64(width)).astype(np.int64)] = np.stack(values, axis=1)
+        _save(path, f"{name}-{r}", out if kinds == 3 else out[:, 0])
         seen = values[0] if name == "before" else np.zeros(0, dtype=np.int64)
-        pairs = {s.as_py(): (n.as_py(), o.as_py()) for s, n, o in zip(group.column("shard"), group.column("n"), group.column("once"), strict=True)} if r == 0 else {}
-        return pa.table({"name": [name], "range": pa.array([r], pa.int64()), "types": [int(seen.sum())], "once": pa.array([[int((seen == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64())), "shards": pa.array([list(pairs)], pa.list_(pa.int32())), "pairs": pa.array([[o for _, o in pairs.values()]], pa.list_(pa.list_(pa.int64())))})
+        return pa.table({"name": [name], "types": [int(seen.sum())], "once": pa.array([[int((seen == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64()))})
 
-    merged = _texts(docs).mapInArrow(pairs, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(merge_pairs, "name string, range long, keys binary, counts binary, shard int, n long, once array<long>")
-    told = merged.groupBy("name", "range").applyInArrow(merge_words_of, "name string, range long, types long, once array<long>, shards array<int>, pairs array<array<long>>").collect()
+    merged = _texts(docs).mapInArrow(pairs, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(merge_pairs, "name string, range long, keys binary, counts binary, once array<long>")
+    told = merged.groupBy("name", "range").applyInArrow(merge_words_of, "name string, types long, once array<long>").collect()
     model.types = sum(r["types"] for r in told)
-    model.word_discounts = discounts(np.sum([r["once"] for r in told], axis=0).tolist())
-    per_shard = {s: o for r in told for s, o in zip(r["shards"], r["pairs"], strict=True)}
-    model.pair_discounts = discounts(np.sum(list(per_shard.values()), axis=0).tolist())
-    once = np.sum([r["once"] for r in told], axis=0)
+    once, pairs_once = (np.sum([r["once"] for r in told if (r["name"] == "pairs") == of_pairs], axis=0).tolist() for of_pairs in (False, True))
+    model.word_discounts, model.pair_discounts = discounts(once), discounts(pairs_once)
     model.floor = float(model.word_discounts[0] * once[0] + model.word_discounts[1] * once[1] + model.word_discounts[2] * (model.words - once[0] - once[1])) / model.types / (model.words + 1)
     return model
 
