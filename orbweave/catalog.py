@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("scalar", "joins")
+PLANS = ("scalar", "joins", "stats", "series")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
