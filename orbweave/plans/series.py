@@ -146,10 +146,10 @@ def ewm_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT w, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM m GROUP BY w), j AS (SELECT d.w, d.month, m.v, row_number() OVER (PARTITION BY d.w ORDER BY d.month) AS i FROM d LEFT JOIN m ON m.w = d.w AND m.month = d.month),
 b AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY w ORDER BY i) AS a, min(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY w ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM j),
 f AS (SELECT b.w, b.month, b.i, coalesce(b.v, x.v + (y.v - x.v) * (b.i - x.i) / (y.i - x.i)::DOUBLE) AS v FROM b LEFT JOIN j x ON x.w = b.w AND x.i = b.a LEFT JOIN j y ON y.w = b.w AND y.i = b.b)
-SELECT w, month, round(v, 4) AS v, round(v - lag(v) OVER (PARTITION BY w ORDER BY month), 4) AS change FROM f""")
+SELECT w, month, round(v, 6) AS v, round(v - lag(v) OVER (PARTITION BY w ORDER BY month), 6) AS change FROM f""")
 def monthly_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("w"), F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("v"))
-    return _round(T.monthly(rows, ["w"], "date", "v"), 4, "v", "change").select("w", "month", "v", "change")
+    return _round(T.monthly(rows, ["w"], "date", "v"), 6, "v", "change").select("w", "month", "v", "change")
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT u, i, v - 90 AS d FROM {SERIES}), r AS (SELECT u, 0::BIGINT AS i, 50.0::DOUBLE AS m FROM s WHERE i = 1 UNION ALL SELECT s.u, s.i, greatest(0, least(100, r.m + s.d)) FROM r JOIN s ON s.u = r.u AND s.i = r.i + 1) SELECT u, round(arg_max(m, i), 6) AS level FROM r GROUP BY u""")
