@@ -54,11 +54,11 @@ def drop_exact_copies(docs: DataFrame, hashed: Callable[[Column], Column] = cont
     """The rows of docs that stay, all their columns; of repeated rows of one id and text, one."""
     rows = settled(exact_classes(docs, hashed).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
     keep = rows.distinct()
-    marked = docs.withColumn("_own", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    joined = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    marked = docs.select(F.col("doc_id").alias("_doc"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("_own"), F.struct("*").alias("_row"))
+    joined = marked.join(keep, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
     if rows.count() > keep.count():  # one more shuffle, only where rows are repeated
-        joined = joined.dropDuplicates(["doc_id", "_own"])
-    return joined.select(*docs.columns)
+        joined = joined.dropDuplicates(["_doc", "_own"])
+    return joined.select("_row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,14 +103,16 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: flo
     """The documents of the mix: each as often as it is taken, a part as its first words joined by spaces. A document of no words comes with each whole repetition of its source. Columns as in docs; n_chars, where there, follows the text."""
     light = settled(sized(docs.select("doc_id", "source", "text"), seed).drop("text"))
     cut, cell = plan(light, weights, max_epochs)
-    marked = applied(sized(docs, seed), cut, cell)
+    rows = docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))
+    marked = applied(sized(rows, seed), cut, cell)
     times = F.col("_whole") + F.when((F.col("_more") > 0) & (F.col("_more") >= F.col("_size")), 1).otherwise(0)
-    whole = marked.filter(times > 0).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    part = marked.filter((F.col("_more") > 0) & (F.col("_more") < F.col("_size"))).withColumn("text", F.array_join(F.slice(words, F.lit(1), F.col("_more").cast("int")), " "))
+    whole = marked.filter(times > 0).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_k"))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_more").cast("int")), " ")
+    changed = F.col("_row").withField("text", words)
     if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(part.select(*docs.columns))
+        changed = changed.withField("n_chars", F.length(words).cast(docs.schema["n_chars"].dataType))
+    part = marked.filter((F.col("_more") > 0) & (F.col("_more") < F.col("_size"))).select(changed.alias("_row"))
+    return whole.select("_row.*").unionByName(part.select("_row.*"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, errors: int = 4, seed: int
 def drop_near_copies(docs: DataFrame, words: int = 4, errors: int = 4, seed: int = 42) -> DataFrame:
     """The document of the smallest id of each group, all columns. doc_id tells documents apart."""
     keep = near_duplicates(docs, words, errors, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.struct("*").alias("_row"))
+    return rows.join(keep, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
