@@ -34,7 +34,7 @@ def otsu(cells: DataFrame, by: Sequence[str], v: str, bins: int = 256) -> DataFr
     w0, w1 = F.col("_w"), F.col("_aw") - F.col("_w")
     gap = F.col("_m") / w0 - F.try_divide(F.col("_am") - F.col("_m"), w1)
     between = F.round(w0 / F.col("_aw") * (w1 / F.col("_aw")) * gap * gap, 9)
-    return rows.withColumn("_b", between).groupBy(*by).agg(F.max_by("_x", F.struct("_b", -F.col("_k"))).alias("threshold"))
+    return rows.withColumn("_b", between).groupBy(*by).agg(F.max_by(F.when(F.col("_b").isNotNull(), F.col("_x")), F.struct("_b", -F.col("_k"))).alias("threshold"))
 
 
 def ring(cells: DataFrame, mask: str, by: Sequence[str] = ()) -> DataFrame:
