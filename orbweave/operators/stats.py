@@ -99,7 +99,7 @@ def thresholds(rows: DataFrame, by: Sequence[str], score: str, positive: str, ra
     counts = rows.groupBy(*by, score).agg(F.sum(F.col(positive).cast("long")).alias("_p"), F.sum((~F.col(positive)).cast("long")).alias("_n"))
     upward = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy(*by)
-    rates = counts.select(*by, score, "_p", (F.sum("_p").over(upward) / F.sum("_p").over(every)).alias("tpr"), (F.sum("_n").over(upward) / F.sum("_n").over(every)).alias("fpr"))
+    rates = counts.select(*by, score, "_p", F.try_divide(F.sum("_p").over(upward), F.sum("_p").over(every)).alias("tpr"), F.try_divide(F.sum("_n").over(upward), F.sum("_n").over(every)).alias("fpr"))
     return rates.groupBy(*by).agg(
         F.max_by(score, F.struct(F.round(F.col("tpr") - F.col("fpr"), 12), -F.col(score))).alias("youden"), F.max(F.col("tpr") - F.col("fpr")).alias("j"),
         F.min(F.when(F.col("_p") > 0, F.col(score))).alias("conservative"), F.min(F.when(F.col("fpr") <= rate, F.col(score))).alias("precise"),

@@ -8,22 +8,29 @@ from ..catalog import query, table
 from ..operators import cluster as C
 from .common import GRID, grid, points, points_sql
 
-_PAIRS = f"SELECT a.k AS a, b.k AS b FROM {points_sql('customer', 'c_custkey')} a, {points_sql('customer', 'c_custkey')} b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400"
 
+def _dbscan_sql(squared: int) -> str:
+    pairs = f"SELECT a.k AS a, b.k AS b FROM {points_sql('customer', 'c_custkey')} a, {points_sql('customer', 'c_custkey')} b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {squared}"
+    core = "(SELECT k FROM core)"
+    return f"""WITH RECURSIVE p AS MATERIALIZED ({pairs}), core AS MATERIALIZED (SELECT a AS k FROM p GROUP BY a HAVING count(*) >= 3), e AS MATERIALIZED (SELECT a, b FROM p WHERE a IN {core} AND b IN {core}),
+r(k, s) AS (SELECT k, k FROM core UNION SELECT e.b, r.s FROM r JOIN e ON e.a = r.k), l AS (SELECT k, min(s) AS c FROM r GROUP BY k),
+z AS (SELECT k, x, y, c_acctbal, coalesce((SELECT c FROM l WHERE l.k = z.k), (SELECT min(c) FROM p JOIN l ON l.k = p.b WHERE p.a = z.k)) AS cluster FROM {points_sql('customer', 'c_custkey')} z)"""
 
-@query(f"""WITH RECURSIVE p AS MATERIALIZED ({_PAIRS}), core AS MATERIALIZED (SELECT a AS k FROM p GROUP BY a HAVING count(*) >= 3), e AS MATERIALIZED (SELECT a, b FROM p WHERE a IN (FROM core) AND b IN (FROM core)),
-r(k, s) AS (SELECT k, k FROM core UNION SELECT e.b, r.s FROM r JOIN e ON e.a = r.k), l AS (SELECT k, min(s) AS c FROM r GROUP BY k)
-SELECT k, coalesce((SELECT c FROM l WHERE l.k = z.k), (SELECT min(c) FROM p JOIN l ON l.k = p.b WHERE p.a = z.k)) AS cluster FROM {points_sql('customer', 'c_custkey')} z""".replace("(FROM core)", "(SELECT k FROM core)"))
+
+@query(f"{_dbscan_sql(400)} SELECT k, cluster FROM z")
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.dbscan(points(spark, sf_dir, "customer", "c_custkey"), "k", 20.0, 3)
 
 
-@query()
+@query(f"""{_dbscan_sql(625)}, g AS (SELECT *, CASE WHEN c_acctbal > 8000 THEN 2 WHEN c_acctbal > 3000 THEN 1 ELSE 0 END AS grade FROM z WHERE cluster IS NOT NULL)
+SELECT cluster, count(*) AS n, count(*) FILTER (grade = 2) AS n_danger, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, max(grade + CASE WHEN c_acctbal > 9500 THEN 1 ELSE 0 END) AS score,
+CASE WHEN max(grade + CASE WHEN c_acctbal > 9500 THEN 1 ELSE 0 END) >= 3 THEN 'red' WHEN max(grade + CASE WHEN c_acctbal > 9500 THEN 1 ELSE 0 END) >= 2 THEN 'orange' ELSE 'yellow' END AS alarm FROM g WHERE grade > 0 GROUP BY cluster HAVING count(*) >= 3""")
 def cluster_alarm_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of elevated points and their alarm."""
     rows = points(spark, sf_dir, "customer", "c_custkey", "c_acctbal").withColumn("grade", F.when(F.col("c_acctbal") > 8000, 2).when(F.col("c_acctbal") > 3000, 1).otherwise(0))
     clusters = C.dbscan(rows, "k", 25.0, 3)
-    return C.cluster_summary(rows.join(clusters, "k").withColumn("score", F.col("grade") + F.when(F.col("c_acctbal") > 9500, 1).otherwise(0)), 3)
+    found = C.cluster_summary(rows.join(clusters, "k").withColumn("score", F.col("grade") + F.when(F.col("c_acctbal") > 9500, 1).otherwise(0)), 3)
+    return found.withColumns({c: F.round(c, 6) for c in ("cx", "cy")})
 
 
 @query(f"""WITH RECURSIVE g AS MATERIALIZED (SELECT r, c, r * 64 + c AS id FROM {GRID} WHERE v > 27), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.id <> b.id),

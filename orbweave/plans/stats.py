@@ -165,7 +165,7 @@ def auc_rank_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH c AS (SELECT g, s, count(*) FILTER (p) AS np, count(*) FILTER (NOT p) AS nn FROM {_SCORES} GROUP BY 1, 2),
-r AS (SELECT *, (sum(np) OVER (PARTITION BY g ORDER BY s DESC))::DOUBLE / (sum(np) OVER (PARTITION BY g))::DOUBLE AS tpr, (sum(nn) OVER (PARTITION BY g ORDER BY s DESC))::DOUBLE / (sum(nn) OVER (PARTITION BY g))::DOUBLE AS fpr FROM c)
+r AS (SELECT *, (sum(np) OVER (PARTITION BY g ORDER BY s DESC))::DOUBLE / nullif(sum(np) OVER (PARTITION BY g), 0)::DOUBLE AS tpr, (sum(nn) OVER (PARTITION BY g ORDER BY s DESC))::DOUBLE / nullif(sum(nn) OVER (PARTITION BY g), 0)::DOUBLE AS fpr FROM c)
 SELECT g, arg_max(s, row(round(tpr - fpr, 12), -s))::BIGINT AS youden, round(max(tpr - fpr), 9) AS j, min(CASE WHEN np > 0 THEN s END)::BIGINT AS conservative, min(CASE WHEN fpr <= 0.05 THEN s END)::BIGINT AS precise FROM r GROUP BY g""")
 def youden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.thresholds(_scores(spark, sf_dir), ["g"], "s", "p").select("g", "youden", _r("j", 9), "conservative", "precise")
