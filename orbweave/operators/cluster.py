@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .joins import radius_pairs
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Rows computed once and kept in the folder of spark.checkpoint.dir (a temporary one where it is unset): rounds don't pile up lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orbweave-"))
-    return df.checkpoint(eager=True)
+from .lineage import kept
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -71,8 +62,6 @@ def cluster_summary(points: DataFrame, least: int) -> DataFrame:
 
 def keep_last(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old and new in one, of rows of one key the last: new over old, then by an explicit `seq`."""
-    from pyspark.sql import Window
-
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     w = Window.partitionBy(*keys).orderBy(F.desc("_new"), F.desc("seq"))
     return both.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", "_new")

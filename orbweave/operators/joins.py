@@ -10,18 +10,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import kept
+
 
 def interval_first(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, start: str, end: str, order: str, into: Sequence[str]) -> DataFrame:
     """left with the columns `into` of the first right row (by `order`) whose [start, end) holds value; without one, whose [start, end] does; else null.
 
-    left needs no key of its own: rows are told apart by a generated id.
+    The intervals of a key (strata of a borehole) travel as one array in their order, so left rows are neither multiplied nor told apart by ids.
     """
-    rows = left.withColumn("_row", F.monotonically_increasing_id())
-    candidates = rows.select("_row", *keys, value).join(right.select(*keys, start, end, order, *[F.col(c).alias(f"_{c}") for c in into]), list(keys))
-    hit = candidates.filter((F.col(value) >= F.col(start)) & (F.col(value) <= F.col(end)))
-    closed = (F.col(value) == F.col(end)).cast("int")
-    best = hit.groupBy("_row").agg(F.min_by(F.struct(*[f"_{c}" for c in into]), F.struct(closed, F.col(order))).alias("_best"))
-    return rows.join(best, "_row", "left").select(*left.columns, *[F.col(f"_best._{c}").alias(c) for c in into])
+    item = F.struct(F.col(order).alias("_o"), F.col(start).alias("_s"), F.col(end).alias("_e"), *[F.col(c).alias(f"_{c}") for c in into])
+    lists = right.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_i"))
+    v = F.col(value)
+    first = F.get(F.filter("_i", lambda x: (v >= x["_s"]) & (v < x["_e"])), F.lit(0))
+    closed = F.get(F.filter("_i", lambda x: (v >= x["_s"]) & (v <= x["_e"])), F.lit(0))
+    found = left.join(lists, list(keys), "left").withColumn("_b", F.coalesce(first, closed))
+    return found.select(*left.columns, *[F.col(f"_b._{c}").alias(c) for c in into])
 
 
 def _merged(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, other_at: str, values: Sequence[str]) -> DataFrame:
@@ -125,10 +128,10 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other_key: str, cell: f
     open_, size = left, cell
     while ends:
         pairs = radius_pairs(open_, right.withColumnsRenamed({f"_o{c}": c for c in xy}), size, xy)
-        top = pairs.groupBy(F.col(f"l.{key}").alias(key)).agg(F.min_by(F.struct("d", "r"), F.struct("d", "r._near")).alias("_b"))
+        top = kept(pairs.groupBy(F.col(f"l.{key}").alias(key)).agg(F.min_by(F.struct("d", "r"), F.struct("d", "r._near")).alias("_b")))
         found = open_.join(top, key).select(*left.columns, F.col("_b.r._near").alias("_near"), F.col("_b.d").alias("dist"), *[F.col(f"_b.r._i{c}").alias(f"_i{c}") for c in into])
         done = found if done is None else done.unionByName(found)
-        open_ = open_.join(top.select(key), key, "left_anti")
+        open_ = kept(open_.join(top.select(key), key, "left_anti"))
         if size >= min(reach, extent * 1.5) or open_.isEmpty():
             break
         size *= 2
@@ -170,12 +173,13 @@ def pairs_within(rows: DataFrame, by: Sequence[str], at: str, days: float, index
 
 
 def validity(events: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: float, into: Sequence[str]) -> DataFrame:
-    """events with the range that covers them (start <= at < end): ranges go to every bucket of `width` they touch; the first by start, then by the columns, of several."""
-    b = ranges.select(start, end, *into, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_b"))
-    rows = events.withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", F.floor(F.col(at) / width))
-    hits = rows.select("_row", at, "_b").join(b, "_b").filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
-    best = hits.groupBy("_row").agg(F.min_by(F.struct(*into), F.struct(start, *into)).alias("_best"))
-    return rows.join(best, "_row", "left").select(*events.columns, *[F.col(f"_best.{c}").alias(c) for c in into])
+    """events with the range that covers them (start <= at < end): ranges go to every bucket of `width` they touch, as one array a bucket; the first by start, then by the columns, of several."""
+    item = F.struct(F.col(start).alias("_s"), *[F.col(c).alias(f"_{c}") for c in into], F.col(end).alias("_e"))
+    spread = ranges.select(item.alias("_x"), F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_b"))
+    lists = spread.groupBy("_b").agg(F.array_sort(F.collect_list("_x")).alias("_i"))
+    t = F.col(at)
+    found = events.withColumn("_b", F.floor(t / width)).join(lists, "_b", "left").withColumn("_x", F.get(F.filter("_i", lambda x: (x["_s"] <= t) & (t < x["_e"])), F.lit(0)))
+    return found.select(*events.columns, *[F.col(f"_x._{c}").alias(c) for c in into])
 
 
 def bilinear(points: DataFrame, grid: DataFrame, key: str, value: str, xy: tuple[str, str] = ("x", "y")) -> DataFrame:

@@ -172,3 +172,52 @@ def band_mean(samples: DataFrame, response: DataFrame, by: Sequence[str]) -> Dat
 def calibrated(cells: DataFrame, columns: DataFrame, raw: str) -> DataFrame:
     """(raw - dark) * gain - shift, by column of the sensor (columns: c, dark, gain, shift)."""
     return cells.join(columns, "c").select("r", "c", ((F.col(raw) - F.col("dark")) * F.col("gain") - F.col("shift")).alias(raw))
+
+
+def fuzzy_otsu(cells: DataFrame, by: Sequence[str], v: str, least: float = 0.9) -> DataFrame:
+    """cells with member: 1 - exp(-(v - mid)^2 / 2 s^2) >= least around the middle of the two class means, s half their distance.
+
+    The membership is symmetric: values far above the middle are members as well as those far below.
+    """
+    both = cells.join(otsu(cells, by, v), list(by))
+    low = both.groupBy(*by).agg(F.avg(F.when(F.col(v) < F.col("threshold"), F.col(v))).alias("_a"), F.avg(F.when(F.col(v) >= F.col("threshold"), F.col(v))).alias("_b"))
+    s = (F.col("_b") - F.col("_a")) / 2
+    d = F.col(v) - (F.col("_a") + F.col("_b")) / 2
+    return cells.join(low, list(by)).withColumn("member", 1 - F.exp(F.try_divide(-d * d, 2 * s * s)) >= least).drop("_a", "_b")
+
+
+def valid_intersection(a: DataFrame, b: DataFrame, v: str) -> DataFrame:
+    """r, c and both values of the cells where both rasters have one."""
+    both = a.select("r", "c", F.col(v).alias("a")).join(b.select("r", "c", F.col(v).alias("b")), ["r", "c"])
+    return both.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+
+
+def dropped(before: Column, after: Column, decibels: float = -6.0) -> Column:
+    """Whether backscatter (dB) fell by as much; false where either is missing."""
+    return F.coalesce(after - before <= decibels, F.lit(False))
+
+
+def burned(before: Column, after: Column, clear: Column, land: Column, least: float = 0.1) -> Column:
+    """Difference of burn ratios at least `least`, on land clear on both dates; null elsewhere."""
+    return F.when(clear & land, before - after >= least)
+
+
+def profile(stations: DataFrame, cells: DataFrame, key: str, v: str, radius: float) -> DataFrame:
+    """Median of the cell values within the radius of each station along a line, and how many; cells have x, y."""
+    from .joins import radius_pairs
+
+    near = radius_pairs(stations, cells, radius)
+    return near.groupBy(F.col(f"l.{key}").alias(key)).agg(F.median(f"r.{v}").alias(v), F.count(F.lit(1)).alias("n"))
+
+
+def tile_cover(boxes: DataFrame, key: str, size: float) -> DataFrame:
+    """How many tiles each box (x0, y0, x1, y1) touches."""
+    n = lambda a, b: F.floor(F.col(b) / size) - F.floor(F.col(a) / size) + 1
+    return boxes.select(key, (n("x0", "x1") * n("y0", "y1")).alias("tiles"))
+
+
+def chained(rows: DataFrame, by: Sequence[str], i: str, shift: str) -> DataFrame:
+    """Cumulative shifts along a chain of bands; a failed (null) link is bridged by the mean of the others of its chain."""
+    w = Window.partitionBy(*by).orderBy(i)
+    filled = F.coalesce(F.col(shift), F.avg(shift).over(Window.partitionBy(*by)), F.lit(0.0))
+    return rows.withColumn("_f", filled).withColumn("total", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
