@@ -81,7 +81,7 @@ def block_shift(pairs: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
                 p = one[max(0, -dr) : shape[0] - max(0, dr), max(0, -dc) : shape[1] - max(0, dc)]
                 q = two[max(0, dr) : shape[0] - max(0, -dr), max(0, dc) : shape[1] - max(0, -dc)]
                 fine = np.isfinite(p) & np.isfinite(q)
-                if fine.sum() > 2:
+                if fine.sum() > max(2, len(group) // 4):
                     u, v = p[fine] - p[fine].mean(), q[fine] - q[fine].mean()
                     size = np.sqrt((u * u).sum() * (v * v).sum())
                     if size > 0:

@@ -40,12 +40,12 @@ def geocode_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(both, "k", "left_semi").select("k", F.round("x", 6).alias("x"))
 
 
-@query("""WITH l AS (SELECT l_suppkey AS hole, l_partkey % 20 AS layer, min(CASE WHEN l_discount > 0 THEN least(l_quantity * 30 / (l_discount * 1000), 50) END) AS n, arg_min(l_returnflag, row(l_orderkey, l_linenumber)) AS soil FROM lineitem GROUP BY 1, 2),
+@query("""WITH l AS (SELECT l_suppkey AS hole, l_partkey % 20 AS layer, min(CASE WHEN l_discount > 0 THEN least(l_quantity * 30 / (l_discount * 1000), 50) END) AS n, arg_min(l_returnflag, row(l_orderkey, l_linenumber, l_returnflag)) AS soil FROM lineitem GROUP BY 1, 2),
 b AS (SELECT hole, count(*) FILTER (soil = 'R' AND n < 4) AS soft, min(n) AS low FROM l GROUP BY 1) SELECT hole, soft, round(low, 6) AS low, CASE WHEN soft >= 1 THEN '연약' WHEN low <= 10 THEN '주의' ELSE '양호' END AS grade, (CASE WHEN soft >= 1 THEN 0.6 WHEN low <= 10 THEN 0.8 ELSE 1.0 END)::DOUBLE AS alpha FROM b""")
 def ground_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blow counts to layers to boreholes to a grade and its alpha."""
     n = S.capped_ratio(F.col("l_quantity"), F.col("l_discount") * 1000, 30, 50)
-    layers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("hole"), (F.col("l_partkey") % 20).alias("layer")).agg(F.min(n).alias("n"), F.min_by("l_returnflag", F.struct("l_orderkey", "l_linenumber")).alias("soil"))
+    layers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("hole"), (F.col("l_partkey") % 20).alias("layer")).agg(F.min(n).alias("n"), F.min_by("l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_returnflag")).alias("soil"))
     holes = layers.groupBy("hole").agg(F.count_if((F.col("soil") == "R") & (F.col("n") < 4)).alias("soft"), F.min("n").alias("low"))
     kind = F.when(F.col("soft") >= 1, 0).when(F.col("low") <= 10, 1).otherwise(2)
     pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), kind + 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..catalog import query, table
 from ..operators import inversion as I, joins as J, shapes as S
-from .common import SERIES, grid, points, series
+from .common import GRID, SERIES, grid, points, series
 
 #: Axis-parallel buildings in SQL: k, x0, y0, x1, y1, owner.
 _BOXES = "(SELECT s_suppkey AS k, (s_suppkey * 53 % 997)::DOUBLE AS x0, (s_suppkey * 29 % 1009)::DOUBLE AS y0, s_suppkey * 53 % 997 + 20.0::DOUBLE + s_suppkey % 30 AS x1, s_suppkey * 29 % 1009 + 15.0::DOUBLE + s_suppkey % 20 AS y1, s_suppkey % 2 AS owner FROM supplier)"
@@ -78,7 +78,7 @@ def small_baseline_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.small_baseline(pairs, ["u"], "a", "b", "dv").select("u", "epoch", F.round("v", 5).alias("v"))
 
 
-@query(f"SELECT u % 10 AS g, u AS node, round(m - avg(m) OVER (PARTITION BY u % 10), 5) AS offset FROM (SELECT u, avg(v) AS m FROM {SERIES} GROUP BY u)")
+@query(f"SELECT u % 10 AS g, u AS node, round(m - avg(m) OVER (PARTITION BY u % 10), 5) AS offset FROM (SELECT u, avg(v) AS m FROM {SERIES} GROUP BY u) QUALIFY count(*) OVER (PARTITION BY u % 10) > 1")
 def network_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scene offsets out of the differences of neighbouring scenes."""
     means = series(spark, sf_dir).groupBy("u").agg(F.avg("v").alias("m")).withColumn("g", F.col("u") % 10)
@@ -93,7 +93,7 @@ def huber_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("u", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-@query("SELECT x * 4 + y AS block, 1::BIGINT AS dr, 2::BIGINT AS dc FROM range(0, 4) a(x), range(0, 4) b(y)")
+@query(f"SELECT DISTINCT (a.r // 16) * 4 + a.c // 16 AS block, 1::BIGINT AS dr, 2::BIGINT AS dc FROM {GRID} a JOIN {GRID} b ON a.r = b.r + 1 AND a.c = b.c + 2")
 def block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An image against itself moved by one row and two columns, block by block."""
     cells = grid(spark, sf_dir).select("r", "c", F.col("v").alias("a"))

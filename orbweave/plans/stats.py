@@ -14,12 +14,12 @@ def _r(c: str, digits: int = 6):
 
 
 @query("""
-WITH layers AS (SELECT l_suppkey, l_partkey % 10 AS layer, min(l_quantity) AS low, max(l_quantity) AS high, median(l_quantity) AS mid, arg_min(l_returnflag, row(l_shipdate, l_orderkey, l_linenumber)) AS kind FROM lineitem GROUP BY 1, 2)
+WITH layers AS (SELECT l_suppkey, l_partkey % 10 AS layer, min(l_quantity) AS low, max(l_quantity) AS high, median(l_quantity) AS mid, arg_min(l_returnflag, row(l_shipdate, l_orderkey, l_linenumber, l_returnflag)) AS kind FROM lineitem GROUP BY 1, 2)
 SELECT l_suppkey, count(*) AS layers, min(low) AS lowest, sum(CASE WHEN kind = 'R' THEN 1 ELSE 0 END)::BIGINT AS soft, round(avg(mid), 6) AS mid, min(kind) AS kind FROM layers GROUP BY 1""")
 def group_first_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers, then boreholes; `first` follows an explicit order."""
     layers = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 10).alias("layer")).agg(
-        F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.median("l_quantity").alias("mid"), F.min_by("l_returnflag", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("kind")
+        F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.median("l_quantity").alias("mid"), F.min_by("l_returnflag", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_returnflag")).alias("kind")
     )
     return layers.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("layers"), F.min("low").alias("lowest"), F.count_if(F.col("kind") == "R").alias("soft"), F.round(F.avg("mid"), 6).alias("mid"), F.min("kind").alias("kind"))
 
