@@ -212,9 +212,10 @@ def contexts(numbers: np.ndarray, begins: np.ndarray, begin: int) -> np.ndarray:
 
 def model_folder(spark: SparkSession, folder: str | None) -> str:
     folder = folder or shared_dir(spark)
-    if "://" in folder and not folder.startswith("file://"):
+    scheme, _, rest = folder.rpartition(":")
+    if scheme not in ("", "file"):
         raise ValueError(f"{folder} can't be memory-mapped: name a folder that all executors mount")
-    return f"{folder.removeprefix('file://').removeprefix('file:')}/lm-{uuid.uuid4().hex}"
+    return f"{'/' + rest.lstrip('/') if scheme else folder}/lm-{uuid.uuid4().hex}"
 
 
 def _texts(docs: DataFrame) -> DataFrame:

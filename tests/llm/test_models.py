@@ -131,9 +131,15 @@ def test_model_of_nothing(spark):
     assert {(r.n_known, r.base_score, r.score) for r in M.scored(docs(spark), model).collect()} == {(0, 0.0, 0.0)}
 
 
-def test_a_folder_that_is_not_mounted_is_refused(spark):
+@pytest.mark.parametrize("folder", ["hdfs://somewhere/models", "hdfs:/models", "s3a://bucket"])
+def test_a_folder_that_is_not_mounted_is_refused(spark, folder):
     with pytest.raises(ValueError, match="memory-mapped"):
-        M.train(docs(spark), folder="hdfs://somewhere/models")
+        M.train(docs(spark), folder=folder)
+
+
+@pytest.mark.parametrize("folder", ["/tmp/m", "file:/tmp/m", "file:///tmp/m"])
+def test_mounted_folders(spark, folder):
+    assert M.model_folder(spark, folder).startswith("/tmp/m/lm-")
 
 
 # mixing
