@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..catalog import query
-from ..operators import rules as R
+from ..operators import rules as R, runs, stats
 from .common import SERIES, series
 
 #: Units of events: every seventh is an accident at day 25, the others background; features are the value, its mean of three and its rise over three.
@@ -15,8 +15,6 @@ UNION ALL SELECT u, i, t, 'rise' AS feature, v - lag(v, 3) OVER (PARTITION BY u
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("u").orderBy("i")
     rows = series(spark, sf_dir).withColumn("mean", F.avg("v").over(w.rowsBetween(-2, 0))).withColumn("rise", F.col("v") - F.lag("v", 3).over(w))
     accident = F.col("u") % 7 == 0
@@ -125,3 +123,43 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alarm_lead_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series(spark, sf_dir).withColumn("hit", F.col("v") > 30)
     return R.lead_scan(rows, ["u"], "i", "hit")
+
+
+def _persisted(k: int) -> str:
+    return f"SELECT feature, {k} AS k, unit, kind, CASE WHEN count(*) < {k} THEN max(value) ELSE max(low) END AS s FROM (SELECT *, CASE WHEN count(value) OVER w = {k} THEN min(value) OVER w END AS low FROM {_F} WINDOW w AS (PARTITION BY feature, unit ORDER BY i ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)) GROUP BY ALL"
+
+
+@query(f"""WITH s AS ({" UNION ALL ".join(_persisted(k) for k in (1, 2, 3))}), r AS (SELECT feature, k, kind, rank() OVER (PARTITION BY feature, k ORDER BY s) + (count(*) OVER (PARTITION BY feature, k, s) - 1) / 2.0::DOUBLE AS r FROM s WHERE s IS NOT NULL)
+SELECT feature, k, round((sum(CASE WHEN kind = 'A' THEN r END) - count(*) FILTER (kind = 'A') * (count(*) FILTER (kind = 'A') + 1) / 2.0::DOUBLE) / (count(*) FILTER (kind = 'A') * count(*) FILTER (kind = 'B')), 9) AS auc FROM r GROUP BY 1, 2""")
+def operating_auc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each feature tells accidents from background when it must persist for k epochs."""
+    features = _features(spark, sf_dir)
+    found = None
+    for k in (1, 2, 3):
+        one = runs.persist_max(features, ["feature", "unit", "kind"], "i", "value", k).withColumn("k", F.lit(k))
+        found = one if found is None else found.unionByName(one)
+    scored = found.filter(F.col("persist").isNotNull()).withColumn("p", F.col("kind") == "A")
+    return stats.auc(scored, ["feature", "k"], "persist", "p").select("feature", "k", F.round("auc", 9).alias("auc"))
+
+
+@query(f"""WITH f AS ({_fires(_MENU_SQL)}), s AS (SELECT unit % 3 AS region, rule, avg(CASE WHEN kind = 'A' THEN CASE WHEN fire <= t_acc THEN 1.0 ELSE 0.0 END END)::DOUBLE AS det, coalesce(avg(CASE WHEN kind = 'B' THEN CASE WHEN fire IS NOT NULL THEN 1.0 ELSE 0.0 END END)::DOUBLE, 0) AS bg FROM f GROUP BY 1, 2)
+SELECT region, rule, round(det, 6) AS det, round(bg, 6) AS bg FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY round(det, 9) DESC, round(bg, 9), rule) AS k FROM s WHERE det IS NOT NULL) WHERE k = 1""")
+def region_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each region the rule that detects most, and of those the one that disturbs least."""
+    fired = R.fires(_features(spark, sf_dir), _menu(spark)).withColumn("region", F.col("unit") % 3)
+    early, hit = (F.col("fire") <= F.col("t_acc")), F.col("fire").isNotNull()
+    rates = fired.groupBy("region", "rule").agg(
+        F.avg(F.when(F.col("kind") == "A", F.when(early, 1.0).otherwise(0.0))).alias("det"), F.coalesce(F.avg(F.when(F.col("kind") == "B", F.when(hit, 1.0).otherwise(0.0))), F.lit(0.0)).alias("bg")
+    )
+    best = rates.filter("det is not null").withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.round("det", 9).desc(), F.round("bg", 9), "rule")))
+    return best.filter("k = 1").select("region", "rule", F.round("det", 6).alias("det"), F.round("bg", 6).alias("bg"))
+
+
+@query(f"""WITH c AS (SELECT DISTINCT u FROM {SERIES} WHERE u % 7 <> 0 ORDER BY md5('3:' || u::VARCHAR), u LIMIT 40) SELECT CASE WHEN u % 7 = 0 THEN 'event' ELSE 'control' END AS arm, count(*) AS n, round(median(m), 6) AS mid, round(quantile_cont(m, 0.9), 6) AS p90 FROM (SELECT u, max(v) AS m FROM {SERIES} WHERE u % 7 = 0 OR u IN (SELECT u FROM c) GROUP BY u) GROUP BY 1""")
+def control_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty seeded control series beside the events: the sample is the feature."""
+    rows = series(spark, sf_dir)
+    chosen = rows.filter("u % 7 <> 0").select("u").distinct().orderBy(F.md5(F.concat(F.lit("3:"), F.col("u").cast("string")).cast("binary")), "u").limit(40)
+    both = rows.filter("u % 7 = 0").unionByName(rows.join(chosen, "u", "left_semi").select(*rows.columns))
+    units = both.groupBy("u").agg(F.max("v").alias("m")).withColumn("arm", F.when(F.col("u") % 7 == 0, F.lit("event")).otherwise(F.lit("control")))
+    return units.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("m"), 6).alias("mid"), F.round(F.percentile("m", 0.9), 6).alias("p90"))
