@@ -15,7 +15,7 @@ import numpy as np
 
 #: Words that a worker remembers; beyond them it keeps those of few ids (in bytes), which are the frequent ones.
 REMEMBERED, FEW = 1_000_000, 8
-MARKS = b".,;:!?"
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _made: dict[str, WordTokenizer] = {}
 
 
@@ -24,6 +24,11 @@ def folded(text: bytes) -> bytes:
     return text if b"<|" in text else text.lower()
 
 
+def _ends_word(stem: bytes) -> bool:
+    """Whether the last character is a letter or an ASCII digit."""
+    return stem[-1:].isalnum() if stem[-1] < 128 else stem[-4:].decode("utf-8", "ignore")[-1:].isalpha()
+
+
 class WordTokenizer:
     """Little-endian unsigned 32-bit ids of texts given as UTF-8."""
 
@@ -43,9 +48,10 @@ class WordTokenizer:
             if len(self.known) > REMEMBERED // 2:
                 self.known.clear()
             new = words.difference(self.known)
-        # A mark after an ASCII letter or digit is a token of its own, so words with and without it are encoded once.
-        marked = {w for w in new if w[-1] in MARKS and len(w) > 1 and w[-2] < 128 and w[-2:-1].isalnum()}
-        plain = (new - marked).union(w[:-1] for w in marked).difference(self.known)
+        # Marks after a letter or digit are a token run of their own, so words with and without them are encoded once.
+        marked = {w: stem for w in new if len(stem := w.rstrip(MARKS)) < len(w) and stem and b"<|" not in w and _ends_word(stem)}
+        marks = {w[len(stem) :] for w, stem in marked.items()}
+        plain = new.difference(marked).union(marked.values(), marks).difference(self.known)
         texts = {w: w.decode("utf-8", "replace") for w in plain}
         letters = [w for w, x in texts.items() if x.isalpha()]
         for at in range(0, len(letters), 2000):
@@ -53,11 +59,8 @@ class WordTokenizer:
         others = [w for w in plain if w not in self.known]
         for w, ids in zip(others, self._ids([texts[w] for w in others]), strict=True):
             self.known[w] = pack(f"<{len(ids)}I", *ids)
-        for w in marked:
-            mark = w[-1:]
-            if mark not in self.known:
-                self.known[mark] = np.array(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-            self.known[w] = self.known[w[:-1]] + self.known[mark]
+        for w, stem in marked.items():
+            self.known[w] = self.known[stem] + self.known[w[len(stem) :]]
 
     def _ids(self, texts: list[str]) -> Iterator[list[int]]:
         for at in range(0, len(texts), 5000):

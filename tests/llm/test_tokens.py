@@ -22,7 +22,7 @@ def test_word_by_word_is_as_the_tokenizer():
 
     plain, own = Tokenizer.from_file(T.default_path()), T.WordTokenizer(T.default_path())
     rng = random.Random(1)
-    parts = ["Hello", "world.", "don't", "İstanbul", "éa", "  ", "\n", "\t", "…", "a.b,c", "12.5%", "ÀÉ!", "<|endoftext|>", "x<|", "日本語", "한국", " ", "ﬁne", "A.", "9,", "q?!", "😀", "\x1c", "'s", "re'LL"]
+    parts = ["Hello", "world.", "don't", "İstanbul", "éa", "  ", "\n", "\t", "…", "a.b,c", "12.5%", "ÀÉ!", "<|endoftext|>", "x<|", "日本語", "한국", " ", "ﬁne", "A.", "9,", "q?!", "é%%%", "the***", "a_", "()", "—", "x<|endoftext|>.", "e\u0301.", "½!", "it'", "😀", "\x1c", "'s", "re'LL"]
     for _ in range(300):
         text = rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         want = plain.encode(text, add_special_tokens=False).ids
