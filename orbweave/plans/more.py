@@ -185,3 +185,67 @@ def nearest_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of the cells that points fall in."""
     at = points(spark, sf_dir, "customer", "c_custkey").select(F.floor(F.col("y") / 20).alias("r"), F.floor(F.col("x") / 20).alias("c"))
     return at.join(grid(spark, sf_dir).select("r", "c", F.round("v", 6).alias("v")), ["r", "c"])
+
+
+@query("""SELECT event_type, CASE WHEN contains(event_type, 'pur') THEN '하수관' WHEN contains(event_type, 'cli') THEN '굴착' WHEN contains(event_type, 'err') THEN '다짐불량' ELSE '기타' END AS cause, count(*) AS n FROM events GROUP BY 1, 2""")
+def cause_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to classes of causes, the first keyword that occurs."""
+    cause = S.keyword_class(F.col("event_type"), (("하수관", ("pur",)), ("굴착", ("cli",)), ("다짐불량", ("err",))), "기타")
+    return table(spark, sf_dir, "events").groupBy("event_type", cause.alias("cause")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT zone, count(*) FILTER (d >= 0.3) AS high, count(*) FILTER (d >= 0.15 AND d < 0.3) AS risk, round(count(*) FILTER (d >= 0.15) * 0.0009::DOUBLE, 6) AS km2 FROM (SELECT (r // 16) * 4 + c // 16 AS zone, v / 50 - w * 5 AS d FROM {GRID}) GROUP BY zone")
+def damage_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels of lost coherence by zone, and their area of 30 m cells."""
+    cells = grid(spark, sf_dir).select((F.floor(F.col("r") / 16) * 4 + F.floor(F.col("c") / 16)).alias("zone"), (F.col("v") / 50 - F.col("w") * 5).alias("d"))
+    return cells.groupBy("zone").agg(F.count_if(F.col("d") >= 0.3).alias("high"), F.count_if((F.col("d") >= 0.15) & (F.col("d") < 0.3)).alias("risk"), F.round(F.count_if(F.col("d") >= 0.15) * 0.0009, 6).alias("km2"))
+
+
+_ACCEPT = f"(SELECT a.k, first(a.g) AS g, count(*) FILTER (b.g > 0 AND b.k <> a.k) AS near, count(*) FILTER (b.g = 2 AND b.k <> a.k) AS near2 FROM {_SB} a JOIN {_SB} b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900 GROUP BY a.k)"
+
+
+@query(f"SELECT k, g > 0 AS standalone, g > 0 AND near >= 1 AS neighbour, g > 0 AND near >= 3 AND (g = 2 OR near2 >= 1) AS cluster FROM {_ACCEPT}")
+def acceptance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three strategies for when one sensor's grade stands by itself."""
+    g = F.when(F.col("c_acctbal") > 8000, 2).when(F.col("c_acctbal") > 5000, 1).otherwise(0)
+    rows = points(spark, sf_dir, "customer", "c_custkey", "c_acctbal").withColumn("g", g)
+    other = F.col("l.k") != F.col("r.k")
+    near = J.radius_pairs(rows, rows, 30.0).groupBy(F.col("l.k").alias("k"), F.col("l.g").alias("g")).agg(F.count_if(other & (F.col("r.g") > 0)).alias("near"), F.count_if(other & (F.col("r.g") == 2)).alias("near2"))
+    up = F.col("g") > 0
+    return near.select("k", up.alias("standalone"), (up & (F.col("near") >= 1)).alias("neighbour"), (up & (F.col("near") >= 3) & ((F.col("g") == 2) | (F.col("near2") >= 1))).alias("cluster"))
+
+
+@query(f"""WITH n AS (SELECT a.r, a.c, a.v, a.n, (SELECT v FROM {GRID} b WHERE b.r = a.r - 1 AND b.c = a.c) AS n1, (SELECT v FROM {GRID} b WHERE b.r = a.r + 1 AND b.c = a.c) AS n2, (SELECT v FROM {GRID} b WHERE b.r = a.r AND b.c = a.c - 1) AS w1, (SELECT v FROM {GRID} b WHERE b.r = a.r AND b.c = a.c + 1) AS w2 FROM {GRID} a),
+s AS (SELECT *, degrees(atan(sqrt(pow(coalesce((n2 - n1) / 60, (n2 - v) / 30, (v - n1) / 30, 0), 2) + pow(coalesce((w2 - w1) / 60, (w2 - v) / 30, (v - w1) / 30, 0), 2)))) AS slope FROM n)
+SELECT r // 16 AS b, count(*) FILTER (v < 25 AND slope < 5 AND n > 2) AS water, round(count(*) FILTER (v < 25 AND slope < 5 AND n > 2) * 0.0009::DOUBLE, 6) AS km2 FROM s GROUP BY 1""")
+def water_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dark, flat cells of land or sea with enough looks, and their area."""
+    sloped = R.slope_degrees(grid(spark, sf_dir), "v", 30.0)
+    wet = (F.col("v") < 25) & (F.col("slope") < 5) & (F.col("n") > 2)
+    return sloped.groupBy(F.floor(F.col("r") / 16).alias("b")).agg(F.count_if(wet).alias("water"), F.round(F.count_if(wet) * 0.0009, 6).alias("km2"))
+
+
+@query("""SELECT s_suppkey AS k, (20.0 + s_suppkey % 30) * (15.0 + s_suppkey % 20)::DOUBLE AS area, (20.0 + s_suppkey % 30)::DOUBLE AS width, (15.0 + s_suppkey % 20)::DOUBLE AS height, round(sqrt(pow(20.0 + s_suppkey % 30, 2) + pow(15.0 + s_suppkey % 20, 2)), 6) AS diagonal FROM supplier""")
+def polygon_extent_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import shapes
+    from .shapes import _boxes
+
+    x0, y0, x1, y1 = shapes.box(F.col("ring"))
+    rows = _boxes(spark, sf_dir).select("k", S.polygon_area(F.col("ring")).alias("area"), (x1 - x0).alias("width"), (y1 - y0).alias("height"))
+    return rows.withColumn("diagonal", F.round(F.hypot("width", "height"), 6))
+
+
+@query("""WITH b AS (SELECT s_suppkey AS k, (s_suppkey * 53 % 997)::DOUBLE AS x0, (s_suppkey * 29 % 1009)::DOUBLE AS y0, 20.0::DOUBLE + s_suppkey % 30 AS w, 15.0::DOUBLE + s_suppkey % 20 AS h FROM supplier),
+s AS (SELECT k, x0 + w * (i + 0.5) / 8 AS x, y0 + h * (j + 0.5) / 8 AS y FROM b, range(0, 8) a(i), range(0, 8) c(j)), n AS (SELECT k, floor(x / 25)::BIGINT * 1000 + floor(y / 25)::BIGINT AS parcel, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT k, CASE WHEN k % 3 = 0 THEN k ELSE arg_max(parcel, row(n, -parcel)) END AS parcel, CASE WHEN k % 3 = 0 THEN 'register' ELSE 'overlap' END AS how, CASE WHEN k % 3 <> 0 THEN max(n) / 64.0::DOUBLE END AS share FROM n GROUP BY k""")
+def parcel_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A building's parcel from the register, else the parcel with most of 64 points spread over it."""
+    k = F.col("s_suppkey")
+    b = table(spark, sf_dir, "supplier").select(k.alias("k"), (k * 53 % 997).cast("double").alias("x0"), (k * 29 % 1009).cast("double").alias("y0"), (20.0 + k % 30).alias("w"), (15.0 + k % 20).alias("h"))
+    spread = b.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("s"))
+    x, y = F.col("x0") + F.col("w") * (F.floor(F.col("s") / 8) + 0.5) / 8, F.col("y0") + F.col("h") * (F.col("s") % 8 + 0.5) / 8
+    parts = spread.groupBy("k", (F.floor(x / 25) * 1000 + F.floor(y / 25)).alias("parcel")).agg(F.count(F.lit(1)).alias("n"))
+    most = parts.groupBy("k").agg(F.max_by("parcel", F.struct("n", -F.col("parcel"))).alias("_p"), (F.max("n") / 64).alias("_s"))
+    register = b.filter("k % 3 = 0").select("k", F.col("k").alias("_r"))
+    both = most.join(register, "k", "left")
+    return both.select("k", F.coalesce("_r", "_p").alias("parcel"), F.when(F.col("_r").isNotNull(), F.lit("register")).otherwise(F.lit("overlap")).alias("how"), F.when(F.col("_r").isNull(), F.col("_s")).alias("share"))
