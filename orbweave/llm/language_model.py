@@ -28,7 +28,7 @@ from .common import crc_mod, shared_dir, table
 #: Tokens of a block, and bytes of training text per shard.
 BLOCK, SHARD = 1 << 21, 1 << 24
 #: Words of a range in the third exchange.
-RANGE = 1 << 19
+RANGE = 1 << 16
 END = b""
 
 
