@@ -251,8 +251,15 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
-    """The documents whose language is known: all but those without text or letters."""
+    """All documents but those without text or letters, also where no language could be learned."""
     network = learn(docs.filter(crc_mod("doc_id", modulus) != held))
+    if not network.languages:
+
+        @F.pandas_udf("boolean")
+        def fine(column: pd.Series) -> pd.Series:
+            return pd.Series([lettered(x or b"") for x in column], dtype=bool)
+
+        return docs.filter(fine(F.col("text").cast("binary")))
     return docs.filter(predicted(F.col("text"), network)["lang"] != "und")
 
 

@@ -83,6 +83,12 @@ def test_language_of_odd_documents(spark):
     assert L.identify(unlabelled).first().lang_pred == "und"
 
 
+def test_stage_keeps_documents_where_nothing_was_learned(spark):
+    data = [(1, "abc", None), (2, "\u0434\u0430", None), (3, "12 34 !!", None), (4, "", None), (5, None, None), (None, "no id", None)]
+    kept = L.keep_identified(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert sorted(r.text for r in kept.collect()) == ["abc", "no id", "\u0434\u0430"]
+
+
 # language model
 
 
