@@ -1,8 +1,8 @@
 """Near copies by the exact Jaccard similarity of whole sets of word shingles.
 
 Two texts link if their sets of shingles have a Jaccard similarity of at least SHARE; components of links are the groups. No pair at or above it is missed:
-with all shingles in one order, texts of n shingles that are so similar share one of their first n - ceil(SHARE * n) + 1. These are
-the rows that meet; what meets is confirmed on the whole sets. The order puts shingles that are frequent in a sample last, so that
+with all shingles in one order, texts of n shingles that are so similar share COMMON of their first n - ceil(SHARE * n) + COMMON, or as many as similarity asks for
+where that is fewer. These are the rows that meet; what meets as often is confirmed on the whole sets. The order puts shingles that are frequent in a sample last, so that
 passages of many texts seldom make pairs; it decides how many pairs are looked at, never which are found.
 
 Texts that share a shingle are first held against one of them each, which joins large groups with few comparisons; then all pairs that share one
@@ -24,6 +24,8 @@ from .components import stars
 
 #: Least similarity of a link, as a fraction.
 SHARE = 4, 5
+#: First shingles that a pair must share.
+COMMON = 8
 #: Documents of the sample that orders shingles, and shingles that count as frequent at most.
 SAMPLE, FREQUENT = 5000, 100_000
 #: Documents that are sent to all executors at most when sets are read again.
@@ -72,9 +74,9 @@ def _frequent(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.nd
 
 
 def first(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a set of which similar sets share one."""
+    """The shingles of a set of which similar sets share COMMON."""
     n = len(own)
-    keep = n - -(-n * SHARE[0] // SHARE[1]) + 1
+    keep = n - -(-n * SHARE[0] // SHARE[1]) + COMMON
     if not len(frequent) or keep >= n:
         return own[:keep]
     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
@@ -112,12 +114,13 @@ def confirmed(pairs: DataFrame, own: DataFrame, docs: DataFrame, words: int, see
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
 
     keys = settled(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    few = F.broadcast(keys) if keys.count() <= SENT else keys
     # One document stands for a set; its text is read again, as sets of all documents would take more room than the texts.
     ids = own.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     ids = settled(ids)
     ids = F.broadcast(ids) if ids.count() <= SENT else ids
     texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    whole = settled(sets(texts, words, seed).join(keys, "key", "left_semi").dropDuplicates(["key"]))
+    whole = settled(sets(texts, words, seed).join(few, "key", "left_semi").dropDuplicates(["key"]))
     sides = pairs.join(whole.select(F.col("key").alias("a"), F.col("own").alias("_a")), "a").join(whole.select(F.col("key").alias("b"), F.col("own").alias("_b")), "b")
     return settled(sides.select("a", "b", "_a", "_b").mapInArrow(similar, "a long, b long"))
 
@@ -150,12 +153,14 @@ def similar_groups(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame
     meet = settled(rows.withColumn("least", F.min("key").over(w)).withColumn("most", F.max("key").over(w)).filter("least <> most").select("h", "key", "n", "least"))
     sizes = meet.select(F.col("key").alias("least"), F.col("n").alias("m")).distinct()
     alike = SHARE[1] * F.least("n", "m") >= SHARE[0] * F.greatest("n", "m")
-    tried = settled(meet.filter("key <> least").select("key", "n", "least").distinct().join(sizes, "least").filter(alike).select(F.col("least").alias("a"), F.col("key").alias("b")))
+    enough = F.count(F.lit(1)) >= F.least(F.lit(COMMON), F.ceil(F.greatest(F.max("n"), F.max("m")) * SHARE[0] / SHARE[1]))
+    hung = meet.filter("key <> least").select("key", "n", "least").join(sizes, "least").filter(alike).select(F.col("least").alias("a"), F.col("key").alias("b"), "n", "m")
+    tried = settled(hung.groupBy("a", "b").agg(enough.alias("enough")).filter("enough").select("a", "b"))
     links = confirmed(tried, own, docs, words, seed)
     of = meet.select("h", "key", "n").join(stars(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
     apart = settled(of.withColumn("least", F.min("root").over(w)).withColumn("most", F.max("root").over(w)).filter("least <> most").select("h", "key", "n", "root"))
     one, two = apart.select("h", F.col("key").alias("a"), "n", F.col("root").alias("u")), apart.select("h", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("v"))
-    rest = settled(one.join(two, "h").filter((F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & alike).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = settled(one.join(two, "h").filter((F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & alike).groupBy("a", "b").agg(enough.alias("enough")).filter("enough").select("a", "b").join(tried, ["a", "b"], "left_anti"))
     roots = stars(links.unionByName(confirmed(rest, own, docs, words, seed)).select(F.col("a").alias("u"), F.col("b").alias("v")))
     found = settled(own.groupBy("key").agg(F.min("doc_id").alias("_least")).join(roots, F.col("key") == F.col("node"), "left").select("key", "_least", F.coalesce("root", "key").alias("root")))
     smallest = settled(found.groupBy("root").agg(F.min("_least").alias("component_id")))
