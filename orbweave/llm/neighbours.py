@@ -132,12 +132,12 @@ class Nearest:
 
 
 def search(indexed: DataFrame, queries: DataFrame, centre: np.ndarray, k: int = 10, certainty: float = 1.9, seed: int = 42) -> DataFrame:
-    """The k nearest of each query: query_id, rank, vec_id, score. queries: rows of the index; indexed, centre and seed as from index()."""
+    """The k nearest of each query: query_id, rank, vec_id, score. queries: rows of the index, of which repeated ones search once; indexed, centre and seed as from index()."""
     import pyarrow as pa
 
     spark = indexed.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    queries = settled(queries.select("vec_id", "v"))
+    schema = "query_id long, at int, vec_id long, score double"
+    queries = settled(queries.select("vec_id", "v").distinct())
     blocks = max(1, -(-queries.count() * 5 // (4 * BLOCK)))  # hashed blocks differ a little in size
     turn = rotation(max(1, len(centre)), seed)
     parts = []
@@ -155,12 +155,13 @@ def search(indexed: DataFrame, queries: DataFrame, centre: np.ndarray, k: int =
                     bits = np.frombuffer(b"".join(code.to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
                     seen.see(ids.to_numpy(), _matrix(v), bits, norm.to_numpy(), own.to_numpy())
             q, at = np.nonzero(np.isfinite(seen.score))
-            yield pa.RecordBatch.from_arrays([pa.array(seen.ids[q]), pa.array(seen.found[q, at]), pa.array(seen.score[q, at])], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(seen.ids[q]), pa.array(q, pa.int32()), pa.array(seen.found[q, at]), pa.array(seen.score[q, at])], ["query_id", "at", "vec_id", "score"])
 
         parts.append(indexed.select("vec_id", "v", "code", "norm", "own").mapInArrow(nearest, schema))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    # Queries of one id are in one block, where their place tells them apart.
+    w = Window.partitionBy("query_id", "at").orderBy("score", "vec_id")
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

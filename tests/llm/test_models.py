@@ -216,6 +216,14 @@ def test_odd_vectors(spark):
     assert N.search(indexed, indexed, centre).count() == 0
 
 
+def test_repeated_queries_keep_all_their_neighbours(spark):
+    data = [(0, [0.0, 1.0]), (0, [0.0, 1.0]), (100, [5.0, 5.0]), (100, [-5.0, 5.0])] + [(k, [float(k), 1.0]) for k in range(1, 15)]
+    indexed, centre = N.index(spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3))
+    found = N.search(indexed, indexed.filter("vec_id % 100 = 0"), centre).orderBy("query_id", "rank", "vec_id").collect()
+    assert [r.vec_id for r in found if r.query_id == 0] == [1, 2, 3, 4, 5, 6, 100, 100, 7, 8]
+    assert sorted(r["rank"] for r in found if r.query_id == 100) == sorted([*range(1, 11)] * 2)  # two vectors of one id
+
+
 # secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
