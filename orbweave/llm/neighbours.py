@@ -7,22 +7,24 @@ From these the inner product of two directions is estimated without bias, with a
 distance isn't above the k-th smallest largest-possible or exact distance so far, and measures those exactly.
 
 The index holds every vector. Queries come in blocks of at most BLOCK, the only thing that is broadcast; each task scans its vectors once a block
-and returns its k nearest of each query, and a window over the tasks' rows ends the search. Nothing is left out for size.
+and returns its k nearest of each query, and a window over the tasks' rows ends the block. A block's neighbours are kept in the shared folder and its
+broadcast is given up before the next one is sent, so driver and executors hold one block at a time. Nothing is left out for size.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
 another than the most common length (the longer of two as common); rows that share an id are never neighbours of each other;
+a repeated query row searches once; different vectors of one id search each, so their ids have as many neighbours of each rank;
 other ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import settled, table
+from .common import settled, shared_dir, table
 
 #: Queries of a block; products of candidates and queries that a task holds at once.
 BLOCK, PRODUCTS = 16_384, 1 << 21
@@ -136,11 +138,14 @@ def search(indexed: DataFrame, queries: DataFrame, centre: np.ndarray, k: int =
     import pyarrow as pa
 
     spark = indexed.sparkSession
-    schema = "query_id long, at int, vec_id long, score double"
     queries = settled(queries.select("vec_id", "v").distinct())
     blocks = max(1, -(-queries.count() * 5 // (4 * BLOCK)))  # hashed blocks differ a little in size
     turn = rotation(max(1, len(centre)), seed)
-    parts = []
+    # Queries of one id are in one block, where their place tells them apart.
+    w = Window.partitionBy("query_id", "at").orderBy("score", "vec_id")
+    folder = f"{shared_dir(spark)}/neighbours-{uuid.uuid4().hex}"
+    schema = "query_id long, rank int, vec_id long, score double"
+    spark.createDataFrame([], schema).write.parquet(folder)
     for block in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
         if not rows:
@@ -157,13 +162,10 @@ def search(indexed: DataFrame, queries: DataFrame, centre: np.ndarray, k: int =
             q, at = np.nonzero(np.isfinite(seen.score))
             yield pa.RecordBatch.from_arrays([pa.array(seen.ids[q]), pa.array(q, pa.int32()), pa.array(seen.found[q, at]), pa.array(seen.score[q, at])], ["query_id", "at", "vec_id", "score"])
 
-        parts.append(indexed.select("vec_id", "v", "code", "norm", "own").mapInArrow(nearest, schema))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # Queries of one id are in one block, where their place tells them apart.
-    w = Window.partitionBy("query_id", "at").orderBy("score", "vec_id")
-    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        found = indexed.select("vec_id", "v", "code", "norm", "own").mapInArrow(nearest, "query_id long, at int, vec_id long, score double")
+        found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(folder)
+        sent.destroy()  # the block's rows are written: nothing computes them again
+    return spark.read.schema(schema).parquet(folder)
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
