@@ -6,9 +6,9 @@ cap. A source is then taken in whole repetitions plus a fraction of one: documen
 the word that fills the target, so that the last of them may be taken in part.
 
 Defined results: a null text has size 0; a source of size 0 has target 0; null is a source of its own, last in order;
-an empty table gives an empty result; repeated rows are documents of their own, except in the one document that a
-target cuts, where rows equal in id, source and size are taken alike. The seeded order is a hash of the id, so
-reruns agree at any partitioning.
+an empty table gives an empty result; repeated rows are documents of their own. The seeded order is a hash of id and text, so
+reruns agree at any partitioning. Rows equal in both are one place of that order, whatever their number; where the target cuts such a
+place, its rows are numbered, the first of them are taken whole and one in part. Which of equal rows these are is left open.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ BITS, LEVELS = 12, 2
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
     """docs with _size (words) and _u (place in the seeded order, 48 bits)."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))).cast("binary"))
     u = F.conv(F.substring(key, 1, 12), 16, 10).cast("long")
     return docs.withColumn("_size", word_count("text")).withColumn("_u", u)
 
@@ -45,8 +45,8 @@ def targets(sizes: DataFrame, weights: Sequence[float], max_epochs: float) -> Da
     return ranked.select("source", "source_size", F.least(F.col("cap"), F.col("w") * F.lit(level)).alias("target"))
 
 
-def plan(light: DataFrame, weights: Sequence[float], max_epochs: float) -> tuple[DataFrame, DataFrame]:
-    """light: doc_id, source, _size, _u. The plan of each source, and the words taken of the documents in the cell of its cut."""
+def plan(light: DataFrame, weights: Sequence[float], max_epochs: float) -> DataFrame:
+    """light: doc_id, source, _size, _u. Per source its size and target, whole repetitions, words of a further one (extra), the place at which these end (at: _u, doc_id, _size) and what is left for that place."""
     sizes = light.groupBy("source").agg(F.sum("_size").alias("source_size"))
     words = F.round("target").cast("long")
     cut = targets(sizes, weights, max_epochs).select(
@@ -64,36 +64,37 @@ def plan(light: DataFrame, weights: Sequence[float], max_epochs: float) -> tuple
         at = steps.filter("upto >= extra and upto - s < extra").select("source", F.col("_cell").alias("at"), (F.col("upto") - F.col("s")).alias("had"))
         found = cut.join(at.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
         cut = settled(found.select("source", "source_size", "target", "whole", "extra", F.coalesce("at", F.lit(-1).cast("long")).alias("cell"), F.coalesce("had", F.lit(0).cast("long")).alias("before")))
-    rows = light.withColumnRenamed("source", "_source").join(cut, F.col("_source").eqNullSafe(F.col("source")) & (F.shiftright(F.col("_u"), 48 - BITS * LEVELS) == F.col("cell")))
-    upto = F.col("before") + F.sum("_size").over(Window.partitionBy("source").orderBy("_u", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1))
-    had = F.coalesce(upto, F.col("before"))
-    taken = rows.select("doc_id", "source", "_size", "extra", had.alias("had")).select(
-        "doc_id", "source", "_size", F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("extra") - F.col("had"))).alias("part")
-    )
-    return cut, settled(taken.groupBy("doc_id", "source", "_size").agg(F.max("part").alias("part")))
+    # Equal rows count as one, so a cell of repeated rows is small as well.
+    rows = light.withColumnRenamed("source", "_of").join(cut, F.col("_of").eqNullSafe(F.col("source")) & (F.shiftright(F.col("_u"), 48 - BITS * LEVELS) == F.col("cell")))
+    place = F.struct("_u", "doc_id", "_size").alias("at")
+    places = rows.groupBy("_of", "extra", "before", place).agg(F.sum("_size").alias("s"))
+    upto = F.col("before") + F.sum("s").over(Window.partitionBy("_of").orderBy("at"))
+    ends = places.withColumn("upto", upto).filter("upto >= extra and upto - s < extra").select("_of", "at", (F.col("extra") - F.col("upto") + F.col("s")).alias("left"))
+    return settled(cut.join(ends, F.col("source").eqNullSafe(F.col("_of")), "left").select("source", "source_size", "target", "whole", "extra", "at", "left"))
 
 
-def applied(rows: DataFrame, cut: DataFrame, cell: DataFrame) -> DataFrame:
-    """rows (with _size, _u, doc_id, source) and what the mix takes of each: whole repetitions and words of a further one."""
+def applied(rows: DataFrame, cut: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns keep of rows (with _size, _u, doc_id, source), source_size, target, and what the mix takes of each: _whole repetitions and _more words of a further one."""
     few = cut.count() <= 20_000
-    sources = cut.select(F.col("source").alias("_source"), "source_size", "target", F.col("whole").alias("_whole"), "extra", F.col("cell").alias("_cell"))
-    parts = cell.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_of"), F.col("_size").alias("_words"), "part")
-    if few:  # a row or so of each source
-        sources = F.broadcast(sources)
-        parts = F.broadcast(parts) if parts.count() <= 100_000 else parts
-    out = rows.join(sources, F.col("source").eqNullSafe(F.col("_source")))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_of")) & (F.col("_size") == F.col("_words"))
-    out = out.join(parts, same, "left")
-    at = F.shiftright(F.col("_u"), 48 - BITS * LEVELS)
-    more = F.when(F.col("extra") <= 0, F.lit(0)).when(at < F.col("_cell"), F.col("_size")).when(at > F.col("_cell"), F.lit(0)).otherwise(F.coalesce("part", F.lit(0)))
-    return out.withColumn("_more", more.cast("long")).drop("_source", "_doc", "_of", "_words", "part", "extra", "_cell")
+    sources = cut.select(F.col("source").alias("_source"), "source_size", "target", F.col("whole").alias("_whole"), F.col("extra").alias("_extra"), F.col("at").alias("_at"), F.col("left").alias("_left"))
+    out = rows.withColumn("_place", F.struct("_u", "doc_id", "_size")).join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("_source")))
+    ends = F.coalesce(F.col("_place") == F.col("_at"), F.lit(False))  # structs: nulls inside are equal
+    told = [*keep, "_size", "source_size", "target", "_whole"]
+    plain = out.filter(~ends).select(*told, F.when((F.col("_extra") > 0) & (F.col("_place") < F.col("_at")), F.col("_size")).otherwise(F.lit(0)).cast("long").alias("_more"))
+    # Rows of the place at which a source ends are numbered: by task, then by row.
+    cutting = settled(out.filter(ends).select(*told, "_source", "_left", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_k")))
+    counts = cutting.groupBy("_source", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_source").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_source").alias("_of"), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = cutting.join(starts, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_p") == F.col("_q"))).withColumn("_row_at", F.col("_start") + F.row_number().over(Window.partitionBy("_source", "_p").orderBy("_k")) - 1)
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("_left") - F.col("_row_at") * F.col("_size")))
+    return plain.unionByName(numbered.select(*told, part.alias("_more")))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float = 3.0, seed: int = 42) -> DataFrame:
     """doc_id, size, source_size, target, taken, and repetitions (whole ones) and part (words of a further one)."""
     light = settled(sized(docs.select("doc_id", "source", "text"), seed).drop("text"))
-    cut, cell = plan(light, weights, max_epochs)
-    return applied(light, cut, cell).select(
+    return applied(light, plan(light, weights, max_epochs), ["doc_id"]).select(
         "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_whole") * F.col("_size") + F.col("_more")).alias("taken"),
         F.col("_whole").alias("repetitions"), F.col("_more").alias("part"),
     )
@@ -102,17 +103,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float = 3.0, seed: int = 42) -> DataFrame:
     """The documents of the mix: each as often as it is taken, a part as its first words joined by spaces. A document of no words comes with each whole repetition of its source. Columns as in docs; n_chars, where there, follows the text."""
     light = settled(sized(docs.select("doc_id", "source", "text"), seed).drop("text"))
-    cut, cell = plan(light, weights, max_epochs)
     rows = docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))
-    marked = applied(sized(rows, seed), cut, cell)
+    marked = applied(sized(rows, seed), plan(light, weights, max_epochs), ["_row"])
     times = F.col("_whole") + F.when((F.col("_more") > 0) & (F.col("_more") >= F.col("_size")), 1).otherwise(0)
-    whole = marked.filter(times > 0).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_k"))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_more").cast("int")), " ")
-    changed = F.col("_row").withField("text", words)
+    words = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_more").cast("int")), " ")
+    part = (F.col("_more") > 0) & (F.col("_more") < F.col("_size"))
+    taken = F.concat(F.array_repeat(F.lit(False), times.cast("int")), F.when(part, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    each = marked.select("_row", F.when(part, words).alias("_words"), F.explode(taken).alias("_cut"))
+    changed = F.col("_row").withField("text", F.col("_words"))
     if "n_chars" in docs.columns:
-        changed = changed.withField("n_chars", F.length(words).cast(docs.schema["n_chars"].dataType))
-    part = marked.filter((F.col("_more") > 0) & (F.col("_more") < F.col("_size"))).select(changed.alias("_row"))
-    return whole.select("_row.*").unionByName(part.select("_row.*"))
+        changed = changed.withField("n_chars", F.length("_words").cast(docs.schema["n_chars"].dataType))
+    return each.select(F.when(F.col("_cut"), changed).otherwise(F.col("_row")).alias("_row")).select("_row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +123,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS u
+         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 12))::BIGINT AS u
   FROM documents
 ), s AS (SELECT source, sum(size)::DOUBLE AS n FROM d GROUP BY source),
 r AS (SELECT source, n, 3.0 * n AS cap, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),
