@@ -3,7 +3,7 @@
 A text is read in segments of SEGMENT bytes, all of it. In each segment one network runs forward and one backward; from both states
 every position gets a probability of each language, and a document's probabilities are the means over its positions. The
 network is trained in numpy on the driver by backpropagation through time, on a bounded sample: at most about
-`per_language` documents of each language, chosen by a hash of doc_id, and `segments` evenly spread segments of each. Predicting uses the text alone.
+`per_language` documents of each of the at most LANGUAGES most frequent languages, chosen by a hash of doc_id, and `segments` evenly spread segments of each. Predicting uses the text alone.
 
 Defined results: null texts, texts without a letter, and all texts where nothing could be learned are `und` with score 0; repeated rows are predicted
 alike; an empty table gives no rows. Documents without a language are predicted but not learned from.
@@ -12,7 +12,7 @@ alike; an empty table gives no rows. Documents without a language are predicted
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from .common import crc_mod, table
 SEGMENT, HIDDEN = 64, 8
 #: Segments that are run side by side.
 SIDE = 1024
+#: Languages that are learned at most, the most frequent ones: the layer over the states has a row for each.
+LANGUAGES = 1000
 _LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -182,7 +184,7 @@ def lettered(text: bytes) -> bool:
 
 def sample(labelled: DataFrame, per_language: int, segments: int, seed: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, segments and their labels, from about per_language documents of each language at most."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return [], np.zeros((0, SEGMENT), dtype=np.uint8), np.zeros(0, dtype=np.int64)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
@@ -250,8 +252,12 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
-    """All documents but those without text or letters, also where no language could be learned."""
+def keep_identified(docs: DataFrame, languages: Collection[str] | None = None, least: float = 0.5, modulus: int = 4, held: int = 2) -> DataFrame:
+    """The documents whose predicted language is among languages (None: any learned one) with a score of at least `least`.
+
+    By default a document stays if the network gives one language at least as much as all others together. Texts that are null or have no letter go. Where no
+    language could be learned, there is nothing to reject by: all other documents stay, unless languages are asked for.
+    """
     network = learn(docs.filter(crc_mod("doc_id", modulus) != held))
     if not network.languages:
 
@@ -259,8 +265,10 @@ def keep_identified(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFra
         def fine(column: pd.Series) -> pd.Series:
             return pd.Series([lettered(x or b"") for x in column], dtype=bool)
 
-        return docs.filter(fine(F.col("text").cast("binary")))
-    return docs.filter(predicted(F.col("text"), network)["lang"] != "und")
+        return docs.filter(fine(F.col("text").cast("binary")) if languages is None else F.lit(False))
+    wanted = sorted(set(network.languages) if languages is None else set(languages) - {"und"})
+    rows = docs.select(F.struct("*").alias("_row"), predicted(F.col("text"), network).alias("_p"))
+    return rows.filter(F.col("_p.lang").isin(wanted) & (F.col("_p.score") >= least)).select("_row.*")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
