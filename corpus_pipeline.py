@@ -18,7 +18,7 @@ from orbweave.llm.similar import drop_similar
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters go."""
+    """Documents in which the network finds no language (no letters, or none that has half of the probability) go."""
     return keep_identified(docs)
 
 
@@ -33,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them."""
+    """Documents come as often as the mix takes them; the one that a source's target cuts comes with its first words, joined by single spaces."""
     return mixed(docs)
 
 
