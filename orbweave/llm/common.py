@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -34,6 +35,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As settled, but as a Parquet table. A checkpoint hands on what the optimizer knows of its rows, which grows with every round of an iteration; a table begins anew."""
+    folder = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text as a long; null text has none."""
     column = F.col(text) if isinstance(text, str) else text

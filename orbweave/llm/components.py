@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import settled
+from .common import written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -19,15 +19,15 @@ def _signature(edges: DataFrame) -> tuple:
 
 def stars(edges: DataFrame) -> DataFrame:
     """edges: u, v (long). One row (node, root) per node that isn't its component's smallest; root is the smallest."""
-    edges = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     seen = _signature(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = settled(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = settled(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = _signature(edges)
         if now == seen:
             break

@@ -1,15 +1,7 @@
-"""Near copies by the exact Jaccard similarity of whole sets of word shingles.
+"""Sets of word shingles, their fingerprints, and the exact Jaccard similarity of named pairs of sets.
 
-Two texts link if their sets of shingles have a Jaccard similarity of at least SHARE; components of links are the groups. No pair at or above it is missed:
-with all shingles in one order, texts of n shingles that are so similar share COMMON of their first n - ceil(SHARE * n) + COMMON, or as many as similarity asks for
-where that is fewer. These are the rows that meet; what meets as often is confirmed on the whole sets. The order puts shingles that are frequent in a sample last, so that
-passages of many texts seldom make pairs; it decides how many pairs are looked at, never which are found.
-
-Texts that share a shingle are first held against one of them each, which joins large groups with few comparisons; then all pairs that share one
-and aren't in one group yet are held against each other. Texts with the same set are one text throughout.
-
-Defined results: shingles are of lower-cased words and stand for themselves as 64-bit hashes, and sets as a hash of these; null and empty texts have the
-empty set and form a group; fewer words than a shingle form one; an empty table gives no rows. A null doc_id is never the smallest unless a group has no other.
+Shingles are of lower-cased words and stand for themselves as 64-bit hashes, and sets as a hash of these; null and empty texts have the
+empty set; fewer words than a shingle form one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,17 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import settled
-from .components import stars
+from .common import written
 
-#: Least similarity of a link, as a fraction.
-SHARE = 4, 5
-#: First shingles that a pair must share.
-COMMON = 8
-#: Documents of the sample that orders shingles, and shingles that count as frequent at most.
-SAMPLE, FREQUENT = 5000, 100_000
 #: Documents that are sent to all executors at most when sets are read again.
 SENT = 200_000
 
@@ -54,34 +39,39 @@ def _key(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 7)).view(np.int64))
 
 
-def _frequent(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a sample have, sorted, and how many have them."""
+def majorities(own: np.ndarray, prints: int) -> list[int]:
+    """As many independent fingerprints of a set: a bit is set if it is in over half of the hashes; further ones mix the hashes anew. Signed."""
+    out = []
+    for m in range(prints):
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(own), 50_000):
+            h = own[at : at + 50_000]
+            if m:  # steps of the generator splitmix64
+                h = h + np.uint64(m * 0x9E3779B97F4A7C15 % (1 << 64))
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h = h ^ (h >> np.uint64(31))
+            ones += np.unpackbits(np.ascontiguousarray(h).view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def printed(docs: DataFrame, words: int, prints: int, seed: int) -> DataFrame:
+    """doc_id, key and n (of the set of shingles) and its fingerprints fps."""
     import pyarrow as pa
 
     def each(batches: Iterator) -> Iterator:
         for batch in batches:
-            found = [shingles(x or b"", words, seed) for x in batch.column(0).to_pylist()]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view("<i8"))], ["h"])
-
-    n = docs.count()
-    if not n:
-        return np.zeros(0, dtype="<u8"), np.zeros(0, dtype=np.int64)
-    some = docs.select(F.col("text").cast("binary").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < min(1.0, SAMPLE / n) * 1_000_003)
-    counts = some.mapInArrow(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    rows = sorted((r["h"] % (1 << 64), r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect())
-    return np.array([h for h, _ in rows], dtype="<u8"), np.array([n for _, n in rows], dtype=np.int64)
-
+            keys, sizes, fps = [], [], []
+            for x in batch.column(1):
+                own = shingles(x.as_py() or b"", words, seed)
+                keys.append(_key(own))
+                sizes.append(len(own))
+                fps.append(majorities(own, prints))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "key", "n", "fps"])
 
-def first(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a set of which similar sets share COMMON."""
-    n = len(own)
-    keep = n - -(-n * SHARE[0] // SHARE[1]) + COMMON
-    if not len(frequent) or keep >= n:
-        return own[:keep]
-    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-    often = np.where(frequent[at] == own, counts[at], 0)
-    return own[np.lexsort((own, often))[:keep]]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(each, f"doc_id {kind}, key long, n long, fps array<long>")
 
 
 def sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
@@ -96,79 +86,30 @@ def sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(each, "key long, own binary")
 
 
-def confirmed(pairs: DataFrame, own: DataFrame, docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar. own: doc_id and key of all documents."""
+def confirmed(pairs: DataFrame, own: DataFrame, docs: DataFrame, words: int, seed: int, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of keys whose sets have at least this Jaccard similarity, a fraction. own: doc_id and key of all documents."""
     import pyarrow as pa
 
-    over, under = SHARE
+    over, under = share
+    pairs = written(pairs)
 
     def similar(batches: Iterator) -> Iterator:
         for batch in batches:
-            a, b, left, right = (batch.column(k).to_pylist() for k in range(4))
             fine = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(left.as_py(), dtype="<u8"), np.frombuffer(right.as_py(), dtype="<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 fine.append(under * both >= over * (len(x) + len(y) - both))
-            keep = np.flatnonzero(fine)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
+            keep = pa.array(fine, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    keys = settled(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     few = F.broadcast(keys) if keys.count() <= SENT else keys
     # One document stands for a set; its text is read again, as sets of all documents would take more room than the texts.
     ids = own.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    ids = settled(ids)
+    ids = written(ids)
     ids = F.broadcast(ids) if ids.count() <= SENT else ids
     texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    whole = settled(sets(texts, words, seed).join(few, "key", "left_semi").dropDuplicates(["key"]))
+    whole = written(sets(texts, words, seed).join(few, "key", "left_semi").dropDuplicates(["key"]))
     sides = pairs.join(whole.select(F.col("key").alias("a"), F.col("own").alias("_a")), "a").join(whole.select(F.col("key").alias("b"), F.col("own").alias("_b")), "b")
-    return settled(sides.select("a", "b", "_a", "_b").mapInArrow(similar, "a long, b long"))
-
-
-def similar_groups(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id, key (of its set) and component_id, the smallest doc_id of its group."""
-    import pyarrow as pa
-
-    frequent, counts = _frequent(docs, words, seed)
-
-    def each(batches: Iterator) -> Iterator:
-        for batch in batches:
-            found = [shingles(x or b"", words, seed) for x in batch.column(1).to_pylist()]
-            heads = [first(x, frequent, counts).tobytes() if len(x) else b"" for x in found]
-            columns = [batch.column(0), pa.array([_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(heads, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "head"])
-
-    def spread(batches: Iterator) -> Iterator:
-        for batch in batches:
-            heads = batch.column(2).to_pylist()
-            times = np.array([len(x) // 8 for x in heads], dtype=np.int64)
-            columns = [np.frombuffer(b"".join(heads), dtype="<i8")] + [np.repeat(batch.column(k).to_numpy(), times) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "key", "n"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    read = settled(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(each, f"doc_id {kind}, key long, n long, head binary"))
-    own = read.select("doc_id", "key")
-    rows = read.filter("n > 0").select("key", "n", "head").dropDuplicates(["key"]).mapInArrow(spread, "h long, key long, n long")
-    w = Window.partitionBy("h")
-    meet = settled(rows.withColumn("least", F.min("key").over(w)).withColumn("most", F.max("key").over(w)).filter("least <> most").select("h", "key", "n", "least"))
-    sizes = meet.select(F.col("key").alias("least"), F.col("n").alias("m")).distinct()
-    alike = SHARE[1] * F.least("n", "m") >= SHARE[0] * F.greatest("n", "m")
-    enough = F.count(F.lit(1)) >= F.least(F.lit(COMMON), F.ceil(F.greatest(F.max("n"), F.max("m")) * SHARE[0] / SHARE[1]))
-    hung = meet.filter("key <> least").select("key", "n", "least").join(sizes, "least").filter(alike).select(F.col("least").alias("a"), F.col("key").alias("b"), "n", "m")
-    tried = settled(hung.groupBy("a", "b").agg(enough.alias("enough")).filter("enough").select("a", "b"))
-    links = confirmed(tried, own, docs, words, seed)
-    of = meet.select("h", "key", "n").join(stars(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
-    apart = settled(of.withColumn("least", F.min("root").over(w)).withColumn("most", F.max("root").over(w)).filter("least <> most").select("h", "key", "n", "root"))
-    one, two = apart.select("h", F.col("key").alias("a"), "n", F.col("root").alias("u")), apart.select("h", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("v"))
-    rest = settled(one.join(two, "h").filter((F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & alike).groupBy("a", "b").agg(enough.alias("enough")).filter("enough").select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    roots = stars(links.unionByName(confirmed(rest, own, docs, words, seed)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    found = settled(own.groupBy("key").agg(F.min("doc_id").alias("_least")).join(roots, F.col("key") == F.col("node"), "left").select("key", "_least", F.coalesce("root", "key").alias("root")))
-    smallest = settled(found.groupBy("root").agg(F.min("_least").alias("component_id")))
-    return own.join(settled(found.join(smallest, "root").select("key", "component_id")), "key").select("doc_id", "key", "component_id")
-
-
-def drop_similar(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
-    """The document of the smallest id of each group, all columns. doc_id tells documents apart."""
-    keep = similar_groups(docs, words, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.col("doc_id").alias("_doc"), F.struct("*").alias("_row"))
-    return rows.join(keep, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")
+    return written(sides.select("a", "b", "_a", "_b").mapInArrow(similar, "a long, b long"))

@@ -125,7 +125,7 @@ def test_linked_with_and_without_split_subtries(spark, leaf, monkeypatch):
     assert groups(labels) == groups(brute_components(fps, 4))
 
 
-def test_near_duplicates_and_stage(spark):
+def test_near_duplicates(spark):
     found = S.near_duplicates(docs(spark)).collect()
     fps = np.array([fingerprint(r[1]) for r in rows()], dtype=np.uint64)
     labels = brute_components(fps, 4)
@@ -135,14 +135,10 @@ def test_near_duplicates_and_stage(spark):
             least[label] = min(least.get(label, r[0]), r[0])
     want = sorted((str(r[0]), f"{int(f):016x}", least.get(label)) for r, f, label in zip(rows(), fps, labels, strict=True))
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in found) == want
-    kept = S.drop_near_copies(docs(spark))
-    assert kept.columns == docs(spark).columns
-    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == set(least.values())
 
 
 def test_near_of_nothing(spark):
     assert S.near_duplicates(nothing(spark)).count() == 0
-    assert S.drop_near_copies(nothing(spark)).count() == 0
 
 
 def test_stars_of_a_long_chain(spark):

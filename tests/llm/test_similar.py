@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from orbweave.llm import similar as S
+from orbweave.llm import similar as J, simhash as S
 from orbweave.llm.simhash import fingerprint
 
 from .data import docs, nothing, rows
@@ -13,12 +14,14 @@ def shingles(text):
     return {b" ".join(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set()
 
 
-def brute(data):
+def brute(data, errors=10, prints=3):
     """The smallest id of each row's group."""
     own, label = [shingles(x[1]) for x in data], list(range(len(data)))
+    fps = [np.array(J.majorities(J.shingles((x[1] or "").encode()), prints)) for x in data]
     for j in range(len(data)):
         for i in range(j):
-            if own[i] == own[j] or 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+            near = (np.bitwise_count(fps[i] ^ fps[j]) <= errors).any()
+            if own[i] == own[j] or near and 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
     least = {}
@@ -47,28 +50,57 @@ def invented(seed=4):
     return [(k, " ".join(x)) for k, x in enumerate(out)]
 
 
-def groups(spark, data):
-    found = S.similar_groups(spark.createDataFrame([x[:2] for x in data], "doc_id long, text string").repartition(3)).collect()
+def groups(spark, data, **parameters):
+    found = S.similar_groups(spark.createDataFrame([x[:2] for x in data], "doc_id long, text string").repartition(3), **parameters).collect()
     return sorted((str(r.doc_id), str(r.component_id)) for r in found)
 
 
-def test_groups_are_those_of_all_pairs(spark):
-    for data in (invented(), rows()):
-        want = brute(data)
-        assert groups(spark, data) == sorted((str(x[0]), str(k)) for x, k in zip(data, want, strict=True))
-    assert len(set(brute(invented()))) < len(invented()) - 40
-
-
-def test_first_shingles_of_similar_sets_meet():
-    rng = np.random.default_rng(2)
-    frequent = np.unique(rng.integers(0, 400, 150).astype("<u8"))
-    counts = rng.integers(3, 9, len(frequent))
-    for n in (1, 4, 5, 6, 9, 10, 100):
-        for _ in range(50):
-            a = np.unique(rng.choice(400, n, replace=False).astype("<u8"))
-            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 400, n // 12).astype("<u8")]))
-            if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
-                assert len(np.intersect1d(S.first(a, frequent, counts), S.first(b, frequent, counts))) >= min(S.COMMON, -(-4 * max(len(a), len(b)) // 5))
+@pytest.mark.parametrize("errors, prints, leaf, many", [(6, 2, 16, 1)])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, errors, prints, leaf, many):
+    monkeypatch.setattr(S, "LEAF", leaf)
+    monkeypatch.setattr(S, "MANY", many)
+    data = invented() + [(1000 + x[0] if x[0] is not None else None, x[1]) for x in rows()]
+    want = brute(data, errors, prints)
+    assert groups(spark, data, errors=errors, prints=prints) == sorted((str(x[0]), str(k)) for x, k in zip(data, want, strict=True))
+    assert len(set(want)) < len(data) - 40
+
+
+def test_wide_budget_finds_nearly_all_similar_pairs():
+    rng = random.Random(11)
+    found = pairs = 0
+    for _ in range(400):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(base)
+        for _ in range(rng.randint(1, 4)):
+            other[rng.randrange(200)] = "edited"
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        if 5 * len(a & b) >= 4 * len(a | b):
+            pairs += 1
+            x, y = (np.array(J.majorities(J.shingles(" ".join(t).encode()), 3)) for t in (base, other))
+            found += (np.bitwise_count(x ^ y) <= 10).any()
+    assert pairs > 300 and found / pairs > 0.97
+
+
+def test_further_fingerprints_are_majorities_too():
+    own = J.shingles(b"one two three four five six seven eight")
+    first, second = J.majorities(own, 2)
+    assert first != second and np.int64(first).view(np.uint64) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > len(own))
+
+
+@pytest.mark.parametrize("errors", [3, 10])
+def test_all_pairs_within_the_budget(errors):
+    rng = np.random.default_rng(errors)
+    base = rng.integers(0, 2**64, 12, dtype=np.uint64)
+    values = np.unique(np.concatenate([base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (errors // 2 + 1, 12)).astype(np.uint64), axis=0) for _ in range(20)]))
+    want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if int(values[i] ^ values[j]).bit_count() <= errors}
+    found, sizes = set(), S.blocks(errors)
+    for r in range(errors + 1):
+        b = np.uint64(sum(sizes[:r]))
+        turned = (values << b) | (values >> (np.uint64(64) - b)) if b else values
+        order = np.argsort(turned)
+        for i, j in S.near(turned[order], np.array([0, len(values)]), np.full(len(values), r), errors):
+            found |= {(min(x, y), max(x, y)) for x, y in zip(order[i].tolist(), order[j].tolist(), strict=True)}
+    assert found == want and len(want) > 200
 
 
 def test_pipeline_drops_near_copies_that_differ_in_more_than_four_bits(spark):
@@ -84,7 +116,7 @@ def test_pipeline_drops_near_copies_that_differ_in_more_than_four_bits(spark):
 
 
 def test_stage_keeps_columns(spark):
-    kept = S.drop_similar(docs(spark))
+    kept = S.drop_near_copies(docs(spark))
     assert kept.columns == docs(spark).columns
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {k for k in brute(rows()) if k is not None}
-    assert S.drop_similar(nothing(spark)).count() == 0
+    assert S.drop_near_copies(nothing(spark)).count() == 0
