@@ -14,7 +14,7 @@ from orbweave.llm.exact_dedup import drop_exact_copies
 from orbweave.llm.language import keep_identified
 from orbweave.llm.mixing import mixed
 from orbweave.llm.packing import pack
-from orbweave.llm.similar import drop_similar
+from orbweave.llm.simhash import drop_near_copies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8), the document of the smallest id stays."""
-    return drop_similar(docs)
+    """Of each group of near copies (SimHash over five words, similarity 0.8 confirmed), the document of the smallest id stays."""
+    return drop_near_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
