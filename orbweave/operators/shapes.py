@@ -34,10 +34,61 @@ def to_segment(p: Column, s: Column) -> Column:
     return F.hypot(p["x"] - s["a"]["x"] - t * dx, p["y"] - s["a"]["y"] - t * dy)
 
 
+def _side(p: Column, s: Column) -> Column:
+    """On which side of a segment's line a point lies: -1, 0 or 1."""
+    return F.signum((s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"]))
+
+
+def inside(p: Column, ring: Column) -> Column:
+    """Whether a point lies within a polygon: a ray to the right crosses its edges an odd number of times. Points of the boundary may lie on either side."""
+    crosses = lambda s: ((s["a"]["y"] > p["y"]) != (s["b"]["y"] > p["y"])) & (p["x"] < s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) / F.when(s["b"]["y"] != s["a"]["y"], s["b"]["y"] - s["a"]["y"]))
+    return F.size(F.filter(edges(ring), crosses)) % 2 == 1
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Whether two polygons share more than boundary points: edges cross, or a corner of one lies within the other."""
+    cross = lambda s, t: (_side(s["a"], t) * _side(s["b"], t) < 0) & (_side(t["a"], s) * _side(t["b"], s) < 0)
+    return F.exists(edges(a), lambda s: F.exists(edges(b), lambda t: cross(s, t))) | F.exists(a, lambda p: inside(p, b)) | F.exists(b, lambda p: inside(p, a))
+
+
 def ring_distance(a: Column, b: Column) -> Column:
-    """Smallest distance between the boundaries of polygons that don't cross: from the corners of either to the edges of the other."""
+    """Distance of two polygons: 0 if they overlap, touch or one contains the other, else the smallest from the corners of either to the edges of the other."""
     one = lambda p, q: F.array_min(F.transform(p, lambda c: F.array_min(F.transform(edges(q), lambda s: to_segment(c, s)))))
-    return F.least(one(a, b), one(b, a))
+    return F.when(overlap(a, b), F.lit(0.0)).otherwise(F.least(one(a, b), one(b, a)))
+
+
+def clipped(ring: Column, convex: Column) -> Column:
+    """The part of a polygon within a convex one (corners in either direction): cut by each of its edges in turn. Empty if they share no area; for a polygon that isn't convex, parts may hang together by lines of no area."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    turn = F.signum(F.aggregate(edges(convex), F.lit(0.0), lambda acc, s: acc + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]))
+
+    def cut(part: Column, s: Column) -> Column:
+        height = lambda p: turn * ((s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"]))
+
+        def kept(e: Column) -> Column:
+            ha, hb = height(e["a"]), height(e["b"])
+            t = ha / F.when(ha != hb, ha - hb)
+            meet = at(e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * t, e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * t)
+            own, none = F.array(at(e["a"]["x"], e["a"]["y"])), F.array().cast("array<struct<x:double,y:double>>")
+            return F.concat(F.when(ha >= 0, own).otherwise(none), F.when(ha * hb < 0, F.array(meet)).otherwise(none))
+
+        return F.when(F.size(part) < 3, F.array().cast("array<struct<x:double,y:double>>")).otherwise(F.flatten(F.transform(edges(part), kept)))
+
+    return F.aggregate(edges(convex), F.transform(ring, lambda p: at(p["x"], p["y"])), cut)
+
+
+def area(ring: Column) -> Column:
+    """Area within a ring; fewer than three corners have none."""
+    double = F.aggregate(edges(ring), F.lit(0.0), lambda acc, s: acc + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])
+    return F.when(F.size(ring) < 3, F.lit(0.0)).otherwise(F.abs(double) / 2)
+
+
+def attributed(buildings: DataFrame, parcels: DataFrame, key: str, parcel: str, ring: str, size: float) -> DataFrame:
+    """key, parcel, share: the convex parcel that covers most of each building (the smaller parcel of equal ones) and the share of the building's area that it covers; null where none does."""
+    met = _spread(buildings, key, ring, size, 0.0, "a").join(_spread(parcels, parcel, ring, size, 0.0, "b"), ["cx", "cy"]).dropDuplicates(["ak", "bk"])
+    shares = met.withColumn("_part", area(clipped(F.col("ar"), F.col("br")))).filter("_part > 0").withColumn("_share", F.col("_part") / area(F.col("ar")))
+    best = shares.groupBy("ak").agg(F.min_by(F.struct("bk", "_share"), F.struct(-F.round("_share", 9), F.col("bk"))).alias("_best"))
+    return buildings.select(key).join(best, F.col(key) == F.col("ak"), "left").select(key, F.col("_best.bk").alias(parcel), F.col("_best._share").alias("share"))
 
 
 def _cells(ring: str, size: float, reach: float) -> tuple[Column, Column]:
@@ -45,14 +96,16 @@ def _cells(ring: str, size: float, reach: float) -> tuple[Column, Column]:
     return F.sequence(F.floor((x0 - reach) / size), F.floor((x1 + reach) / size)), F.sequence(F.floor((y0 - reach) / size), F.floor((y1 + reach) / size))
 
 
-def distances(left: DataFrame, right: DataFrame, key: str, other: str, ring: str, reach: float, size: float) -> DataFrame:
-    """key, other, d of all pairs of boundaries within reach; a polygon isn't its own partner where keys are equal."""
-    def spread(rows: DataFrame, name: str, grown: float, prefix: str) -> DataFrame:
-        xs, ys = _cells(ring, size, grown)
-        out = rows.select(F.col(name).alias(f"{prefix}k"), F.col(ring).alias(f"{prefix}r"), F.explode(xs).alias("cx"), ys.alias("_ys"))
-        return out.select(f"{prefix}k", f"{prefix}r", "cx", F.explode("_ys").alias("cy"))
+def _spread(rows: DataFrame, name: str, ring: str, size: float, grown: float, prefix: str) -> DataFrame:
+    """A row for each cell that a polygon's grown bounding box touches."""
+    xs, ys = _cells(ring, size, grown)
+    out = rows.select(F.col(name).alias(f"{prefix}k"), F.col(ring).alias(f"{prefix}r"), F.explode(xs).alias("cx"), ys.alias("_ys"))
+    return out.select(f"{prefix}k", f"{prefix}r", "cx", F.explode("_ys").alias("cy"))
 
-    a, b = spread(left, key, reach, "a"), spread(right, other, 0.0, "b")
+
+def distances(left: DataFrame, right: DataFrame, key: str, other: str, ring: str, reach: float, size: float) -> DataFrame:
+    """key, other, d of all pairs of polygons within reach; a polygon isn't its own partner where keys are equal."""
+    a, b = _spread(left, key, ring, size, reach, "a"), _spread(right, other, ring, size, 0.0, "b")
     met = a.join(b, ["cx", "cy"]).filter("ak <> bk").dropDuplicates(["ak", "bk"])
     return met.select(F.col("ak").alias(key), F.col("bk").alias(f"other_{other}"), ring_distance(F.col("ar"), F.col("br")).alias("d")).filter(F.col("d") <= reach)
 
@@ -78,7 +131,7 @@ def circular_runs(rows: DataFrame, key: str, step: str, winner: str) -> DataFram
 
 
 def merged(rows: DataFrame, key: str, owner: str, ring: str, gap: float, size: float) -> DataFrame:
-    """key and whole (the smallest key of the polygons that touch in a chain): gaps up to `gap`, of one owner."""
+    """key and whole (the smallest key of the polygons that touch in a chain): overlaps and gaps up to `gap`, of one owner."""
     near = distances(rows, rows, key, key, ring, gap, size)
     owners = rows.select(F.col(key).alias("_k"), F.col(owner).alias("_o"))
     a = near.join(owners.withColumnRenamed("_k", key).withColumnRenamed("_o", "_oa"), key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,14 +16,12 @@ def exceeding(c: Column, threshold: float) -> Column:
     return F.avg(F.when(c >= threshold, 1.0).otherwise(0.0))
 
 
-def bank(c: Column, threshold: float) -> list[Column]:
-    """Maximum, 90th percentile, mean of the three largest, median, share at or above the threshold."""
-    name = "v"
-    top = F.slice(F.reverse(F.array_sort(F.collect_list(c))), 1, 3)
-    return [
-        F.max(c).alias(f"{name}_max"), F.percentile(c, 0.9).alias(f"{name}_p90"), F.aggregate(top, F.lit(0.0), lambda a, x: a + x, lambda a: a / F.size(top)).alias(f"{name}_top3"),
-        F.median(c).alias(f"{name}_median"), exceeding(c, threshold).alias(f"{name}_share"),
-    ]
+def bank(rows: DataFrame, by: Sequence[str], c: str, threshold: float) -> DataFrame:
+    """Per group v_max, v_p90, v_top3 (mean of the three largest), v_median, v_share (at or above the threshold), n. Ranks tell the largest, so no group is gathered."""
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(c).desc_nulls_last())))
+    return ranked.groupBy(*by).agg(
+        F.max(c).alias("v_max"), F.percentile(c, 0.9).alias("v_p90"), F.avg(F.when(F.col("_k") <= 3, F.col(c))).alias("v_top3"), F.median(c).alias("v_median"), exceeding(F.col(c), threshold).alias("v_share"), F.count(F.lit(1)).alias("n"),
+    )
 
 
 def top_means(rows: DataFrame, by: Sequence[str], c: str, n: int) -> DataFrame:
@@ -58,23 +56,69 @@ def clipped_mean(rows: DataFrame, by: Sequence[str], c: str, sigmas: float = 2.0
     return limits.select(*by, F.col("_m").alias(c), F.col("_n").alias("n"))
 
 
-def theil_sen(rows: DataFrame, by: Sequence[str], t: str, y: str) -> DataFrame:
-    """Median of the slopes of all pairs of a (thinned) series; pairs meet by series, so series must be short."""
-    a = rows.select(*by, F.col(t).alias("_t1"), F.col(y).alias("_y1"))
-    b = rows.select(*by, F.col(t).alias("_t2"), F.col(y).alias("_y2"))
+def theil_sen(rows: DataFrame, by: Sequence[str], t: str, y: str, longest: int = 3000) -> DataFrame:
+    """Median of the slopes of all pairs of a series, and how many pairs. Series of more than `longest` rows are first thinned evenly to at most so many, which bounds the pairs of a series."""
+    n, w = F.count(F.lit(1)).over(Window.partitionBy(*by)), Window.partitionBy(*by).orderBy(t)
+    step = F.ceil(F.col("_n") / longest)
+    some = rows.withColumn("_n", n).withColumn("_k", F.row_number().over(w) - 1).filter(F.col("_k") % step == 0)
+    a = some.select(*by, F.col(t).alias("_t1"), F.col(y).alias("_y1"))
+    b = some.select(*by, F.col(t).alias("_t2"), F.col(y).alias("_y2"))
     pairs = a.join(b, list(by)).filter(F.col("_t2") > F.col("_t1"))
     return pairs.groupBy(*by).agg(F.median((F.col("_y2") - F.col("_y1")) / (F.col("_t2") - F.col("_t1"))).alias("slope"), F.count(F.lit(1)).alias("pairs"))
 
 
+def concordance(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """by..., n and s: the sum over all pairs of sign(x2 - x1) * sign(y2 - y1), counted without making the pairs. Rows where x or y is null don't count.
+
+    Rows stand in the order of x, then y. Any two of them are in the two halves of just one node of the binary tree over that order; a window over a node's rows by y counts, for each row of the
+    right half, those of the left half that are smaller and larger. Pairs of equal x all count as rising there, which is taken off again. Work grows with n log n.
+    """
+    own = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ranked = own.withColumn("_k", (F.row_number().over(Window.partitionBy(*by).orderBy("_x", "_y")) - 1).cast("long")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    levels = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(F.bin(F.col("_n") - 1)) - 1))
+    each = ranked.select(*by, "_y", "_k", F.explode(levels).alias("_l"))
+    node = F.expr("shiftright(_k, _l + 1)")
+    halves = each.select(*by, "_l", "_y", node.alias("_node"), (F.expr("shiftright(_k, _l)") % 2).alias("_right"))
+    at = [*by, "_l", "_node"]
+    left = 1 - F.col("_right")
+    upto, same, every = F.sum(left).over(Window.partitionBy(*at).orderBy("_y")), F.sum(left).over(Window.partitionBy(*at, "_y")), F.sum(left).over(Window.partitionBy(*at))
+    rising = halves.select(*by, "_right", (2 * upto - same - every).alias("_d")).groupBy(*by).agg(F.sum(F.col("_right") * F.col("_d")).alias("_s"))
+    pairs = lambda c: c * (c - 1) / 2
+    cells = own.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
+    ties = cells.groupBy(*by, "_x").agg(F.sum("_c").alias("_m"), F.sum(pairs(F.col("_c"))).alias("_p")).groupBy(*by).agg(F.sum("_m").alias("n"), F.sum(pairs(F.col("_m")) - F.col("_p")).alias("_equal"))
+    return ties.join(rising, list(by)).select(*by, "n", (F.col("_s") - F.col("_equal")).cast("long").alias("s"))
+
+
+def _tied(rows: DataFrame, by: Sequence[str], c: str, term: Callable[[Column], Column], into: str) -> DataFrame:
+    """A sum over the groups of equal values."""
+    return rows.groupBy(*by, c).agg(F.count(F.lit(1)).cast("double").alias("_m")).groupBy(*by).agg(F.sum(term(F.col("_m"))).alias(into))
+
+
+def kendall(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """n, s, tau (of all pairs) and tau_b (of pairs that differ in x and in y)."""
+    known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = lambda m: m * (m - 1) / 2
+    out = concordance(known, by, x, y).join(_tied(known, by, x, pairs, "_tx"), list(by)).join(_tied(known, by, y, pairs, "_ty"), list(by))
+    every = F.col("n") * (F.col("n") - 1) / 2
+    apart = F.sqrt((every - F.col("_tx")) * (every - F.col("_ty")))
+    return out.select(*by, "n", "s", F.try_divide(F.col("s"), every).alias("tau"), F.try_divide(F.col("s"), apart).alias("tau_b"))
+
+
+def two_sided(z: Column) -> Column:
+    """P(|standard normal| >= |z|), by a rational approximation within 2e-7."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + x * 0.3275911)
+    return t * (t * (t * (t * (t * 1.061405429 - 1.453152027) + 1.421413741) - 0.284496736) + 0.254829592) * F.exp(-x * x)
+
+
 def mann_kendall(rows: DataFrame, by: Sequence[str], order: str, y: str) -> DataFrame:
-    """S, its variance without ties, and z."""
-    a = rows.select(*by, F.col(order).alias("_a"), F.col(y).alias("_y1"))
-    b = rows.select(*by, F.col(order).alias("_b"), F.col(y).alias("_y2"))
-    s = a.join(b, list(by)).filter(F.col("_b") > F.col("_a")).groupBy(*by).agg(F.sum(F.signum(F.col("_y2") - F.col("_y1"))).cast("long").alias("s"))
-    out = rows.groupBy(*by).agg(F.count(y).alias("n")).join(s, list(by))
+    """S over all pairs, its variance (less what equal values take), z and the two-sided p."""
+    known = rows.filter(F.col(order).isNotNull() & F.col(y).isNotNull())
+    out = concordance(known, by, order, y).join(_tied(known, by, y, lambda m: m * (m - 1) * (2 * m + 5), "_t"), list(by))
     n, k = F.col("n").cast("double"), F.col("s")
-    var = n * (n - 1) * (2 * n + 5) / 18
-    return out.select(*by, "n", "s", var.alias("variance"), ((k - F.signum(k)) / F.sqrt(var)).alias("z"))
+    var = (n * (n - 1) * (2 * n + 5) - F.col("_t")) / 18
+    told = out.select(*by, "n", "s", var.alias("variance"), F.try_divide(k - F.signum(k), F.sqrt(var)).alias("z"))
+    return told.withColumn("p", two_sided(F.col("z")))
 
 
 def average_ranks(rows: DataFrame, by: Sequence[str], c: str, into: str) -> DataFrame:

@@ -47,10 +47,10 @@ def component_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("size"), (F.count(F.lit(1)) * 900.0).alias("area"))
 
 
-@query("""SELECT c_custkey, amount FROM (SELECT c_custkey, amount, row_number() OVER (PARTITION BY c_custkey ORDER BY new DESC, seq DESC) AS k FROM (SELECT c_custkey, c_acctbal AS amount, 0::BIGINT AS seq, 0 AS new FROM customer UNION ALL SELECT o_custkey, o_totalprice, o_orderkey, 1 FROM orders WHERE o_orderkey % 3 = 0)) WHERE k = 1""")
+@query("""SELECT c_custkey, amount FROM (SELECT c_custkey, amount, row_number() OVER (PARTITION BY c_custkey ORDER BY new DESC, seq DESC) AS k FROM (SELECT c_custkey, c_acctbal AS amount, 0::BIGINT AS seq, 0 AS new FROM customer UNION ALL SELECT o_custkey, o_totalprice, o_orderkey, 1 FROM orders)) WHERE k = 1""")
 def keep_last_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("amount"), F.lit(0).cast("long").alias("seq"))
-    new = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("amount"), F.col("o_orderkey").alias("seq"))
+    new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("amount"), F.col("o_orderkey").alias("seq"))
     return C.keep_last(old, new, ["c_custkey"]).select("c_custkey", "amount")
 
 

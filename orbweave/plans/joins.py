@@ -41,11 +41,11 @@ def equi_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customers, orders.o_custkey == customers.c_custkey, "left").join(nations, customers.c_nationkey == nations.n_nationkey, "left").select("o_orderkey", "c_mktsegment", "n_name")
 
 
-@query("""SELECT a.o_orderkey, a.o_totalprice AS price_op, b.o_totalprice AS price_demo FROM orders a JOIN (SELECT *, (o_totalprice / 1000)::BIGINT AS k FROM orders WHERE o_orderkey % 5 = 0) b ON (a.o_totalprice / 1000)::BIGINT = b.k AND a.o_custkey = b.o_custkey WHERE a.o_orderkey % 5 = 1""".replace("(o_totalprice / 1000)::BIGINT", "floor(o_totalprice / 1000)").replace("(a.o_totalprice / 1000)::BIGINT", "floor(a.o_totalprice / 1000)"))
+@query("""SELECT a.o_orderkey, a.o_totalprice AS price_op, b.o_totalprice AS price_demo FROM orders a JOIN (SELECT *, (o_totalprice / 1000)::BIGINT AS k FROM orders WHERE o_orderkey % 2 = 0) b ON (a.o_totalprice / 1000)::BIGINT = b.k AND a.o_custkey = b.o_custkey WHERE a.o_orderkey % 2 = 1""".replace("(o_totalprice / 1000)::BIGINT", "floor(o_totalprice / 1000)").replace("(a.o_totalprice / 1000)::BIGINT", "floor(a.o_totalprice / 1000)"))
 def rounded_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs compared on a rounded key."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.floor(F.col("o_totalprice") / 1000).alias("k"))
-    a, b = rows.filter("o_orderkey % 5 = 1").withColumnRenamed("o_totalprice", "price_op"), rows.filter("o_orderkey % 5 = 0").select("o_custkey", "k", F.col("o_totalprice").alias("price_demo"))
+    a, b = rows.filter("o_orderkey % 2 = 1").withColumnRenamed("o_totalprice", "price_op"), rows.filter("o_orderkey % 2 = 0").select("o_custkey", "k", F.col("o_totalprice").alias("price_demo"))
     return a.join(b, ["o_custkey", "k"]).select("o_orderkey", "price_op", "price_demo")
 
 
@@ -117,13 +117,14 @@ def grid_mean_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("cx", "cy", F.round("v", 6).alias("v_left")).join(b.select("cx", "cy", F.round("v", 6).alias("v_right")), ["cx", "cy"])
 
 
-_PROBES = f"(SELECT u, i, t, v FROM {SERIES} WHERE i % 3 = 0)"
-_REFS = f"(SELECT u, t AS s, v AS w FROM {SERIES} WHERE i % 3 = 1)"
+_PROBES = f"(SELECT u, i, t, v FROM {SERIES} WHERE i % 2 = 0)"
+_REFS = f"(SELECT u, t AS s, v AS w FROM {SERIES} WHERE i % 2 = 1)"
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every row of a series is a probe or a reference."""
     rows = series(spark, sf_dir)
-    return rows.filter("i % 3 = 0").select("u", "i", "t", "v"), rows.filter("i % 3 = 1").select("u", F.col("t").alias("s"), F.col("v").alias("w"))
+    return rows.filter("i % 2 = 0").select("u", "i", "t", "v"), rows.filter("i % 2 = 1").select("u", F.col("t").alias("s"), F.col("v").alias("w"))
 
 
 @query(f"""
@@ -139,11 +140,12 @@ def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.asof_backward(left, right, ["u"], "t", "s", ["w"]).select("u", "i", "w")
 
 
-@query(f"""SELECT p.u, count(*) AS probes, round(quantile_cont(wait, 0.5), 6) AS p50, round(quantile_cont(wait, 0.9), 6) AS p90, round(avg(CASE WHEN wait <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS within FROM (SELECT p.u, (SELECT min(s) FROM {_REFS} r WHERE r.u = p.u AND r.s > p.t) - p.t AS wait FROM (SELECT u, h / 2.0::DOUBLE AS t FROM (SELECT DISTINCT u FROM {_REFS}), range(0, 50) g(h)) p) p GROUP BY p.u""")
+@query(f"""SELECT p.u, count(*) AS probes, round(quantile_cont(wait, 0.5), 6) AS p50, round(quantile_cont(wait, 0.9), 6) AS p90, round(avg(CASE WHEN wait <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS within FROM (SELECT p.u, (SELECT min(s) FROM {_REFS} r WHERE r.u = p.u AND r.s > p.t) - p.t AS wait FROM (SELECT u, h / 2.0::DOUBLE AS t FROM (SELECT DISTINCT u FROM {_REFS}), range(0, (SELECT floor(2 * max(s))::BIGINT + 1 FROM {_REFS})) g(h)) p) p GROUP BY p.u""")
 def asof_forward_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waiting times of regular probes for the next pass."""
     _, right = _probes(spark, sf_dir)
-    probes = right.select("u").distinct().select("u", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("h")).select("u", (F.col("h") / F.lit(2.0)).alias("t"))
+    last = int(2 * (right.agg(F.max("s")).first()[0] or 0.0))
+    probes = right.select("u").distinct().select("u", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("h")).select("u", (F.col("h") / F.lit(2.0)).alias("t"))
     waits = J.asof_forward(probes, right, ["u"], "t", "s").withColumn("wait", F.col("next") - F.col("t"))
     return waits.groupBy("u").agg(
         F.count(F.lit(1)).alias("probes"), F.round(F.percentile("wait", 0.5), 6).alias("p50"), F.round(F.percentile("wait", 0.9), 6).alias("p90"),

@@ -131,16 +131,15 @@ def inflection_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.filter("k <= 3").select("u", "i", F.round("jump", 5).alias("jump"))
 
 
-@query(f"""SELECT a.s, round(sum(sign(b.q - a.q) * sign(b.d - a.d))::DOUBLE / count(*), 6) AS tau FROM (SELECT l_suppkey AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS i, l_quantity AS q, l_extendedprice AS d FROM lineitem WHERE l_partkey % 20 = 0) a
-JOIN (SELECT l_suppkey AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS i, l_quantity AS q, l_extendedprice AS d FROM lineitem WHERE l_partkey % 20 = 0) b ON a.s = b.s AND b.i > a.i GROUP BY a.s""")
+_ORDER = "(SELECT l_suppkey AS s, l_quantity AS q, l_extendedprice AS d, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_extendedprice) AS i FROM lineitem)"
+
+
+@query(f"""SELECT a.s, round(sum(sign(b.q - a.q) * sign(b.d - a.d))::DOUBLE / count(*), 6) AS tau FROM {_ORDER} a JOIN {_ORDER} b ON a.s = b.s AND b.i > a.i GROUP BY a.s""")
 def kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concordance of pairs; series are thinned, as pairs of a series meet."""
-    w = Window.partitionBy("s").orderBy("l_orderkey", "l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").filter("l_partkey % 20 = 0").withColumn("s", F.col("l_suppkey")).withColumn("i", F.row_number().over(w))
-    a = rows.select("s", F.col("i").alias("ia"), F.col("l_quantity").alias("qa"), F.col("l_extendedprice").alias("da"))
-    b = rows.select("s", F.col("i").alias("ib"), F.col("l_quantity").alias("qb"), F.col("l_extendedprice").alias("db"))
-    agree = F.signum(F.col("qb") - F.col("qa")) * F.signum(F.col("db") - F.col("da"))
-    return a.join(b, "s").filter("ib > ia").groupBy("s").agg(F.round(F.avg(agree), 6).alias("tau"))
+    """Concordance of all pairs, counted without making them."""
+    from ..operators import stats
+
+    return stats.kendall(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice").select(F.col("l_suppkey").alias("s"), F.round("tau", 6).alias("tau"))
 
 
 _SINGLES = f"(SELECT feature || '|' || q || '|1' AS rule, 1 AS k, feature, threshold FROM (SELECT feature, unnest(quantile_cont(value, [0.5, 0.8, 0.9, 0.95])) AS threshold, unnest([50, 80, 90, 95]) AS q FROM {_F} WHERE kind = 'B' GROUP BY feature))"
@@ -235,17 +234,22 @@ def polygon_extent_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("diagonal", F.round(F.hypot("width", "height"), 6))
 
 
-@query("""WITH b AS (SELECT s_suppkey AS k, (s_suppkey * 53 % 997)::DOUBLE AS x0, (s_suppkey * 29 % 1009)::DOUBLE AS y0, 20.0::DOUBLE + s_suppkey % 30 AS w, 15.0::DOUBLE + s_suppkey % 20 AS h FROM supplier),
-s AS (SELECT k, x0 + w * (i + 0.5) / 8 AS x, y0 + h * (j + 0.5) / 8 AS y FROM b, range(0, 8) a(i), range(0, 8) c(j)), n AS (SELECT k, floor(x / 25)::BIGINT * 1000 + floor(y / 25)::BIGINT AS parcel, count(*) AS n FROM s GROUP BY 1, 2)
-SELECT k, CASE WHEN k % 3 = 0 THEN k ELSE arg_max(parcel, row(n, -parcel)) END AS parcel, CASE WHEN k % 3 = 0 THEN 'register' ELSE 'overlap' END AS how, CASE WHEN k % 3 <> 0 THEN max(n) / 64.0::DOUBLE END AS share FROM n GROUP BY k""")
+#: Parcels: rectangles of 25 by 40 over the ground, number 1000 * column + row.
+_PARCELS = "(SELECT i * 1000 + j AS parcel, i * 25.0::DOUBLE AS x0, j * 40.0::DOUBLE AS y0 FROM range(0, 43) a(i), range(0, 28) b(j))"
+
+
+@query(f"""WITH b AS (SELECT s_suppkey AS k, (s_suppkey * 53 % 997)::DOUBLE AS x0, (s_suppkey * 29 % 1009)::DOUBLE AS y0, 20.0::DOUBLE + s_suppkey % 30 AS w, 15.0::DOUBLE + s_suppkey % 20 AS h FROM supplier),
+o AS (SELECT k, parcel, greatest(0, least(b.x0 + w, p.x0 + 25) - greatest(b.x0, p.x0)) * greatest(0, least(b.y0 + h, p.y0 + 40) - greatest(b.y0, p.y0)) / (w * h) AS s FROM b, {_PARCELS} p)
+SELECT k, CASE WHEN k % 3 = 0 THEN k ELSE arg_min(parcel, row(-round(s, 9), parcel)) END AS parcel, CASE WHEN k % 3 = 0 THEN 'register' ELSE 'overlap' END AS how, CASE WHEN k % 3 <> 0 THEN round(max(s), 6) END AS share FROM o GROUP BY k""")
 def parcel_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A building's parcel from the register, else the parcel with most of 64 points spread over it."""
-    k = F.col("s_suppkey")
-    b = table(spark, sf_dir, "supplier").select(k.alias("k"), (k * 53 % 997).cast("double").alias("x0"), (k * 29 % 1009).cast("double").alias("y0"), (20.0 + k % 30).alias("w"), (15.0 + k % 20).alias("h"))
-    spread = b.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("s"))
-    x, y = F.col("x0") + F.col("w") * (F.floor(F.col("s") / 8) + 0.5) / 8, F.col("y0") + F.col("h") * (F.col("s") % 8 + 0.5) / 8
-    parts = spread.groupBy("k", (F.floor(x / 25) * 1000 + F.floor(y / 25)).alias("parcel")).agg(F.count(F.lit(1)).alias("n"))
-    most = parts.groupBy("k").agg(F.max_by("parcel", F.struct("n", -F.col("parcel"))).alias("_p"), (F.max("n") / 64).alias("_s"))
-    register = b.filter("k % 3 = 0").select("k", F.col("k").alias("_r"))
-    both = most.join(register, "k", "left")
-    return both.select("k", F.coalesce("_r", "_p").alias("parcel"), F.when(F.col("_r").isNotNull(), F.lit("register")).otherwise(F.lit("overlap")).alias("how"), F.when(F.col("_r").isNull(), F.col("_s")).alias("share"))
+    """A building's parcel from the register, else the one that covers most of its footprint."""
+    from ..operators import shapes
+    from .shapes import _boxes
+
+    buildings = _boxes(spark, sf_dir)
+    x, y = F.col("i") * 25.0, F.col("j") * 40.0
+    at = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    cells = spark.range(43 * 28).select(F.expr("id div 28").alias("i"), (F.col("id") % 28).alias("j"))
+    parcels = cells.select((F.col("i") * 1000 + F.col("j")).alias("parcel"), F.array(at(x, y), at(x + 25.0, y), at(x + 25.0, y + 40.0), at(x, y + 40.0)).alias("ring"))
+    both = shapes.attributed(buildings, parcels, "k", "parcel", "ring", 50.0).join(buildings.filter("k % 3 = 0").select("k", F.col("k").alias("_r")), "k", "left")
+    return both.select("k", F.coalesce("_r", "parcel").alias("parcel"), F.when(F.col("_r").isNotNull(), F.lit("register")).otherwise(F.lit("overlap")).alias("how"), F.when(F.col("_r").isNull(), F.round("share", 6)).alias("share"))

@@ -38,7 +38,7 @@ SELECT rule, unit, kind, t_acc, min(CASE WHEN run THEN t END) AS fire FROM r GRO
 
 def _scores(fired: str) -> str:
     return f"""(SELECT rule, avg(CASE WHEN kind = 'A' THEN CASE WHEN fire <= t_acc THEN 1.0 ELSE 0.0 END END)::DOUBLE AS det, median(CASE WHEN kind = 'A' AND fire <= t_acc THEN t_acc - fire END) AS med, avg(CASE WHEN kind = 'B' THEN CASE WHEN fire IS NOT NULL THEN 1.0 ELSE 0.0 END END)::DOUBLE AS bg,
-avg(CASE WHEN kind = 'A' THEN CASE WHEN fire <= t_acc THEN 1.0 ELSE 0.0 END END)::DOUBLE - avg(CASE WHEN kind = 'B' THEN CASE WHEN fire IS NOT NULL THEN 1.0 ELSE 0.0 END END)::DOUBLE AS j FROM {fired} GROUP BY rule)"""
+coalesce(median(CASE WHEN kind = 'A' AND fire <= t_acc THEN t_acc - fire END) / 365.25, 99) + 2 * avg(CASE WHEN kind = 'B' THEN CASE WHEN fire IS NOT NULL THEN 1.0 ELSE 0.0 END END)::DOUBLE AS j FROM {fired} GROUP BY rule)"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -70,22 +70,42 @@ _SINGLE_SQL = f"(SELECT feature || '|' || q || '|' || k AS rule, k, feature, thr
 def rule_search_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature, threshold of the grid and run length on its own."""
     features = _features(spark, sf_dir)
-    rules = R.singles(R.threshold_grid(features, list(_SHARES)), [1, 2, 3])
-    scored = R.scores(R.fires(features, rules)).join(rules, "rule")
+    grid = R.threshold_grid(features, list(_SHARES)).select(F.col("feature").alias("combo"), F.lit(1).alias("slot"), "feature", "threshold")
+    scored = R.grid_scores(features, grid, [1, 2, 3]).select("*", F.inline("conditions"))
     return _rounded(scored).select("feature", F.round("threshold", 6).alias("threshold"), "k", "det", "med", "bg", "j")
 
 
-@query()
+def _stage(name: str, rules: str, width: int) -> str:
+    """A stage of the search in SQL: rules has k and f1, x1 up to f3, x3."""
+    parts = " UNION ALL ".join(f"SELECT rule, k, f{n} AS feature, x{n} AS threshold FROM {name}_r" for n in range(1, width + 1))
+    return f"""{name}_r AS MATERIALIZED (SELECT row_number() OVER () AS rule, * FROM ({rules})), {name}_c AS MATERIALIZED ({parts}),
+{name} AS MATERIALIZED (SELECT {width} AS n, k, f1, x1, f2, x2, f3, x3, det, med, bg, j FROM {_scores(_fires(f"{name}_c", "feats"))} s JOIN {name}_r USING (rule))"""
+
+
+_KS = "(SELECT unnest([1, 2, 3, 4]) AS k)"
+_NO = "NULL::VARCHAR AS f{0}, NULL::DOUBLE AS x{0}"
+_BEST = "ORDER BY round(j, 9), n, f1, x1, f2, x2, f3, x3, k"
+
+
+@query(f"""WITH feats AS MATERIALIZED (SELECT * FROM {_F}), g AS MATERIALIZED (SELECT DISTINCT feature, threshold FROM (SELECT feature, unnest(quantile_cont(value, [0.5, 0.8, 0.9, 0.95])) AS threshold FROM feats WHERE kind = 'B' GROUP BY feature)),
+{_stage("one", f"SELECT k, feature AS f1, threshold AS x1, {_NO.format(2)}, {_NO.format(3)} FROM g, {_KS}", 1)},
+top AS (SELECT DISTINCT f1 AS f FROM (SELECT f1 FROM one ORDER BY CASE WHEN det >= 0.7 THEN round(j, 9) ELSE 999 END, f1 LIMIT 8)),
+{_stage("two", f"SELECT k, a.feature AS f1, a.threshold AS x1, b.feature AS f2, b.threshold AS x2, {_NO.format(3)} FROM g a, g b, {_KS} WHERE a.feature < b.feature AND a.feature IN (FROM top) AND b.feature IN (FROM top)", 2)},
+base AS MATERIALIZED (SELECT * FROM (SELECT * FROM (FROM one UNION ALL FROM two) WHERE det >= 0.7 {_BEST} LIMIT 1) WHERE n = 2),
+{_stage("three", f"SELECT kk.k, f1, x1, f2, x2, feature AS f3, threshold AS x3 FROM (SELECT f1, x1, f2, x2 FROM base), g, {_KS} kk WHERE feature NOT IN (f1, f2)", 3)}
+SELECT k, f1, round(x1, 6) AS x1, f2, round(x2, 6) AS x2, f3, round(x3, 6) AS x3, {_ROUND} FROM (SELECT * FROM (FROM one UNION ALL FROM two UNION ALL FROM three) WHERE det >= 0.7 {_BEST} LIMIT 10)""")
 def rule_search_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best pair of conditions out of the six best single ones."""
+    """The staged search for short leads and little background: single conditions, pairs of the best features, a third condition. The ten best rules."""
     features = _features(spark, sf_dir)
-    rules = R.singles(R.threshold_grid(features, list(_SHARES)), [1, 2])
-    top = R.best(R.scores(R.fires(features, rules)), 0.3, 6).select("rule").join(rules, "rule")
-    return _rounded(R.best(R.scores(R.fires(features, R.joined(top, top))), 0.0, 10))
+    grid = R.threshold_grid(features, list(_SHARES))
+    found = R.best_of(R.searched(features, grid, grid), 10)
+    part = lambda n, name: F.get("conditions", F.lit(n - 1))[name]
+    each = [c for n in (1, 2, 3) for c in (part(n, "feature").alias(f"f{n}"), F.round(part(n, "threshold"), 6).alias(f"x{n}"))]
+    return _rounded(found).select("k", *each, "det", "med", "bg", "j")
 
 
 @query(f"""WITH s AS (SELECT rule, round(det, 9) AS det, round(med, 9) AS med, round(bg, 9) AS bg FROM {_scores(_fires(_MENU_SQL))} WHERE med IS NOT NULL)
-SELECT rule, round(det, 6) AS det, round(med, 6) AS med, round(bg, 6) AS bg FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.det >= a.det AND b.med >= a.med AND b.bg <= a.bg AND (b.det > a.det OR b.med > a.med OR b.bg < a.bg))""")
+SELECT rule, round(det, 6) AS det, round(med, 6) AS med, round(bg, 6) AS bg FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.det >= a.det AND b.med <= a.med AND b.bg <= a.bg AND (b.det > a.det OR b.med < a.med OR b.bg < a.bg))""")
 def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(R.pareto(R.scores(R.fires(_features(spark, sf_dir), _menu(spark)))))
 

@@ -21,33 +21,25 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GAP = "sqrt(pow(greatest(0, greatest(a.x0, b.x0) - least(a.x1, b.x1)), 2) + pow(greatest(0, greatest(a.y0, b.y0) - least(a.y1, b.y1)), 2))"
-_APART = f"(SELECT a.k AS k, b.k AS other_k, a.owner AS oa, b.owner AS ob, {_GAP} AS d FROM {_BOXES} a JOIN {_BOXES} b ON a.k <> b.k WHERE {_GAP} > 0)"
+_APART = f"(SELECT a.k AS k, b.k AS other_k, a.owner AS oa, b.owner AS ob, {_GAP} AS d FROM {_BOXES} a JOIN {_BOXES} b ON a.k <> b.k)"
 
 
 @query(f"SELECT k, other_k, round(d, 6) AS d FROM {_APART} WHERE d <= 40")
 def polygon_distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of separate buildings within the search radius."""
+    """Pairs of buildings within the search radius; 0 where they overlap."""
     rows = _boxes(spark, sf_dir)
-    found = S.distances(rows, rows, "k", "k", "ring", 40.0, 60.0)
-    boxes = rows.select("k", F.struct(*[c.alias(n) for c, n in zip(S.box(F.col("ring")), ("x0", "y0", "x1", "y1"), strict=True)]).alias("b"))
-    both = found.join(boxes, "k").join(boxes.select(F.col("k").alias("other_k"), F.col("b").alias("o")), "other_k")
-    apart = (F.col("b.x1") < F.col("o.x0")) | (F.col("o.x1") < F.col("b.x0")) | (F.col("b.y1") < F.col("o.y0")) | (F.col("o.y1") < F.col("b.y0"))
-    return both.filter(apart).select("k", "other_k", F.round("d", 6).alias("d"))
+    return S.distances(rows, rows, "k", "k", "ring", 40.0, 60.0).select("k", "other_k", F.round("d", 6).alias("d"))
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT k AS a, other_k AS b FROM {_APART} WHERE d <= 12 AND oa = ob), r(k, s) AS (SELECT k, k FROM {_BOXES} UNION SELECT e.b, r.s FROM r JOIN e ON e.a = r.k) SELECT k, min(s) AS whole FROM r GROUP BY k""")
 def merge_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buildings of one owner that stand close, in chains; ones that overlap are left to the footprint's own cleaning."""
-    rows = _boxes(spark, sf_dir)
-    apart = polygon_distance_join(spark, sf_dir).filter("d <= 12 and k % 2 = other_k % 2")
-    from ..operators.cluster import components
-
-    return components(rows.select(F.col("k").alias("id")), apart.select(F.col("k").alias("a"), F.col("other_k").alias("b"))).select(F.col("id").alias("k"), F.col("component").alias("whole"))
+    """Buildings of one owner that overlap or stand close, in chains."""
+    return S.merged(_boxes(spark, sf_dir), "k", "owner", "ring", 12.0, 60.0)
 
 
-_WALK = f"""(WITH c AS (SELECT k, unnest([0, 1, 2, 3]) AS e, unnest([x0, x1, x1, x0]) AS ax, unnest([y0, y0, y1, y1]) AS ay, unnest([x1, x1, x0, x0]) AS bx, unnest([y0, y1, y1, y0]) AS ty FROM {_BOXES} WHERE k % 10 = 0),
+_WALK = f"""(WITH c AS (SELECT k, unnest([0, 1, 2, 3]) AS e, unnest([x0, x1, x1, x0]) AS ax, unnest([y0, y0, y1, y1]) AS ay, unnest([x1, x1, x0, x0]) AS bx, unnest([y0, y1, y1, y0]) AS ty FROM {_BOXES}),
 s AS (SELECT k, e * 6 + j AS step, ax + (bx - ax) * (j / 6.0::DOUBLE) AS x, ay + (ty - ay) * (j / 6.0::DOUBLE) AS y FROM c, range(0, 6) g(j)),
-n AS (SELECT s.k, s.step, arg_min(p.k, row(sqrt(pow(p.px - s.x, 2) + pow(p.py - s.y, 2)), p.k)) AS near, min(sqrt(pow(p.px - s.x, 2) + pow(p.py - s.y, 2))) AS d FROM s, (SELECT c_custkey AS k, (c_custkey * 37 % 1000)::DOUBLE AS px, (c_custkey * 91 % 1009)::DOUBLE AS py FROM customer WHERE c_custkey % 10 = 3) p GROUP BY 1, 2) SELECT * FROM n)"""
+n AS (SELECT s.k, s.step, arg_min(p.k, row(sqrt(pow(p.px - s.x, 2) + pow(p.py - s.y, 2)), p.k)) AS near, min(sqrt(pow(p.px - s.x, 2) + pow(p.py - s.y, 2))) AS d FROM s, (SELECT c_custkey AS k, (c_custkey * 37 % 1000)::DOUBLE AS px, (c_custkey * 91 % 1009)::DOUBLE AS py FROM customer) p GROUP BY 1, 2) SELECT * FROM n)"""
 
 
 @query(f"""WITH a AS (SELECT *, CASE WHEN near = coalesce(lag(near) OVER (PARTITION BY k ORDER BY step), last_value(near) OVER (PARTITION BY k ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) THEN 0 ELSE 1 END AS c FROM {_WALK}),
@@ -55,8 +47,8 @@ b AS (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY step) AS g0, sum(c) OVER (P
 SELECT k, first(near) AS near, coalesce(min(CASE WHEN c = 1 THEN step END), min(step)) AS start, count(*) AS length, round(min(d), 6) AS d FROM g GROUP BY k, g""")
 def boundary_walk_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which neighbour each side of a building faces, as runs around it."""
-    steps = S.boundary_samples(_boxes(spark, sf_dir).filter("k % 10 = 0"), "k", "ring", 6).withColumn("id", F.concat_ws(":", "k", "step"))
-    others = points(spark, sf_dir, "customer", "c_custkey").filter("k % 10 = 3")
+    steps = S.boundary_samples(_boxes(spark, sf_dir), "k", "ring", 6).withColumn("id", F.concat_ws(":", "k", "step"))
+    others = points(spark, sf_dir, "customer", "c_custkey")
     near = J.nearest(steps, others, "id", "k", 50.0).select("k", "step", F.col("_near").alias("near"), F.col("dist").alias("d"))
     return S.circular_runs(near, "k", "step", "near").withColumn("d", F.round("d", 6))
 
@@ -64,8 +56,8 @@ def boundary_walk_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_iou_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions matched to references per image, by falling score."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = 0").groupBy(F.col("l_suppkey").alias("image"), F.col("l_partkey").alias("pred"), F.col("l_linenumber").alias("ref"))
+    """Predictions matched to references per image (a day of shipping at a supplier), by falling score."""
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") * 10_000 + F.datediff("l_shipdate", F.lit("1990-01-01"))).alias("image"), F.col("l_partkey").alias("pred"), F.col("l_linenumber").alias("ref"))
     pairs = rows.agg(F.max("l_extendedprice").alias("score"), F.max(F.col("l_discount") * 10).alias("iou"))
     return S.greedy_matches(pairs, ["image"], "score", "iou", 0.5)
 

@@ -87,7 +87,7 @@ def grid_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT u, round(max(v), 6) AS v_max, round(quantile_cont(v, 0.9), 6) AS v_p90, round(list_avg(list_slice(list_sort(list(v), 'DESC'), 1, 3)), 6) AS v_top3, round(median(v), 6) AS v_median, round(avg(CASE WHEN v >= 100 THEN 1.0 ELSE 0.0 END), 6) AS v_share FROM {SERIES} GROUP BY u""")
 def feature_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = series(spark, sf_dir).groupBy("u").agg(*A.bank(F.col("v"), 100.0))
+    out = A.bank(series(spark, sf_dir), ["u"], "v", 100.0).drop("n")
     return out.select("u", *[_r(c) for c in out.columns[1:]])
 
 
@@ -119,17 +119,15 @@ def ols_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).groupBy("u").agg(F.round(A.slope(F.col("v"), F.col("t")), 6).alias("slope"), F.round(F.regr_intercept("v", "t"), 5).alias("intercept"), F.round(F.regr_r2("v", "t"), 6).alias("r2"))
 
 
-_THIN = f"(SELECT * FROM {SERIES} WHERE i % 3 = 1)"
-
-
-@query(f"SELECT a.u, round(median((b.v - a.v) / (b.t - a.t)), 6) AS slope, count(*) AS pairs FROM {_THIN} a JOIN {_THIN} b ON a.u = b.u AND b.t > a.t GROUP BY a.u")
+@query(f"SELECT a.u, round(median((b.v - a.v) / (b.t - a.t)), 6) AS slope, count(*) AS pairs FROM {SERIES} a JOIN {SERIES} b ON a.u = b.u AND b.t > a.t GROUP BY a.u")
 def theil_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.theil_sen(series(spark, sf_dir).filter("i % 3 = 1"), ["u"], "t", "v").select("u", _r("slope"), "pairs")
+    return A.theil_sen(series(spark, sf_dir), ["u"], "t", "v").select("u", _r("slope"), "pairs")
 
 
-@query(f"SELECT u, n, s, round(n * (n - 1) * (2 * n + 5) / 18.0, 6)::DOUBLE AS variance, round((s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0), 6) AS z FROM (SELECT a.u, sum(sign(b.v - a.v))::BIGINT AS s FROM {_THIN} a JOIN {_THIN} b ON a.u = b.u AND b.i > a.i GROUP BY a.u) JOIN (SELECT u, count(*) AS n FROM {_THIN} GROUP BY u) USING (u)")
+@query(f"""WITH v AS (SELECT u, sum(n) AS n, (sum(n) * (sum(n) - 1) * (2 * sum(n) + 5) - sum(n * (n - 1) * (2 * n + 5))) / 18.0 AS var FROM (SELECT u, v, count(*) AS n FROM {SERIES} GROUP BY u, v) GROUP BY u)
+SELECT u, n::BIGINT AS n, s, round(var, 6)::DOUBLE AS variance, round((s - sign(s)) / sqrt(var), 6) AS z FROM (SELECT a.u, sum(sign(b.v - a.v))::BIGINT AS s FROM {SERIES} a JOIN {SERIES} b ON a.u = b.u AND b.i > a.i GROUP BY a.u) JOIN v USING (u)""")
 def mann_kendall_s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.mann_kendall(series(spark, sf_dir).filter("i % 3 = 1"), ["u"], "i", "v").select("u", "n", "s", _r("variance"), _r("z"))
+    return A.mann_kendall(series(spark, sf_dir), ["u"], "i", "v").filter("n > 1").select("u", "n", "s", _r("variance"), _r("z"))
 
 
 @query("""WITH r AS (SELECT l_suppkey AS s, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY l_suppkey ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_suppkey, l_discount) - 1) / 2.0::DOUBLE AS b, l_quantity AS q, l_discount AS d FROM lineitem) SELECT s, round(corr(a, b), 6) AS spearman, round(corr(q, d), 6) AS pearson FROM r GROUP BY s""")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions import grades as G, scalar as S
-from orbweave.operators import cluster as C, joins as J, raster as X, rules as U, runs as R, series as T, stats as A
+from orbweave.operators import cluster as C, joins as J, raster as X, rules as U, runs as R, series as T, shapes as G, stats as A
 from orbweave.sources import readers, writers
 from orbweave.streaming import alarms
 
@@ -163,6 +163,32 @@ def test_first_polygon(spark):
     assert [r.p for r in found.orderBy("k").collect()] == [2, 1, 1, None]
 
 
+RING = "array<struct<x:double,y:double>>"
+
+
+def square(x, y, a, b):
+    return [(float(x), float(y)), (float(x + a), float(y)), (float(x + a), float(y + b)), (float(x), float(y + b))]
+
+
+def test_polygons_that_overlap_have_no_distance(spark):
+    shapes = {"base": square(0, 0, 10, 10), "inside": square(4, 4, 2, 2), "crossing": square(8, 8, 10, 10), "cross": square(-5, 4, 20, 2), "touching": square(10, 2, 3, 3), "corner": square(13, 14, 2, 2), "same": square(0, 0, 10, 10)}
+    rows = spark.createDataFrame(list(shapes.items()), f"k string, ring {RING}")
+    found = {(r.k, r.other_k): r.d for r in G.distances(rows, rows, "k", "k", "ring", 8.0, 5.0).collect()}
+    assert {k: found["base", k] for k in shapes if k != "base"} == {"inside": 0, "crossing": 0, "cross": 0, "touching": 0, "same": 0, "corner": 5}
+    merged = {r.k: r.whole for r in G.merged(rows.withColumn("o", F.lit(1)), "k", "o", "ring", 0.5, 5.0).collect()}
+    assert set(merged.values()) == {"base"} and G.merged(rows.withColumn("o", F.col("k")), "k", "o", "ring", 0.5, 5.0).select("whole").distinct().count() == len(shapes)
+
+
+def test_clipped_areas_and_attribution(spark):
+    pairs = [(square(0, 0, 10, 10), square(5, 5, 10, 10), 25.0), (square(0, 0, 10, 10), square(2, 2, 3, 3), 9.0), (square(0, 0, 2, 2), square(5, 5, 1, 1), 0.0), ([(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)], square(0, 0, 2, 2)[::-1], 4.0), ([(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (3.0, 1.0), (0.0, 6.0)], square(0, 0, 6, 1), 6.0)]
+    rows = spark.createDataFrame(pairs, f"a {RING}, b {RING}, want double")
+    assert all(r.found == pytest.approx(r.want) for r in rows.select("want", G.area(G.clipped(F.col("a"), F.col("b"))).alias("found")).collect())
+    buildings = spark.createDataFrame([(1, square(3, 3, 4, 4)), (2, square(90, 90, 4, 4)), (3, square(8, 1, 4, 4))], f"k long, ring {RING}")
+    parcels = spark.createDataFrame([(10 * x + y, square(5 * x, 5 * y, 5, 5)) for x in range(3) for y in range(3)], f"p long, ring {RING}")
+    assert sorted((r.k, r.p, r.share) for r in G.attributed(buildings, parcels, "k", "p", "ring", 7.0).collect() if r.p is not None) == [(1, 0, pytest.approx(0.25)), (3, 10, pytest.approx(0.5))]
+    assert G.attributed(buildings, parcels, "k", "p", "ring", 7.0).filter("k = 2").first().p is None
+
+
 # statistics
 
 
@@ -173,6 +199,29 @@ def test_auc_and_midrank(spark):
     assert only(A.midrank_share(spark.createDataFrame([("g", 2)], "g string, s int"), background, ["g"], "s")).share == 0.5
 
 
+def test_concordance_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    data = [(f"g{g}", float(x), float(y)) for g in range(4) for x, y in zip(rng.integers(0, 12, 5 + 20 * g), rng.integers(0, 8, 5 + 20 * g), strict=True)] + [("one", 1.0, 1.0), ("g1", None, 2.0)]
+    found = {r.g: r for r in A.kendall(spark.createDataFrame(data, "g string, x double, y double").repartition(3), ["g"], "x", "y").collect()}
+    for g in ("g0", "g1", "g2", "g3"):
+        own = [(x, y) for k, x, y in data if k == g and x is not None]
+        signs = [(np.sign(b[0] - a[0]), np.sign(b[1] - a[1])) for k, a in enumerate(own) for b in own[k + 1 :]]
+        s = sum(p * q for p, q in signs)
+        assert (found[g].n, found[g].s) == (len(own), s) and found[g].tau == pytest.approx(s / len(signs))
+        assert found[g].tau_b == pytest.approx(s / math.sqrt(sum(p != 0 for p, _ in signs) * sum(q != 0 for _, q in signs)))
+    assert found["one"].s == 0 and found["one"].tau is None
+
+
+def test_mann_kendall_with_equal_values(spark):
+    values = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9]
+    found = only(A.mann_kendall(spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(values)], "u string, i long, v double"), ["u"], "i", "v"))
+    s = sum(np.sign(b - a) for k, a in enumerate(values) for b in values[k + 1 :])
+    tied = [values.count(v) for v in set(values)]
+    var = (15 * 14 * 35 - sum(m * (m - 1) * (2 * m + 5) for m in tied)) / 18
+    z = (s - np.sign(s)) / math.sqrt(var)
+    assert (found.s, found.variance, found.z) == (s, pytest.approx(var), pytest.approx(z)) and found.p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-6)
+
+
 def test_plane_and_trend_statistics(spark):
     rows = spark.createDataFrame([("g", float(x), float(y), 2.0 * x - 3.0 * y + 1) for x in range(4) for y in range(5)], "g string, x double, y double, z double")
     assert [round(v, 9) for v in only(A.plane(rows, ["g"], "x", "y", "z"))[1:]] == [2, -3, 1]
@@ -248,7 +297,70 @@ def test_rules_fire_and_score(spark):
     rules = spark.createDataFrame([("one", 1, "f", 4.0), ("two", 2, "f", 4.0)], "rule string, k int, feature string, threshold double")
     found = {r.rule: (r.det, r.med, r.bg) for r in U.scores(U.fires(features, rules)).collect()}
     assert found == {"one": (1.0, 3.0, 1.0), "two": (1.0, 2.0, 0.0)}
-    assert [r.rule for r in U.pareto(U.scores(U.fires(features, rules))).orderBy("rule").collect()] == ["one", "two"]
+    assert {r.rule: r.j for r in U.scores(U.fires(features, rules)).collect()} == pytest.approx({"one": 3 / 365.25 + 2, "two": 2 / 365.25})
+    assert [r.rule for r in U.pareto(U.scores(U.fires(features, rules))).collect()] == ["two"]  # shorter lead, less background
+
+
+def test_pareto_prefers_short_leads(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"r{k}", float(d), float(m), float(b)) for k, (d, m, b) in enumerate(zip(rng.integers(0, 6, 80) / 5, rng.integers(1, 9, 80) * 30.0, rng.integers(0, 6, 80) / 5, strict=True))]
+    rows += [("long", 1.0, 900.0, 0.0), ("short", 1.0, 30.0, 0.0), ("same", 1.0, 30.0, 0.0), ("never", 0.0, None, 0.0)]
+    found = {r.rule for r in U.pareto(spark.createDataFrame(rows, "rule string, det double, med double, bg double")).collect()}
+    beats = lambda o, r: o[1] >= r[1] and o[2] <= r[2] and o[3] <= r[3] and o[1:] != r[1:]
+    known = [r for r in rows if r[2] is not None]
+    assert found == {r[0] for r in known if not any(beats(o, r) for o in known)} and {"short", "same"} <= found and "long" not in found
+
+
+def brute_rule(units, conditions, k):
+    """det, med, bg and j of one rule over units: name -> (kind, t_acc, {feature: values by epoch}); times are epochs."""
+    leads, fired, n = [], 0, {"A": 0, "B": 0}
+    for kind, t_acc, values in units.values():
+        n[kind] += 1
+        ok = [all(v is not None and v == v and v >= x for v, x in zip(row, [x for _, x in conditions], strict=True)) for row in zip(*[values[f] for f, _ in conditions], strict=True)]
+        fire = next((i + 1 for i in range(len(ok)) if i + 1 >= k and all(ok[i + 1 - k : i + 1])), None)
+        if fire is not None and kind == "B":
+            fired += 1
+        if fire is not None and kind == "A" and fire <= t_acc:
+            leads.append(t_acc - fire)
+    med = float(np.median(leads)) if leads else None
+    bg = fired / max(1, n["B"])
+    return len(leads) / max(1, n["A"]), med, bg, (99 if med is None else med / 365.25) + 2 * bg
+
+
+def test_staged_search_is_that_of_every_rule(spark):
+    rng = np.random.default_rng(12)
+    names, ks, floor = ["f", "g", "h"], (1, 2, 3), 0.6
+    units = {f"u{n}": (("A", 18) if n < 6 else ("B", None)) + ({f: [None if rng.random() < 0.05 else float(x) for x in rng.integers(0, 9, 18) + (2 * (n < 6) * (np.arange(18) > 9))] for f in names},) for n in range(14)}
+    rows = [(u, kind, None if t is None else float(t), i, float(i), f, v) for u, (kind, t, values) in units.items() for f in names for i, v in enumerate(values[f], 1)]
+    features = spark.createDataFrame(rows, "unit string, kind string, t_acc double, i long, t double, feature string, value double")
+    grid = {f: [3.0, 5.0, 7.0] for f in names}
+    table = spark.createDataFrame([(f, x) for f, xs in grid.items() for x in xs], "feature string, threshold double")
+    tried = {((f, x),): None for f in names for x in grid[f]}
+    key = lambda item: (round(item[1][3], 9), len(item[0][0]), item[0])
+    scored = {(c, k): brute_rule(units, c, k) for c in tried for k in ks}
+    ranked = sorted((round(v[3], 9) if v[0] >= floor else 999, c[0][0]) for (c, _), v in scored.items())[:8]
+    top = sorted(dict.fromkeys(f for _, f in ranked))
+    scored |= {(((a, x), (b, y)), k): brute_rule(units, ((a, x), (b, y)), k) for a in top for b in top if a < b for x in grid[a] for y in grid[b] for k in ks}
+    best = min(((c, v) for c, v in scored.items() if v[0] >= floor), key=key)
+    if len(best[0][0]) == 2:
+        base = best[0][0]
+        scored |= {((*base, (f, x)), k): brute_rule(units, (*base, (f, x)), k) for f in names if f not in [b[0] for b in base] for x in grid[f] for k in ks}
+    want = {c: v for c, v in scored.items() if v[0] >= floor}
+    found = U.searched(features, table, table, ks, floor)
+    got = {(tuple((c.feature, c.threshold) for c in r.conditions), r.k): (r.det, r.med, r.bg, r.j) for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want) and len(want) > 20
+    first = U.best_of(found).first()
+    assert (tuple((c.feature, c.threshold) for c in first.conditions), first.k) == min(want.items(), key=key)[0]
+
+
+def test_a_gap_ends_a_run_and_gates_keep_all_rules(spark, monkeypatch):
+    rows = [("A1", "A", 9.0, k, float(k), "f", 5.0) for k in (1, 3, 4, 6, 7, 8)] + [("B1", "B", None, k, float(k), "f", float("nan")) for k in range(1, 9)]
+    features = spark.createDataFrame(rows, "unit string, kind string, t_acc double, i long, t double, feature string, value double")
+    rules = spark.createDataFrame([(f"r{k}", k, "f", 4.0) for k in (1, 2, 3, 4)], "rule string, k int, feature string, threshold double")
+    assert {(r.rule, r.unit): r.fire for r in U.fires(features, rules).collect() if r.unit == "A1"} == {("r1", "A1"): 1, ("r2", "A1"): 4, ("r3", "A1"): 8, ("r4", "A1"): None}
+    monkeypatch.setattr(U, "TOGETHER", 2)
+    found = {(r.rule, r.unit): r.fire for r in U.gated(features, rules.filter("k = 2"), rules).collect()}
+    assert found == {("r1", "A1"): 4, ("r2", "A1"): 7, ("r3", "A1"): 8, ("r4", "A1"): None} | {(f"r{k}", "B1"): None for k in (1, 2, 3, 4)}
 
 
 # scalar functions, readers and writers
