@@ -42,6 +42,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+_remembered: dict[str, dict] = {}
+
+
+def remembered(owner: str) -> dict:
+    """What a worker keeps for later tasks of one operator. Workers serve all operators in turn, so a task of another one drops it first."""
+    for other in [x for x in _remembered if x != owner]:
+        del _remembered[other]
+    return _remembered.setdefault(owner, {})
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text as a long; null text has none."""
     column = F.col(text) if isinstance(text, str) else text

@@ -66,13 +66,14 @@ def balanced(lengths: np.ndarray, length: int, linear: float = LINEAR, quadratic
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = 4096, closing: int = 2, window: int = WINDOW) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
+def pack(docs: DataFrame, path: str | None = None, length: int = 4096, closing: int = 2, window: int = WINDOW, ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (little-endian unsigned 32-bit)."""
     import pyarrow as pa
 
     path = path or default_path()
     kind = docs.schema["doc_id"].dataType
-    schema = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+    schema = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if ids else "")
+    names_of = [x.split()[0] for x in schema.split(", ")]
     end = np.array([closing], dtype="<u4").tobytes()
 
     def packed(batches: Iterator) -> Iterator:
@@ -80,26 +81,26 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 4096, closing:
         from pyspark.sql.pandas.types import to_arrow_type
 
         context = TaskContext.get()
-        following, held, names, ids = (context.partitionId() if context else 0) << 40, 0, [], []
+        following, held, names, texts = (context.partitionId() if context else 0) << 40, 0, [], []
 
         def flush() -> Iterator:
-            nonlocal following, held, names, ids
-            placed = balanced(np.array([len(x) // 4 for x in ids], dtype=np.int64), length)
+            nonlocal following, held, names, texts
+            placed = balanced(np.array([len(x) // 4 for x in texts], dtype=np.int64), length)
             placed.sort(key=lambda x: (x[3], x[4]))
             for at in range(0, len(placed), 2000):
                 part = placed[at : at + 2000]
-                own = [ids[d][4 * s : 4 * (s + n)] for d, s, n, _, _ in part]
+                own = [texts[d][4 * s : 4 * (s + n)] for d, s, n, _, _ in part]
                 columns = [pa.array([names[d] for d, *_ in part], to_arrow_type(kind)), *[pa.array(x, pa.int64()) for x in (
-                    [s for _, s, *_ in part], [n for _, _, n, *_ in part], [zlib.crc32(x) for x in own], [len(ids[d]) // 4 for d, *_ in part],
+                    [s for _, s, *_ in part], [n for _, _, n, *_ in part], [zlib.crc32(x) for x in own], [len(texts[d]) // 4 for d, *_ in part],
                     [following + q for *_, q, _ in part], [o for *_, o in part],
-                )], pa.array(own, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-            following, held, names, ids = following + max((x[3] for x in placed), default=-1) + 1, 0, [], []
+                )], *([pa.array(own, pa.binary())] if ids else [])]
+                yield pa.RecordBatch.from_arrays(columns, names_of)
+            following, held, names, texts = following + max((x[3] for x in placed), default=-1) + 1, 0, [], []
 
         for some, encoded in id_batches(batches, path):
             for name, x in zip(some, encoded, strict=True):
                 names.append(name)
-                ids.append(x + end)
+                texts.append(x + end)
                 held += len(x) // 4 + 1
                 if held >= window:
                     yield from flush()
@@ -110,4 +111,4 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 4096, closing:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), ids=False)

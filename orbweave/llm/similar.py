@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import remembered, written
 
 #: Documents that are sent to all executors at most when sets are read again.
 SENT = 200_000
@@ -61,6 +61,7 @@ def printed(docs: DataFrame, words: int, prints: int, seed: int) -> DataFrame:
     import pyarrow as pa
 
     def each(batches: Iterator) -> Iterator:
+        remembered("shingles")
         for batch in batches:
             keys, sizes, fps = [], [], []
             for x in batch.column(1):

@@ -13,10 +13,11 @@ from struct import pack
 
 import numpy as np
 
+from .common import remembered
+
 #: Words that a worker remembers; beyond them it keeps those of few ids (in bytes), which are the frequent ones.
 REMEMBERED, FEW = 1_000_000, 8
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-_made: dict[str, WordTokenizer] = {}
 
 
 def folded(text: bytes) -> bytes:
@@ -92,9 +93,10 @@ class WordTokenizer:
 
 def tokenizer(path: str) -> WordTokenizer:
     """One per worker and path, kept for its later tasks."""
-    if path not in _made:
-        _made[path] = WordTokenizer(path)
-    return _made[path]
+    made = remembered("tokens")
+    if path not in made:
+        made[path] = WordTokenizer(path)
+    return made[path]
 
 
 def default_path() -> str:
