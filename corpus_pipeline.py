@@ -39,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence."""
-    return pack(docs).drop("ids")
+    return pack(docs, ids=False)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixture", mixture), ("packing", packing)]
