@@ -29,6 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def mounted(spark: SparkSession, folder: str | None, name: str) -> str:
+    """A new folder for files that tasks write by themselves, in folder or the shared one: a path that every executor mounts."""
+    folder = folder or shared_dir(spark)
+    scheme, _, rest = folder.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"{folder} can't be written or memory-mapped as files: name a folder that all executors mount")
+    return f"{'/' + rest.lstrip('/') if scheme else folder}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the shared folder: later steps survive lost executors and don't repeat it."""
     shared_dir(df.sparkSession)

@@ -1,34 +1,35 @@
-"""Interpolated modified Kneser-Ney bigram model, counted by Spark and memory-mapped by the workers that score.
+"""Interpolated modified Kneser-Ney trigram model, counted by Spark and memory-mapped by the workers that score.
 
 Counting takes two passes. The first gives every word a number: its place among all words in the order of their 64-bit hashes. The second counts
-pairs of numbers. Tasks count blocks of tokens and send each shard its sorted keys and counts in packed form (differences, byte planes); a shard
-sums what all tasks sent and writes sorted arrays into the shared folder. A third, small exchange gathers, per word, its
-different predecessors and how many of its followers were seen once, twice and more often. Shards are chosen by hash and their
-number follows the input, so neither a frequent word nor a larger corpus makes one of them large. Scoring maps the arrays and searches the sorted keys of a
+triples of numbers, each a context (the two words before) and a word. Tasks count blocks of tokens and send each shard its sorted contexts, words and counts in packed form (differences, byte planes); a shard
+sums what all tasks sent and writes sorted arrays into the shared folder: contexts, where their words begin, words and counts. Two smaller exchanges count what the lower orders need: for each pair how many
+different words precede it, for each word how many pairs end in it. Shards are chosen by hash and their
+number follows the input, so neither a frequent word nor a larger corpus makes one of them large. Scoring maps the arrays, at most MAPS at a time, and searches the sorted keys of a
 block at a time.
 
-Order two is what counting every pair of a corpus allows in a few times its size on disk: see the README.
-
-Words are runs without ASCII white space, ASCII letters in lower case; every text ends with an end token. Null texts are empty: the end token alone.
-Repeated rows count and are scored each. Without training tokens both scores are 0. The arrays need a folder that all executors mount, by default spark.checkpoint.dir.
+Words are runs without ASCII white space, ASCII letters in lower case; every text ends with an end token and begins after two begin marks, which are never predicted. Null texts are empty: the end token alone.
+Words whose 64-bit hashes are equal count as one word. Repeated rows count and are scored each. Without training tokens both scores are 0. The arrays need a folder that all executors mount, by default spark.checkpoint.dir.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_mod, shared_dir, table
+from .common import crc_mod, mounted, remembered, table
 
 #: Tokens of a block, and bytes of training text per shard.
-BLOCK, SHARD = 1 << 21, 1 << 24
-#: Words of a range in the third exchange.
-RANGE = 1 << 16
+BLOCK, SHARD = 1 << 20, 1 << 24
+#: Words of a range in the last exchange, and parts that are summed at once there.
+RANGE, PARTS = 1 << 16, 64
+#: Arrays that a worker maps at a time, and words after a context from which on their sums are stored.
+MAPS, LONG = 4096, 64
 END = b""
 
 
@@ -96,7 +97,7 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
 
 
 def mixed(keys: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of a pair: high bits of a multiplicative hash."""
+    """The shard of a key: high bits of a multiplicative hash."""
     if shards == 1:
         return np.zeros(len(keys), dtype=np.int64)
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - shards.bit_length() + 1)).astype(np.int64)
@@ -119,23 +120,60 @@ def discounts(n: list[int]) -> list[float]:
     return [float(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05)) for k in (1, 2, 3)]
 
 
+def counted(context: np.ndarray, now: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) in sorted order and how often each occurs."""
+    order = np.lexsort((now, context))
+    context, now = context[order], now[order]
+    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (now[1:] != now[:-1])])) if len(now) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.append(first, len(now))) if times is None else np.add.reduceat(times[order], first) if len(now) else times
+    return context[first], now[first], n
+
+
+def small(counts: np.ndarray) -> np.ndarray:
+    """The same in the narrowest type that holds it."""
+    return counts.astype(np.min_scalar_type(int(counts.max())) if len(counts) else np.uint8)
+
+
+def kinds(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """[group, 4]: sum of the counts, and how many are one, two and more."""
+    if not len(starts):
+        return np.zeros((0, 4), dtype=np.int64)
+    return np.stack([np.add.reduceat(x, starts) for x in (counts.astype(np.int64), *[(np.minimum(counts, 3) == k).astype(np.int64) for k in (1, 2, 3)])], axis=1)
+
+
+def bisected(array: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Where each want stands between lo and hi of a sorted stretch of array; -1 if it doesn't."""
+    end, live = hi, np.flatnonzero(lo < hi)
+    lo, hi = lo.copy(), hi.copy()
+    while len(live):
+        middle = (lo[live] + hi[live]) >> 1
+        less = array[middle] < want[live]
+        lo[live[less]], hi[live[~less]] = middle[less] + 1, middle[~less]
+        live = live[lo[live] < hi[live]]
+    there = lo < end
+    there[there] = array[lo[there]] == want[there]
+    return np.where(there, lo, -1)
+
+
 class Model:
     """What the driver knows of a model; workers map the arrays in its folder."""
 
     def __init__(self, folder: str, shards: int, width: int = RANGE):
         self.folder, self.shards, self.width = folder, shards, width
         self.starts: list[int] = []
-        self.tokens = self.words = self.documents = self.types = 0
-        self.pair_discounts = self.word_discounts = [0.5, 1.0, 1.5]
+        self.tokens = self.words = self.types = 0
+        self.triple_discounts = self.pair_discounts = self.word_discounts = [0.5, 1.0, 1.5]
         self.floor = 1.0
+        self.maps, self.long = MAPS, LONG
 
     def mapped(self, name: str) -> np.ndarray:
-        key = f"{self.folder}/{name}"
-        if key not in _open:
-            for old in [k for k in _open if not k.startswith(self.folder)]:
-                del _open[old]
-            _open[key] = np.load(f"{key}.npy", mmap_mode="r")
-        return _open[key]
+        key, maps = f"{self.folder}/{name}", remembered("language_model").setdefault("maps", OrderedDict())
+        if key not in maps:
+            maps[key] = np.load(f"{key}.npy", mmap_mode="r")
+            while len(maps) > self.maps:
+                maps.popitem(last=False)
+        maps.move_to_end(key)
+        return maps[key]
 
     def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number and count of each word; unknown: -1 and 0."""
@@ -153,55 +191,67 @@ class Model:
             count[places[known]] = self.mapped(f"counts-{s}")[at[known]]
         return number, count
 
-    def gathered(self, name: str, number: np.ndarray) -> np.ndarray:
-        """Values of word numbers (-1: zeros) in the arrays of the ranges."""
-        out = np.zeros((len(number), 3) if name == "followers" else len(number), dtype=np.int64)
+    def before(self, number: np.ndarray) -> np.ndarray:
+        """How many pairs end in each word (-1: none)."""
+        out = np.zeros(len(number), dtype=np.int64)
         known = np.flatnonzero(number >= 0)
         for r, places in by_shard(number[known] // self.width):
-            if os.path.exists(f"{self.folder}/{name}-{r}.npy"):
-                out[known[places]] = self.mapped(f"{name}-{r}")[number[known[places]] % self.width]
+            if os.path.exists(f"{self.folder}/before-{r}.npy"):
+                out[known[places]] = self.mapped(f"before-{r}")[number[known[places]] % self.width]
         return out
 
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pairs."""
+    def explained(self, order: str, contexts: np.ndarray, of: np.ndarray, now: np.ndarray, lower: np.ndarray, weights: list[float]) -> np.ndarray:
+        """The probability at one order (pairs or triples) of the words now (-1: unknown) after contexts[of], given those of the order below. contexts: distinct and sorted."""
+        lo, hi = np.zeros(len(contexts), dtype=np.int64), np.zeros(len(contexts), dtype=np.int64)
+        sums = np.zeros((len(contexts), 4), dtype=np.int64)
+        shards = mixed(contexts, self.shards)
+        for s, places in by_shard(shards):
+            if not os.path.exists(f"{self.folder}/{order}-heads-{s}.npy"):
+                continue
+            heads, begins = self.mapped(f"{order}-heads-{s}"), self.mapped(f"{order}-begins-{s}")
+            at = np.minimum(np.searchsorted(heads, contexts[places]), len(heads) - 1)
+            known = heads[at] == contexts[places]
+            at, places = at[known], places[known]
+            lo[places], hi[places] = begins[at], begins[at + 1]
+            large = hi[places] - lo[places] >= self.long
+            sums[places[large]] = self.mapped(f"{order}-sums-{s}")[np.searchsorted(self.mapped(f"{order}-long-{s}"), at[large])]
+            few = places[~large]
+            if len(few):
+                n = hi[few] - lo[few]
+                starts = np.cumsum(n) - n
+                sums[few] = kinds(self.mapped(f"{order}-times-{s}")[np.repeat(lo[few] - starts, n) + np.arange(int(n.sum()))], starts)
+        p, some = lower.copy(), np.flatnonzero(sums[of, 0] > 0)
+        rest = (sums[:, 1:] @ np.array(weights)) / np.maximum(sums[:, 0], 1)
+        p[some] *= rest[of[some]]
+        seen = some[now[some] >= 0]
+        keys, back = np.unique((of[seen].astype("<u8") << np.uint64(32)) | now[seen].astype("<u8"), return_inverse=True)
+        which, want = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         count = np.zeros(len(keys), dtype=np.int64)
-        for s, places in by_shard(mixed(keys, self.shards)):
-            if os.path.exists(f"{self.folder}/pairs-{s}.npy"):
-                own = self.mapped(f"pairs-{s}")
-                at = np.minimum(np.searchsorted(own, keys[places]), len(own) - 1)
-                known = own[at] == keys[places]
-                count[places[known]] = self.mapped(f"times-{s}")[at[known]]
-        return count
+        for s, places in by_shard(shards[which]):
+            at = bisected(self.mapped(f"{order}-words-{s}"), lo[which[places]], hi[which[places]], want[places])
+            count[places[at >= 0]] = self.mapped(f"{order}-times-{s}")[at[at >= 0]]
+        more = np.where(count > 0, count - np.array([0.0, *weights])[np.minimum(count, 3)], 0) / np.maximum(sums[which, 0], 1)
+        p[seen] += more[back]
+        return p
 
     def log10(self, words: list[bytes], tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: log10 probability by the model, by the base, and whether training has it."""
         number, count = self.numbers(words)
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
-        seen = self.gathered("before", number)
         single = np.full(len(words), self.floor)
         if self.types:
+            seen = self.before(number)
             single += np.where(seen > 0, seen - np.array([0.0, *self.word_discounts])[np.minimum(seen, 3)], 0) / self.types
-        before, now = contexts(number[tokens], begins, self.words), number[tokens]
-        ids = np.append(number, self.words)
-        follow = self.gathered("followers", ids)
-        total = np.append(count, self.documents)
-        rest = (follow @ np.array(self.pair_discounts)) / np.maximum(total, 1)
-        place = np.empty(len(tokens), dtype=np.int64)  # of the word before, among the words of the block
-        place[1:] = tokens[:-1]
-        place[begins] = len(words)
-        p = single[tokens]
-        with_context = (before >= 0) & (total[place] > 0) & (follow[place].sum(axis=1) > 0)
-        both = with_context & (now >= 0)
-        keys, back = np.unique((before[both].astype("<u8") << np.uint64(32)) | now[both].astype("<u8"), return_inverse=True)
-        c = self.pairs(keys)[back]
-        p[with_context] *= rest[place[with_context]]
-        p[both] += np.where(c > 0, c - np.array([0.0, *self.pair_discounts])[np.minimum(c, 3)], 0) / total[place[both]]
+        now, p = number[tokens], single[tokens]
+        one = contexts(now, begins, self.words)
+        two = contexts(one, begins, self.words)
+        for order, weights, at, key in (("pairs", self.pair_discounts, one >= 0, one), ("triples", self.triple_discounts, (one >= 0) & (two >= 0), (two << 32) | one)):
+            some = np.flatnonzero(at)
+            found, of = np.unique(key[some].astype("<u8"), return_inverse=True)
+            p[some] = self.explained(order, found, of, now[some], p[some], weights)
         return np.log10(p), base[tokens], count[tokens] > 0
 
 
-_open: dict[str, np.ndarray] = {}
-
-
 def contexts(numbers: np.ndarray, begins: np.ndarray, begin: int) -> np.ndarray:
     """The number before each; at the begin of a document the number `begin`."""
     before = np.empty_like(numbers)
@@ -210,24 +260,16 @@ def contexts(numbers: np.ndarray, begins: np.ndarray, begin: int) -> np.ndarray:
     return before
 
 
-def model_folder(spark: SparkSession, folder: str | None) -> str:
-    folder = folder or shared_dir(spark)
-    scheme, _, rest = folder.rpartition(":")
-    if scheme not in ("", "file"):
-        raise ValueError(f"{folder} can't be memory-mapped: name a folder that all executors mount")
-    return f"{'/' + rest.lstrip('/') if scheme else folder}/lm-{uuid.uuid4().hex}"
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
 def train(docs: DataFrame, folder: str | None = None, shard: int = SHARD, block: int = BLOCK, width: int = RANGE) -> Model:
-    """docs: doc_id, text. Only per-shard totals reach the driver."""
+    """docs: doc_id, text. The number of words of each shard and three rows of totals reach the driver."""
     import pyarrow as pa
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    model = Model(model_folder(docs.sparkSession, folder), 1 << int(size // shard).bit_length(), width)
+    model = Model(mounted(docs.sparkSession, folder, "lm"), 1 << int(size // shard).bit_length(), width)
     shards, path = model.shards, model.folder
 
     def words(batches: Iterator) -> Iterator:
@@ -253,55 +295,86 @@ def train(docs: DataFrame, folder: str | None = None, shard: int = SHARD, block:
     model.words, model.tokens = model.starts[-1], sum(r["tokens"] for r in found)
     if not model.tokens:
         return model
-    model.documents = docs.count()
 
-    def pairs(batches: Iterator) -> Iterator:
+    def triples(batches: Iterator) -> Iterator:
         for _, own, tokens, begins in blocks(batches, block):
             now = model.numbers(own)[0][tokens]
-            keys, counts = np.unique((contexts(now, begins, model.words).astype("<u8") << np.uint64(32)) | now.astype("<u8"), return_counts=True)
-            rows = [(s, *packed(keys[at], counts[at].astype("<u4"))) for s, at in by_shard(mixed(keys, shards))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]], ["shard", "keys", "counts"])
+            one = contexts(now, begins, model.words)
+            context, now, times = counted(((contexts(one, begins, model.words) << 32) | one).astype("<u8"), now.astype("<u4"))
+            rows = [(s, *packed(context[at], now[at], times[at].astype("<u4"))) for s, at in by_shard(mixed(context, shards))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)]], ["shard", "keys", "now", "counts"])
+
+    def save_order(order: str, s: int, context: np.ndarray, now: np.ndarray, times: np.ndarray) -> None:
+        """The sorted arrays of a shard: contexts, where each one's words begin, the words, their counts, and sums of the contexts of many words."""
+        starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        begins = np.append(starts, len(context))
+        large = np.flatnonzero(np.diff(begins) >= model.long)
+        sums = kinds(times, starts)[large]
+        for name, x in (("heads", context[starts]), ("begins", begins.astype("<u4" if len(context) < 1 << 32 else "<u8")), ("words", now.astype("<u4")), ("times", small(times)), ("long", large.astype("<u4")), ("sums", sums)):
+            _save(path, f"{order}-{name}-{s}", x)
+
+    def table_of(rows: list[tuple]) -> pa.Table:
+        """Rows of what, to (a shard or range), part, keys, counts, once: how many are counted one to four times."""
+        kinds_ = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds_)], names=["what", "to", "part", "keys", "counts", "once"])
+
+    def once_of(counts: np.ndarray) -> list[int]:
+        return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+    def counts_in(group: pa.Table) -> np.ndarray:
+        return np.concatenate([unpacked(x, "<u4") for x in group.column("counts").to_pylist()]).astype("<i8")
+
+    def merge_triples(group: pa.Table) -> pa.Table:
+        s = group.column("shard")[0].as_py()
+        context, now, times = counted(_keys(group.column("keys")), np.concatenate([unpacked(x, "<u4") for x in group.column("now").to_pylist()]), counts_in(group))
+        save_order("triples", s, context, now, times)
+        pairs, before = np.unique((context << np.uint64(32)) | now, return_counts=True)  # the word before last falls out of the key
+        rows = [("pairs", to, s, *packed(pairs[at], before[at].astype("<u4")), None) for to, at in by_shard(mixed(pairs >> np.uint64(32), shards))]
+        return table_of([*rows, ("once", -1, s, None, None, once_of(times))])
 
     def merge_pairs(group: pa.Table) -> pa.Table:
-        s = group.column("shard")[0].as_py()
-        counts = np.concatenate([unpacked(x, "<u4") for x in group.column("counts").to_pylist()]).astype("<i8")
-        keys, counts = summed(_keys(group.column("keys")), counts)
-        _save(path, f"pairs-{s}", keys)
-        _save(path, f"times-{s}", counts.astype("<u2" if counts.max() < 65536 else "<i8"))
-        rows = []
-        after, types = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-        context, first = np.unique(keys >> np.uint64(32), return_index=True)
-        kinds = [np.add.reduceat((np.minimum(counts, 3) == k).astype("<u4"), first).astype("<u4") for k in (1, 2, 3)]
-        for name, ids, values in (("before", after, [types.astype("<u4")]), ("followers", context, kinds)):
-            for r, at in by_shard((ids // np.uint64(width)).astype(np.int64)):
-                raw = packed(ids[at], *[v[at] for v in values])
-                rows.append((name, r, raw[0], b"".join(raw[1:])))
-        rows.append(("pairs", s, b"", b""))
-        once = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({
-            "name": pa.array([r[0] for r in rows]), "range": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary()),
-            "once": pa.array([once] * len(rows), pa.list_(pa.int64())),
-        })
-
-    def merge_words_of(group: pa.Table) -> pa.Table:
-        name, r = group.column("name")[0].as_py(), group.column("range")[0].as_py()
-        if name == "pairs":
-            return pa.table({"name": [name], "types": pa.array([0], pa.int64()), "once": pa.array(group.column("once").to_pylist(), pa.list_(pa.int64()))})
-        kinds = 3 if name == "followers" else 1
-        values = np.concatenate([unpacked(x, "<u4").reshape(1, -1) if kinds == 1 else np.stack([unpacked(x[k * len(x) // 3 : (k + 1) * len(x) // 3], "<u4") for k in range(3)]) for x in group.column("counts").to_pylist()], axis=1).astype("<i8")
-        ids, *values = summed(_keys(group.column("keys")), *values)
-        out = np.zeros((width, kinds), dtype="<u4")
-        out[(ids % np.uint64(width)).astype(np.int64)] = np.stack(values, axis=1)
-        _save(path, f"{name}-{r}", out if kinds == 3 else out[:, 0])
-        seen = values[0] if name == "before" else np.zeros(0, dtype=np.int64)
-        return pa.table({"name": [name], "types": [int(seen.sum())], "once": pa.array([[int((seen == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64()))})
-
-    merged = _texts(docs).mapInArrow(pairs, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(merge_pairs, "name string, range long, keys binary, counts binary, once array<long>")
-    told = merged.groupBy("name", "range").applyInArrow(merge_words_of, "name string, types long, once array<long>").collect()
-    model.types = sum(r["types"] for r in told)
-    once, pairs_once = (np.sum([r["once"] for r in told if (r["name"] == "pairs") == of_pairs], axis=0).tolist() for of_pairs in (False, True))
-    model.word_discounts, model.pair_discounts = discounts(once), discounts(pairs_once)
-    model.floor = float(model.word_discounts[0] * once[0] + model.word_discounts[1] * once[1] + model.word_discounts[2] * (model.words - once[0] - once[1])) / model.types / (model.words + 1)
+        what, s = group.column("what")[0].as_py(), group.column("to")[0].as_py()
+        if what == "once":
+            return table_of([("triples", -1, 0, None, None, np.sum(group.column("once").to_pylist(), axis=0).tolist())])
+        keys, before = summed(_keys(group.column("keys")), counts_in(group))
+        context, now = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+        save_order("pairs", s, context, now, before)
+        words, types = np.unique(now, return_counts=True)
+        rows = [("words", r, s, *packed(words[at], types[at].astype("<u4")), None) for r, at in by_shard((words // np.uint64(width)).astype(np.int64))]
+        return table_of([*rows, ("pairs", -1, s, None, None, once_of(before))])
+
+    def add(group: pa.Table) -> pa.Table:
+        """One row for several parts."""
+        what, to, part = (group.column(c)[0].as_py() for c in ("what", "to", "part"))
+        if to < 0:
+            return table_of([(what, to, part // PARTS, None, None, np.sum(group.column("once").to_pylist(), axis=0).tolist())])
+        keys, counts = summed(_keys(group.column("keys")), counts_in(group))
+        return table_of([(what, to, part // PARTS, *packed(keys, counts.astype("<u4")), None)])
+
+    def finish(group: pa.Table) -> pa.Table:
+        what, r = group.column("what")[0].as_py(), group.column("to")[0].as_py()
+        if r < 0:
+            return pa.table({"what": [what], "types": pa.array([0], pa.int64()), "once": pa.array([np.sum(group.column("once").to_pylist(), axis=0).tolist()], pa.list_(pa.int64()))})
+        words, before = summed(_keys(group.column("keys")), counts_in(group))
+        out = np.zeros(width, dtype="<u4")
+        out[(words % np.uint64(width)).astype(np.int64)] = before
+        _save(path, f"before-{r}", out)
+        return pa.table({"what": [what], "types": pa.array([int(before.sum())], pa.int64()), "once": pa.array([once_of(before)], pa.list_(pa.int64()))})
+
+    schema = "what string, to long, part long, keys binary, counts binary, once array<long>"
+    counts = _texts(docs).mapInArrow(triples, "shard int, keys binary, now binary, counts binary").groupBy("shard").applyInArrow(merge_triples, schema)
+    lower = counts.groupBy("what", "to").applyInArrow(merge_pairs, schema)
+    parts = shards
+    while parts > PARTS:
+        lower = lower.groupBy("what", "to", F.floor(F.col("part") / PARTS).alias("_p")).applyInArrow(add, schema)
+        parts = -(-parts // PARTS)
+    told = lower.groupBy("what", "to").applyInArrow(finish, "what string, types long, once array<long>").groupBy("what")
+    rows = {r["what"]: r for r in told.agg(F.sum("types").alias("types"), *[F.sum(F.col("once")[k]).alias(f"n{k}") for k in range(4)]).collect()}
+    once = {what: [r[f"n{k}"] for k in range(4)] for what, r in rows.items()}
+    model.types = rows["words"]["types"]
+    model.triple_discounts, model.pair_discounts, model.word_discounts = (discounts(once[x]) for x in ("triples", "pairs", "words"))
+    few = once["words"]
+    model.floor = float(np.dot(model.word_discounts, [few[0], few[1], model.words - few[0] - few[1]])) / model.types / (model.words + 1)
     return model
 
 
