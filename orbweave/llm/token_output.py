@@ -4,6 +4,7 @@ Each task reads its documents once and packs a window of tokens at a time. Docum
 full sequences and a rest, without loss. Rests, longest first, go to the open sequence with the least room that holds them; the
 segment tree over room sizes finds it in logarithmic time. Rows are sequences: a padded row of ids, the cumulative segment
 lengths (attention stays inside a segment), a bit per position where positions start at 0 again, and whose tokens they are.
+Files are written by the same tasks, a block of rows at a time, so a task holds a window of tokens and a block.
 
 Null and empty texts have no tokens and are in no sequence, unless a closing id is asked for; repeated rows are packed each; an
 empty table gives no rows.
@@ -12,16 +13,19 @@ empty table gives no rows.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType
 
-from .common import table
+from .common import mounted, table
 from .tokens import default_path, id_batches
 
-#: Tokens of a window.
-WINDOW = 1 << 22
+#: Tokens of a window, and rows of a file.
+WINDOW, ROWS = 1 << 22, 4096
 
 
 class RoomTree:
@@ -82,13 +86,10 @@ def best_fit(lengths: list[int], length: int) -> list[list[tuple[int, int, int]]
     return out
 
 
-def token_matrices(docs: DataFrame, path: str | None = None, length: int = 2048, closing: int | None = 49407, padding: int = 49407, window: int = WINDOW) -> DataFrame:
-    """sequence_id, ids (length little-endian unsigned 16-bit ids, padded), n_tokens, cu_seqlens, position_resets (packed bits, most significant first), doc_ids and starts of the segments. Ids must be below 65,536."""
+def _packer(kind: DataType, path: str, length: int, closing: int | None, padding: int, window: int) -> Callable[[Iterator], Iterator]:
+    """What a task does: from batches of (doc_id, text as binary) to batches of sequences."""
     import pyarrow as pa
 
-    path = path or default_path()
-    kind = docs.schema["doc_id"].dataType
-    schema = f"sequence_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets binary, doc_ids array<{kind.simpleString()}>, starts array<long>"
     end = b"" if closing is None else np.array([closing], dtype="<u4").tobytes()
 
     def packed(batches: Iterator) -> Iterator:
@@ -138,36 +139,72 @@ def token_matrices(docs: DataFrame, path: str | None = None, length: int = 2048,
         if names:
             yield from flush()
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(packed, schema)
+    return packed
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+
+
+def token_matrices(docs: DataFrame, path: str | None = None, length: int = 2048, closing: int | None = 49407, padding: int = 49407, window: int = WINDOW) -> DataFrame:
+    """sequence_id, ids (length little-endian unsigned 16-bit ids, padded), n_tokens, cu_seqlens, position_resets (packed bits, most significant first), doc_ids and starts of the segments. Ids must be below 65,536."""
+    kind = docs.schema["doc_id"].dataType
+    schema = f"sequence_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets binary, doc_ids array<{kind.simpleString()}>, starts array<long>"
+    return _texts(docs).mapInArrow(_packer(kind, path or default_path(), length, closing, padding, window), schema)
+
+
+def token_files(docs: DataFrame, folder: str | None = None, path: str | None = None, length: int = 2048, closing: int | None = 49407, padding: int = 49407, window: int = WINDOW, rows: int = ROWS) -> DataFrame:
+    """Writes the sequences of token_matrices and returns a row for each: file, row (in it), sequence_id, n_tokens, ids_crc32 (of the padded row), cu_seqlens, doc_ids, starts.
 
+    folder must be mounted by all executors (by default a new one in spark.checkpoint.dir). A file name stands for <name>.ids.npy (matrix), <name>.resets.npy (packed bits), <name>.cu_seqlens.npy (of all rows after one
+    another) and <name>.rows.npy (how many of those each row has), for at most `rows` rows. Files appear whole or not at all, and a repeated task writes the same, so none is lost or doubled. Nothing is written before the result is asked for.
+    """
+    import pyarrow as pa
+
+    kind = docs.schema["doc_id"].dataType
+    packed = _packer(kind, path or default_path(), length, closing, padding, window)
+    into = mounted(docs.sparkSession, folder, "matrices")
 
-def write_matrices(matrices: DataFrame, folder: str) -> DataFrame:
-    """Writes each partition as <part>.ids.npy, <part>.cu_seqlens.npy (segments of all rows after one another), <part>.rows.npy (segments of each
-    row) and <part>.resets.npy into a folder that all executors mount; returns a row per partition. A file appears whole or not at all, so a repeated task does no harm."""
+    def save(name: str, parts: dict[str, np.ndarray]) -> None:
+        os.makedirs(into, exist_ok=True)
+        for end, x in parts.items():
+            with open(f"{into}/{name}.{end}.npy.{uuid.uuid4().hex}", "wb") as f:
+                np.save(f, x)
+            os.replace(f.name, f"{into}/{name}.{end}.npy")
 
     def write(batches: Iterator) -> Iterator:
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        ids, cu, rows, resets = [], [], [], []
-        for batch in batches:
-            for x in batch.to_pylist():
-                ids.append(np.frombuffer(x["ids"], dtype="<u2"))
-                cu.extend(x["cu_seqlens"])
-                rows.append(len(x["cu_seqlens"]))
-                resets.append(np.frombuffer(x["position_resets"], dtype=np.uint8))
-        if ids:
-            os.makedirs(folder, exist_ok=True)
-            for name, x in (("ids", np.stack(ids)), ("cu_seqlens", np.array(cu, dtype="<i4")), ("rows", np.array(rows, dtype="<i4")), ("resets", np.stack(resets))):
-                whole = f"{folder}/{part:06d}.{name}.npy"
-                with open(f"{whole}.{os.getpid()}", "wb") as f:
-                    np.save(f, x)
-                os.replace(f.name, whole)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(ids)], pa.int64())], ["part", "sequences"])
-
-    return matrices.select("ids", "cu_seqlens", "position_resets").mapInArrow(write, "part long, sequences long")
+        part, block, held, count = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> Iterator:
+            nonlocal block, held, count
+            own = pa.Table.from_batches(held)
+            name, ids = f"{part:06d}-{block:06d}", own.column("ids").to_pylist()
+            cu = own.column("cu_seqlens").combine_chunks()
+            save(name, {
+                "ids": np.frombuffer(b"".join(ids), dtype="<u2").reshape(count, length), "resets": np.frombuffer(b"".join(own.column("position_resets").to_pylist()), dtype=np.uint8).reshape(count, -1),
+                "cu_seqlens": cu.flatten().to_numpy().astype("<i4"), "rows": cu.value_lengths().to_numpy().astype("<i4"),
+            })
+            told = own.drop_columns(["ids", "position_resets"])
+            for column, x in (("ids_crc32", pa.array([zlib.crc32(x) for x in ids], pa.int64())), ("row", pa.array(range(count), pa.int32())), ("file", pa.array([name] * count))):
+                told = told.append_column(column, x)
+            block, held, count = block + 1, [], 0
+            yield from told.select(["file", "row", "sequence_id", "n_tokens", "ids_crc32", "cu_seqlens", "doc_ids", "starts"]).to_batches()
+
+        for batch in packed(batches):
+            while batch.num_rows:
+                some = batch.slice(0, rows - count)
+                held.append(some)
+                count, batch = count + some.num_rows, batch.slice(some.num_rows)
+                if count == rows:
+                    yield from flush()
+        if count:
+            yield from flush()
+
+    schema = f"file string, row int, sequence_id long, n_tokens int, ids_crc32 long, cu_seqlens array<int>, doc_ids array<{kind.simpleString()}>, starts array<long>"
+    return _texts(docs).mapInArrow(write, schema).withColumn("file", F.concat(F.lit(into + "/"), "file"))
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_matrices(table(spark, sf_dir, "documents"))
+    return token_files(table(spark, sf_dir, "documents"))

@@ -130,13 +130,18 @@ def test_matrices_round_trip(spark, ids, window):
     assert O.token_matrices(nothing(spark)).count() == 0
 
 
-def test_matrix_files(spark, tmp_path):
-    matrices = O.token_matrices(docs(spark), length=128)
-    told = O.write_matrices(matrices, str(tmp_path / "m")).collect()
-    names = sorted((tmp_path / "m").glob("*.ids.npy"))
-    assert len(names) == len(told) and sum(r.sequences for r in told) == matrices.count()
-    rows_ = np.concatenate([np.load(x) for x in names])
-    assert sorted(x.tobytes() for x in rows_) == sorted(bytes(r.ids) for r in matrices.collect())
-    for x in names:
-        cu, many = np.load(str(x).replace("ids", "cu_seqlens")), np.load(str(x).replace("ids", "rows"))
-        assert len(cu) == many.sum()
+@pytest.mark.parametrize("rows", [5, 4096])
+def test_matrix_files(spark, tmp_path, rows):
+    matrices = {r.sequence_id: r for r in O.token_matrices(docs(spark), length=128).collect()}
+    files = O.token_files(docs(spark), str(tmp_path), length=128, rows=rows)
+    told = files.collect()
+    assert sorted(r.sequence_id for r in told) == sorted(matrices) and max(r.row for r in told) < rows
+    for r in told:
+        want = matrices[r.sequence_id]
+        ids, resets, cu, many = (np.load(f"{r.file}.{x}.npy") for x in ("ids", "resets", "cu_seqlens", "rows"))
+        start = int(many[: r.row].sum())
+        assert ids[r.row].tobytes() == bytes(want.ids) and zlib.crc32(bytes(want.ids)) == r.ids_crc32 and resets[r.row].tobytes() == bytes(want.position_resets)
+        assert cu[start : start + many[r.row]].tolist() == list(want.cu_seqlens) == list(r.cu_seqlens) and (r.doc_ids, r.starts, r.n_tokens) == (want.doc_ids, want.starts, want.n_tokens)
+    once = sorted(x.name for x in next(tmp_path.iterdir()).iterdir())
+    assert sorted(map(str, files.collect())) == sorted(map(str, told)) and sorted(x.name for x in next(tmp_path.iterdir()).iterdir()) == once  # written again alike
+    assert len(once) == 4 * len({r.file for r in told}) and O.token_files(nothing(spark), str(tmp_path)).count() == 0
