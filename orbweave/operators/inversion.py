@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def _schema(df: DataFrame, by: Sequence[str], more: str) -> str:
@@ -89,3 +89,45 @@ def block_shift(pairs: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
         return pd.DataFrame({**{k: [group[k].iloc[0]] for k in by}, "dr": [-best[1]], "dc": [-best[2]], "ncc": [best[0]]})
 
     return pairs.select(*by, "r", "c", "a", "b").groupBy(*by).applyInPandas(search, _schema(pairs, by, "dr long, dc long, ncc double"))
+
+
+def masked_regression(rows: DataFrame, by: Sequence[str], y: str, terms: Sequence[str], quality: str, least: float) -> DataFrame:
+    """by..., coefficients (of the constant and each term) and n: least squares over the rows of a quality of at least `least`. Sums of products are added up by Spark; only one small system per group is solved in a task. Terms that can't be told apart share their weight."""
+    names = ["_1", *terms]
+    at = lambda c: F.lit(1.0) if c == "_1" else F.col(c).cast("double")
+    pairs = [(a, b) for a in range(len(names)) for b in range(a, len(names))]
+    known = rows.filter((F.col(quality) >= least) & F.col(y).isNotNull())
+    sums = known.groupBy(*by).agg(F.array(*[F.sum(at(names[a]) * at(names[b])) for a, b in pairs]).alias("_xx"), F.array(*[F.sum(at(c) * F.col(y)) for c in names]).alias("_xy"), F.count(F.lit(1)).alias("n"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for xx, xy in zip(batch["_xx"], batch["_xy"], strict=True):
+                m = np.zeros((len(names), len(names)))
+                for (a, b), x in zip(pairs, xx, strict=True):
+                    m[a, b] = m[b, a] = x
+                scale = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1))
+                out.append((np.linalg.lstsq(m / np.outer(scale, scale), np.asarray(xy) / scale, rcond=None)[0] / scale).tolist())
+            yield batch.drop(columns=["_xx", "_xy"]).assign(coefficients=out)
+
+    return sums.mapInPandas(solve, _schema(rows, by, "n long, coefficients array<double>")).select(*by, "coefficients", "n")
+
+
+def ransac_line(rows: DataFrame, by: Sequence[str], key: str, x: str, y: str, trials: int = 50, within: float = 2.0, seed: int = 42) -> DataFrame:
+    """by..., slope, intercept, inliers, n: the line through two seeded points that most points lie near (the first of several such trials), fitted anew to those.
+
+    Points of a trial are those of the smallest hashes of seed, trial and key, so any partitioning gives the same. Trials of equal x are left out; groups without any are too.
+    """
+    tried = rows.select(*by, F.col(key).cast("string").alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("_t"))
+    order = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_t").cast("string"), F.col("_id")).cast("binary")).alias("h"), F.col("_id").alias("k"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+    first = tried.groupBy(*by, "_t").agg(F.min(order).alias("_p"))
+    second = tried.join(first, [*by, "_t"]).filter(order > F.col("_p")).groupBy(*by, "_t", "_p").agg(F.min(order).alias("_q"))
+    slope = F.try_divide(F.col("_q.y") - F.col("_p.y"), F.col("_q.x") - F.col("_p.x"))
+    lines = second.select(*by, "_t", slope.alias("_a"), (F.col("_p.y") - slope * F.col("_p.x")).alias("_b")).filter(F.col("_a").isNotNull())
+    near = F.abs(F.col("_y") - F.col("_a") * F.col("_x") - F.col("_b")) <= within
+    counts = tried.join(lines, [*by, "_t"]).groupBy(*by, "_t", "_a", "_b").agg(F.count_if(near).alias("_n"))
+    best = counts.groupBy(*by).agg(F.min_by(F.struct("_a", "_b"), F.struct(-F.col("_n"), F.col("_t"))).alias("_l"))
+    return rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).join(best, list(by)).withColumn("_near", F.abs(F.col("_y") - F.col("_l._a") * F.col("_x") - F.col("_l._b")) <= within).groupBy(*by).agg(
+        F.regr_slope(F.when(F.col("_near"), F.col("_y")), F.when(F.col("_near"), F.col("_x"))).alias("slope"), F.regr_intercept(F.when(F.col("_near"), F.col("_y")), F.when(F.col("_near"), F.col("_x"))).alias("intercept"),
+        F.count_if("_near").alias("inliers"), F.count(F.lit(1)).alias("n"),
+    )

@@ -221,3 +221,9 @@ def chained(rows: DataFrame, by: Sequence[str], i: str, shift: str) -> DataFrame
     w = Window.partitionBy(*by).orderBy(i)
     filled = F.coalesce(F.col(shift), F.avg(shift).over(Window.partitionBy(*by)), F.lit(0.0))
     return rows.withColumn("_f", filled).withColumn("total", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
+
+
+def class_baseline(rows: DataFrame, cell: Sequence[str], cls: str, v: str) -> DataFrame:
+    """rows with dry (the smallest v of the cell among the epochs of the same class), n (how many these are) and rise (v less dry)."""
+    w = Window.partitionBy(*cell, cls)
+    return rows.withColumn("dry", F.min(v).over(w)).withColumn("n", F.count(v).over(w)).withColumn("rise", F.col(v) - F.col("dry"))

@@ -6,7 +6,7 @@ where a feature may not look ahead.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -177,9 +177,9 @@ def _in_order(rows: DataFrame, by: Sequence[str], i: str, *columns: str) -> Data
 
 def ewm(rows: DataFrame, by: Sequence[str], i: str, v: str, alpha: float) -> DataFrame:
     """Exponentially weighted mean at the end of each series, weights adjusted to sum to one."""
-    step = lambda acc, x: F.struct((acc["n"] * (1 - alpha) + x[v]).alias("n"), (acc["d"] * (1 - alpha) + 1.0).alias("d"))
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-    return _in_order(rows, by, i, v).select(*by, F.aggregate("a", zero, step, lambda acc: acc["n"] / acc["d"]).alias("ewm"))
+    back_ = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(i))) - 1)
+    weight = F.when(F.col(v).isNotNull(), F.pow(F.lit(1.0 - alpha), F.col("_k")))
+    return back_.groupBy(*by).agg((F.sum(F.col(v) * weight) / F.sum(weight)).alias("ewm"))
 
 
 def clipped_walk(rows: DataFrame, by: Sequence[str], i: str, v: str, start: float, low: float, high: float) -> DataFrame:
@@ -240,3 +240,73 @@ def quadratic(rows: DataFrame, by: Sequence[str], t: str, v: str) -> DataFrame:
     rest = F.col("yy") - F.col("xy") * F.col("xy") / s2 - a * a * q
     se = F.sqrt(F.greatest(rest, F.lit(0.0)) / (n - 3) / q)
     return s.filter("n > 3").select(*by, a.alias("acceleration"), se.alias("se"), F.try_divide(a, se).alias("t"))
+
+
+#: Names of the ways to judge a trend.
+TRENDS = ("two_segment", "slide_windows", "quadratic", "inflection")
+
+
+def trend_grades(rows: DataFrame, by: Sequence[str], i: str, t: str, v: str, method: str = "two_segment", least: int = 8, late_min: float = 0.0, watch: float = 5.0, danger: float = 10.0, width: int = 8, curve_min: float = 1.0, sure: tuple[float, float] = (2.0, 3.0)) -> DataFrame:
+    """by..., grade (0 normal, 1 watch, 2 danger), late and early risk velocity (of the quadratic: the acceleration in place of early), by one of TRENDS.
+
+    Values are filled by place and smoothed by a median of five first. A series of fewer than `least` rows is normal with velocities 0. A grade needs a late velocity of at least late_min and a gain of at least watch or danger (thirds
+    that never fall for `inflection`; an acceleration of at least curve_min whose t is at least `sure` for `quadratic`). Series with fewer than two windows are judged by two segments.
+    """
+    if method not in TRENDS:
+        raise ValueError(f"{method} is none of {TRENDS}")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    ready = smoothed(index_filled(rows.withColumn("_rows", n), by, i, v, "_f"), by, i, "_f", into="_s")
+    long = ready.filter(F.col("_rows") >= least)
+    gain = lambda x: F.when(x >= danger, 2).when(x >= watch, 1).otherwise(0)
+    two = two_segment(long, by, i, t, "_s").select(*by, "early", "late")
+    if method == "two_segment":
+        judged = two.withColumn("_g", gain(F.col("late") - F.col("early")))
+    elif method == "slide_windows":
+        slid = slide_windows(long, by, i, t, "_s", width).select(*by, F.col("early").alias("_e"), F.col("late").alias("_l"))
+        both = two.join(slid, list(by), "left").select(*by, F.coalesce("_e", "early").alias("early"), F.coalesce("_l", "late").alias("late"))
+        judged = both.withColumn("_g", gain(F.col("late") - F.col("early")))
+    elif method == "inflection":
+        thirds = inflection(long, by, i, t, "_s")
+        judged = thirds.select(*by, F.col("v0").alias("early"), F.col("v2").alias("late"), F.when(F.col("rising"), gain(F.col("v2") - F.col("v0"))).otherwise(0).alias("_g"))
+    else:
+        curve = quadratic(long.withColumn("_d", -F.col("_s")), by, t, "_d").select(*by, (2 * F.col("acceleration")).alias("early"), F.col("t").alias("_t"))
+        third = long.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(i)))).filter(F.col("_k") <= F.greatest(F.lit(2), F.floor(F.col("_rows") / 3)))
+        late = third.groupBy(*by).agg((-F.coalesce(F.regr_slope("_s", t), F.lit(0.0))).alias("late"))
+        judged = curve.join(late, list(by)).withColumn("_g", F.when(F.col("early") < curve_min, 0).when(F.col("_t") >= sure[1], 2).when(F.col("_t") >= sure[0], 1).otherwise(0)).drop("_t")
+    told = judged.select(*by, F.when(F.col("late") >= late_min, F.col("_g")).otherwise(0).alias("grade"), "late", "early")
+    every = rows.select(*by).distinct()
+    return every.join(told, list(by), "left").select(*by, F.coalesce("grade", F.lit(0)).alias("grade"), F.coalesce("late", F.lit(0.0)).alias("late"), F.coalesce("early", F.lit(0.0)).alias("early"))
+
+
+def walk_forward_bank(rows: DataFrame, by: Sequence[str], i: str, t: str, v: str, alpha: str, year: float = 1.0, least: int = 8, width: int = 6, recent: int = 8) -> DataFrame:
+    """rows with twelve features of each epoch from the `least`-th on, out of it and what came before: cum1, cum2, cumF (net fall over one year, two years and all), vel (of all), each also divided by alpha (cum1a, cum2a, cumFa, vela),
+    vtr (over the last year), dv (late less early half), ivfrac (1 if the inverse velocity goes down, 0 if not) and ivimm (minus the time to its zero). A feature is null where its series can't tell yet. Values fall where risk grows; t is in units of which `year` make a year.
+    """
+    past = upto(by, i)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(i))
+    sums = {"_n": F.lit(1.0), "_t": F.col(t), "_y": F.col(v), "_tt": F.col(t) * F.col(t), "_ty": F.col(t) * F.col(v)}
+    run = rows.withColumn("_at", place).withColumns({c: F.sum(x).over(past) for c, x in sums.items()})
+    half = run.select(*by, F.col("_at").alias("_mid"), *[F.col(c).alias(f"h{c}") for c in sums])
+    both = run.withColumn("_mid", F.floor(F.col("_at") / 2).cast("int")).join(half, [*by, "_mid"], "left")
+
+    def fall(of: Callable[[str], Column]) -> Column:
+        n, x, y, xx, xy = (of(c) for c in sums)
+        return -F.try_divide(n * xy - x * y, n * xx - x * x)
+
+    early, late, whole = fall(lambda c: F.col(f"h{c}")), fall(lambda c: F.col(c) - F.col(f"h{c}")), fall(lambda c: F.col(c))
+    slopes = window_slopes(rows, by, i, t, v, width).filter(F.col("slope") < 0).withColumn("_inv", -1 / F.col("slope"))
+    few = upto(by, i, recent)
+    fit = slopes.select(*by, F.col(i), F.when(F.count("_inv").over(few) >= 3, F.struct(F.regr_slope("_inv", "tc").over(few).alias("a"), F.regr_intercept("_inv", "tc").over(few).alias("b"))).alias("_fit"))
+    out = both.join(fit, [*by, i], "left").withColumn("_fit", F.last("_fit", ignorenulls=True).over(past))
+    lead = F.try_divide(-F.col("_fit.b"), F.col("_fit.a")) - F.col(t)
+    net = lambda span: F.first(v).over(past if span is None else back(by, t, span * year)) - F.col(v)
+    told = out.withColumns({"cum1": net(1), "cum2": net(2), "cumF": net(None), "vel": whole, "vtr": -over(F.regr_slope(v, t), 4, F.col(v), back(by, t, year)), "dv": late - early})
+    told = told.withColumns({f"{c}a": F.try_divide(F.col(c), F.col(alpha)) for c in ("cum1", "cum2", "cumF", "vel")})
+    told = told.withColumn("ivfrac", F.when(F.col("_fit").isNotNull(), F.when(F.col("_fit.a") < 0, 1.0).otherwise(0.0))).withColumn("ivimm", F.when((F.col("_fit.a") < 0) & (lead > 0), -lead))
+    return told.filter(F.col("_at") >= least).drop("_at", "_mid", "_fit", *sums, *[f"h{c}" for c in sums])
+
+
+def buffer_bank(features: DataFrame, buffer: Sequence[str], i: str) -> DataFrame:
+    """The features of walk_forward_bank of the points of a buffer: the largest of each epoch, of ivfrac the mean."""
+    names = ("cum1", "cum1a", "cum2", "cum2a", "cumF", "cumFa", "vel", "vela", "vtr", "dv", "ivimm")
+    return features.groupBy(*buffer, i).agg(*[F.max(c).alias(c) for c in names], F.avg("ivfrac").alias("ivfrac"))

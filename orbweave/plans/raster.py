@@ -136,3 +136,10 @@ def cell_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).select(
         "r", "c", F.round(R.decibel(v), 6).alias("db"), F.round(R.los_to_vertical(v, 30 + F.col("c") % 15), 6).alias("vertical"), F.round(R.phase_to_mm(w), 8).alias("mm"), F.round(R.polynomial2(v, w, ((1.0, 0.5), (2.0, 3.0))), 3).alias("poly")
     )
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity, round(l_extendedprice / 1000 - min(l_extendedprice / 1000) OVER w, 6) AS rise, count(*) OVER w AS n FROM lineitem WINDOW w AS (PARTITION BY l_partkey % 64, floor(l_discount * 50 + 1e-9))""")
+def class_conditional_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of each cell against its driest state in the same class of cover."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_partkey") % 64).alias("cell"), F.floor(F.col("l_discount") * 50 + 1e-9).alias("cover"), (F.col("l_extendedprice") / 1000).alias("v"))
+    return R.class_baseline(rows, ["cell"], "cover", "v").select("l_orderkey", "l_linenumber", "l_quantity", F.round("rise", 6).alias("rise"), "n")

@@ -162,17 +162,39 @@ def operating_auc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.auc(scored, ["feature", "k"], "persist", "p").select("feature", "k", F.round("auc", 9).alias("auc"))
 
 
-@query(f"""WITH f AS ({_fires(_MENU_SQL)}), s AS (SELECT unit % 3 AS region, rule, avg(CASE WHEN kind = 'A' THEN CASE WHEN fire <= t_acc THEN 1.0 ELSE 0.0 END END)::DOUBLE AS det, coalesce(avg(CASE WHEN kind = 'B' THEN CASE WHEN fire IS NOT NULL THEN 1.0 ELSE 0.0 END END)::DOUBLE, 0) AS bg FROM f GROUP BY 1, 2)
-SELECT region, rule, round(det, 6) AS det, round(bg, 6) AS bg FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY round(det, 9) DESC, round(bg, 9), rule) AS k FROM s WHERE det IS NOT NULL) WHERE k = 1""")
+@query(f"""WITH f AS ({_fires(_MENU_SQL)}), s AS (SELECT unit % 3 AS region, rule, avg(CASE WHEN kind = 'A' THEN CASE WHEN fire <= t_acc THEN 1.0 ELSE 0.0 END END)::DOUBLE AS det, median(CASE WHEN kind = 'A' AND fire <= t_acc THEN t_acc - fire END) AS med, coalesce(avg(CASE WHEN kind = 'B' THEN CASE WHEN fire IS NOT NULL THEN 1.0 ELSE 0.0 END END)::DOUBLE, 0) AS bg FROM f GROUP BY 1, 2),
+k AS (SELECT *, coalesce(med / 180, 99) + bg * 100 / 30 + (1 - det) * 10 AS score FROM s WHERE det IS NOT NULL)
+SELECT region, rule, round(det, 6) AS det, round(bg, 6) AS bg, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY round(det, 9) DESC, round(score, 9), rule) AS k FROM k) WHERE k = 1""")
 def region_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each region the rule that detects most, and of those the one that disturbs least."""
+    """For each region the rule that detects most, and of those the one at the knee of lead and background."""
     fired = R.fires(_features(spark, sf_dir), _menu(spark)).withColumn("region", F.col("unit") % 3)
-    early, hit = (F.col("fire") <= F.col("t_acc")), F.col("fire").isNotNull()
-    rates = fired.groupBy("region", "rule").agg(
-        F.avg(F.when(F.col("kind") == "A", F.when(early, 1.0).otherwise(0.0))).alias("det"), F.coalesce(F.avg(F.when(F.col("kind") == "B", F.when(hit, 1.0).otherwise(0.0))), F.lit(0.0)).alias("bg")
-    )
-    best = rates.filter("det is not null").withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.round("det", 9).desc(), F.round("bg", 9), "rule")))
-    return best.filter("k = 1").select("region", "rule", F.round("det", 6).alias("det"), F.round("bg", 6).alias("bg"))
+    return R.best_by(fired, "region").select("region", "rule", *[F.round(c, 6).alias(c) for c in ("det", "bg", "score")])
+
+
+_COMBINED = f"(SELECT a.feature AS a, b.feature AS b, c.comb, a.unit, a.kind, a.i, CASE c.comb WHEN 'min' THEN least(a.value, b.value) WHEN 'max' THEN greatest(a.value, b.value) ELSE (a.value + b.value) / 2 END AS value FROM {_F} a JOIN {_F} b ON a.unit = b.unit AND a.i = b.i AND a.feature < b.feature, (SELECT unnest(['min', 'mean', 'max']) AS comb) c)"
+
+
+def _pair_persisted(k: int) -> str:
+    return f"SELECT a, b, comb, {k} AS k, unit, kind, CASE WHEN count(*) < {k} THEN max(value) ELSE max(low) END AS s FROM (SELECT *, CASE WHEN count(value) OVER w = {k} THEN min(value) OVER w END AS low FROM c WINDOW w AS (PARTITION BY a, b, comb, unit ORDER BY i ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)) GROUP BY ALL"
+
+
+@query(f"""WITH c AS MATERIALIZED (SELECT * FROM {_COMBINED}), s AS ({" UNION ALL ".join(_pair_persisted(k) for k in (1, 2, 3))}), r AS (SELECT a, b, comb, k, kind, rank() OVER (PARTITION BY a, b, comb, k ORDER BY s) + (count(*) OVER (PARTITION BY a, b, comb, k, s) - 1) / 2.0::DOUBLE AS r FROM s WHERE s IS NOT NULL)
+SELECT a, b, comb, k, round((sum(CASE WHEN kind = 'A' THEN r END) - count(*) FILTER (kind = 'A') * (count(*) FILTER (kind = 'A') + 1) / 2.0::DOUBLE) / (count(*) FILTER (kind = 'A') * count(*) FILTER (kind = 'B')), 9) AS auc FROM r GROUP BY 1, 2, 3, 4""")
+def operating_auc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well two features together, by the smaller, the mean or the larger, tell accidents from background when they must persist for k epochs."""
+    both, found = R.combined(_features(spark, sf_dir)), None
+    for k in (1, 2, 3):
+        one = runs.persist_max(both, ["a", "b", "comb", "unit", "kind"], "i", "value", k).withColumn("k", F.lit(k))
+        found = one if found is None else found.unionByName(one)
+    scored = found.filter(F.col("persist").isNotNull()).withColumn("p", F.col("kind") == "A")
+    return stats.auc(scored, ["a", "b", "comb", "k"], "persist", "p").select("a", "b", "comb", "k", F.round("auc", 9).alias("auc"))
+
+
+@query()
+def first_fire_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each accident the conditions that fire at its last epoch and never before."""
+    features = _features(spark, sf_dir).filter("kind = 'A'")
+    return R.first_fire_rules(features, features.groupBy("unit").agg(F.max("i").alias("i")))
 
 
 @query(f"""WITH c AS (SELECT DISTINCT u FROM {SERIES} WHERE u % 7 <> 0 ORDER BY md5('3:' || u::VARCHAR), u LIMIT 40) SELECT CASE WHEN u % 7 = 0 THEN 'event' ELSE 'control' END AS arm, count(*) AS n, round(median(m), 6) AS mid, round(quantile_cont(m, 0.9), 6) AS p90 FROM (SELECT u, max(v) AS m FROM {SERIES} WHERE u % 7 = 0 OR u IN (SELECT u FROM c) GROUP BY u) GROUP BY 1""")

@@ -220,3 +220,26 @@ def grade_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = both.select(gv.alias("gv"), gc.alias("gc"), gt.alias("gt"))
     named = (("velocity", F.col("gv")), ("cumulative", F.col("gc")), ("trend", F.col("gt")))
     return graded.select(G.label(G.worst("gv", "gc", "gt")).alias("label"), G.basis(named).alias("basis")).groupBy("label", "basis").agg(F.count(F.lit(1)).alias("n"))
+
+
+_GRADE = "CASE WHEN late >= 0 THEN CASE WHEN late - early >= 4 THEN 2 WHEN late - early >= 1 THEN 1 ELSE 0 END ELSE 0 END"
+_SHORT = f"(SELECT u FROM {SERIES} GROUP BY u HAVING count(*) < 40)"
+
+
+@query(f"""WITH two AS (SELECT 'two_segment' AS method, u, v0 AS early, v1 AS late, {_GRADE.replace('late', 'v1').replace('early', 'v0')} AS grade FROM {_slopes_sql(2)}),
+three AS (SELECT 'inflection' AS method, u, v0 AS early, v2 AS late, CASE WHEN v0 <= v1 AND v1 <= v2 THEN {_GRADE.replace('late', 'v2').replace('early', 'v0')} ELSE 0 END AS grade FROM {_slopes_sql(3)})
+SELECT method, u, CASE WHEN u IN {_SHORT} THEN 0 ELSE grade END AS grade, CASE WHEN u IN {_SHORT} THEN 0 ELSE round(late, 6) END AS late, CASE WHEN u IN {_SHORT} THEN 0 ELSE round(early, 6) END AS early FROM (FROM two UNION ALL FROM three)""")
+def trend_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend grades by method; series of fewer than forty rows are normal."""
+    rows, out = series(spark, sf_dir), None
+    for method in ("two_segment", "inflection"):
+        one = T.trend_grades(rows, _U, "i", "t", "v", method, 40, watch=1.0, danger=4.0).withColumn("method", F.lit(method))
+        out = one if out is None else out.unionByName(one)
+    return _round(out, 6, "late", "early").select("method", "u", "grade", "late", "early")
+
+
+@query()
+def walk_forward_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve features of every epoch of buffers of ten series each."""
+    rows = series(spark, sf_dir).withColumn("alpha", 1 + (F.col("u") % 3) / 2)
+    return T.buffer_bank(T.walk_forward_bank(rows, _U, "i", "t", "v", "alpha", 5.0).withColumn("buffer", F.floor(F.col("u") / 10)), ["buffer"], "i")

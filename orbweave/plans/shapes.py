@@ -92,3 +92,22 @@ def block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = cells.select((F.col("r") + 1).alias("r"), (F.col("c") + 2).alias("c"), F.col("a").alias("b"))
     block: Column = F.floor(F.col("r") / 16) * 4 + F.floor(F.col("c") / 16)
     return I.block_shift(cells.join(moved, ["r", "c"]).withColumn("block", block), ["block"], 3).select("block", "dr", "dc")
+
+
+@query(f"""WITH s AS (SELECT r // 16 AS slice, c AS x, r % 16 AS y, v FROM {GRID} WHERE w >= 0.05)
+SELECT slice, count(*) AS n, round((covar_pop(v, x) * var_pop(y) - covar_pop(v, y) * covar_pop(x, y)) / (var_pop(x) * var_pop(y) - pow(covar_pop(x, y), 2)), 6) AS along, round((covar_pop(v, y) * var_pop(x) - covar_pop(v, x) * covar_pop(x, y)) / (var_pop(x) * var_pop(y) - pow(covar_pop(x, y), 2)), 6) AS across FROM s GROUP BY slice""")
+def masked_stack_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ramp of each slice of a stack, out of its cells of good coherence alone."""
+    cells = grid(spark, sf_dir).select(F.floor(F.col("r") / 16).alias("slice"), F.col("c").alias("x"), (F.col("r") % 16).alias("y"), "v", "w")
+    found = I.masked_regression(cells, ["slice"], "v", ["x", "y"], "w", 0.05)
+    return found.select("slice", "n", F.round(F.col("coefficients")[1], 6).alias("along"), F.round(F.col("coefficients")[2], 6).alias("across"))
+
+
+@query(f"""WITH p AS MATERIALIZED (SELECT u, event_id::VARCHAR AS id, t AS x, v AS y, k, md5('42:' || k::VARCHAR || ':' || event_id::VARCHAR) AS h FROM {SERIES}, range(1, 21) g(k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY u, k ORDER BY h, id) AS n FROM p), l AS (SELECT a.u, a.k, (b.y - a.y) / (b.x - a.x) AS m, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS c FROM o a JOIN o b ON a.u = b.u AND a.k = b.k AND a.n = 1 AND b.n = 2 WHERE a.x <> b.x),
+s AS (SELECT l.u, l.k, m, c, count(*) FILTER (abs(y - m * x - c) <= 30) AS n FROM p JOIN l ON p.u = l.u AND p.k = l.k GROUP BY ALL), best AS (SELECT u, arg_min(m, row(-n, k)) AS m, arg_min(c, row(-n, k)) AS c FROM s GROUP BY u)
+SELECT e.u, count(*) AS n, count(*) FILTER (abs(v - m * t - c) <= 30) AS inliers, round(regr_slope(v, t) FILTER (abs(v - m * t - c) <= 30), 5) AS slope, round(regr_intercept(v, t) FILTER (abs(v - m * t - c) <= 30), 4) AS intercept FROM {SERIES} e JOIN best USING (u) GROUP BY e.u""")
+def seeded_consensus_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of each series that most of its points agree on."""
+    out = I.ransac_line(series(spark, sf_dir), ["u"], "event_id", "t", "v", 20, 30.0)
+    return out.select("u", "n", "inliers", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"))

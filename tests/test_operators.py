@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions import grades as G, scalar as S
-from orbweave.operators import cluster as C, joins as J, raster as X, rules as U, runs as R, series as T, shapes as G, stats as A
+from orbweave.operators import cluster as C, inversion as I, joins as J, raster as X, rules as U, runs as R, series as T, shapes as G, stats as A
 from orbweave.sources import readers, writers
 from orbweave.streaming import alarms
 
@@ -86,6 +86,75 @@ def test_quadratic(spark):
     assert only(T.quadratic(line(spark, lambda t: 3 * t * t - t + 7), ["u"], "t", "v")).acceleration == pytest.approx(3)
 
 
+def test_trends_by_each_method(spark):
+    values = {"bent": [0.0] * 10 + [-3.0 * k for k in range(1, 11)], "flat": [0.0] * 20, "short": [0.0, -9.0, -20.0], "curve": [-0.2 * k * k + 0.01 * (-1) ** k for k in range(20)]}
+    rows = spark.createDataFrame([(u, k + 1, float(k), v) for u, vs in values.items() for k, v in enumerate(vs)], "u string, i long, t double, v double")
+    for method in T.TRENDS:
+        found = {r.u: (r.grade, r.late) for r in T.trend_grades(rows, ["u"], "i", "t", "v", method, watch=1.0, danger=2.5, curve_min=0.3).collect()}
+        assert found["flat"] == (0, 0) and found["short"] == (0, 0) and found["curve"][0] == 2 and found["bent"][0] >= (method != "quadratic") and found["curve"][1] > 4
+    with pytest.raises(ValueError):
+        T.trend_grades(rows, ["u"], "i", "t", "v", "other")
+
+
+def test_twelve_features_are_those_of_each_prefix(spark):
+    rng = np.random.default_rng(31)
+    t = np.cumsum(rng.uniform(0.05, 0.3, 30))
+    v = -np.cumsum(rng.uniform(-0.5, 2.0, 30)) - t**2
+    alpha = 1.5
+    rows = spark.createDataFrame([("a", k + 1, float(t[k]), float(v[k]), alpha) for k in range(30)], "u string, i long, t double, v double, alpha double")
+    found = {r.i: r for r in T.walk_forward_bank(rows, ["u"], "i", "t", "v", "alpha").collect()}
+    assert sorted(found) == list(range(8, 31))
+    fall = lambda a, b: -np.polyfit(t[a:b], v[a:b], 1)[0]
+    for n, r in found.items():
+        now, since = t[n - 1], lambda span, n=n: int(np.searchsorted(t, t[n - 1] - span - 1e-12))
+        want = {"cum1": v[since(1)] - v[n - 1], "cum2": v[since(2)] - v[n - 1], "cumF": v[0] - v[n - 1], "vel": fall(0, n), "dv": fall(n // 2, n) - fall(0, n // 2)}
+        want |= {f"{c}a": want[c] / alpha for c in ("cum1", "cum2", "cumF", "vel")} | {"vtr": fall(since(1), n) if n - since(1) >= 4 else None}
+        slopes = [(np.mean(t[e - 6 : e]), np.polyfit(t[e - 6 : e], v[e - 6 : e], 1)[0]) for e in range(6, n + 1)]
+        last = [(c, -1 / s) for c, s in slopes if s < 0][-8:]
+        if len(last) >= 3:
+            a, b = np.polyfit(*zip(*last, strict=True), 1)
+            want |= {"ivfrac": float(a < 0), "ivimm": -(-b / a - now) if a < 0 and -b / a > now else None}
+        for c, x in want.items():
+            assert (r[c] is None and x is None) or r[c] == pytest.approx(x, rel=1e-6, abs=1e-8), (n, c)
+    both = T.buffer_bank(T.walk_forward_bank(rows.unionByName(rows.withColumn("u", F.lit("b")).withColumn("v", F.col("v") * 2)), ["u"], "i", "t", "v", "alpha").withColumn("w", F.lit(1)), ["w"], "i")
+    assert {r.i: r.cumF for r in both.collect()} == pytest.approx({n: 2 * r.cumF for n, r in found.items()})
+
+
+def test_masked_regression_and_consensus(spark):
+    rng = np.random.default_rng(17)
+    x, y, q = rng.uniform(0, 5, 200), rng.uniform(-3, 3, 200), rng.random(200)
+    z = 4 + 2 * x - y + 0.5 * x * y + np.where(q < 0.4, 50, 0) + rng.normal(0, 0.1, 200)
+    rows = spark.createDataFrame([("g", float(a), float(b), float(a * b), float(c), float(w)) for a, b, c, w in zip(x, y, z, q, strict=True)], "g string, x double, y double, xy double, z double, q double").repartition(3)
+    found = only(I.masked_regression(rows, ["g"], "z", ["x", "y", "xy"], "q", 0.4))
+    m = q >= 0.4
+    assert found.n == m.sum() and np.allclose(found.coefficients, np.linalg.lstsq(np.column_stack([np.ones(200), x, y, x * y])[m], z[m], rcond=None)[0])
+    points = [("a", k, float(k), 3.0 * k - 7) for k in range(40)] + [("a", 40 + k, float(k), float(rng.uniform(-200, 200))) for k in range(15)] + [("b", 0, 1.0, 1.0), ("b", 1, 1.0, 2.0)]
+    line_ = spark.createDataFrame(points, "u string, k long, x double, y double")
+    got = only(I.ransac_line(line_.repartition(5), ["u"], "k", "x", "y", 30, 0.5))
+    assert (got.u, got.n) == ("a", 55) and got.inliers >= 40 and got.slope == pytest.approx(3, abs=0.01) and got.intercept == pytest.approx(-7, abs=0.2)
+    again = only(I.ransac_line(line_.repartition(2), ["u"], "k", "x", "y", 30, 0.5))
+    assert again.inliers == got.inliers and again.slope == pytest.approx(got.slope)
+
+
+def test_huber_lines_and_greedy_matches(spark):
+    data = [("a", float(k), 2.0 * k + 1 + (80.0 if k in (3, 17) else 0.01 * (-1) ** k)) for k in range(30)]
+    found = only(I.robust_line(spark.createDataFrame(data, "u string, x double, y double"), ["u"], "x", "y"))
+    assert found.slope == pytest.approx(2, abs=0.01) and found.intercept == pytest.approx(1, abs=0.1)
+    pairs = [("i", 1, 7, 0.9, 0.6), ("i", 1, 8, 0.9, 0.8), ("i", 2, 8, 0.7, 0.9), ("i", 2, 7, 0.7, 0.55), ("i", 3, 7, 0.5, 0.7), ("i", 4, 9, 0.4, 0.3), ("j", 1, 7, 0.1, 0.5)]
+    rows = spark.createDataFrame(pairs, "image string, pred long, ref long, score double, iou double")
+    assert sorted((r.image, r.pred, r.ref) for r in G.greedy_matches(rows, ["image"], "score", "iou", 0.5).collect()) == [("i", 1, 8), ("i", 2, 7), ("j", 1, 7)]
+
+
+def test_class_baselines(spark):
+    rows = spark.createDataFrame([("c", 1, 5.0), ("c", 1, 3.0), ("c", 2, 9.0), ("d", 1, 1.0)], "cell string, cls int, v double")
+    assert sorted((r.cell, r.v, r.dry, r.n, r.rise) for r in X.class_baseline(rows, ["cell"], "cls", "v").collect()) == [("c", 3.0, 3.0, 2, 0.0), ("c", 5.0, 3.0, 2, 2.0), ("c", 9.0, 9.0, 1, 0.0), ("d", 1.0, 1.0, 1, 0.0)]
+
+
+def test_exponential_means_skip_nulls(spark):
+    rows = spark.createDataFrame([("a", k, v) for k, v in enumerate([1.0, None, 3.0, 5.0])], "u string, i long, v double")
+    assert only(T.ewm(rows, ["u"], "i", "v", 0.5)).ewm == pytest.approx((5 + 3 * 0.5 + 1 * 0.125) / 1.625)
+
+
 def test_greedy_passes_are_not_gap_sessions(spark):
     rows = spark.createDataFrame([("a", float(t)) for t in (0, 200, 400, 800)], "u string, t double")
     assert [r.t for r in T.greedy_passes(rows, ["u"], "t", 300.0).orderBy("t").collect()] == [0, 400, 800]
@@ -363,6 +432,36 @@ def test_a_gap_ends_a_run_and_gates_keep_all_rules(spark, monkeypatch):
     assert found == {("r1", "A1"): 4, ("r2", "A1"): 7, ("r3", "A1"): 8, ("r4", "A1"): None} | {(f"r{k}", "B1"): None for k in (1, 2, 3, 4)}
 
 
+def test_first_fire_rules_are_greedy_covers(spark):
+    rng = np.random.default_rng(21)
+    names = ["f", "g", "h"]
+    units = {f"u{n}": {f: [None if rng.random() < 0.1 else float(x) for x in rng.integers(0, 6, 9)] for f in names} for n in range(12)}
+    features = spark.createDataFrame([(u, i, f, v) for u, fs in units.items() for f in names for i, v in enumerate(fs[f])], "unit string, i long, feature string, value double")
+    targets = {u: 8 if n else 0 for n, u in enumerate(units)}
+    found = {}
+    for r in U.first_fire_rules(features, spark.createDataFrame(list(targets.items()), "unit string, i long")).orderBy("unit", "step").collect():
+        found.setdefault(r.unit, []).append((r.feature, r.threshold, r.left))
+    for u, fs in units.items():
+        j, rule = targets[u], []
+        usable = [f for f in names if fs[f][j] is not None]
+        left = set(range(j))
+        if usable and not left:
+            rule.append((usable[0], fs[usable[0]][j], 0))
+        kills = {f: {i for i in left if fs[f][i] is None or fs[f][i] < fs[f][j]} for f in usable}
+        while left and len(rule) < 3 and usable and max(len(kills[f] & left) for f in usable):
+            f = min(usable, key=lambda f: (-len(kills[f] & left), f))
+            left = left - kills[f]
+            rule.append((f, fs[f][j], len(left)))
+        assert found.get(u, []) == rule
+
+
+def test_region_rules_and_knees(spark):
+    rows = [("north", "early", "A", 100.0, 10.0), ("north", "late", "A", 100.0, 90.0), ("north", "early", "B", None, None), ("north", "late", "B", None, 5.0), ("south", "late", "A", 100.0, None), ("south", "early", "A", 100.0, 50.0)]
+    fired = spark.createDataFrame(rows, "region string, rule string, kind string, t_acc double, fire double")
+    found = {r.region: (r.rule, r.score) for r in U.best_by(fired, "region").collect()}
+    assert found == {"north": ("early", pytest.approx(90 / 180)), "south": ("early", pytest.approx(50 / 180))}  # late: 10 / 180 + 100 / 30
+
+
 # scalar functions, readers and writers
 
 
