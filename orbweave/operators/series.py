@@ -6,10 +6,13 @@ where a feature may not look ahead.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from .inversion import masked_regression
+
 
 def upto(by: Sequence[str], order: str, rows: int | None = None) -> WindowSpec:
     """The last `rows` rows of a series up to the current one (all, if None)."""
@@ -196,21 +199,12 @@ def greedy_passes(rows: DataFrame, by: Sequence[str], t: str, apart: float) -> D
 
 
 def seasonal(rows: DataFrame, by: Sequence[str], t: str, v: str) -> DataFrame:
-    """Offset, rate, annual and semi-annual amplitude by least squares, t in years; series under eight rows give nulls."""
-    import numpy as np
-    import pandas as pd
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[t].to_numpy(), group[v].to_numpy()
-        if len(x) < 8:
-            c = np.full(6, np.nan)
-        else:
-            w = 2 * np.pi * x
-            c = np.linalg.lstsq(np.column_stack([np.ones_like(x), x, np.cos(w), np.sin(w), np.cos(2 * w), np.sin(2 * w)]), y, rcond=None)[0]
-        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in by}, "offset": [c[0]], "rate": [c[1]], "annual": [np.hypot(c[2], c[3])], "semiannual": [np.hypot(c[4], c[5])]})
-
-    kinds = dict(rows.dtypes)
-    return rows.select(*by, t, v).groupBy(*by).applyInPandas(fit, ", ".join([f"{k} {kinds[k]}" for k in by] + ["offset double", "rate double", "annual double", "semiannual double"]))
+    """Offset, rate, annual and semi-annual amplitude by least squares, t in years; series under eight rows give nulls. Spark adds up the products, so no series is gathered."""
+    w = 2 * math.pi * F.col(t)
+    waves = {"_c1": F.cos(w), "_s1": F.sin(w), "_c2": F.cos(2 * w), "_s2": F.sin(2 * w)}
+    found = masked_regression(rows.select(*by, t, v).withColumns(waves).withColumn("_q", F.lit(1.0)), by, v, [t, *waves], "_q", 1.0)
+    c = lambda k: F.when(F.col("n") >= 8, F.col("coefficients")[k])
+    return found.select(*by, c(0).alias("offset"), c(1).alias("rate"), F.hypot(c(2), c(3)).alias("annual"), F.hypot(c(4), c(5)).alias("semiannual"))
 
 
 def monthly(rows: DataFrame, by: Sequence[str], date: str, v: str) -> DataFrame:

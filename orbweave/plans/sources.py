@@ -1,11 +1,14 @@
-"""Queries of readers and writers that need no files of their own."""
+"""Queries of readers and writers; files they need are written to the shared folder first."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import query, table
 from ..functions import scalar as S
+from ..operators.lineage import shared_folder
 from ..sources import readers, writers
 
 
@@ -67,3 +70,19 @@ def alias_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("url"))
     return readers.best_per(rows, ["url"], F.lit(0), "page_id").select("url", "page_id")
+
+
+@query("SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal FROM customer")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV with two digits and read again by its schema."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    writers.csv(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path, 2)
+    return readers.csv(spark, path, "c_custkey long, c_name string, c_acctbal double")
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
+def summary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary written as lines of JSON and read again."""
+    path = f"{shared_folder(spark)}/summary-{uuid.uuid4().hex}"
+    writers.summary(table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")), path)
+    return spark.read.schema("segment string, n long, total double").json(path)

@@ -43,3 +43,16 @@ def sessions(rows: DataFrame, time: str, gap: str, by: list[str], late: str | No
     """Sessions ended by a gap, of a table or of a stream."""
     rows = rows.withWatermark(time, late) if late else rows
     return rows.groupBy(F.session_window(time, gap), *by).agg(F.count(F.lit(1)).alias("n")).select(*by, F.col("session_window.start").alias("start"), "n")
+
+
+def completed(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream of aggregates over all that is there now, and gives their state at its end. Each batch writes a table of its own, so a repeated batch does no harm."""
+    done: list[str] = []
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows-{number}")
+        done.append(f"{folder}/rows-{number}")
+
+    stream.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(done[-1]) if done else rows
