@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import crc_mod, remembered, table
+from .common import crc_mod, lean, remembered, table
 
 SEGMENT, HIDDEN = 64, 8
 #: Segments that are run side by side.
@@ -223,6 +223,9 @@ def predicted(text: Column, network: Network) -> Column:
     @F.pandas_udf("lang string, score double")
     def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         remembered("language")
+        yield from lean(told)(series)
+
+    def told(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in series:
             langs, scores, texts = [], [], [x or b"" for x in column]
             at = 0

@@ -22,7 +22,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_mod, mounted, remembered, table
+from .common import crc_mod, lean, mounted, remembered, table
 
 #: Tokens of a block, and bytes of training text per shard.
 BLOCK, SHARD = 1 << 20, 1 << 24
@@ -289,7 +289,7 @@ def train(docs: DataFrame, folder: str | None = None, shard: int = SHARD, block:
         _save(path, f"counts-{s}", counts)
         return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(keys)], "tokens": [int(counts.sum())]})
 
-    found = _texts(docs).mapInArrow(words, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(merge_words, "shard int, n long, tokens long").collect()
+    found = _texts(docs).mapInArrow(lean(words), "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(merge_words, "shard int, n long, tokens long").collect()
     sizes = {r["shard"]: r["n"] for r in found}
     model.starts = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(shards)])]).tolist()
     model.words, model.tokens = model.starts[-1], sum(r["tokens"] for r in found)
@@ -362,7 +362,7 @@ def train(docs: DataFrame, folder: str | None = None, shard: int = SHARD, block:
         return pa.table({"what": [what], "types": pa.array([int(before.sum())], pa.int64()), "once": pa.array([once_of(before)], pa.list_(pa.int64()))})
 
     schema = "what string, to long, part long, keys binary, counts binary, once array<long>"
-    counts = _texts(docs).mapInArrow(triples, "shard int, keys binary, now binary, counts binary").groupBy("shard").applyInArrow(merge_triples, schema)
+    counts = _texts(docs).mapInArrow(lean(triples), "shard int, keys binary, now binary, counts binary").groupBy("shard").applyInArrow(merge_triples, schema)
     lower = counts.groupBy("what", "to").applyInArrow(merge_pairs, schema)
     parts = shards
     while parts > PARTS:
@@ -395,7 +395,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 pa.array(np.add.reduceat(base, begins)), pa.array(np.add.reduceat(own, begins)),
             ], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return _texts(docs).mapInArrow(score, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    return _texts(docs).mapInArrow(lean(score), f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import lean, table
 from .tokens import default_path, id_batches
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 4096, closing:
         if names:
             yield from flush()
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(packed, schema)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(packed), schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

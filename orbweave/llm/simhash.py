@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import written, table
+from .common import lean, table, written
 from .components import stars
 from .similar import confirmed, printed
 
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(each, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(each), f"doc_id {kind}, fp long")
 
 
 def blocks(errors: int) -> list[int]:
@@ -261,7 +261,7 @@ def walked(distinct: DataFrame, errors: int, stars_only: bool = True) -> DataFra
             yield from found(np.concatenate(held))
 
     dealt = walks(distinct, errors).select(F.col("rot").cast("long").alias("rot"), "a", "b", "r", *([] if stars_only else ["of"]))
-    return dealt.repartition("rot", "a", "b").sortWithinPartitions("rot", "a", "b").mapInArrow(each, "m int, u long, v long")
+    return dealt.repartition("rot", "a", "b").sortWithinPartitions("rot", "a", "b").mapInArrow(lean(each), "m int, u long, v long")
 
 
 def linked(distinct: DataFrame, errors: int) -> DataFrame:

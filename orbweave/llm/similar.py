@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import remembered, written
+from .common import lean, remembered, written
 
 #: Documents that are sent to all executors at most when sets are read again.
 SENT = 200_000
@@ -72,7 +72,7 @@ def printed(docs: DataFrame, words: int, prints: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "key", "n", "fps"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(each, f"doc_id {kind}, key long, n long, fps array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(each), f"doc_id {kind}, key long, n long, fps array<long>")
 
 
 def sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
@@ -84,7 +84,7 @@ def sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
             found = [shingles(x or b"", words, seed) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "own"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(each, "key long, own binary")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(each), "key long, own binary")
 
 
 def confirmed(pairs: DataFrame, own: DataFrame, docs: DataFrame, words: int, seed: int, share: tuple[int, int]) -> DataFrame:
@@ -113,4 +113,4 @@ def confirmed(pairs: DataFrame, own: DataFrame, docs: DataFrame, words: int, see
     texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
     whole = written(sets(texts, words, seed).join(few, "key", "left_semi").dropDuplicates(["key"]))
     sides = pairs.join(whole.select(F.col("key").alias("a"), F.col("own").alias("_a")), "a").join(whole.select(F.col("key").alias("b"), F.col("own").alias("_b")), "b")
-    return written(sides.select("a", "b", "_a", "_b").mapInArrow(similar, "a long, b long"))
+    return written(sides.select("a", "b", "_a", "_b").mapInArrow(lean(similar), "a long, b long"))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import settled, table
+from .common import lean, settled, table
 from .tokens import default_path, id_batches
 
 #: Lengths of one range; ranges are summed among each other, and lengths within their range.
@@ -31,7 +31,7 @@ def encoded_lengths(docs: DataFrame, path: str) -> DataFrame:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["n_tokens", "docs"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(count, "n_tokens long, docs long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(count), "n_tokens long, docs long")
 
 
 def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType
 
-from .common import mounted, table
+from .common import lean, mounted, table
 from .tokens import default_path, id_batches
 
 #: Tokens of a window, and rows of a file.
@@ -150,7 +150,7 @@ def token_matrices(docs: DataFrame, path: str | None = None, length: int = 2048,
     """sequence_id, ids (length little-endian unsigned 16-bit ids, padded), n_tokens, cu_seqlens, position_resets (packed bits, most significant first), doc_ids and starts of the segments. Ids must be below 65,536."""
     kind = docs.schema["doc_id"].dataType
     schema = f"sequence_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets binary, doc_ids array<{kind.simpleString()}>, starts array<long>"
-    return _texts(docs).mapInArrow(_packer(kind, path or default_path(), length, closing, padding, window), schema)
+    return _texts(docs).mapInArrow(lean(_packer(kind, path or default_path(), length, closing, padding, window)), schema)
 
 
 def token_files(docs: DataFrame, folder: str | None = None, path: str | None = None, length: int = 2048, closing: int | None = 49407, padding: int = 49407, window: int = WINDOW, rows: int = ROWS) -> DataFrame:
@@ -203,7 +203,7 @@ def token_files(docs: DataFrame, folder: str | None = None, path: str | None = N
             yield from flush()
 
     schema = f"file string, row int, sequence_id long, n_tokens int, ids_crc32 long, cu_seqlens array<int>, doc_ids array<{kind.simpleString()}>, starts array<long>"
-    return _texts(docs).mapInArrow(write, schema).withColumn("file", F.concat(F.lit(into + "/"), "file"))
+    return _texts(docs).mapInArrow(lean(write), schema).withColumn("file", F.concat(F.lit(into + "/"), "file"))
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
