@@ -227,3 +227,9 @@ def class_baseline(rows: DataFrame, cell: Sequence[str], cls: str, v: str) -> Da
     """rows with dry (the smallest v of the cell among the epochs of the same class), n (how many these are) and rise (v less dry)."""
     w = Window.partitionBy(*cell, cls)
     return rows.withColumn("dry", F.min(v).over(w)).withColumn("n", F.count(v).over(w)).withColumn("rise", F.col(v) - F.col("dry"))
+
+
+def nearest_nodes(points: DataFrame, nodes: DataFrame, v: str, size: float) -> DataFrame:
+    """points (x, y, ...) with r, c and v of the nearest node, nodes lying at (c * size, r * size); a point halfway takes the higher one, and points whose node has no row are left out."""
+    at = lambda c: F.floor(F.col(c) / size + 0.5)
+    return points.withColumn("r", at("y")).withColumn("c", at("x")).join(nodes.select("r", "c", v), ["r", "c"])

@@ -5,6 +5,7 @@ Pairs of polygons meet in the cells of their bounding boxes, grown by the search
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -153,3 +154,28 @@ def greedy_matches(pairs: DataFrame, by: Sequence[str], score: str, iou: str, le
         return F.when(F.array_contains(acc["done"], p["pred"].cast("bigint")) | (best["ref"] < 0), acc).otherwise(taken)
 
     return lists.select(*by, F.inline(F.aggregate("_p", zero, step, lambda acc: acc["out"])))
+
+
+def rasterized(rows: DataFrame, key: str, ring: str, radius: float, size: float, closed: bool = True) -> DataFrame:
+    """key, r, c, d: the cells whose centres are within the radius of each polygon (d 0 inside), or of each line of corners if not closed."""
+    lines = F.slice(edges(F.col("_ring")), F.lit(1), F.size("_ring") - (0 if closed else 1))
+    xs, ys = _cells(ring, size, radius)
+    cover = rows.select(key, F.col(ring).alias("_ring"), F.explode(xs).alias("c"), ys.alias("_ys")).select(key, "_ring", "c", F.explode("_ys").alias("r"))
+    centre = cover.withColumn("_at", F.struct(((F.col("c") + 0.5) * size).alias("x"), ((F.col("r") + 0.5) * size).alias("y")))
+    d = F.array_min(F.transform(lines, lambda s: to_segment(F.col("_at"), s)))
+    return centre.select(key, "r", "c", (F.when(inside(F.col("_at"), F.col("_ring")), F.lit(0.0)).otherwise(d) if closed else d).alias("d")).filter(F.col("d") <= radius)
+
+
+def rotated_box(ring: Column) -> Column:
+    """struct<long, short, angle>: sides and direction (of the long one, radians from 0 to pi) of the smallest rectangle around a ring. One of its sides lies along two of the corners, so all pairs of corners are tried."""
+    pairs = F.flatten(F.transform(ring, lambda a: F.transform(ring, lambda b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))))
+
+    def boxed(d: Column) -> Column:
+        n = F.hypot(d["x"], d["y"])
+        along, across = F.transform(ring, lambda p: (p["x"] * d["x"] + p["y"] * d["y"]) / n), F.transform(ring, lambda p: (p["y"] * d["x"] - p["x"] * d["y"]) / n)
+        w, h = F.array_max(along) - F.array_min(along), F.array_max(across) - F.array_min(across)
+        turn = F.atan2(d["y"], d["x"]) + F.when(h > w, F.lit(math.pi / 2)).otherwise(F.lit(0.0))
+        return F.struct(F.round(w * h, 9).alias("area"), F.greatest(w, h).alias("long"), F.least(w, h).alias("short"), F.pmod(turn, F.lit(math.pi)).alias("angle"))
+
+    best = F.array_min(F.transform(F.filter(pairs, lambda d: (d["x"] != 0) | (d["y"] != 0)), boxed))
+    return F.struct(best["long"].alias("long"), best["short"].alias("short"), best["angle"].alias("angle"))

@@ -179,11 +179,10 @@ def fuzzy_otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fuzzy_otsu(cells, ["b"], "v").groupBy("b").agg(F.count_if("member").alias("members"), F.count(F.lit(1)).alias("cells"))
 
 
-@query(f"SELECT r, c, round(g.v, 6) AS v FROM (SELECT floor(y / 20)::BIGINT AS r, floor(x / 20)::BIGINT AS c, k FROM {points_sql('customer', 'c_custkey')}) p JOIN {GRID} g USING (r, c)")
+@query(f"SELECT r, c, round(g.v, 6) AS v FROM (SELECT floor(y / 20 + 0.5)::BIGINT AS r, floor(x / 20 + 0.5)::BIGINT AS c, k FROM {points_sql('customer', 'c_custkey')}) p JOIN {GRID} g USING (r, c)")
 def nearest_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of the cells that points fall in."""
-    at = points(spark, sf_dir, "customer", "c_custkey").select(F.floor(F.col("y") / 20).alias("r"), F.floor(F.col("x") / 20).alias("c"))
-    return at.join(grid(spark, sf_dir).select("r", "c", F.round("v", 6).alias("v")), ["r", "c"])
+    """Values of the nearest nodes of a grid of twenty metres."""
+    return R.nearest_nodes(points(spark, sf_dir, "customer", "c_custkey"), grid(spark, sf_dir), "v", 20.0).select("r", "c", F.round("v", 6).alias("v"))
 
 
 @query("""SELECT event_type, CASE WHEN contains(event_type, 'pur') THEN '하수관' WHEN contains(event_type, 'cli') THEN '굴착' WHEN contains(event_type, 'err') THEN '다짐불량' ELSE '기타' END AS cause, count(*) AS n FROM events GROUP BY 1, 2""")

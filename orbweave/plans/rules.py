@@ -205,3 +205,19 @@ def control_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = rows.filter("u % 7 = 0").unionByName(rows.join(chosen, "u", "left_semi").select(*rows.columns))
     units = both.groupBy("u").agg(F.max("v").alias("m")).withColumn("arm", F.when(F.col("u") % 7 == 0, F.lit("event")).otherwise(F.lit("control")))
     return units.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("m"), 6).alias("mid"), F.round(F.percentile("m", 0.9), 6).alias("p90"))
+
+
+@query(f"""WITH f AS MATERIALIZED (SELECT * FROM {_fires(_SINGLE_SQL)}), b AS (SELECT rule, avg(CASE WHEN fire IS NOT NULL THEN 1.0 ELSE 0.0 END)::DOUBLE AS bg FROM f WHERE kind = 'B' GROUP BY rule),
+a AS MATERIALIZED (SELECT rule, unit, fire, CASE WHEN fire <= t_acc THEN t_acc - fire END AS lead FROM f WHERE kind = 'A'),
+s AS (SELECT x.unit, x.rule, x.fire, x.lead, count(o.lead)::DOUBLE / count(*) AS det, coalesce(median(o.lead) / 365.25, 99) + 2 * any_value(b.bg) AS j FROM a x JOIN a o ON o.rule = x.rule AND o.unit <> x.unit JOIN b ON b.rule = x.rule GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY round(j, 9), rule) AS k FROM s WHERE det >= 0.7)
+SELECT u.unit, k.rule IS NOT NULL AS chosen, round(k.fire, 6) AS fire, round(k.lead, 6) AS lead FROM (SELECT DISTINCT unit FROM a) u LEFT JOIN k ON k.unit = u.unit AND k.k = 1""")
+def loao_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each accident the rule found without it, and its lead there."""
+    features = _features(spark, sf_dir)
+    shares = spark.createDataFrame([(q, int(round(100 * q))) for q in _SHARES], "share double, q int")
+    cuts = features.filter("kind = 'B'").groupBy("feature").agg(F.percentile("value", F.array(*[F.lit(x) for x in _SHARES])).alias("c")).select("feature", F.posexplode("c").alias("p", "threshold"))
+    named = cuts.join(shares.withColumn("p", F.array_position(F.array(*[F.lit(x) for x in _SHARES]), F.col("share")).cast("int") - 1), "p")
+    rules = named.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(F.concat_ws("|", "feature", F.col("q").cast("string"), F.col("k").cast("string")).alias("rule"), "k", "feature", "threshold")
+    out = R.leave_one_out_rules(R.fires(features, rules), 0.7)
+    return out.select("unit", F.col("rule").isNotNull().alias("chosen"), F.round("fire", 6).alias("fire"), F.round("lead", 6).alias("lead"))

@@ -111,3 +111,18 @@ def seeded_consensus_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line of each series that most of its points agree on."""
     out = I.ransac_line(series(spark, sf_dir), ["u"], "event_id", "t", "v", 20, 30.0)
     return out.select("u", "n", "inliers", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+@query(f"""WITH g AS (SELECT k, r, c, (c + 0.5) * 10 AS x, (r + 0.5) * 10 AS y, x0, y0, x1, y1 FROM {_BOXES}, LATERAL (SELECT unnest(range(floor((x0 - 12) / 10)::BIGINT, floor((x1 + 12) / 10)::BIGINT + 1)) AS c), LATERAL (SELECT unnest(range(floor((y0 - 12) / 10)::BIGINT, floor((y1 + 12) / 10)::BIGINT + 1)) AS r)),
+d AS (SELECT k, r, c, sqrt(pow(greatest(0, x0 - x, x - x1), 2) + pow(greatest(0, y0 - y, y - y1), 2)) AS d FROM g) SELECT k, r, c, round(d, 6) AS d FROM d WHERE d <= 12""")
+def rasterized_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells in and around the buildings."""
+    return S.rasterized(_boxes(spark, sf_dir), "k", "ring", 12.0, 10.0).withColumn("d", F.round("d", 6))
+
+
+@query("""SELECT s_suppkey AS k, round(greatest(20.0 + s_suppkey % 30, 15.0 + s_suppkey % 20) * 2, 6)::DOUBLE AS long, round(least(20.0 + s_suppkey % 30, 15.0 + s_suppkey % 20) * 2, 6)::DOUBLE AS short FROM supplier""")
+def rotated_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest rectangle around each building, after all of them were turned and doubled."""
+    a = 2 * F.cos(F.col("k") % 7 / F.lit(5.0)), 2 * F.sin(F.col("k") % 7 / F.lit(5.0))
+    turned = _boxes(spark, sf_dir).withColumn("a", a[0]).withColumn("b", a[1]).withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] * F.col("a") - p["y"] * F.col("b")).alias("x"), (p["x"] * F.col("b") + p["y"] * F.col("a")).alias("y"))))
+    return turned.withColumn("_b", S.rotated_box(F.col("ring"))).select("k", F.round("_b.long", 6).alias("long"), F.round("_b.short", 6).alias("short"))

@@ -145,6 +145,17 @@ def test_huber_lines_and_greedy_matches(spark):
     assert sorted((r.image, r.pred, r.ref) for r in G.greedy_matches(rows, ["image"], "score", "iou", 0.5).collect()) == [("i", 1, 8), ("i", 2, 7), ("j", 1, 7)]
 
 
+def test_fuzzy_members_lie_on_both_sides(spark):
+    values = [1.0] * 40 + [9.0] * 40 + [5.0] * 5 + [4.9, 0.0, 10.0]
+    rows = spark.createDataFrame([("b", k, v) for k, v in enumerate(values)], "b string, k long, v double")
+    threshold = only(X.otsu(rows, ["b"], "v")).threshold
+    low, high = np.mean([v for v in values if v < threshold]), np.mean([v for v in values if v >= threshold])
+    want = [1 - math.exp(-((v - (low + high) / 2) ** 2) / (2 * ((high - low) / 2) ** 2)) >= 0.9 for v in values]
+    assert [r.member for r in X.fuzzy_otsu(rows, ["b"], "v").orderBy("k").collect()] == want
+    wide = {r.v: r.member for r in X.fuzzy_otsu(rows.unionByName(spark.createDataFrame([("b", 99, -30.0)], "b string, k long, v double")), ["b"], "v").collect()}
+    assert wide[-30.0] and not wide[5.0]
+
+
 def test_class_baselines(spark):
     rows = spark.createDataFrame([("c", 1, 5.0), ("c", 1, 3.0), ("c", 2, 9.0), ("d", 1, 1.0)], "cell string, cls int, v double")
     assert sorted((r.cell, r.v, r.dry, r.n, r.rise) for r in X.class_baseline(rows, ["cell"], "cls", "v").collect()) == [("c", 3.0, 3.0, 2, 0.0), ("c", 5.0, 3.0, 2, 2.0), ("c", 9.0, 9.0, 1, 0.0), ("d", 1.0, 1.0, 1, 0.0)]
@@ -248,6 +259,16 @@ def test_polygons_that_overlap_have_no_distance(spark):
     assert set(merged.values()) == {"base"} and G.merged(rows.withColumn("o", F.col("k")), "k", "o", "ring", 0.5, 5.0).select("whole").distinct().count() == len(shapes)
 
 
+def test_rasters_and_rectangles_of_shapes(spark):
+    rows = spark.createDataFrame([(1, [(0.0, 0.0), (6.0, 0.0), (0.0, 6.0)])], f"k long, ring {RING}")
+    inside = {(r.r, r.c) for r in G.rasterized(rows, "k", "ring", 0.0, 1.0).collect()}
+    assert inside == {(r, c) for r in range(6) for c in range(6) if r + c + 1 <= 6}
+    assert {(r.r, r.c) for r in G.rasterized(rows, "k", "ring", 0.6, 1.0, closed=False).collect()} == {(r, c) for r in range(-1, 7) for c in range(-1, 7) if (-1 <= r <= 0 and -0.6 <= c + 0.5 <= 6.6 and abs(r + 0.5) <= 0.6 and 0 <= c + 0.5 <= 6) or abs(r + c + 1 - 6) / math.sqrt(2) <= 0.6 and r >= 0 and c >= 0} | {(r, c) for r in (-1, 0) for c in (-1, 6) if math.hypot(c + 0.5 - (0 if c < 0 else 6), r + 0.5) <= 0.6}
+    turned = [(x * math.cos(0.3) - y * math.sin(0.3), x * math.sin(0.3) + y * math.cos(0.3)) for x, y in [(0, 0), (8, 0), (8, 3), (4, 3), (0, 3)]]
+    box = only(spark.createDataFrame([(turned,)], f"ring {RING}").select(G.rotated_box(F.col("ring")).alias("b"))).b
+    assert (box.long, box.short, box.angle) == (pytest.approx(8), pytest.approx(3), pytest.approx(0.3))
+
+
 def test_clipped_areas_and_attribution(spark):
     pairs = [(square(0, 0, 10, 10), square(5, 5, 10, 10), 25.0), (square(0, 0, 10, 10), square(2, 2, 3, 3), 9.0), (square(0, 0, 2, 2), square(5, 5, 1, 1), 0.0), ([(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)], square(0, 0, 2, 2)[::-1], 4.0), ([(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (3.0, 1.0), (0.0, 6.0)], square(0, 0, 6, 1), 6.0)]
     rows = spark.createDataFrame(pairs, f"a {RING}, b {RING}, want double")
@@ -462,6 +483,23 @@ def test_region_rules_and_knees(spark):
     assert found == {"north": ("early", pytest.approx(90 / 180)), "south": ("early", pytest.approx(50 / 180))}  # late: 10 / 180 + 100 / 30
 
 
+def test_leave_one_out_refits_the_rule(spark):
+    rng = np.random.default_rng(23)
+    rows = []
+    for r in range(8):
+        rows += [(f"r{r}", f"a{n}", "A", 100.0, None if rng.random() < 0.25 else float(rng.integers(1, 120))) for n in range(7)] + [(f"r{r}", f"b{n}", "B", None, None if rng.random() < 0.6 else 5.0) for n in range(6)]
+    found = {r.unit: (r.rule, r.fire, r.lead) for r in U.leave_one_out_rules(spark.createDataFrame(rows, "rule string, unit string, kind string, t_acc double, fire double"), 0.6).collect()}
+    for n in range(7):
+        best = None
+        for r in range(8):
+            leads = [100 - x[4] for x in rows if x[0] == f"r{r}" and x[2] == "A" and x[1] != f"a{n}" and x[4] is not None and x[4] <= 100]
+            bg = np.mean([x[4] is not None for x in rows if x[0] == f"r{r}" and x[2] == "B"])
+            if len(leads) / 6 >= 0.6:
+                best = min(best or (99, ""), (round(np.median(leads) / 365.25 + 2 * bg, 9), f"r{r}"))
+        own = next((x[4] for x in rows if best and x[0] == best[1] and x[1] == f"a{n}"), None)
+        assert found[f"a{n}"] == ((best[1], own, 100 - own if own is not None and own <= 100 else None) if best else (None, None, None))
+
+
 # scalar functions, readers and writers
 
 
