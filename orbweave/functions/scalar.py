@@ -119,6 +119,18 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Degrees from north, 0 to 360, in which the second point lies."""
+    a, b, turn = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
+    return F.pmod(F.degrees(F.atan2(F.sin(turn) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(turn))), F.lit(360.0))
+
+
+def along_across(lat1: Column, lon1: Column, lat2: Column, lon2: Column, heading: float) -> tuple[Column, Column]:
+    """Metres of the second point ahead of the first in the direction of flight (degrees), and to the right of it."""
+    d, turn = haversine_m(lat1, lon1, lat2, lon2), F.radians(bearing(lat1, lon1, lat2, lon2) - heading)
+    return d * F.cos(turn), d * F.sin(turn)
+
+
 def local_metres(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
     """Equirectangular metres east and north of a point."""
     scale = 111_320.0

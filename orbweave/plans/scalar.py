@@ -133,6 +133,18 @@ def tolerant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(S.tolerant_number(text), 2).alias("amount"), S.first_filled(first, F.col("c_name")).alias("name"))
 
 
+@query("""WITH p AS (SELECT s_suppkey, 33 + (s_suppkey * 37 % 1000) / 200.0::DOUBLE AS lat, 125 + (s_suppkey * 91 % 1000) / 200.0::DOUBLE AS lon FROM supplier),
+d AS (SELECT s_suppkey, 2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(lat - 37.5) / 2), 2) + cos(radians(37.5)) * cos(radians(lat)) * pow(sin(radians(lon - 127) / 2), 2)))) AS d,
+atan2(sin(radians(lon - 127)) * cos(radians(lat)), cos(radians(37.5)) * sin(radians(lat)) - sin(radians(37.5)) * cos(radians(lat)) * cos(radians(lon - 127))) - radians(349.0) AS turn FROM p)
+SELECT s_suppkey, round(d * cos(turn), 3) AS along, round(d * sin(turn), 3) AS across FROM d""")
+def along_across_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far points lie along and across a satellite's track."""
+    k = F.col("s_suppkey")
+    lat, lon = 33 + (k * 37 % 1000) / F.lit(200.0), 125 + (k * 91 % 1000) / F.lit(200.0)
+    along, across = S.along_across(F.lit(37.5), F.lit(127.0), lat, lon, 349.0)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(along, 3).alias("along"), F.round(across, 3).alias("across"))
+
+
 @query("""
 SELECT a.s_suppkey, round(2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(lat - 37.5) / 2), 2) + cos(radians(37.5)) * cos(radians(lat)) * pow(sin(radians(lon - 127) / 2), 2)))), 3) AS metres
 FROM (SELECT s_suppkey, 33 + (s_suppkey * 37 % 1000) / 200.0::DOUBLE AS lat, 125 + (s_suppkey * 91 % 1000) / 200.0::DOUBLE AS lon FROM supplier) a""")
