@@ -8,6 +8,7 @@ from ..catalog import query, table
 from ..functions import grades as G, scalar as S
 from ..operators import cluster as C, joins as J, raster as R, rules as U, series as T
 from .common import GRID, SERIES, grid, points, points_sql, series
+from .raster import _otsu_sql
 from .rules import _F, _features, _fires, _scores
 
 
@@ -172,7 +173,11 @@ def exposure_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("roads"), F.round(F.sum("c_acctbal"), 2).alias("people"))
 
 
-@query()
+_HALVES = f"(SELECT *, r // 32 AS b FROM {GRID})"
+
+
+@query(f"""WITH m AS (SELECT b, avg(v) FILTER (v < threshold) AS lo, avg(v) FILTER (v >= threshold) AS hi FROM {_HALVES} JOIN {_otsu_sql(_HALVES)} USING (b) GROUP BY b)
+SELECT b, count(*) FILTER (1 - exp(-pow(v - (lo + hi) / 2, 2) / (2 * pow((hi - lo) / 2, 2))) >= 0.9) AS members, count(*) AS cells FROM {_HALVES} JOIN m USING (b) GROUP BY b""")
 def fuzzy_otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells far from the middle of the two classes, on either side."""
     cells = grid(spark, sf_dir).withColumn("b", F.floor(F.col("r") / 32))
