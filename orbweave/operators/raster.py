@@ -233,3 +233,14 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, v: str, size: float) -> D
     """points (x, y, ...) with r, c and v of the nearest node, nodes lying at (c * size, r * size); a point halfway takes the higher one, and points whose node has no row are left out."""
     at = lambda c: F.floor(F.col(c) / size + 0.5)
     return points.withColumn("r", at("y")).withColumn("c", at("x")).join(nodes.select("r", "c", v), ["r", "c"])
+
+
+def water(cells: DataFrame, v: str, looks: str, size: float, dark: float, flat: float = 5.0, least: int = 3) -> DataFrame:
+    """cells with slope (degrees, of v over cells of that size) and water: v below dark, slope below flat, at least `least` looks."""
+    return slope_degrees(cells, v, size).withColumn("water", (F.col(v) < dark) & (F.col("slope") < flat) & (F.col(looks) >= least))
+
+
+def damage_areas(cells: DataFrame, by: Sequence[str], loss: str, high: float = 0.3, risk: float = 0.15, km2: float = 0.0009) -> DataFrame:
+    """by..., high and risk (cells whose coherence fell by as much, or by at least risk but less than high) and km2, the area of both."""
+    d = F.col(loss)
+    return cells.groupBy(*by).agg(F.count_if(d >= high).alias("high"), F.count_if((d >= risk) & (d < high)).alias("risk"), (F.count_if(d >= risk) * km2).alias("km2"))

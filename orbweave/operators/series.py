@@ -304,3 +304,11 @@ def buffer_bank(features: DataFrame, buffer: Sequence[str], i: str) -> DataFrame
     """The features of walk_forward_bank of the points of a buffer: the largest of each epoch, of ivfrac the mean."""
     names = ("cum1", "cum1a", "cum2", "cum2a", "cumF", "cumFa", "vel", "vela", "vtr", "dv", "ivimm")
     return features.groupBy(*buffer, i).agg(*[F.max(c).alias(c) for c in names], F.avg("ivfrac").alias("ivfrac"))
+
+
+def largest_jumps(rows: DataFrame, by: Sequence[str], i: str, t: str, v: str, n: int = 3, width: int = 8) -> DataFrame:
+    """by..., i, jump: the n largest changes between the slope of the last `width` rows and that of the width rows before, the earlier of equal ones."""
+    w = Window.partitionBy(*by)
+    jump = F.abs(F.col("slope") - F.lag("slope", width).over(w.orderBy(i)))
+    found = window_slopes(rows, by, i, t, v, width).select(*by, i, jump.alias("jump")).filter("jump is not null")
+    return found.withColumn("_k", F.row_number().over(w.orderBy(F.round("jump", 9).desc(), i))).filter(F.col("_k") <= n).drop("_k")

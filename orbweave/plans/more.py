@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..catalog import query, table
 from ..functions import grades as G, scalar as S
-from ..operators import cluster as C, joins as J, raster as R, rules as U, series as T
+from ..operators import cluster as C, fusion, joins as J, raster as R, rules as U, series as T
 from .common import GRID, SERIES, grid, points, points_sql, series
 from .raster import _otsu_sql
 from .rules import _F, _features, _fires, _scores
@@ -65,12 +65,7 @@ def sensor_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     grade = lambda c, high, low: F.when(F.col(c) > high, 2).when(F.col(c) > low, 1).otherwise(0)
     one = points(spark, sf_dir, "customer", "c_custkey", "c_acctbal").withColumn("g", grade("c_acctbal", 8000, 5000))
     two = points(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal").withColumn("g", grade("s_acctbal", 8000, 4000))
-    near = J.radius_pairs(one, one, 30.0).groupBy(F.col("l.k").alias("k")).agg(F.count_if(F.col("r.g") > 0).alias("near"))
-    other = J.radius_pairs(one, two, 50.0).groupBy(F.col("l.k").alias("k")).agg(F.max("r.g").alias("ps"), F.count(F.lit(1)).alias("n_ps"))
-    both = one.join(near, "k").join(other, "k", "left").select("k", "g", "near", F.coalesce("ps", F.lit(0)).alias("ps"), F.coalesce("n_ps", F.lit(0)).alias("n_ps"))
-    hotspot, rescue = (F.col("g") > 0) & (F.col("near") >= 2), (F.col("g") > 0) & (F.col("ps") > 0)
-    agreement = F.when(F.col("n_ps") == 0, F.lit("③")).when((F.col("g") > 0) == (F.col("ps") > 0), F.lit("①")).otherwise(F.lit("②"))
-    return both.select("k", F.when(hotspot | rescue, G.worst("g", "ps")).otherwise(0).alias("final"), hotspot.alias("hotspot"), rescue.alias("rescue"), (F.col("n_ps") == 0).alias("void"), agreement.alias("agreement"))
+    return fusion.fused(one, two, 30.0, 50.0)
 
 
 @query(f"""WITH RECURSIVE g AS MATERIALIZED (SELECT r, c, r * 64 + c AS id FROM {GRID} WHERE w * 200 - v <= -15), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.id <> b.id),
@@ -126,10 +121,7 @@ def smooth_median_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT u, i, round(jump, 5) AS jump FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(jump, 9) DESC, i) AS k FROM j WHERE jump IS NOT NULL) WHERE k <= 3""")
 def inflection_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three largest changes of window velocity of each series: a report."""
-    slopes = T.window_slopes(series(spark, sf_dir), ["u"], "i", "t", "v", 8)
-    jump = F.abs(F.col("slope") - F.lag("slope", 8).over(Window.partitionBy("u").orderBy("i")))
-    ranked = slopes.select("u", "i", jump.alias("jump")).filter("jump is not null").withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.round("jump", 9).desc(), "i")))
-    return ranked.filter("k <= 3").select("u", "i", F.round("jump", 5).alias("jump"))
+    return T.largest_jumps(series(spark, sf_dir), ["u"], "i", "t", "v").select("u", "i", F.round("jump", 5).alias("jump"))
 
 
 _ORDER = "(SELECT l_suppkey AS s, l_quantity AS q, l_extendedprice AS d, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_extendedprice) AS i FROM lineitem)"
@@ -152,9 +144,7 @@ def search_by_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each detection floor the rule of the shortest median lead."""
     features = _features(spark, sf_dir)
     rules = U.singles(U.threshold_grid(features, [0.5, 0.8, 0.9, 0.95]), [1])
-    scored = U.scores(U.fires(features, rules)).join(rules, "rule").withColumn("floor", F.explode(F.array(*[F.lit(x) for x in (0.3, 0.5, 0.7, 0.9)]))).filter("det >= floor")
-    w = Window.partitionBy("floor").orderBy(F.round("med", 9), F.round("det", 9).desc(), "feature", "threshold")
-    best = scored.withColumn("k", F.row_number().over(w)).filter("k = 1")
+    best = U.shortest_by_floor(U.scores(U.fires(features, rules)).join(rules, "rule"), [0.3, 0.5, 0.7, 0.9], ["feature", "threshold"])
     return best.select("floor", "feature", F.round("threshold", 6).alias("threshold"), F.round("det", 6).alias("det"), F.round("med", 6).alias("med"))
 
 
@@ -201,7 +191,7 @@ def cause_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def damage_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two levels of lost coherence by zone, and their area of 30 m cells."""
     cells = grid(spark, sf_dir).select((F.floor(F.col("r") / 16) * 4 + F.floor(F.col("c") / 16)).alias("zone"), (F.col("v") / 50 - F.col("w") * 5).alias("d"))
-    return cells.groupBy("zone").agg(F.count_if(F.col("d") >= 0.3).alias("high"), F.count_if((F.col("d") >= 0.15) & (F.col("d") < 0.3)).alias("risk"), F.round(F.count_if(F.col("d") >= 0.15) * 0.0009, 6).alias("km2"))
+    return R.damage_areas(cells, ["zone"], "d").withColumn("km2", F.round("km2", 6))
 
 
 _ACCEPT = f"(SELECT a.k, first(a.g) AS g, count(*) FILTER (b.g > 0 AND b.k <> a.k) AS near, count(*) FILTER (b.g = 2 AND b.k <> a.k) AS near2 FROM {_SB} a JOIN {_SB} b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900 GROUP BY a.k)"
@@ -212,10 +202,7 @@ def acceptance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three strategies for when one sensor's grade stands by itself."""
     g = F.when(F.col("c_acctbal") > 8000, 2).when(F.col("c_acctbal") > 5000, 1).otherwise(0)
     rows = points(spark, sf_dir, "customer", "c_custkey", "c_acctbal").withColumn("g", g)
-    other = F.col("l.k") != F.col("r.k")
-    near = J.radius_pairs(rows, rows, 30.0).groupBy(F.col("l.k").alias("k"), F.col("l.g").alias("g")).agg(F.count_if(other & (F.col("r.g") > 0)).alias("near"), F.count_if(other & (F.col("r.g") == 2)).alias("near2"))
-    up = F.col("g") > 0
-    return near.select("k", up.alias("standalone"), (up & (F.col("near") >= 1)).alias("neighbour"), (up & (F.col("near") >= 3) & ((F.col("g") == 2) | (F.col("near2") >= 1))).alias("cluster"))
+    return fusion.accepted(rows, 30.0)
 
 
 @query(f"""WITH n AS (SELECT a.r, a.c, a.v, a.n, (SELECT v FROM {GRID} b WHERE b.r = a.r - 1 AND b.c = a.c) AS n1, (SELECT v FROM {GRID} b WHERE b.r = a.r + 1 AND b.c = a.c) AS n2, (SELECT v FROM {GRID} b WHERE b.r = a.r AND b.c = a.c - 1) AS w1, (SELECT v FROM {GRID} b WHERE b.r = a.r AND b.c = a.c + 1) AS w2 FROM {GRID} a),
@@ -223,9 +210,8 @@ s AS (SELECT *, degrees(atan(sqrt(pow(coalesce((n2 - n1) / 60, (n2 - v) / 30, (v
 SELECT r // 16 AS b, count(*) FILTER (v < 25 AND slope < 5 AND n > 2) AS water, round(count(*) FILTER (v < 25 AND slope < 5 AND n > 2) * 0.0009::DOUBLE, 6) AS km2 FROM s GROUP BY 1""")
 def water_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dark, flat cells of land or sea with enough looks, and their area."""
-    sloped = R.slope_degrees(grid(spark, sf_dir), "v", 30.0)
-    wet = (F.col("v") < 25) & (F.col("slope") < 5) & (F.col("n") > 2)
-    return sloped.groupBy(F.floor(F.col("r") / 16).alias("b")).agg(F.count_if(wet).alias("water"), F.round(F.count_if(wet) * 0.0009, 6).alias("km2"))
+    wet = R.water(grid(spark, sf_dir), "v", "n", 30.0, 25.0)
+    return wet.groupBy(F.floor(F.col("r") / 16).alias("b")).agg(F.count_if("water").alias("water"), F.round(F.count_if("water") * 0.0009, 6).alias("km2"))
 
 
 @query("""SELECT s_suppkey AS k, (20.0 + s_suppkey % 30) * (15.0 + s_suppkey % 20)::DOUBLE AS area, (20.0 + s_suppkey % 30)::DOUBLE AS width, (15.0 + s_suppkey % 20)::DOUBLE AS height, round(sqrt(pow(20.0 + s_suppkey % 30, 2) + pow(15.0 + s_suppkey % 20, 2)), 6) AS diagonal FROM supplier""")
