@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import crc_mod, lean, mounted, remembered, table
 
 #: Tokens of a block, and bytes of training text per shard.
-BLOCK, SHARD = 1 << 20, 1 << 24
+BLOCK, SHARD = 1 << 21, 1 << 24
 #: Words of a range in the last exchange, and parts that are summed at once there.
 RANGE, PARTS = 1 << 16, 64
 #: Arrays that a worker maps at a time, and words after a context from which on their sums are stored.
@@ -65,14 +65,18 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 def packed(keys: np.ndarray, *values: np.ndarray) -> list[bytes]:
-    """Sorted keys as differences, and counts, each in byte planes, which compress well."""
-    out = [np.diff(keys, prepend=keys.dtype.type(0)), *values]
-    return [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in out]
+    """Sorted keys as differences, and counts, each in byte planes and compressed: Spark's own compression has no code for skewed bytes."""
+    from zstandard import ZstdCompressor
+
+    out, squeeze = [np.diff(keys, prepend=keys.dtype.type(0)), *values], ZstdCompressor(level=1)
+    return [squeeze.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()) for x in out]
 
 
 def unpacked(raw: bytes, dtype: str) -> np.ndarray:
+    from zstandard import ZstdDecompressor
+
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -129,9 +133,8 @@ def counted(context: np.ndarray, now: np.ndarray, times: np.ndarray | None = Non
     return context[first], now[first], n
 
 
-def small(counts: np.ndarray) -> np.ndarray:
-    """The same in the narrowest type that holds it."""
-    return counts.astype(np.min_scalar_type(int(counts.max())) if len(counts) else np.uint8)
+#: Counts from here on are stored apart, so that the others take a byte.
+MUCH = 255
 
 
 def kinds(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -191,6 +194,14 @@ class Model:
             count[places[known]] = self.mapped(f"counts-{s}")[at[known]]
         return number, count
 
+    def times(self, order: str, s: int, at: np.ndarray) -> np.ndarray:
+        """Counts at places of a shard."""
+        out = self.mapped(f"{order}-times-{s}")[at].astype(np.int64)
+        much = np.flatnonzero(out == MUCH)
+        if len(much):
+            out[much] = self.mapped(f"{order}-most-{s}")[np.searchsorted(self.mapped(f"{order}-much-{s}"), at[much])]
+        return out
+
     def before(self, number: np.ndarray) -> np.ndarray:
         """How many pairs end in each word (-1: none)."""
         out = np.zeros(len(number), dtype=np.int64)
@@ -219,7 +230,7 @@ class Model:
             if len(few):
                 n = hi[few] - lo[few]
                 starts = np.cumsum(n) - n
-                sums[few] = kinds(self.mapped(f"{order}-times-{s}")[np.repeat(lo[few] - starts, n) + np.arange(int(n.sum()))], starts)
+                sums[few] = kinds(self.times(order, s, np.repeat(lo[few] - starts, n) + np.arange(int(n.sum()))), starts)
         p, some = lower.copy(), np.flatnonzero(sums[of, 0] > 0)
         rest = (sums[:, 1:] @ np.array(weights)) / np.maximum(sums[:, 0], 1)
         p[some] *= rest[of[some]]
@@ -229,7 +240,7 @@ class Model:
         count = np.zeros(len(keys), dtype=np.int64)
         for s, places in by_shard(shards[which]):
             at = bisected(self.mapped(f"{order}-words-{s}"), lo[which[places]], hi[which[places]], want[places])
-            count[places[at >= 0]] = self.mapped(f"{order}-times-{s}")[at[at >= 0]]
+            count[places[at >= 0]] = self.times(order, s, at[at >= 0])
         more = np.where(count > 0, count - np.array([0.0, *weights])[np.minimum(count, 3)], 0) / np.maximum(sums[which, 0], 1)
         p[seen] += more[back]
         return p
@@ -309,8 +320,8 @@ def train(docs: DataFrame, folder: str | None = None, shard: int = SHARD, block:
         starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         begins = np.append(starts, len(context))
         large = np.flatnonzero(np.diff(begins) >= model.long)
-        sums = kinds(times, starts)[large]
-        for name, x in (("heads", context[starts]), ("begins", begins.astype("<u4" if len(context) < 1 << 32 else "<u8")), ("words", now.astype("<u4")), ("times", small(times)), ("long", large.astype("<u4")), ("sums", sums)):
+        sums, much = kinds(times, starts)[large], np.flatnonzero(times >= MUCH)
+        for name, x in (("heads", context[starts]), ("begins", begins.astype("<u4" if len(context) < 1 << 32 else "<u8")), ("words", now.astype("<u4")), ("times", np.minimum(times, MUCH).astype("u1")), ("much", much), ("most", times[much]), ("long", large.astype("<u4")), ("sums", sums)):
             _save(path, f"{order}-{name}-{s}", x)
 
     def table_of(rows: list[tuple]) -> pa.Table:
