@@ -148,7 +148,9 @@ def test_scores_are_those_of_brute_force(spark, sizes, monkeypatch):
         monkeypatch.setattr(M, "MAPS", 3)
         monkeypatch.setattr(M, "PARTS", 4)
         monkeypatch.setattr(M, "LONG", 3)
+    times = ["w1 w2 w3"] * 300  # counts above a byte
     source = [r for r in rows() if r[0] is not None]
+    source += [(1001 + 5 * k, x, *source[0][2:]) for k, x in enumerate(times)]
     df = spark.createDataFrame(source, docs(spark).schema)
     train = [k for k, r in enumerate(source) if r[0] % 5]
     model = M.train(df.filter("doc_id % 5 <> 0"), **sizes)
@@ -348,7 +350,7 @@ def corpus(rng, n):
 def test_found_tokens_are_random_and_random_tokens_are_found(spark):
     """Precision and recall of each class of length, on tokens and identifiers planted into prose."""
     rng = random.Random(7)
-    words, texts = corpus(rng, 400)
+    words, texts = corpus(rng, 1200)
     alphabets = [string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "ABCDEF0123456789"]
     camel = lambda n: "".join(rng.choice(words).capitalize() for _ in range(40))[:n]
     snake = lambda n: "_".join(rng.choice(words) for _ in range(60))[:n].strip("_").ljust(n, "x")
@@ -373,7 +375,7 @@ def test_rates_count_distinct_tokens_and_need_words(spark):
     token = "".join(rng.choice(string.ascii_letters) for _ in range(40))
     few = [f"use {token} now", None, "", "plainwordsthatrunonandonandonwithoutend"]
     assert [r.n_random for r in S.secrets(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string")).collect()] == [0] * 4
-    texts = few + corpus(rng, 60)[1] + ["see abcdefghijklmnopqrstuvwxyzabcdefghij there"] * 50
+    texts = few + corpus(rng, 500)[1] + ["see abcdefghijklmnopqrstuvwxyzabcdefghij there"] * 50
     found = S.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert found[0].spans == "random:4:44" and sum(r.n_random for r in found) == 1
     assert S.secrets(nothing(spark)).count() == 0
