@@ -51,13 +51,13 @@ def exact_classes(docs: DataFrame, hashed: Callable[[Column], Column] = content_
 
 
 def drop_exact_copies(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """The rows of docs that stay, all their columns; of repeated rows of one id and text, one."""
+    """The rows of docs that stay, all their columns; of repeated rows of one id and text, the one of the smallest hash of all its columns."""
     rows = settled(exact_classes(docs, hashed).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
     keep = rows.distinct()
     marked = docs.select(F.col("doc_id").alias("_doc"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("_own"), F.struct("*").alias("_row"))
     joined = marked.join(keep, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
     if rows.count() > keep.count():  # one more shuffle, only where rows are repeated
-        joined = joined.dropDuplicates(["_doc", "_own"])
+        joined = joined.groupBy("_doc", "_own").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return joined.select("_row.*")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import lean, settled, table
 from .tokens import default_path, id_batches
 
-#: Lengths of one range; ranges are summed among each other, and lengths within their range.
+#: Lengths of one range; ranges are summed among each other, in one task (as many rows as the longest text has thousands of tokens), and lengths within their range.
 RANGE = 1024
 
 

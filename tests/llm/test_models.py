@@ -11,9 +11,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.llm import common as C, language as L, language_model as M, mixing as X, neighbours as N, secrets as S
+from orbweave.llm import common as C, language as L, language_model as M, mixing as X, neighbours as N, secrets as S, tokens as T
 
 from .data import docs, nothing, rows
+from .test_similar import brute
 
 ALPHABETS = {"en": "etaoin shrdlu", "de": "enisra tdhulß", "fr": "esaitn rulodé"}
 
@@ -396,14 +397,39 @@ def test_pipeline_stages(spark, tmp_path):
 
     docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
     nothing(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
-    stage, columns = docs(spark), docs(spark).columns
+    stage, columns, kept = docs(spark), docs(spark).columns, {}
+    identified = Counter((r.doc_id, r.lang_pred != "und" and r.score >= 0.5) for r in L.identify(stage).collect())
+    mix = None
     for name, f in corpus_pipeline.STAGES[:-1]:
+        if name == "mixture":
+            mix = X.mix(stage).toPandas()
         out = f(spark, stage, str(tmp_path))
         assert out.columns == columns, name
         out.write.parquet(str(tmp_path / name))
         stage = spark.read.parquet(str(tmp_path / name))
+        kept[name] = stage.collect()
+    # Each stage against what plain Python makes of the rows before it.
+    assert Counter(r.doc_id for r in kept["language"]) == {k: n for (k, fine), n in identified.items() if fine}
+    norm = lambda t: re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
+    least = {}
+    for r in kept["language"]:
+        least[norm(r.text)] = min(least.get(norm(r.text), math.inf), math.inf if r.doc_id is None else r.doc_id)
+    assert sorted((norm(r.text), math.inf if r.doc_id is None else r.doc_id) for r in kept["exact"]) == sorted(least.items())
+    assert {r.doc_id for r in kept["near"]} == set(brute([(r.doc_id, r.text) for r in kept["exact"]]))
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
+    taken = Counter()
+    for r in kept["mixture"]:
+        taken[r.doc_id] += words(r.text)
+    assert {k: n for k, n in taken.items() if n} == {None if k != k else int(k): n for k, n in zip(mix.doc_id, mix.taken, strict=True) if n}
     packed = corpus_pipeline.STAGES[-1][1](spark, stage, str(tmp_path))
-    assert packed.count() > 0
+    table = T.tokenizer(T.default_path())
+    lengths = []
+    for r in kept["mixture"]:
+        own = T.folded((r.text or "").encode()).split()
+        table.learn(set(own))
+        lengths.append(len(table.encoded(own)) // 4 + 1)
+    pieces = packed.collect()
+    assert sum(r.length for r in pieces) == sum(lengths) and Counter(r.doc_tokens for r in pieces if r.start == 0) == Counter(lengths)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     key = lambda df: sorted((str(r.doc_id), r.start, r.length, r.ids_crc32) for r in df.collect() if r.doc_tokens < 50)
     assert whole.columns == packed.columns and len(key(whole)) > 0

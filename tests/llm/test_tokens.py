@@ -68,6 +68,32 @@ def test_balanced_places_every_token_and_fills_every_sequence():
         assert all(n == length or n & (n - 1) == 0 for n in fill.values())
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_balanced_takes_the_cheapest_sequence_with_room(seed):
+    """Against a plain search over all sequences for every piece."""
+    rng = random.Random(seed)
+    length, lengths = 64, [rng.randint(1, 200 if seed % 2 else 40) for _ in range(60)]
+    size = P.rooms(sum(lengths), length).tolist()
+    room, cost, want, waiting, full = list(size), [0.0] * len(size), [], [], 0
+    for doc, n in enumerate(lengths):
+        whole = n // length
+        for k in range(whole):
+            want.append((doc, k * length, length, full, 0))
+            room[full] = 0
+            full += 1
+        if n % length:
+            waiting.append((n % length, doc, whole * length))
+    for n, doc, start in sorted(waiting, key=lambda x: (-x[0], x[1])):
+        while n:
+            fits = [(cost[q], q) for q in range(len(size)) if room[q] >= n]
+            at = min(fits)[1] if fits else max(range(len(size)), key=lambda q: (room[q], -q))
+            took = min(n, room[at])
+            want.append((doc, start, took, at, size[at] - room[at]))
+            room[at], cost[at] = room[at] - took, cost[at] + P.LINEAR * took + P.QUADRATIC * took * took
+            start, n = start + took, n - took
+    assert P.balanced(np.array(lengths), length) == want and not any(room)
+
+
 def test_balanced_evens_out_costs():
     placed = P.balanced(np.array([100] * 2 + [10] * 60, dtype=np.int64), 200)
     cost = {}
