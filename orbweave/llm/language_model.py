@@ -26,6 +26,8 @@ from .common import crc_mod, lean, mounted, remembered, table
 
 #: Tokens of a block, and bytes of training text per shard.
 BLOCK, SHARD = 1 << 21, 1 << 24
+#: Tokens that are scored together: their contexts are held for all orders.
+SCORED = 1 << 19
 #: Words of a range in the last exchange, and parts that are summed at once there.
 RANGE, PARTS = 1 << 16, 64
 #: Arrays that a worker maps at a time, and words after a context from which on their sums are stored.
@@ -398,7 +400,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator) -> Iterator:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for names, words, tokens, begins in blocks(batches):
+        for names, words, tokens, begins in blocks(batches, SCORED):
             own, base, known = model.log10(words, tokens, begins)
             lengths = np.diff(np.append(begins, len(tokens)))
             yield pa.RecordBatch.from_arrays([
