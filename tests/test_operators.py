@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions import grades as G, scalar as S
-from orbweave.operators import cluster as C, inversion as I, joins as J, raster as X, rules as U, runs as R, series as T, shapes as G, stats as A
+from orbweave.operators import cluster as C, inversion as I, joins as J, raster as X, rules as U, runs as R, series as T, shapes as P, stats as A
 from orbweave.sources import readers, writers
 from orbweave.streaming import alarms
 
@@ -142,7 +142,7 @@ def test_huber_lines_and_greedy_matches(spark):
     assert found.slope == pytest.approx(2, abs=0.01) and found.intercept == pytest.approx(1, abs=0.1)
     pairs = [("i", 1, 7, 0.9, 0.6), ("i", 1, 8, 0.9, 0.8), ("i", 2, 8, 0.7, 0.9), ("i", 2, 7, 0.7, 0.55), ("i", 3, 7, 0.5, 0.7), ("i", 4, 9, 0.4, 0.3), ("j", 1, 7, 0.1, 0.5)]
     rows = spark.createDataFrame(pairs, "image string, pred long, ref long, score double, iou double")
-    assert sorted((r.image, r.pred, r.ref) for r in G.greedy_matches(rows, ["image"], "score", "iou", 0.5).collect()) == [("i", 1, 8), ("i", 2, 7), ("j", 1, 7)]
+    assert sorted((r.image, r.pred, r.ref) for r in P.greedy_matches(rows, ["image"], "score", "iou", 0.5).collect()) == [("i", 1, 8), ("i", 2, 7), ("j", 1, 7)]
 
 
 def test_fuzzy_members_lie_on_both_sides(spark):
@@ -253,30 +253,30 @@ def square(x, y, a, b):
 def test_polygons_that_overlap_have_no_distance(spark):
     shapes = {"base": square(0, 0, 10, 10), "inside": square(4, 4, 2, 2), "crossing": square(8, 8, 10, 10), "cross": square(-5, 4, 20, 2), "touching": square(10, 2, 3, 3), "corner": square(13, 14, 2, 2), "same": square(0, 0, 10, 10)}
     rows = spark.createDataFrame(list(shapes.items()), f"k string, ring {RING}")
-    found = {(r.k, r.other_k): r.d for r in G.distances(rows, rows, "k", "k", "ring", 8.0, 5.0).collect()}
+    found = {(r.k, r.other_k): r.d for r in P.distances(rows, rows, "k", "k", "ring", 8.0, 5.0).collect()}
     assert {k: found["base", k] for k in shapes if k != "base"} == {"inside": 0, "crossing": 0, "cross": 0, "touching": 0, "same": 0, "corner": 5}
-    merged = {r.k: r.whole for r in G.merged(rows.withColumn("o", F.lit(1)), "k", "o", "ring", 0.5, 5.0).collect()}
-    assert set(merged.values()) == {"base"} and G.merged(rows.withColumn("o", F.col("k")), "k", "o", "ring", 0.5, 5.0).select("whole").distinct().count() == len(shapes)
+    merged = {r.k: r.whole for r in P.merged(rows.withColumn("o", F.lit(1)), "k", "o", "ring", 0.5, 5.0).collect()}
+    assert set(merged.values()) == {"base"} and P.merged(rows.withColumn("o", F.col("k")), "k", "o", "ring", 0.5, 5.0).select("whole").distinct().count() == len(shapes)
 
 
 def test_rasters_and_rectangles_of_shapes(spark):
     rows = spark.createDataFrame([(1, [(0.0, 0.0), (6.0, 0.0), (0.0, 6.0)])], f"k long, ring {RING}")
-    inside = {(r.r, r.c) for r in G.rasterized(rows, "k", "ring", 0.0, 1.0).collect()}
+    inside = {(r.r, r.c) for r in P.rasterized(rows, "k", "ring", 0.0, 1.0).collect()}
     assert inside == {(r, c) for r in range(6) for c in range(6) if r + c + 1 <= 6}
-    assert {(r.r, r.c) for r in G.rasterized(rows, "k", "ring", 0.6, 1.0, closed=False).collect()} == {(r, c) for r in range(-1, 7) for c in range(-1, 7) if (-1 <= r <= 0 and -0.6 <= c + 0.5 <= 6.6 and abs(r + 0.5) <= 0.6 and 0 <= c + 0.5 <= 6) or abs(r + c + 1 - 6) / math.sqrt(2) <= 0.6 and r >= 0 and c >= 0} | {(r, c) for r in (-1, 0) for c in (-1, 6) if math.hypot(c + 0.5 - (0 if c < 0 else 6), r + 0.5) <= 0.6}
+    assert {(r.r, r.c) for r in P.rasterized(rows, "k", "ring", 0.6, 1.0, closed=False).collect()} == {(r, c) for r in range(-1, 7) for c in range(-1, 7) if (-1 <= r <= 0 and -0.6 <= c + 0.5 <= 6.6 and abs(r + 0.5) <= 0.6 and 0 <= c + 0.5 <= 6) or abs(r + c + 1 - 6) / math.sqrt(2) <= 0.6 and r >= 0 and c >= 0} | {(r, c) for r in (-1, 0) for c in (-1, 6) if math.hypot(c + 0.5 - (0 if c < 0 else 6), r + 0.5) <= 0.6}
     turned = [(x * math.cos(0.3) - y * math.sin(0.3), x * math.sin(0.3) + y * math.cos(0.3)) for x, y in [(0, 0), (8, 0), (8, 3), (4, 3), (0, 3)]]
-    box = only(spark.createDataFrame([(turned,)], f"ring {RING}").select(G.rotated_box(F.col("ring")).alias("b"))).b
+    box = only(spark.createDataFrame([(turned,)], f"ring {RING}").select(P.rotated_box(F.col("ring")).alias("b"))).b
     assert (box.long, box.short, box.angle) == (pytest.approx(8), pytest.approx(3), pytest.approx(0.3))
 
 
 def test_clipped_areas_and_attribution(spark):
     pairs = [(square(0, 0, 10, 10), square(5, 5, 10, 10), 25.0), (square(0, 0, 10, 10), square(2, 2, 3, 3), 9.0), (square(0, 0, 2, 2), square(5, 5, 1, 1), 0.0), ([(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)], square(0, 0, 2, 2)[::-1], 4.0), ([(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (3.0, 1.0), (0.0, 6.0)], square(0, 0, 6, 1), 6.0)]
     rows = spark.createDataFrame(pairs, f"a {RING}, b {RING}, want double")
-    assert all(r.found == pytest.approx(r.want) for r in rows.select("want", G.area(G.clipped(F.col("a"), F.col("b"))).alias("found")).collect())
+    assert all(r.found == pytest.approx(r.want) for r in rows.select("want", P.area(P.clipped(F.col("a"), F.col("b"))).alias("found")).collect())
     buildings = spark.createDataFrame([(1, square(3, 3, 4, 4)), (2, square(90, 90, 4, 4)), (3, square(8, 1, 4, 4))], f"k long, ring {RING}")
     parcels = spark.createDataFrame([(10 * x + y, square(5 * x, 5 * y, 5, 5)) for x in range(3) for y in range(3)], f"p long, ring {RING}")
-    assert sorted((r.k, r.p, r.share) for r in G.attributed(buildings, parcels, "k", "p", "ring", 7.0).collect() if r.p is not None) == [(1, 0, pytest.approx(0.25)), (3, 10, pytest.approx(0.5))]
-    assert G.attributed(buildings, parcels, "k", "p", "ring", 7.0).filter("k = 2").first().p is None
+    assert sorted((r.k, r.p, r.share) for r in P.attributed(buildings, parcels, "k", "p", "ring", 7.0).collect() if r.p is not None) == [(1, 0, pytest.approx(0.25)), (3, 10, pytest.approx(0.5))]
+    assert P.attributed(buildings, parcels, "k", "p", "ring", 7.0).filter("k = 2").first().p is None
 
 
 # statistics
