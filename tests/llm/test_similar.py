@@ -20,7 +20,7 @@ def brute(data, errors=10, prints=3):
     fps = [np.array(J.majorities(J.shingles((x[1] or "").encode()), prints)) for x in data]
     for j in range(len(data)):
         for i in range(j):
-            near = (np.bitwise_count(fps[i] ^ fps[j]) <= errors).any()
+            near = (np.bitwise_count((fps[i] ^ fps[j]).view(np.uint64)) <= errors).any()
             if own[i] == own[j] or near and 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
@@ -77,7 +77,7 @@ def test_wide_budget_finds_nearly_all_similar_pairs():
         if 5 * len(a & b) >= 4 * len(a | b):
             pairs += 1
             x, y = (np.array(J.majorities(J.shingles(" ".join(t).encode()), 3)) for t in (base, other))
-            found += (np.bitwise_count(x ^ y) <= 10).any()
+            found += (np.bitwise_count((x ^ y).view(np.uint64)) <= 10).any()
     assert pairs > 300 and found / pairs > 0.97
 
 
