@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation_trie import OP12_SQL, op12_conversation_trie
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .language import op3_language
 from .language_model import op6_language_model
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": OP9_SQL,
     "op10_mixing": OP10_SQL,
+    "op12_conversation_trie": OP12_SQL,
 }
