@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .conversation_trie import OP12_SQL, op12_conversation_trie
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .language import op3_language
 from .language_model import op6_language_model
 from .mixing import OP10_SQL, op10_mixing
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": OP9_SQL,
     "op10_mixing": OP10_SQL,
     "op12_conversation_trie": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
