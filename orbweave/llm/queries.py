@@ -18,6 +18,7 @@ from .secrets import op8_secret_scan
 from .simhash import op1_simhash
 from .token_counts import op2_token_counts
 from .token_output import op4_token_output
+from .toxicity import op11_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
+    "op11_toxicity": op11_toxicity,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
