@@ -178,3 +178,62 @@ def to_ecef(lat: Column, lon: Column, height: Column) -> tuple[Column, Column, C
     n = a / F.sqrt(1 - e2 * F.pow(F.sin(F.radians(lat)), 2))
     p = (n + height) * F.cos(F.radians(lat))
     return p * F.cos(F.radians(lon)), p * F.sin(F.radians(lon)), (n * (1 - e2) + height) * F.sin(F.radians(lat))
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of x > 0: Stirling's series eight steps up, then down again."""
+    z = x + 8
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3.0))) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0))) + 1 / (1188 * F.pow(z, F.lit(9.0)))
+    steps = x
+    for k in range(1, 8):
+        steps = steps * (x + k)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
+
+
+def _front(g: Column) -> Column:
+    """x^a (1 - x)^b over the beta function of a and b, of a struct of the three."""
+    return F.exp(log_gamma(g["a"] + g["b"]) - log_gamma(g["a"]) - log_gamma(g["b"]) + g["a"] * F.log(g["x"]) + g["b"] * F.log1p(-g["x"]))
+
+
+def incomplete_beta(x: Column, a: Column, b: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, b), as a continued fraction worked out in the row: by Lentz's rule, as many terms as a and b ask for.
+
+    Null where an argument is null or outside 0 <= x <= 1, a > 0, b > 0.
+    """
+    far = x > (a + 1) / (a + b + 2)  # there the fraction of the mirrored arguments converges
+    y, p, q = F.when(far, 1 - x).otherwise(x), F.when(far, b).otherwise(a), F.when(far, a).otherwise(b)
+    s = F.struct(y.cast("double").alias("x"), p.cast("double").alias("a"), q.cast("double").alias("b"))
+    away = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def fraction(g: Column) -> Column:
+        x, a, b = g["x"], g["a"], g["b"]
+
+        def half(acc: Column, term: Column) -> Column:
+            d = 1 / away(1 + term * acc["d"])
+            c = away(1 + term / acc["c"])
+            return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+        def step(acc: Column, k: Column) -> Column:
+            even = k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
+            odd = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+            # Both halves of a step at once; arrays of one let a value be named and used again.
+            first = F.array(half(acc, even))
+            return F.element_at(F.transform(first, lambda f: half(f, odd)), 1)
+
+        d = 1 / away(1 - (a + b) * x / (a + 1))
+        terms = F.sequence(F.lit(1), F.lit(40) + F.ceil(4 * F.sqrt(F.greatest(a, b))).cast("int"))
+        return F.aggregate(F.transform(terms, lambda k: k.cast("double")), F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h")), step, lambda acc: acc["h"])
+
+    tail = F.element_at(F.transform(F.array(s), lambda g: _front(g) * fraction(g) / g["a"]), 1)
+    fine = (x >= 0) & (x <= 1) & (a > 0) & (b > 0)
+    return F.when(fine & (x == 0), 0.0).when(fine & (x == 1), 1.0).when(fine, F.when(far, 1 - tail).otherwise(tail))
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t with df degrees of freedom (any positive number)."""
+    return incomplete_beta(df / (df + t * t), df / 2, F.lit(0.5))
+
+
+def f_tail(f: Column, above: Column, below: Column) -> Column:
+    """P(F > f) for `above` and `below` degrees of freedom; 1 for f of at most 0."""
+    return F.when(f <= 0, F.lit(1.0)).otherwise(incomplete_beta(below / (below + above * f), below / 2, above / 2))

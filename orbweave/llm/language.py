@@ -3,7 +3,7 @@
 A text is read in segments of SEGMENT bytes, all of it. In each segment one network runs forward and one backward; from both states
 every position gets a probability of each language, and a document's probabilities are the means over its positions. The
 network is trained in numpy on the driver by backpropagation through time, on a bounded sample: at most about
-`per_language` documents of each of the at most LANGUAGES most frequent languages, chosen by a hash of doc_id, and `segments` evenly spread segments of each. Predicting uses the text alone.
+`per_language` documents of each of the at most `languages` most frequent languages, chosen by a hash of doc_id and text, and `segments` evenly spread segments of each. Predicting uses the text alone.
 
 Defined results: null texts, texts without a letter, and all texts where nothing could be learned are `und` with score 0; repeated rows are predicted
 alike; an empty table gives no rows. Documents without a language are predicted but not learned from.
@@ -182,13 +182,14 @@ def lettered(text: bytes) -> bool:
     return bool(_LETTER.search(text)) or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def sample(labelled: DataFrame, per_language: int, segments: int, seed: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, segments and their labels, from about per_language documents of each language at most."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+def sample(labelled: DataFrame, per_language: int, segments: int, seed: int, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, segments and their labels, from about per_language documents of each language at most. Copies of one id and text are one document, so neither shared ids nor repeated rows change the bound."""
+    marked = labelled.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
+    sizes = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_h", 0.02).alias("d")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not sizes:
         return [], np.zeros((0, SEGMENT), dtype=np.uint8), np.zeros(0, dtype=np.int64)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / max(1, r["d"])))])
+    chosen = marked.filter(F.pmod("_h", F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003).groupBy("lang", "_h").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -208,9 +209,9 @@ def sample(labelled: DataFrame, per_language: int, segments: int, seed: int) ->
     return names, np.frombuffer(b"".join(x for _, x in rows), dtype=np.uint8).reshape(-1, SEGMENT), np.array([names.index(x) for x, _ in rows], dtype=np.int64)
 
 
-def learn(labelled: DataFrame, per_language: int = 300, segments: int = 8, seed: int = 7, steps: int = 400) -> Network:
-    """A network from rows of doc_id, text and lang (null ones are left out)."""
-    names, rows, labels = sample(labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), per_language, segments, seed)
+def learn(labelled: DataFrame, per_language: int = 300, segments: int = 8, seed: int = 7, steps: int = 400, languages: int = LANGUAGES) -> Network:
+    """A network from rows of doc_id, text and lang (null ones are left out), for the `languages` most frequent ones at most."""
+    names, rows, labels = sample(labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), per_language, segments, seed, languages)
     network = Network(names, seed=seed)
     if len(names) > 1:
         network.train(rows, labels, steps=steps, seed=seed)

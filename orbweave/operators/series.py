@@ -224,7 +224,7 @@ def window_rate(rows: DataFrame, by: Sequence[str], t: str, v: str, start: float
 
 
 def quadratic(rows: DataFrame, by: Sequence[str], t: str, v: str) -> DataFrame:
-    """acceleration a of v = a t2 + b t + c, its standard error and t = a / se, by centred moments."""
+    """acceleration a of v = a t2 + b t + c, its standard error, t = a / se and the two-sided p of t, by centred moments."""
     centre = rows.groupBy(*by).agg(F.avg(t).alias("_m"), F.avg(v).alias("_y"), F.count(v).alias("n"))
     x, y = F.col(t) - F.col("_m"), F.col(v) - F.col("_y")
     s = rows.join(centre, list(by)).groupBy(*by, "n").agg(*[F.sum(F.pow(x, k)).alias(f"s{k}") for k in (2, 3, 4)], F.sum(x * y).alias("xy"), F.sum(x * x * y).alias("xxy"), F.sum(y * y).alias("yy"))
@@ -233,7 +233,8 @@ def quadratic(rows: DataFrame, by: Sequence[str], t: str, v: str) -> DataFrame:
     a = (F.col("xxy") - F.col("xy") * s3 / s2) / q
     rest = F.col("yy") - F.col("xy") * F.col("xy") / s2 - a * a * q
     se = F.sqrt(F.greatest(rest, F.lit(0.0)) / (n - 3) / q)
-    return s.filter("n > 3").select(*by, a.alias("acceleration"), se.alias("se"), F.try_divide(a, se).alias("t"))
+    t = F.try_divide(a, se)
+    return s.filter("n > 3").select(*by, a.alias("acceleration"), se.alias("se"), t.alias("t"), student_p(t, (n - 3).cast("double")).alias("p"))
 
 
 #: Names of the ways to judge a trend.

@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import scalar as S
+
 
 def slope(y: Column, t: Column) -> Column:
     """Least squares slope, 0 where t doesn't vary."""
@@ -222,6 +224,24 @@ def welch(c: Column, after: Column) -> list[Column]:
     ]
 
 
+def welch_p(c: Column, after: Column) -> list[Column]:
+    """As welch(), with the two-sided p of t. Null where a side has fewer than two values or neither varies."""
+    difference, t, df = welch(c, after)
+    return [difference, t, df, S.student_p(t, df).alias("p")]
+
+
+def trend_test(y: Column, x: Column) -> list[Column]:
+    """Slope, intercept, r2, t of the slope, its two-sided p and the F of the line, out of rows that have both. p is null for fewer than three rows or an x that doesn't vary, 0 for points on a line."""
+    n = F.regr_count(y, x)
+    sxx, sxy, syy = F.regr_sxx(y, x), F.regr_sxy(y, x), F.regr_syy(y, x)
+    slope = F.try_divide(sxy, sxx)
+    rest = F.greatest(syy - slope * sxy, F.lit(0.0))
+    f = F.try_divide(slope * sxy * (n - 2), rest)
+    t = F.when(n > 2, F.signum(slope) * F.sqrt(F.greatest(f, F.lit(0.0))))
+    p = F.when((n > 2) & (sxx > 0), F.when(syy == 0, 1.0).when(rest == 0, 0.0).otherwise(S.student_p(t, (n - 2).cast("double"))))
+    return [slope.alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.try_divide(sxy * sxy, sxx * syy).alias("r2"), t.alias("t"), p.alias("p"), F.when(n > 2, f).alias("f"), n.alias("n")]
+
+
 def terciles(rows: DataFrame, by: Sequence[str], c: str, tie: str) -> DataFrame:
     """1, 2 or 3: thirds by rank, ties in order of `tie`."""
     return rows.withColumn("tercile", F.ntile(3).over(Window.partitionBy(*by).orderBy(c, tie)))

@@ -85,6 +85,17 @@ def test_language_of_odd_documents(spark):
     assert L.identify(unlabelled).first().lang_pred == "und"
 
 
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k % 3])
+def test_shared_ids_change_neither_what_is_learned_nor_the_bound(spark, ids):
+    data = [(ids(k), text, lang) for k, (_, text, lang, *_) in enumerate(invented(600))]
+    df = spark.createDataFrame(data + data[:1] * 500, "doc_id long, text string, lang string")
+    names, rows, labels = L.sample(df.filter("lang IS NOT NULL"), 60, 8, 7)
+    every = {x[2] for x in data if x[2] is not None}
+    sizes = np.bincount(labels, minlength=len(names))
+    assert set(names) == every and sizes.min() > 60 and sizes.max() < 8 * 2 * 60
+    assert len(L.sample(df.filter("lang IS NOT NULL"), 60, 8, 7, languages=2)[0]) == 2
+
+
 def test_stage_keeps_documents_where_nothing_was_learned(spark):
     data = [(1, "abc", None), (2, "\u0434\u0430", None), (3, "12 34 !!", None), (4, "", None), (5, None, None), (None, "no id", None)]
     kept = L.keep_identified(spark.createDataFrame(data, "doc_id long, text string, lang string"))
