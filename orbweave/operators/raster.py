@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -216,11 +217,30 @@ def tile_cover(boxes: DataFrame, key: str, size: float) -> DataFrame:
     return boxes.select(key, (n("x0", "x1") * n("y0", "y1")).alias("tiles"))
 
 
-def chained(rows: DataFrame, by: Sequence[str], i: str, shift: str) -> DataFrame:
-    """Cumulative shifts along a chain of bands; a failed (null) link is bridged by the mean of the others of its chain."""
-    w = Window.partitionBy(*by).orderBy(i)
-    filled = F.coalesce(F.col(shift), F.avg(shift).over(Window.partitionBy(*by)), F.lit(0.0))
-    return rows.withColumn("_f", filled).withColumn("total", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
+def bridged(bands: DataFrame, pairs: DataFrame, by: Sequence[str], shifts: Sequence[str], limit: float) -> DataFrame:
+    """Shifts of the bands of each scene from its first one, along the chain of bands that can be trusted: by..., i, the shifts and trusted.
+
+    bands: by..., i (order of capture). pairs: by..., i, j and the shifts of band j against band i, for i before j. A pair without row, with a null or non-finite shift or one beyond
+    the limit hasn't matched; a band that doesn't match the last trusted one gets that one's shift, and the next band is held against the trusted one again.
+    A scene's bands, of which a camera has a few, are folded in one row; scenes are independent.
+    """
+    fine = functools.reduce(lambda a, c: a & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) <= limit), shifts, F.col("j") > F.col("i"))
+    step = F.struct(F.col("j").alias("to"), *[F.col(c).cast("double").alias(c) for c in shifts])
+    ahead = pairs.filter(fine).groupBy(*by, "i").agg(F.min(step).alias("_next"))
+    scenes = bands.select(*by, "i").distinct().join(ahead, [*by, "i"], "left").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "_next"))).alias("_bands"))
+    band = "struct<" + "i:bigint," + "".join(f"{c}:double," for c in shifts) + "trusted:boolean>"
+    hop = "struct<to:bigint," + ",".join(f"{c}:double" for c in shifts) + ">"
+    start = F.struct(*[F.lit(0.0).alias(c) for c in shifts], F.lit(None).cast(hop).alias("next"), F.array().cast(f"array<{band}>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        first = F.size(acc["out"]) == 0
+        reached = F.coalesce(acc["next"]["to"] == x["i"], F.lit(False))
+        total = {c: F.when(reached, acc[c] + acc["next"][c]).otherwise(acc[c]) for c in shifts}
+        own = F.struct(x["i"].cast("long").alias("i"), *[v.alias(c) for c, v in total.items()], (first | reached).alias("trusted"))
+        follow = F.struct(x["_next"]["to"].cast("long").alias("to"), *[x["_next"][c].alias(c) for c in shifts])
+        return F.struct(*[v.alias(c) for c, v in total.items()], F.when(first | reached, follow).otherwise(acc["next"]).alias("next"), F.concat(acc["out"], F.array(own)).cast(f"array<{band}>").alias("out"))
+
+    return scenes.select(*by, F.inline(F.aggregate("_bands", start, add, lambda acc: acc["out"])))
 
 
 def class_baseline(rows: DataFrame, cell: Sequence[str], cls: str, v: str) -> DataFrame:

@@ -104,10 +104,23 @@ def tile_cover_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.tile_cover(boxes, "k", 25.0)
 
 
-@query("""SELECT o_custkey AS k, o_orderkey AS i, round(sum(coalesce(s, m, 0)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 7) AS total FROM (SELECT *, avg(s) OVER (PARTITION BY o_custkey) AS m FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice / 1000 END AS s FROM orders))""")
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n, o_totalprice / 10000 AS y, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 100) / 10 END AS x FROM orders),
+bands AS (SELECT k, n // 8 AS scene, n % 8 AS i, y, x FROM o),
+hops AS (SELECT a.k, a.scene, a.i, b.i AS j, b.y - a.y AS dy, b.x - a.x AS dx FROM bands a JOIN bands b ON b.k = a.k AND b.scene = a.scene AND b.i > a.i AND abs(b.y - a.y) <= 8 AND abs(b.x - a.x) <= 8 QUALIFY row_number() OVER (PARTITION BY a.k, a.scene, a.i ORDER BY b.i) = 1),
+path AS (SELECT k, scene, i, 0.0::DOUBLE AS dy, 0.0::DOUBLE AS dx FROM bands WHERE i = 0 UNION ALL SELECT h.k, h.scene, h.j, p.dy + h.dy, p.dx + h.dx FROM path p JOIN hops h ON h.k = p.k AND h.scene = p.scene AND h.i = p.i)
+SELECT b.k, b.scene, b.i, round(last_value(p.dy IGNORE NULLS) OVER w, 6) AS dy, round(last_value(p.dx IGNORE NULLS) OVER w, 6) AS dx, p.k IS NOT NULL AS trusted
+FROM bands b LEFT JOIN path p ON p.k = b.k AND p.scene = b.scene AND p.i = b.i WINDOW w AS (PARTITION BY b.k, b.scene ORDER BY b.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def shift_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("i"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice") / 1000).alias("s"))
-    return R.chained(links, ["k"], "i", "s").select("k", "i", F.round("total", 7).alias("total"))
+    """Scenes of eight bands; what can't be matched (a gap, or a shift too large) is bridged from the last trusted band."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    x = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") % 100 / 10)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), n.cast("long").alias("n"), (F.col("o_totalprice") / 10000).alias("y"), x.alias("x"))
+    bands = rows.select("k", F.floor(F.col("n") / 8).alias("scene"), (F.col("n") % 8).alias("i"), "y", "x")
+    later = Window.partitionBy("k", "scene").orderBy("i").rowsBetween(1, 7)
+    ahead = bands.withColumn("_b", F.collect_list(F.struct("i", "y", "x")).over(later)).withColumn("_b", F.explode("_b"))
+    pairs = ahead.select("k", "scene", "i", F.col("_b.i").alias("j"), (F.col("_b.y") - F.col("y")).alias("dy"), (F.col("_b.x") - F.col("x")).alias("dx"))
+    return R.bridged(bands, pairs, ["k", "scene"], ["dy", "dx"], 8.0).select("k", "scene", "i", F.round("dy", 6).alias("dy"), F.round("dx", 6).alias("dx"), "trusted")
 
 
 @query(f"""WITH m AS (SELECT u, i, median(v) OVER (PARTITION BY u ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM {SERIES}) SELECT u, i, round(avg(m) OVER (PARTITION BY u ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS s FROM m""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..catalog import query, table
 from ..functions import grades as G
-from ..operators import runs as R, series as T
+from ..operators import decomposition as D, runs as R, series as T
 from .common import SERIES, series
 
 _U = ["u"]
@@ -243,3 +243,10 @@ def walk_forward_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve features of every epoch of buffers of ten series each."""
     rows = series(spark, sf_dir).withColumn("alpha", 1 + (F.col("u") % 3) / 2)
     return T.buffer_bank(T.walk_forward_bank(rows, _U, "i", "t", "v", "alpha", 5.0).withColumn("buffer", F.floor(F.col("u") / 10)), ["buffer"], "i")
+
+
+@query()
+def season_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend, weekly season and rest of daily series, outliers weighed down in a robust round."""
+    daily = D.regular(series(spark, sf_dir), _U, "t", "v", 1.0)
+    return _round(D.stl(daily, _U, "k", "v", 7, outer=1), 6, "v", "seasonal", "trend", "rest", "weight")

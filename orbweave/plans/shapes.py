@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..catalog import query, table
-from ..operators import inversion as I, joins as J, shapes as S
+from ..operators import inversion as I, joins as J, outlines as O, shapes as S
 from .common import GRID, SERIES, grid, points, series
 
 #: Axis-parallel buildings in SQL: k, x0, y0, x1, y1, owner.
@@ -126,3 +126,18 @@ def rotated_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = 2 * F.cos(F.col("k") % 7 / F.lit(5.0)), 2 * F.sin(F.col("k") % 7 / F.lit(5.0))
     turned = _boxes(spark, sf_dir).withColumn("a", a[0]).withColumn("b", a[1]).withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] * F.col("a") - p["y"] * F.col("b")).alias("x"), (p["x"] * F.col("b") + p["y"] * F.col("a")).alias("y"))))
     return turned.withColumn("_b", S.rotated_box(F.col("ring"))).select("k", F.round("_b.long", 6).alias("long"), F.round("_b.short", 6).alias("short"))
+
+
+@query("""
+WITH cells AS (SELECT DISTINCT l_partkey // 16 AS area, l_partkey AS r, floor(l_quantity / 2)::BIGINT AS c FROM lineitem),
+v AS (SELECT area, r + dy AS y, c + dx AS x, count(*) AS n, sum(q) AS q FROM cells, (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 4), (1, 1, 8)) AS d(dy, dx, q) GROUP BY 1, 2, 3),
+k AS (SELECT area, count(*) FILTER (n = 1) AS one, count(*) FILTER (n = 3) AS three, count(*) FILTER (q IN (6, 9)) AS cross_ FROM v GROUP BY 1)
+SELECT area, n::DOUBLE AS cells, (one + three + 2 * cross_)::BIGINT AS corners, ((one - three - 2 * cross_) // 4)::BIGINT AS shells_less_holes FROM k JOIN (SELECT area, count(*) AS n FROM cells GROUP BY 1) USING (area)""")
+def cell_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of cells to rings of corners. The area within the ordered corners, less holes, is the number of cells; corners and rings are those that the cells round each corner tell."""
+    cells = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_partkey") / 16).alias("area"), F.col("l_partkey").alias("r"), F.floor(F.col("l_quantity") / 2).alias("c"))
+    ring = Window.partitionBy("area", "ring").orderBy("seq")
+    around = O.rings(cells, "area").withColumns({"_x": F.coalesce(F.lead("x").over(ring), F.first("x").over(ring)), "_y": F.coalesce(F.lead("y").over(ring), F.first("y").over(ring))})
+    return around.groupBy("area").agg(
+        (F.sum(F.col("x") * F.col("_y") - F.col("_x") * F.col("y")) / 2).alias("cells"), F.count(F.lit(1)).alias("corners"),
+        F.sum(F.when(F.col("seq") == 0, F.when(F.col("hole"), -1).otherwise(1)).otherwise(0)).alias("shells_less_holes"))

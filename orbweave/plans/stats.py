@@ -238,3 +238,28 @@ def season_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return years.groupBy("route").agg(F.round(F.regr_slope("d", "year"), 6).alias("slope"), F.round(F.regr_intercept("d", "year"), 3).alias("intercept"), F.round(F.regr_r2("d", "year"), 6).alias("r2"), F.count(F.lit(1)).alias("years"))
 
 
+def _p_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t: one less twice the density's integral from 0 to |t|, by Simpson's rule."""
+    density = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi() * {df}) * pow(1 + pow(abs({t}) * k / 2000.0, 2) / {df}, -({df} + 1) / 2.0)"
+    return f"(1 - 2 * abs({t}) / 6000.0 * list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {density})))"
+
+
+@query(f"""
+WITH s AS (SELECT o_custkey AS k, count(*) AS n, regr_slope(o_totalprice, d) AS slope, regr_sxx(o_totalprice, d) AS sxx, regr_sxy(o_totalprice, d) AS sxy, regr_syy(o_totalprice, d) AS syy FROM (SELECT o_custkey, o_totalprice, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS d FROM orders) GROUP BY 1),
+t AS (SELECT k, n, slope, sxy * sxy / (sxx * syy) AS r2, sign(slope) * sqrt(slope * sxy * (n - 2) / (syy - slope * sxy)) AS t FROM s WHERE n > 4 AND sxx > 0)
+SELECT k, n, round(slope, 4) AS slope, round(r2, 6) AS r2, round(t, 5) AS t, round({_p_sql('t', '(n - 2)')}, 7) AS p, p < 0.05 AS significant FROM (SELECT *, {_p_sql('t', '(n - 2)')} AS p FROM t)""")
+def trend_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear trend of each series with the p of its slope."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("y"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).alias("d"))
+    out = rows.groupBy("k").agg(*A.trend_test(F.col("y"), F.col("d"))).filter((F.col("n") > 4) & F.col("t").isNotNull())
+    return out.select("k", "n", _r("slope", 4), _r("r2"), _r("t", 5), _r("p", 7), (F.col("p") < 0.05).alias("significant"))
+
+
+@query(f"""
+WITH g AS (SELECT u, avg(v) FILTER (t >= 15) - avg(v) FILTER (t < 15) AS difference, var_samp(v) FILTER (t >= 15) / count(*) FILTER (t >= 15) AS va, var_samp(v) FILTER (t < 15) / count(*) FILTER (t < 15) AS vb, count(*) FILTER (t >= 15) AS na, count(*) FILTER (t < 15) AS nb FROM {SERIES} GROUP BY u),
+w AS (SELECT u, difference, difference / sqrt(va + vb) AS t, pow(va + vb, 2) / (va * va / (na - 1) + vb * vb / (nb - 1)) AS df FROM g WHERE na > 1 AND nb > 1)
+SELECT u, round(difference, 6) AS difference, round(df, 5) AS df, round({_p_sql('t', 'df')}, 7) AS p FROM w""")
+def welch_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Welch's test of the values before and after an event, with its p."""
+    out = series(spark, sf_dir).groupBy("u").agg(*A.welch_p(F.col("v"), F.col("t") >= 15), F.count_if(F.col("t") >= 15).alias("na"), F.count_if(F.col("t") < 15).alias("nb"))
+    return out.filter("na > 1 AND nb > 1").select("u", _r("difference"), _r("df", 5), _r("p", 7))
