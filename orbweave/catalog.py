@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("scalar", "joins", "stats", "series", "rules", "cluster", "raster", "shapes", "more", "sources", "streaming")
+PLANS = ("scalar", "joins", "stats", "series", "rules", "cluster", "raster", "shapes", "grids", "more", "sources", "streaming")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
