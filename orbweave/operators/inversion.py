@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .lineage import kept
+from .stats import plane
+
 
 def _schema(df: DataFrame, by: Sequence[str], more: str) -> str:
     kinds = dict(df.dtypes)
@@ -92,23 +95,31 @@ def block_shift(pairs: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
 
 
 def masked_regression(rows: DataFrame, by: Sequence[str], y: str, terms: Sequence[str], quality: str, least: float) -> DataFrame:
-    """by..., coefficients (of the constant and each term) and n: least squares over the rows of a quality of at least `least`. Sums of products are added up by Spark; only one small system per group is solved in a task. Terms that can't be told apart share their weight."""
-    names = ["_1", *terms]
-    at = lambda c: F.lit(1.0) if c == "_1" else F.col(c).cast("double")
-    pairs = [(a, b) for a in range(len(names)) for b in range(a, len(names))]
-    known = rows.filter((F.col(quality) >= least) & F.col(y).isNotNull())
-    sums = known.groupBy(*by).agg(F.array(*[F.sum(at(names[a]) * at(names[b])) for a, b in pairs]).alias("_xx"), F.array(*[F.sum(at(c) * F.col(y)) for c in names]).alias("_xy"), F.count(F.lit(1)).alias("n"))
+    """by..., coefficients (of the constant and each term) and n: least squares over the rows of a quality of at least `least` without nulls in y or a term.
+
+    Spark adds up means and centred products, so large offsets (years, northings) cost no digits; only one small system per group is solved in a task. Terms that can't be told apart share their weight, a constant one has none.
+    """
+    term = [F.col(c).cast("double") for c in terms]
+    pairs = [(a, b) for a in range(len(terms)) for b in range(a, len(terms))]
+    known = rows.filter(F.col(quality) >= least)
+    for c in (y, *terms):
+        known = known.filter(F.col(c).isNotNull())
+    empty = F.array().cast("array<double>")
+    sums = known.groupBy(*by).agg(
+        F.concat(empty, *[F.array(F.covar_pop(term[a], term[b])) for a, b in pairs]).alias("_xx"), F.concat(empty, *[F.array(F.covar_pop(t, F.col(y))) for t in term]).alias("_xy"),
+        F.array(F.avg(y), *[F.avg(t) for t in term]).alias("_m"), F.count(F.lit(1)).alias("n"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for xx, xy in zip(batch["_xx"], batch["_xy"], strict=True):
-                m = np.zeros((len(names), len(names)))
+            for xx, xy, means in zip(batch["_xx"], batch["_xy"], batch["_m"], strict=True):
+                m = np.zeros((len(terms), len(terms)))
                 for (a, b), x in zip(pairs, xx, strict=True):
                     m[a, b] = m[b, a] = x
                 scale = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1))
-                out.append((np.linalg.lstsq(m / np.outer(scale, scale), np.asarray(xy) / scale, rcond=None)[0] / scale).tolist())
-            yield batch.drop(columns=["_xx", "_xy"]).assign(coefficients=out)
+                slopes = np.linalg.lstsq(m / np.outer(scale, scale), np.asarray(xy) / scale, rcond=None)[0] / scale
+                out.append([float(means[0] - slopes @ np.asarray(means[1:])), *slopes.tolist()])
+            yield batch.drop(columns=["_xx", "_xy", "_m"]).assign(coefficients=out)
 
     return sums.mapInPandas(solve, _schema(rows, by, "n long, coefficients array<double>")).select(*by, "coefficients", "n")
 
@@ -131,3 +142,85 @@ def ransac_line(rows: DataFrame, by: Sequence[str], key: str, x: str, y: str, tr
         F.regr_slope(F.when(F.col("_near"), F.col("_y")), F.when(F.col("_near"), F.col("_x"))).alias("slope"), F.regr_intercept(F.when(F.col("_near"), F.col("_y")), F.when(F.col("_near"), F.col("_x"))).alias("intercept"),
         F.count_if("_near").alias("inliers"), F.count(F.lit(1)).alias("n"),
     )
+
+
+def _linking(b: np.ndarray, w: np.ndarray) -> np.ndarray | None:
+    """Weighted pseudo-inverse of a network of pairs; None if the pairs don't link all epochs."""
+    if len(b) == 0 or np.linalg.matrix_rank(b) < b.shape[1]:
+        return None
+    return np.linalg.pinv(w[:, None] * b) * w
+
+
+def shared_baseline(
+    pairs: DataFrame, key: str, x: str, y: str, i: str, j: str, value: str, coherence: str, least_coherence: float = 0.3, least_fit: float = 0.7, scale: float = 1.0, most: int = 20_000
+) -> DataFrame:
+    """key, x, y, mean_coherence, fit, good, series and velocity of each pixel, out of pairs of epochs of a whole scene that share one network.
+
+    pairs: a row per pixel and pair with the times i < j, the difference j - i and its coherence. Differences are taken against the reference pixel (of those with the most pairs the
+    one of the highest mean coherence, then the smallest key). Pairs weigh as their mean coherence over the scene; the network's weighted pseudo-inverse is worked out once, from at most `most` pairs
+    (more are an error), and applied to blocks of pixels as one array product. Pixels that lack pairs are solved by the pairs they have, those of one pattern together.
+    fit is the absolute mean of exp(i residual) over a pixel's pairs; good pixels reach both limits. From each epoch the plane through the good pixels is taken away, so that the reference pixel stays
+    zero; where good pixels lie on one line, or are none, nothing is. series: array of struct<t, v>, v times `scale`; velocity: its least squares slope.
+    Pixels whose pairs don't link all epochs of the scene have null fit, series and velocity. Rows with a null or NaN are left out, repeated pairs of a pixel averaged.
+    """
+    spark = pairs.sparkSession
+    kind = dict(pairs.dtypes)[key]
+    double = [F.col(c).cast("double").alias(to) for c, to in ((x, "_x"), (y, "_y"), (i, "_i"), (j, "_j"), (value, "_v"), (coherence, "_c"))]
+    rows = pairs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), *double)
+    for c in ("_x", "_y", "_i", "_j", "_v", "_c"):
+        rows = rows.filter(F.col(c).isNotNull() & ~F.isnan(c))
+    network = rows.groupBy("_i", "_j").agg(F.avg("_c").alias("_w")).orderBy("_i", "_j").limit(most + 1).collect()
+    if len(network) > most:
+        raise ValueError(f"a network of more than {most} pairs")
+    if not network:
+        return spark.createDataFrame([], f"{key} {kind}, {x} double, {y} double, mean_coherence double, fit double, good boolean, series array<struct<t: double, v: double>>, velocity double")
+    times = sorted({t for p in network for t in (p._i, p._j)})
+    place = {t: n for n, t in enumerate(times)}
+    b = np.zeros((len(network), len(times)))
+    for n, p in enumerate(network):
+        b[n, place[p._j]] += 1
+        b[n, place[p._i]] -= 1
+    b, w = b[:, 1:], np.clip([p._w for p in network], 1e-3, None)
+    numbers = spark.createDataFrame([(p._i, p._j, n) for n, p in enumerate(network)], "_i double, _j double, _p int")
+    rows = rows.join(F.broadcast(numbers), ["_i", "_j"])
+    best = rows.groupBy("_k").agg(F.size(F.collect_set("_p")).alias("_n"), F.avg("_c").alias("_c"), F.min("_x").alias("_x"), F.min("_y").alias("_y"))
+    (reference,) = best.orderBy(F.desc("_n"), F.desc(F.round("_c", 9)), "_k").limit(1).collect()
+    zero = np.full(len(network), np.nan)
+    for r in rows.filter(F.col("_k") == F.lit(reference._k)).groupBy("_p").agg(F.avg("_v").alias("_v")).collect():
+        zero[r._p] = r._v
+    inverse = _linking(b, w) if np.isfinite(zero).all() else None
+
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            u = np.full((len(batch), len(zero)), np.nan)
+            for n, (p, v) in enumerate(zip(batch["_p"], batch["_v"], strict=True)):
+                count = np.bincount(p, minlength=len(zero))
+                u[n, count > 0] = np.bincount(p, weights=v, minlength=len(zero))[count > 0] / count[count > 0]
+            u -= zero
+            known = np.isfinite(u)
+            phi, fit = np.full((len(batch), len(times)), np.nan), np.full(len(batch), np.nan)
+            patterns, of = np.unique(known, axis=0, return_inverse=True)
+            for n, pattern in enumerate(patterns):
+                solve = inverse if pattern.all() and inverse is not None else _linking(b[pattern], w[pattern])
+                if solve is not None:
+                    mine = np.flatnonzero(of.ravel() == n)
+                    own = u[np.ix_(mine, np.flatnonzero(pattern))]
+                    phi[mine, 0], phi[mine, 1:] = 0.0, own @ solve.T
+                    fit[mine] = np.abs(np.exp(1j * (own - phi[mine, 1:] @ b[pattern].T)).mean(axis=1))
+            linked = np.isfinite(fit)
+            yield batch.drop(columns=["_p", "_v"]).assign(_fit=np.where(linked, fit, None), _phi=[p.tolist() if ok else None for p, ok in zip(phi, linked, strict=True)])
+
+    pixels = rows.groupBy("_k").agg(F.min("_x").alias("_x"), F.min("_y").alias("_y"), F.avg("_c").alias("_c"), F.collect_list("_p").alias("_p"), F.collect_list("_v").alias("_v"))
+    solved = kept(pixels.mapInPandas(invert, f"_k {kind}, _x double, _y double, _c double, _fit double, _phi array<double>"))
+    solved = solved.withColumn("_good", (F.col("_c") >= least_coherence) & F.coalesce(F.col("_fit") >= least_fit, F.lit(False)))
+    planes = plane(solved.filter("_good").select("_x", "_y", F.posexplode("_phi").alias("_e", "_z")), ["_e"], "_x", "_y", "_z").collect()
+    tilt = np.zeros((len(times), 2))
+    for p in planes:
+        tilt[p._e] = (p.plane_x or 0.0, p.plane_y or 0.0)
+    dx, dy = F.col("_x") - reference._x, F.col("_y") - reference._y
+    at = lambda k, n: F.lit(tilt[:, n].tolist())[k]
+    levelled = F.transform("_phi", lambda v, k: F.struct(F.lit(times)[k].alias("t"), ((v - at(k, 0) * dx - at(k, 1) * dy) * scale).alias("v")))
+    off = np.array(times) - np.mean(times)
+    share = (off / max((off * off).sum(), 1e-300)).tolist()
+    velocity = F.aggregate(F.transform("_series", lambda s, k: s["v"] * F.lit(share)[k]), F.lit(0.0), lambda acc, v: acc + v)
+    return solved.withColumn("_series", levelled).select(F.col("_k").alias(key), F.col("_x").alias(x), F.col("_y").alias(y), F.col("_c").alias("mean_coherence"), F.col("_fit").alias("fit"), F.col("_good").alias("good"), F.col("_series").alias("series"), velocity.alias("velocity"))

@@ -141,3 +141,26 @@ def cell_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return around.groupBy("area").agg(
         (F.sum(F.col("x") * F.col("_y") - F.col("_x") * F.col("y")) / 2).alias("cells"), F.count(F.lit(1)).alias("corners"),
         F.sum(F.when(F.col("seq") == 0, F.when(F.col("hole"), -1).otherwise(1)).otherwise(0)).alias("shells_less_holes"))
+
+
+#: Yearly means of parts in SQL (p, x, y, e, v), and the pairs of years at most three apart with a coherence.
+_SCENE = "(SELECT l_partkey AS p, (l_partkey * 37 % 1000)::DOUBLE AS x, (l_partkey * 91 % 1009)::DOUBLE AS y, year(l_shipdate) AS e, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4)"
+_SCENE_PAIRS = f"(SELECT a.p, a.x, a.y, a.e AS i, b.e AS j, ((a.p * 31 + a.e * 7 + b.e * 3) % 50 + 50) / 100.0::DOUBLE AS c FROM {_SCENE} a JOIN {_SCENE} b ON a.p = b.p AND b.e > a.e AND b.e <= a.e + 3)"
+
+
+@query(f"""WITH s AS MATERIALIZED {_SCENE}, m AS (SELECT p, avg(c) AS c, count(*) AS n FROM {_SCENE_PAIRS} GROUP BY p), whole AS (SELECT p FROM s GROUP BY p HAVING count(*) = (SELECT count(DISTINCT e) FROM s)),
+ref AS (SELECT p AS rp FROM m ORDER BY n DESC, round(c, 9) DESC, p LIMIT 1), rs AS (SELECT s.e, s.v - first_value(s.v) OVER (ORDER BY s.e) AS v, x AS rx, y AS ry FROM s JOIN ref ON s.p = rp),
+f AS (SELECT s.p, x, y, rx, ry, s.e, s.v - first_value(s.v) OVER (PARTITION BY s.p ORDER BY s.e) - rs.v AS phi, c FROM s JOIN whole USING (p) JOIN m USING (p) JOIN rs ON rs.e = s.e),
+k AS (SELECT e, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(phi, x) AS xz, covar_pop(phi, y) AS yz FROM f WHERE c >= 0.7003 GROUP BY e),
+d AS (SELECT f.*, phi - (xz * yy - yz * xy) / (xx * yy - xy * xy) * (x - rx) - (yz * xx - xz * xy) / (xx * yy - xy * xy) * (y - ry) AS v FROM f JOIN k ON k.e = f.e),
+o AS (SELECT p, regr_slope(v, e) AS velocity, arg_max(v, e) AS last FROM d GROUP BY p)
+SELECT p, round(c, 6) AS coherence, CASE WHEN o.p IS NOT NULL THEN 1.0::DOUBLE END AS fit, coalesce(c >= 0.7003 AND o.p IS NOT NULL, false) AS good, round(velocity, 5) AS velocity, round(last, 4) AS last FROM m LEFT JOIN o USING (p)""")
+def scene_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series and velocities of a scene's pixels (parts) out of one network of pairs (of years), levelled by the planes of its good pixels; pixels whose pairs don't link all epochs keep nulls."""
+    p, e = F.col("l_partkey").alias("p"), F.year("l_shipdate").alias("e")
+    means = table(spark, sf_dir, "lineitem").groupBy(p, e).agg(F.avg("l_quantity").alias("v"))
+    later = means.select("p", F.col("e").alias("j"), F.col("v").alias("w"), F.explode(F.array(*[F.col("e") - k for k in (1, 2, 3)])).alias("i"))
+    pairs = means.withColumnRenamed("e", "i").join(later, ["p", "i"]).select(
+        "p", (F.col("p") * 37 % 1000).alias("x"), (F.col("p") * 91 % 1009).alias("y"), "i", "j", (F.col("w") - F.col("v")).alias("d"), (((F.col("p") * 31 + F.col("i") * 7 + F.col("j") * 3) % 50 + 50) / 100.0).alias("c"))
+    found = I.shared_baseline(pairs, "p", "x", "y", "i", "j", "d", "c", 0.7003, 0.7)
+    return found.select("p", F.round("mean_coherence", 6).alias("coherence"), F.round("fit", 6).alias("fit"), "good", F.round("velocity", 5).alias("velocity"), F.round(F.element_at("series", -1)["v"], 4).alias("last"))
