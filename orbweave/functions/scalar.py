@@ -237,3 +237,9 @@ def student_p(t: Column, df: Column) -> Column:
 def f_tail(f: Column, above: Column, below: Column) -> Column:
     """P(F > f) for `above` and `below` degrees of freedom; 1 for f of at most 0."""
     return F.when(f <= 0, F.lit(1.0)).otherwise(incomplete_beta(below / (below + above * f), below / 2, above / 2))
+
+
+def uniform(seed: int, *parts: Column) -> Column:
+    """A number from 0 to below 1 out of the MD5 of seed and parts joined by colons: the same on every run and at any partitioning."""
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary"))
+    return F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") / float(16**12)

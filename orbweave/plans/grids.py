@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import query, table
-from ..operators import grids as Y
+from ..operators import grids as Y, transects as L
 from .common import GRID, grid
 
 #: Cells of parts and orders in SQL: r, c, v; and diamonds with a hole about each supplier: k, x, y and half diagonals (odd across, even along, so that no centre is on an edge).
@@ -50,3 +50,26 @@ def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bilinear values at another grid's centres; corners that are missing leave their weight to the others."""
     found = Y.interpolated(grid(spark, sf_dir).filter("(r + c) % 5 <> 0"), "v", Y.Grid(8.0), Y.Grid(5.0, 3.0, -2.0))
     return found.select("r", "c", F.round("v", 6).alias("v"), F.round("weight", 6).alias("weight"))
+
+
+_TRIES = "(SELECT k, t, x0, y0, x0 + 12 * cos(pi() * u3) AS x1, y0 + 12 * sin(pi() * u3) AS y1 FROM (SELECT *, x + 20 * sqrt(u1) * cos(2 * pi() * u2) AS x0, y + 20 * sqrt(u1) * sin(2 * pi() * u2) AS y0 FROM (SELECT k, t, x, y, {}) z) z)".format(
+    ", ".join(f"('0x' || substr(md5('11:' || k || ':' || t || ':{n}'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u{n}" for n in (1, 2, 3)) + " FROM (SELECT s_suppkey AS k, s_suppkey * 53 % 64 AS x, s_suppkey * 29 % 64 AS y FROM supplier) s, range(1, 161) g(t)"
+)
+_ALONG = "(SELECT k, t, floor(y0 + (y1 - y0) * (n / long)) AS r, floor(x0 + (x1 - x0) * (n / long)) AS c FROM (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS long FROM {}) l, range(0, 13) g(n) WHERE n <= floor(long + 1e-9))"
+
+
+@query(f"""WITH g AS MATERIALIZED (SELECT r, c, v, w FROM {GRID} WHERE (r + c) % 4 <> 0), lines AS (SELECT k, t, x0, y0, x1, y1 FROM {_TRIES} UNION ALL SELECT s_suppkey, 0, (s_suppkey * 53 % 64)::DOUBLE, (s_suppkey * 29 % 64)::DOUBLE, s_suppkey * 53 % 64 + 12.0::DOUBLE, (s_suppkey * 29 % 64)::DOUBLE FROM supplier),
+m AS MATERIALIZED (SELECT a.k, a.t, CASE WHEN count(v) >= 8 THEN median(v) END AS v, CASE WHEN count(w) >= 8 THEN median(w) END AS w FROM {_ALONG.format("lines")} a JOIN g ON a.r = g.r AND a.c = g.c GROUP BY 1, 2),
+o AS (SELECT s_suppkey AS k, v, w FROM supplier LEFT JOIN m ON m.k = s_suppkey AND m.t = 0), f AS (SELECT * FROM m WHERE t > 0 AND v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY t) <= 20)
+SELECT o.k, round(first(o.v), 6) AS v, round(first(o.w), 6) AS w, count(f.v) AS v_n, round(avg(f.v), 6) AS v_mean, round(100 * avg((f.v < o.v)::INT), 6) AS v_rank, round((first(o.v) - avg(f.v)) / (stddev_samp(f.v) + 1e-9), 4) AS v_z,
+count(f.w) AS w_n, round(avg(f.w), 6) AS w_mean, round(100 * avg((f.w < o.w)::INT), 6) AS w_rank, round((first(o.w) - avg(f.w)) / (stddev_samp(f.w) + 1e-9), 4) AS w_z FROM o LEFT JOIN f USING (k) GROUP BY o.k""")
+def random_transects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median along a line at each supplier, of an event's cells and of a placebo's, against lines placed at random within reach."""
+    k = F.col("s_suppkey")
+    anchors = table(spark, sf_dir, "supplier").select(k.alias("k"), (k * 53 % 64).cast("double").alias("x"), (k * 29 % 64).cast("double").alias("y"))
+    cells = grid(spark, sf_dir).filter("(r + c) % 4 <> 0").select("r", "c", "v", "w")
+    own = anchors.select("k", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 12).alias("x1"), F.col("y").alias("y1"))
+    observed = L.medians(own, cells, ["k"], ["v", "w"], Y.Grid(1.0), 1.0)
+    lines = L.random_lines(anchors, cells, "k", ["v", "w"], Y.Grid(1.0), 20, 20.0, 12.0, 1.0, 11)
+    tested = L.against(observed, lines, "k", ["v", "w"])
+    return tested.select("k", *[c if c.endswith("_n") else F.round(c, 4 if c.endswith("_z") else 6).alias(c) for c in tested.columns[1:]])
