@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import query, table
 from ..operators.lineage import shared_folder
-from ..streaming import alarms
+from ..streaming import alarms, timers
 from .common import SERIES
 
 
@@ -41,3 +41,16 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions over a stream of events."""
     rows = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     return alarms.completed(alarms.sessions(rows, "ts", "6 hours", ["user_id"]), _folder(spark)).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 3 DAY THEN 0 ELSE 1 END AS new FROM events WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 2 DAY WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM e), h AS (SELECT *, row_number() OVER x AS i, sum(CASE WHEN value > 60 THEN 1 ELSE 0 END) OVER (x ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS above FROM s WINDOW x AS (PARTITION BY user_id, session ORDER BY ts, event_id))
+SELECT user_id, min(i) AS fire, arg_min(ts, i) AS at FROM h WHERE above = 3 GROUP BY user_id, session""")
+def stream_alarm_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarms of a stream whose rows may come two days late, of all that the watermark has passed at its end; series silent for three days start anew."""
+    out = _folder(spark)
+    fired = timers.ordered_alarms(_events(spark, sf_dir), "user_id", "ts", "event_id", "value", 60.0, 3, "2 days", 3 * 86400.0)
+    with timers.rocksdb(spark):
+        started = fired.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        started.awaitTermination()
+    return spark.read.schema(fired.schema).parquet(f"{out}/rows").select("user_id", "fire", "at")
