@@ -21,6 +21,8 @@ from .common import WORD, settled, table, word_count
 
 #: Bits of the seeded order that each search for the cut looks at; LEVELS searches leave 2 ** -24 of a source in the cell of the cut.
 BITS, LEVELS = 12, 2
+#: Sources up to which the table of cuts goes to every task; beyond, rows are shuffled by source and cell.
+FEW = 20_000
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -55,17 +57,19 @@ def plan(light: DataFrame, weights: Sequence[float], max_epochs: float) -> DataF
         F.when(F.col("source_size") > 0, words % F.when(F.col("source_size") > 0, F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("extra"),
         F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("before"),
     )
+    few = cut.count() <= FEW
+    sent = lambda df: F.broadcast(df) if few else df
     for k in range(1, LEVELS + 1):
         cell = F.shiftright(F.col("_u"), 48 - BITS * k)
         rows = light.withColumnRenamed("source", "_source").withColumn("_cell", cell)
-        inside = rows.join(cut, F.col("_source").eqNullSafe(F.col("source")) & (F.shiftright(F.col("_cell"), BITS) == F.col("cell")))
+        inside = rows.join(sent(cut), F.col("_source").eqNullSafe(F.col("source")) & (F.shiftright(F.col("_cell"), BITS) == F.col("cell")))
         w = Window.partitionBy("source").orderBy("_cell")
         steps = inside.groupBy("source", "source_size", "target", "whole", "extra", "before", "_cell").agg(F.sum("_size").alias("s")).withColumn("upto", F.col("before") + F.sum("s").over(w))
         at = steps.filter("upto >= extra and upto - s < extra").select("source", F.col("_cell").alias("at"), (F.col("upto") - F.col("s")).alias("had"))
         found = cut.join(at.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
         cut = settled(found.select("source", "source_size", "target", "whole", "extra", F.coalesce("at", F.lit(-1).cast("long")).alias("cell"), F.coalesce("had", F.lit(0).cast("long")).alias("before")))
     # Equal rows count as one, so a cell of repeated rows is small as well.
-    rows = light.withColumnRenamed("source", "_of").join(cut, F.col("_of").eqNullSafe(F.col("source")) & (F.shiftright(F.col("_u"), 48 - BITS * LEVELS) == F.col("cell")))
+    rows = light.withColumnRenamed("source", "_of").join(sent(cut), F.col("_of").eqNullSafe(F.col("source")) & (F.shiftright(F.col("_u"), 48 - BITS * LEVELS) == F.col("cell")))
     place = F.struct("_u", "doc_id", "_size").alias("at")
     places = rows.groupBy("_of", "extra", "before", place).agg(F.sum("_size").alias("s"))
     upto = F.col("before") + F.sum("s").over(Window.partitionBy("_of").orderBy("at"))
@@ -75,7 +79,7 @@ def plan(light: DataFrame, weights: Sequence[float], max_epochs: float) -> DataF
 
 def applied(rows: DataFrame, cut: DataFrame, keep: Sequence[str]) -> DataFrame:
     """The columns keep of rows (with _size, _u, doc_id, source), source_size, target, and what the mix takes of each: _whole repetitions and _more words of a further one."""
-    few = cut.count() <= 20_000
+    few = cut.count() <= FEW
     sources = cut.select(F.col("source").alias("_source"), "source_size", "target", F.col("whole").alias("_whole"), F.col("extra").alias("_extra"), F.col("at").alias("_at"), F.col("left").alias("_left"))
     out = rows.withColumn("_place", F.struct("_u", "doc_id", "_size")).join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("_source")))
     ends = F.coalesce(F.col("_place") == F.col("_at"), F.lit(False))  # structs: nulls inside are equal
