@@ -1,7 +1,7 @@
 """Cost-balanced packing of documents into sequences.
 
 Attention over a piece of n tokens costs LINEAR * n + QUADRATIC * n * n. Each task reads its part of the documents once
-and packs a window of at most WINDOW tokens (and the document that passes it) at a time, so memory is bounded and nothing
+and packs a window of at most WINDOW tokens (and the document that passes it) and DOCUMENTS documents at a time, so memory is bounded and nothing
 is shuffled. Texts of more than a sequence are cut into full sequences and a rest; then pieces, longest first, go to the sequence of
 lowest cost that still holds them whole. A piece that none holds is cut at the largest room left. The sequences of a window
 are as many full ones as its tokens fill, and what is over is dealt to sequences of powers of two, so no sequence is padded.
@@ -22,8 +22,8 @@ from .common import lean, table
 from .tokens import default_path, id_batches
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Tokens of a window.
-WINDOW = 1 << 22
+#: Tokens of a window, and documents, which bound it where texts are empty or nearly so.
+WINDOW, DOCUMENTS = 1 << 22, 1 << 18
 
 
 def rooms(tokens: int, length: int) -> np.ndarray:
@@ -66,7 +66,7 @@ def balanced(lengths: np.ndarray, length: int, linear: float = LINEAR, quadratic
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = 4096, closing: int = 2, window: int = WINDOW, ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = 4096, closing: int = 2, window: int = WINDOW, ids: bool = True, documents: int = DOCUMENTS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (little-endian unsigned 32-bit)."""
     import pyarrow as pa
 
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 4096, closing:
                 names.append(name)
                 texts.append(x + end)
                 held += len(x) // 4 + 1
-                if held >= window:
+                if held >= window or len(names) >= documents:
                     yield from flush()
         if names:
             yield from flush()

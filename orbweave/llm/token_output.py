@@ -24,8 +24,8 @@ from pyspark.sql.types import DataType
 from .common import lean, mounted, table
 from .tokens import default_path, id_batches
 
-#: Tokens of a window, and rows of a file.
-WINDOW, ROWS = 1 << 22, 4096
+#: Tokens and documents of a window (the latter bound it where texts are empty or nearly so), and rows of a file.
+WINDOW, DOCUMENTS, ROWS = 1 << 22, 1 << 18, 4096
 
 
 class RoomTree:
@@ -86,7 +86,7 @@ def best_fit(lengths: list[int], length: int) -> list[list[tuple[int, int, int]]
     return out
 
 
-def _packer(kind: DataType, path: str, length: int, closing: int | None, padding: int, window: int) -> Callable[[Iterator], Iterator]:
+def _packer(kind: DataType, path: str, length: int, closing: int | None, padding: int, window: int, documents: int) -> Callable[[Iterator], Iterator]:
     """What a task does: from batches of (doc_id, text as binary) to batches of sequences."""
     import pyarrow as pa
 
@@ -134,7 +134,7 @@ def _packer(kind: DataType, path: str, length: int, closing: int | None, padding
                 names.append(name)
                 ids.append(own.astype("<u2"))
                 held += len(own)
-                if held >= window:
+                if held >= window or len(names) >= documents:
                     yield from flush()
         if names:
             yield from flush()
@@ -146,14 +146,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
-def token_matrices(docs: DataFrame, path: str | None = None, length: int = 2048, closing: int | None = 49407, padding: int = 49407, window: int = WINDOW) -> DataFrame:
+def token_matrices(docs: DataFrame, path: str | None = None, length: int = 2048, closing: int | None = 49407, padding: int = 49407, window: int = WINDOW, documents: int = DOCUMENTS) -> DataFrame:
     """sequence_id, ids (length little-endian unsigned 16-bit ids, padded), n_tokens, cu_seqlens, position_resets (packed bits, most significant first), doc_ids and starts of the segments. Ids must be below 65,536."""
     kind = docs.schema["doc_id"].dataType
     schema = f"sequence_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets binary, doc_ids array<{kind.simpleString()}>, starts array<long>"
-    return _texts(docs).mapInArrow(lean(_packer(kind, path or default_path(), length, closing, padding, window)), schema)
+    return _texts(docs).mapInArrow(lean(_packer(kind, path or default_path(), length, closing, padding, window, documents)), schema)
 
 
-def token_files(docs: DataFrame, folder: str | None = None, path: str | None = None, length: int = 2048, closing: int | None = 49407, padding: int = 49407, window: int = WINDOW, rows: int = ROWS) -> DataFrame:
+def token_files(docs: DataFrame, folder: str | None = None, path: str | None = None, length: int = 2048, closing: int | None = 49407, padding: int = 49407, window: int = WINDOW, rows: int = ROWS, documents: int = DOCUMENTS) -> DataFrame:
     """Writes the sequences of token_matrices and returns a row for each: file, row (in it), sequence_id, n_tokens, ids_crc32 (of the padded row), cu_seqlens, doc_ids, starts.
 
     folder must be mounted by all executors (by default a new one in spark.checkpoint.dir). A file name stands for <name>.ids.npy (matrix), <name>.resets.npy (packed bits), <name>.cu_seqlens.npy (of all rows after one
@@ -162,7 +162,7 @@ def token_files(docs: DataFrame, folder: str | None = None, path: str | None = N
     import pyarrow as pa
 
     kind = docs.schema["doc_id"].dataType
-    packed = _packer(kind, path or default_path(), length, closing, padding, window)
+    packed = _packer(kind, path or default_path(), length, closing, padding, window, documents)
     into = mounted(docs.sparkSession, folder, "matrices")
 
     def save(name: str, parts: dict[str, np.ndarray]) -> None:

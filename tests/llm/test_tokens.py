@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbweave.llm import packing as P, token_counts as C, token_output as O, tokens as T
 
@@ -119,6 +120,19 @@ def test_pack_round_trip(spark, ids, window):
     assert P.pack(nothing(spark)).count() == 0
 
 
+@pytest.mark.parametrize("count", [1000, 600_000])
+def test_pack_of_empty_texts(spark, count):
+    """Windows end by documents where texts hold next to nothing."""
+    empty = spark.range(0, count, 1, 1).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    found = P.pack(empty, ids=False) if count > 10_000 else P.pack(empty, ids=False, length=64, documents=300)
+    size = 4096 if count > 10_000 else 64
+    assert found.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.sum("length")).first()[:] == (count, count, count)
+    sums = found.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("offset").alias("end"), F.count_distinct("offset").alias("offsets")).collect()
+    assert all(r.n == r.end + 1 == r.offsets and (r.n == size or r.n.bit_count() == 1) for r in sums)
+    rows = O.token_matrices(empty, length=size, **({} if count > 10_000 else {"documents": 300}))
+    assert rows.agg(F.sum("n_tokens"), F.sum(F.size("doc_ids"))).first()[:] == (count, count)
+
+
 def test_best_fit_is_best_fit():
     rng = random.Random(4)
     for _ in range(200):
