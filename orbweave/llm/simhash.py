@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import lean, table, written
 from .components import stars
-from .similar import confirmed, printed
+from .similar import again, confirmed, printed, sharing
 
 #: Fingerprints of a subtrie at most, and bits by which a larger one is split.
 LEAF, STEP = 16_384, 3
@@ -329,13 +329,9 @@ def similar_groups(docs: DataFrame, words: int = 5, errors: int = 10, prints: in
     tops = reach.select(F.col("root").alias("key")).distinct().join(roots.select(F.col("node").alias("key"), F.col("root").alias("of")), "key", "left").select("key", F.col("key").alias("reach"), F.coalesce("of", "key").alias("of"))
     label = written(label.unionByName(tops))
     several = label.groupBy("reach").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x <> y").select("reach")
-    still = written(each.join(label.join(several, "reach", "left_semi").select("key", "of"), "key"))
+    still = written(label.join(several, "reach", "left_semi").select("key", "reach", "of"))
     if not still.isEmpty():
-        again = written(still.groupBy("m", "fp").agg(F.min("of").alias("x"), F.max("of").alias("y")).select("m", "fp", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.xxhash64("m", "fp")).alias("of"), (F.col("x") != F.col("y")).alias("several")))
-        crossing = walked(again.select("m", "fp", "of"), errors, stars_only=False).distinct()
-        crossing = crossing.unionByName(again.filter("several").select("m", F.col("fp").alias("u"), F.col("fp").alias("v")))
-        one, two = (still.select("m", F.col("fp").alias(f), F.col("key").alias(x), F.col("of").alias(f"r{x}")) for x, f in (("a", "u"), ("b", "v")))
-        others = crossing.join(one, ["m", "u"]).join(two, ["m", "v"]).filter("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        others = sharing(again(still.select("key"), own, docs, words, seed).join(still, "key"), share)
         known = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         links = links.unionByName(confirmed(written(close(others.join(known, ["a", "b"], "left_anti"))), own, docs, words, seed, share))
         roots = stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))

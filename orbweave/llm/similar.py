@@ -15,6 +15,8 @@ from .common import lean, remembered, written
 
 #: Documents that are sent to all executors at most when sets are read again.
 SENT = 200_000
+#: Classes of shingles whose parities are compared.
+PARITIES = 1024
 
 
 def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -87,6 +89,87 @@ def sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(each), "key long, own binary")
 
 
+def again(keys: DataFrame, own: DataFrame, docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """key and own (as sets gives them) of the distinct keys. own: doc_id and key of all documents."""
+    keys = written(keys)
+    few = F.broadcast(keys) if keys.count() <= SENT else keys
+    # One document stands for a set; its text is read again, as sets of all documents would take more room than the texts.
+    ids = own.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    ids = written(ids)
+    ids = F.broadcast(ids) if ids.count() <= SENT else ids
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+    return written(sets(texts, words, seed).join(few, "key", "left_semi").dropDuplicates(["key"]))
+
+
+def bounds(share: tuple[int, int], most: int, steps: int = 6) -> np.ndarray:
+    """The least size of each class of sizes up to `most`; similar sets are at most about `steps` classes apart."""
+    out, ratio = [1], (share[1] / share[0]) ** (1 / steps)
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, int(out[-1] * ratio)))
+    return np.array(out)
+
+
+def reached(n: int, least: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
+    """(class, k) for a set of n shingles: a similar set of that class holds one of its first k shingles, in any order common to both, and this one likewise."""
+    over, both = share[0], share[0] + share[1]
+    low, high = -(-n * share[0] // share[1]), n * share[1] // share[0]
+    first, last = (int(np.searchsorted(least, x, side="right")) - 1 for x in (low, high))
+    out = [(d, n + 1 - -(-over * (n + max(low, int(least[d]))) // both)) for d in range(first, last + 1)]
+    return [(d, k) for d, k in out if k > 0]
+
+
+def sharing(texts: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of keys, a < b, of the same `reach` and another `of` that hold a shingle in common among their rarest: all such pairs with at least this Jaccard similarity, and few others.
+
+    texts: key, own (the set), reach, of. Of two sets whose similarity is that of share, at least t shingles are in both, t following from their sizes; so, with the shingles of both in one order, the first of these
+    is among the first n - t + 1 of either. The order is by rareness, so what only one text of a reach holds is passed over, and a crowd about one passage shares nothing where each has too much of its own. Sizes go by narrow classes,
+    so that t is nearly exact. A shingle that many hold pairs only the texts that are not of its largest group, with those of other groups. A pair is given up if too few shingles are left from the common one on, or if the
+    parities of the shingles in PARITIES classes differ in more classes than the sets may in shingles.
+    """
+    import pyarrow as pa
+
+    def each(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for key, own, reach, of in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                h = np.frombuffer(own, dtype="<i8")
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x), pa.int64()) for x in (key, reach, of, len(h))] + [pa.array(h)], ["key", "reach", "of", "n", "h"])
+
+    def parities(batches: Iterator) -> Iterator:
+        for batch in batches:
+            bits = [np.packbits(np.bincount((np.frombuffer(x, dtype="<u8") >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES) % 2 == 1).view("<i8") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], ["key", "bits"])
+
+    def dealt(batches: Iterator) -> Iterator:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, reach, of, n, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                least = bounds(share, 2 * n)
+                mine = int(np.searchsorted(least, n, side="right")) - 1
+                alone = n - len(own)
+                for d, k in reached(n, least, share):
+                    rows += [(key, reach, of, n, n - alone - i, x, min(mine, d), max(mine, d), (mine > d) - (mine < d)) for i, x in enumerate(own[: max(0, k - alone)])]
+            for at in range(0, len(rows), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[at : at + (1 << 16)], strict=True)], ["key", "reach", "of", "n", "left", "h", "low", "high", "side"])
+
+    tokens = written(texts.select("key", "own", "reach", "of").mapInArrow(lean(each), "key long, reach long, of long, n long, h long"))
+    held = tokens.groupBy("reach", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    ranked = tokens.join(held, ["reach", "h"]).groupBy("key", "reach", "of", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))
+    rows = written(ranked.select("key", "reach", "of", "n", F.col("s.h").alias("own")).mapInArrow(lean(dealt), "key long, reach long, of long, n long, left long, h long, low long, high long, side long"))
+    bucket = ["reach", "h", "low", "high"]
+    sizes = rows.groupBy(*bucket, "of").agg(F.count(F.lit(1)).alias("n")).groupBy(*bucket).agg(F.max(F.struct("n", "of")).alias("top"), F.count(F.lit(1)).alias("groups"))
+    large = sizes.filter("groups > 1").select(*bucket, F.col("top.of").alias("top"))
+    bits = texts.select("key", "own").mapInArrow(lean(parities), "key long, bits array<long>")
+    several = written(rows.join(large, bucket).join(bits, "key"))
+    one, two = (several.select(*bucket, (F.col("side") * sign).alias("side"), "top", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "of", "n", "left", "bits")]) for x, sign in (("a", 1), ("b", -1)))
+    sizes = F.col("a_n") + F.col("b_n")
+    common = F.ceil(share[0] * sizes / (share[0] + share[1]))
+    apart = sum((F.bit_count(F.col("a_bits")[k].bitwiseXOR(F.col("b_bits")[k])) for k in range(PARITIES // 64)), F.lit(0))
+    fine = (F.col("a_of") != F.col("b_of")) & (F.least("a_left", "b_left") >= common) & (apart <= sizes - 2 * common)
+    pairs = one.filter("a_of <> top").drop("top").join(two.drop("top"), [*bucket, "side"]).filter(fine).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def confirmed(pairs: DataFrame, own: DataFrame, docs: DataFrame, words: int, seed: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of keys whose sets have at least this Jaccard similarity, a fraction. own: doc_id and key of all documents."""
     import pyarrow as pa
@@ -104,13 +187,6 @@ def confirmed(pairs: DataFrame, own: DataFrame, docs: DataFrame, words: int, see
             keep = pa.array(fine, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    few = F.broadcast(keys) if keys.count() <= SENT else keys
-    # One document stands for a set; its text is read again, as sets of all documents would take more room than the texts.
-    ids = own.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    ids = written(ids)
-    ids = F.broadcast(ids) if ids.count() <= SENT else ids
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    whole = written(sets(texts, words, seed).join(few, "key", "left_semi").dropDuplicates(["key"]))
+    whole = again(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), own, docs, words, seed)
     sides = pairs.join(whole.select(F.col("key").alias("a"), F.col("own").alias("_a")), "a").join(whole.select(F.col("key").alias("b"), F.col("own").alias("_b")), "b")
     return written(sides.select("a", "b", "_a", "_b").mapInArrow(lean(similar), "a long, b long"))

@@ -120,3 +120,44 @@ def test_stage_keeps_columns(spark):
     assert kept.columns == docs(spark).columns
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {k for k in brute(rows()) if k is not None}
     assert S.drop_near_copies(nothing(spark)).count() == 0
+
+
+def test_rarest_shingles_name_all_similar_pairs_and_few_of_a_crowd(spark):
+    rng = random.Random(21)
+    out = [x[1] for x in invented(9)]
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    crowd = []  # texts about one passage, each with too much of its own
+    for k in range(300):
+        own = list(base)
+        for i in range(5):
+            own[rng.randrange(30 * i, 30 * i + 30)] = f"own{k}.{i}"
+        crowd.append(" ".join(own))
+    sets_ = {J._key(x): x for x in (J.shingles(t.encode()) for t in out + crowd)}
+    rows_ = [(key, bytearray(x.tobytes()), 7, key) for key, x in sets_.items()]
+    found = {(r.a, r.b) for r in J.sharing(spark.createDataFrame(rows_, "key long, own binary, reach long, of long").repartition(3), (4, 5)).collect()}
+    keys, want, similar = sorted(sets_), set(), lambda x, y, both: 5 * both >= 4 * (len(x) + len(y) - both)
+    for j, b in enumerate(keys):
+        want |= {(a, b) for a in keys[:j] if similar(sets_[a], sets_[b], len(np.intersect1d(sets_[a], sets_[b], assume_unique=True)))}
+    assert want <= found and len(want) > 50
+    of_crowd = {J._key(J.shingles(t.encode())) for t in crowd}
+    assert sum(a in of_crowd and b in of_crowd for a, b in found - want) < 3000  # of 44,850
+
+
+def test_a_crowd_is_not_paired_with_itself(spark, monkeypatch):
+    named, real = [], S.confirmed
+
+    def counted(pairs, *more):
+        named.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(S, "confirmed", counted)
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    data = []
+    for k in range(240):
+        own = list(base)
+        for i in range(10):
+            own[rng.randrange(30 * i, 30 * i + 30)] = f"own{k}.{i}"
+        data.append((k, " ".join(own)))
+    assert groups(spark, data) == sorted((str(k), str(k)) for k in range(240))
+    assert sum(named) < 3000
