@@ -5,8 +5,8 @@ capitals and digits, letters and digits, or base64 in its two alphabets. Under u
 alphabet's counts, the number of runs above and below the middle, and the serial correlation of neighbours. The sum of their squares is small for random tokens, whatever their encoding and length,
 and large for structured ones, the more the longer they are.
 
-What is reported is tested against structure. The corpus' own words, joined as identifiers are (plainly, in camel case, by underscores, by digits), give structured strings of the least length
-of each class of length, one from each document of enough words, of a class and a form and at a place chosen by a hash of its text. A token's p-value is the share of them that look as random as it does or more. In each class the
+What is reported is tested against structure. The corpus' own words, joined as identifiers are (plainly, in camel case, by underscores, by digits), give structured strings: every text is cut into runs of words, one
+after the other, that just give the least length of each class of length in turn, in the four forms by turns. So each word of each document is in one structured string (but the last ones of a text, if too few for one more); what is in a candidate itself is no word. A token's p-value is the share of them that look as random as it does or more. In each class the
 Benjamini-Hochberg rule rejects structure for distinct tokens such that an expected share of at most `rate` of those rejected are structured after all; these are reported as kind `random`, unless a
 fixed pattern's span overlaps them. Sums of squares count by steps (an eighth of a power of two of their tail), so the rule needs one count per class and step, whatever the size of the corpus.
 Too few words give no small p-values: a class needs at least 1 / rate structured strings before anything is reported.
@@ -46,8 +46,9 @@ ENCODINGS = (
 #: Least lengths of the classes of length.
 CLASSES = (20, 32, 64, 128)
 STEPS, LAST = 8, 8 * 60
-#: Words that surely give a string of each class, hits that are placed in one go, and letters of a word of such a string.
-ENOUGH, PLACED, LETTERS = 2 * CLASSES[-1], 64, r"[A-Za-z]{2,}"
+#: Hits that are placed in one go, letters of a word of a structured string, and the shortest runs of whole words with as many letters as each class has, one after the other; a text may end after any.
+PLACED, LETTERS = 64, r"[A-Za-z]{2,}"
+RUNS = "".join(r"((?: ?[A-Za-z]){%d,}?(?![A-Za-z]))%s" % (least, "?" if k else "") for k, least in enumerate(CLASSES))
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -93,8 +94,9 @@ def _coded(token: Column, alphabet: str) -> Column:
     # Turns between independent neighbours: those at distance one share a character, which adds to the variance if the halves differ.
     spread = (n - 1) * both * (1 - both) + 2 * (n - 2) * (upper * (1 - upper) - both * both)
     runs = (turns - (n - 1) * both) / F.sqrt(spread)
-    step = lambda acc, c: F.struct((F.call_function("instr", F.lit(alphabet), c) - 1 - F.lit((k - 1) / 2)).alias("x"), (acc["sum"] + acc["x"] * (F.call_function("instr", F.lit(alphabet), c) - 1 - F.lit((k - 1) / 2))).alias("sum"))
-    moved = F.aggregate(F.split(token, ""), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
+    codes = F.transform(F.split(token, ""), lambda c: F.call_function("instr", F.lit(alphabet), c) - 1 - F.lit((k - 1) / 2))
+    step = lambda acc, x: F.struct(x.alias("x"), (acc["sum"] + acc["x"] * x).alias("sum"))
+    moved = F.aggregate(codes, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
     serial = moved / ((k * k - 1) / 12) / F.sqrt(n - 1)
     return F.pow(uneven, F.lit(2.0)) + F.pow(runs, F.lit(2.0)) + F.pow(serial, F.lit(2.0))
 
@@ -120,37 +122,40 @@ def _step(token: Column) -> Column:
     return F.least(F.lit(LAST), F.floor(-F.log2(battery(token)) * STEPS)).cast("int")
 
 
-def structured(rows: DataFrame) -> DataFrame:
-    """rows (with text) with structured: a string out of the text's words, as length class * 1024 + step; null if it has too few. Columns by turns, so that words are taken from a text once."""
-    words = F.filter(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0)), lambda x: F.length(x) <= 32)
-    place = F.pmod(F.col("_h"), F.greatest(F.lit(1), F.size("_words") - ENOUGH // 8)).cast("int") + 1
-    camel = F.array_join(F.transform("_some", lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
-    lines = F.array(F.lower(F.array_join("_some", "")), camel, F.array_join("_some", "_"), F.array_join("_some", "2"))
-    of = F.pmod(F.shiftright("_h", 8), F.lit(len(CLASSES))).cast("int")
-    cut = F.struct(of.alias("k"), F.substr(F.element_at("_lines", F.pmod(F.col("_h"), F.lit(4)).cast("int") + 1), F.lit(1), F.element_at(F.array(*map(F.lit, CLASSES)), of + 1)).alias("t"))
-    some = rows.withColumn("_words", words).withColumn("_h", F.xxhash64("text")).withColumn("_some", F.slice("_words", place, F.lit(ENOUGH)))
-    each = some.withColumn("_lines", lines).withColumn("_cut", cut)
-    fits = F.length("_cut.t") == F.element_at(F.array(*map(F.lit, CLASSES)), F.col("_cut.k") + 1)
-    return each.withColumn("structured", F.when(fits, F.element_at(F.transform(F.array("_cut"), lambda x: x["k"] * 1024 + _step(x["t"])), 1))).drop("_words", "_h", "_some", "_lines", "_cut")
+def structured(docs: DataFrame) -> DataFrame:
+    """of and step: class of length and step of every structured string that the words of the texts give."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), CANDIDATE, " ")
+    words = F.array_join(F.filter(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), lambda x: F.length(x) <= 32), " ")
+    rows = docs.select(words.alias("words"), F.pmod(F.xxhash64(text), F.lit(4)).cast("int").alias("turn"))
+
+    def cut(k: int) -> Column:
+        every = F.regexp_extract_all("words", F.lit(RUNS), F.lit(k + 1))
+        return F.transform(every, lambda x, i: F.struct(F.lit(k).alias("of"), ((F.col("turn") + i + k) % 4).alias("form"), F.ltrim(x).alias("t")))
+
+    runs = rows.select(F.inline(F.concat(*map(cut, range(len(CLASSES)))))).filter("t <> ''")
+    joined = lambda x, by: F.call_function("replace", x, F.lit(" "), F.lit(by))
+    forms = F.when(F.col("form") == 0, F.lower(joined("t", ""))).when(F.col("form") == 1, joined(F.initcap("t"), "")).when(F.col("form") == 2, joined("t", "_")).otherwise(joined("t", "2"))
+    strings = runs.select("of", F.substr(forms, F.lit(1), F.element_at(F.array(*map(F.lit, CLASSES)), F.col("of") + 1)).alias("t"))
+    return strings.select("of", _step(F.col("t")).alias("step"))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, base (array of s, kind, e), candidates (array of s, e, length class, step and a hash of the token), structured (as above)."""
+    """doc_id, base (array of s, kind, e), candidates (array of s, e, length class, step and a hash of the token)."""
     text = F.col("text")
     assign = F.filter(found(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6)
     length = lambda x: x["e"] - x["s"]
     kind = lambda x: sum(F.when(length(x) >= least, 1).otherwise(0) for least in CLASSES[1:])
-    rows = structured(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select(
-        "doc_id", F.concat(_spans(assign, 0), _spans(found(text, ACCESS), 1), _spans(found(text, HEX), 2)).alias("base"), found(text, CANDIDATE).alias("tokens"), "structured"
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
+        "doc_id", F.concat(_spans(assign, 0), _spans(found(text, ACCESS), 1), _spans(found(text, HEX), 2)).alias("base"), found(text, CANDIDATE).alias("tokens")
     )
     tested = F.transform("tokens", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), kind(x).alias("of"), _step(x["m"]).alias("step"), F.xxhash64(x["m"]).alias("h")))
-    return rows.select("doc_id", "base", tested.alias("candidates"), "structured")
+    return rows.select("doc_id", "base", tested.alias("candidates"))
 
 
-def rejected_upto(scans: DataFrame, rate: float) -> dict[int, int]:
+def rejected_upto(scans: DataFrame, strings: DataFrame, rate: float) -> dict[int, int]:
     """Class of length: the step up to which structure is rejected for its tokens. At most a row per class leaves the executors."""
     tokens = scans.select(F.inline("candidates")).groupBy("of", "step", "h").agg(F.lit(1).alias("n")).groupBy("of", "step").agg(F.sum("n").alias("t"), F.lit(0).cast("long").alias("d"))
-    strings = scans.select(F.col("structured").alias("x")).filter(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("d")).select(F.shiftright("x", 10).alias("of"), (F.col("x") % 1024).alias("step"), F.lit(0).cast("long").alias("t"), "d")
+    strings = strings.groupBy("of", "step").agg(F.lit(0).cast("long").alias("t"), F.count(F.lit(1)).alias("d"))
     counts = tokens.unionByName(strings).groupBy("of", "step").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
     w = Window.partitionBy("of")
     upto = w.orderBy("step")
@@ -162,7 +167,7 @@ def rejected_upto(scans: DataFrame, rate: float) -> dict[int, int]:
 def secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans."""
     scans = settled(scanned(docs))
-    limits = rejected_upto(scans, rate)
+    limits = rejected_upto(scans, structured(docs), rate)
 
     def random_only(x: Column) -> Column:
         of = F.element_at(F.array(*[F.lit(limits.get(k, -1)) for k in range(len(CLASSES))]), x["of"] + 1)

@@ -173,6 +173,16 @@ def test_scores_are_those_of_brute_force(spark, sizes, monkeypatch):
     assert np.allclose([x[3:] for x in found], [x[3:] for x in want], rtol=1e-9)
 
 
+def test_places_of_words_take_few_bytes():
+    rng = np.random.default_rng(5)
+    for most in (3, 300, 70_000):
+        places = np.cumsum(rng.integers(1, most, 5000))
+        bases, rest = M.stretched(places)
+        at = np.arange(len(places))
+        assert (bases[at // M.STRETCH] + rest[at] == places).all() and rest.dtype.itemsize == (1 if most == 3 else 2 if most == 300 else 4)
+    assert [len(x) for x in M.stretched(np.zeros(1, dtype=np.int64))] == [1, 1]
+
+
 def test_model_of_nothing(spark):
     model = M.train(nothing(spark))
     assert model.tokens == 0 and M.scored(nothing(spark), model).count() == 0
@@ -393,6 +403,22 @@ def test_rates_count_distinct_tokens_and_need_words(spark):
     assert S.secrets(nothing(spark)).count() == 0
 
 
+def test_every_word_is_in_a_structured_string(spark):
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(0, 400))) for _ in range(40)] + [None, ""]
+    want = Counter()
+    for text in texts:
+        words, of, left = (text or "").split(), 0, len((text or "").replace(" ", ""))
+        while words and left >= S.CLASSES[of if left >= S.CLASSES[of] else 0]:
+            of, letters = of if left >= S.CLASSES[of] else 0, 0
+            while letters < S.CLASSES[of]:
+                letters += len(words.pop(0))
+            want[of] += 1
+            of, left = (of + 1) % len(S.CLASSES), left - letters
+    found = S.structured(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(want.values()) > 8 * len(texts) and {k: sum(r.of == k for r in found) for k in want} == want
+
+
 def test_many_hits_of_one_text(spark):
     text = " ".join(f"é{k} " + "ab12" * 8 for k in range(300))
     want = [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
