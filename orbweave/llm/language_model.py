@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import crc_mod, lean, mounted, remembered, table
 
 #: Tokens of a block, and bytes of training text per shard.
-BLOCK, SHARD = 1 << 21, 1 << 24
+BLOCK, SHARD = 1 << 22, 1 << 24
 #: Tokens that are scored together: their contexts are held for all orders.
 SCORED = 1 << 19
 #: Words of a range in the last exchange, and parts that are summed at once there.
@@ -137,6 +137,15 @@ def counted(context: np.ndarray, now: np.ndarray, times: np.ndarray | None = Non
 
 #: Counts from here on are stored apart, so that the others take a byte.
 MUCH = 255
+#: Contexts whose words' places are told from one place.
+STRETCH = 64
+
+
+def stretched(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising places as those of every STRETCH-th and how far each lies from that of its stretch, in the least type that holds these."""
+    bases = places[::STRETCH]
+    rest = places - np.repeat(bases, STRETCH)[: len(places)]
+    return bases.astype("<i8"), rest.astype(np.min_scalar_type(int(rest.max(initial=0))))
 
 
 def kinds(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -221,11 +230,12 @@ class Model:
         for s, places in by_shard(shards):
             if not os.path.exists(f"{self.folder}/{order}-heads-{s}.npy"):
                 continue
-            heads, begins = self.mapped(f"{order}-heads-{s}"), self.mapped(f"{order}-begins-{s}")
-            at = np.minimum(np.searchsorted(heads, contexts[places]), len(heads) - 1)
-            known = heads[at] == contexts[places]
+            heads, bases, begins = (self.mapped(f"{order}-{x}-{s}") for x in ("heads", "bases", "begins"))
+            own = contexts[places].astype(heads.dtype)  # another type would have all heads converted
+            at = np.minimum(np.searchsorted(heads, own), len(heads) - 1)
+            known = heads[at] == own
             at, places = at[known], places[known]
-            lo[places], hi[places] = begins[at], begins[at + 1]
+            lo[places], hi[places] = (bases[x // STRETCH] + begins[x] for x in (at, at + 1))
             large = hi[places] - lo[places] >= self.long
             sums[places[large]] = self.mapped(f"{order}-sums-{s}")[np.searchsorted(self.mapped(f"{order}-long-{s}"), at[large])]
             few = places[~large]
@@ -299,7 +309,7 @@ def train(docs: DataFrame, folder: str | None = None, shard: int = SHARD, block:
         counts = np.concatenate([unpacked(x, "<u4") for x in group.column("counts").to_pylist()]).astype("<i8")
         keys, counts = summed(_keys(group.column("keys")), counts)
         _save(path, f"words-{s}", keys)
-        _save(path, f"counts-{s}", counts)
+        _save(path, f"counts-{s}", counts.astype("<u4") if counts.max(initial=0) < 1 << 32 else counts)
         return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(keys)], "tokens": [int(counts.sum())]})
 
     found = _texts(docs).mapInArrow(lean(words), "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(merge_words, "shard int, n long, tokens long").collect()
@@ -323,7 +333,9 @@ def train(docs: DataFrame, folder: str | None = None, shard: int = SHARD, block:
         begins = np.append(starts, len(context))
         large = np.flatnonzero(np.diff(begins) >= model.long)
         sums, much = kinds(times, starts)[large], np.flatnonzero(times >= MUCH)
-        for name, x in (("heads", context[starts]), ("begins", begins.astype("<u4" if len(context) < 1 << 32 else "<u8")), ("words", now.astype("<u4")), ("times", np.minimum(times, MUCH).astype("u1")), ("much", much), ("most", times[much]), ("long", large.astype("<u4")), ("sums", sums)):
+        bases, places = stretched(begins)
+        heads = context[starts].astype("<u4" if order == "pairs" else "<u8")  # the number of a word, or of two
+        for name, x in (("heads", heads), ("bases", bases), ("begins", places), ("words", now.astype("<u4")), ("times", np.minimum(times, MUCH).astype("u1")), ("much", much), ("most", times[much]), ("long", large.astype("<u4")), ("sums", sums)):
             _save(path, f"{order}-{name}-{s}", x)
 
     def table_of(rows: list[tuple]) -> pa.Table:
