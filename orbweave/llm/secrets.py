@@ -127,12 +127,10 @@ def structured(docs: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.coalesce("text", F.lit("")), CANDIDATE, " ")
     words = F.array_join(F.filter(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), lambda x: F.length(x) <= 32), " ")
     rows = docs.select(words.alias("words"), F.pmod(F.xxhash64(text), F.lit(4)).cast("int").alias("turn"))
-
-    def cut(k: int) -> Column:
-        every = F.regexp_extract_all("words", F.lit(RUNS), F.lit(k + 1))
-        return F.transform(every, lambda x, i: F.struct(F.lit(k).alias("of"), ((F.col("turn") + i + k) % 4).alias("form"), F.ltrim(x).alias("t")))
-
-    runs = rows.select(F.inline(F.concat(*map(cut, range(len(CLASSES)))))).filter("t <> ''")
+    # One pass writes the runs of each class on lines in turn; what follows the last line is left over.
+    lines = F.split(F.regexp_replace("words", F.lit(RUNS), F.lit("".join(f"${k + 1}\n" for k in range(len(CLASSES))))), "\n")
+    of, at = F.col("i") % len(CLASSES), F.floor(F.col("i") / len(CLASSES))
+    runs = rows.select("turn", F.posexplode(F.slice(lines, F.lit(1), F.size(lines) - 1)).alias("i", "x")).filter("x <> ''").select(of.alias("of"), ((F.col("turn") + at + of) % 4).alias("form"), F.ltrim("x").alias("t"))
     joined = lambda x, by: F.call_function("replace", x, F.lit(" "), F.lit(by))
     forms = F.when(F.col("form") == 0, F.lower(joined("t", ""))).when(F.col("form") == 1, joined(F.initcap("t"), "")).when(F.col("form") == 2, joined("t", "_")).otherwise(joined("t", "2"))
     strings = runs.select("of", F.substr(forms, F.lit(1), F.element_at(F.array(*map(F.lit, CLASSES)), F.col("of") + 1)).alias("t"))
