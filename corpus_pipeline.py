@@ -16,6 +16,9 @@ from orbweave.llm.mixing import mixed
 from orbweave.llm.packing import pack
 from orbweave.llm.simhash import drop_near_copies
 
+#: Words that a worker remembers while it packs.
+WORDS = 200_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which the network finds no language (no letters, or none that has half of the probability) go."""
@@ -38,8 +41,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence."""
-    return pack(docs, ids=False)
+    """One row per piece of a document in a sequence. Workers remember fewer words than by themselves: their executors still hold the memory of the stages before."""
+    return pack(docs, ids=False, words=WORDS)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixture", mixture), ("packing", packing)]

@@ -66,8 +66,8 @@ def balanced(lengths: np.ndarray, length: int, linear: float = LINEAR, quadratic
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = 4096, closing: int = 2, window: int = WINDOW, ids: bool = True, documents: int = DOCUMENTS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (little-endian unsigned 32-bit)."""
+def pack(docs: DataFrame, path: str | None = None, length: int = 4096, closing: int = 2, window: int = WINDOW, ids: bool = True, documents: int = DOCUMENTS, words: int | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (little-endian unsigned 32-bit). words: how many a worker remembers (None: as many as tokens does)."""
     import pyarrow as pa
 
     path = path or default_path()
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 4096, closing:
                 yield pa.RecordBatch.from_arrays(columns, names_of)
             following, held, names, texts = following + max((x[3] for x in placed), default=-1) + 1, 0, [], []
 
-        for some, encoded in id_batches(batches, path):
+        for some, encoded in id_batches(batches, path, most=words):
             for name, x in zip(some, encoded, strict=True):
                 names.append(name)
                 texts.append(x + end)

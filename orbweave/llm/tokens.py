@@ -33,20 +33,20 @@ def _ends_word(stem: bytes) -> bool:
 class WordTokenizer:
     """Little-endian unsigned 32-bit ids of texts given as UTF-8."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.most, self.known = most or REMEMBERED, dict[bytes, bytes]()
         self.ending = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ending[[k for x, k in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
         new = words.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.most:
             self.known = {w: ids for w, ids in self.known.items() if len(ids) <= FEW}
-            if len(self.known) > REMEMBERED // 2:
+            if len(self.known) > self.most // 2:
                 self.known.clear()
             new = words.difference(self.known)
         # Marks after a letter or digit are a token run of their own, so words with and without them are encoded once.
@@ -80,9 +80,9 @@ class WordTokenizer:
 
     def encoded(self, words: list[bytes]) -> bytes:
         """The ids of a text's words, learned in blocks so that no text needs more than the table."""
-        out = []
-        for at in range(0, len(words), 100_000):
-            block = words[at : at + 100_000] if at or len(words) > 100_000 else words
+        out, some = [], max(1, min(100_000, self.most // 2))
+        for at in range(0, len(words), some):
+            block = words[at : at + some] if at or len(words) > some else words
             try:
                 out.append(b"".join(map(self.known.__getitem__, block)))
             except KeyError:
@@ -91,11 +91,12 @@ class WordTokenizer:
         return out[0] if len(out) == 1 else b"".join(out)
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One per worker and path, kept for its later tasks."""
+def tokenizer(path: str, most: int | None = None) -> WordTokenizer:
+    """One per worker, path and size of its table, kept for its later tasks; one of another size goes first."""
     made = remembered("tokens")
-    if path not in made:
-        made[path] = WordTokenizer(path)
+    if path not in made or made[path].most != (most or REMEMBERED):
+        made.pop(path, None)
+        made[path] = WordTokenizer(path, most)
     return made[path]
 
 
@@ -105,13 +106,13 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def id_batches(batches: Iterator, path: str, some: int = 512) -> Iterator[tuple[list, list[bytes]]]:
-    """From Arrow batches of (doc_id, text as binary): ids of documents and their token ids, some documents at a time."""
-    known = tokenizer(path)
+def id_batches(batches: Iterator, path: str, some: int = 512, most: int | None = None) -> Iterator[tuple[list, list[bytes]]]:
+    """From Arrow batches of (doc_id, text as binary): ids of documents and their token ids, some documents at a time, by a worker that remembers `most` words (and those of a block)."""
+    known = tokenizer(path, most)
     for batch in batches:
         for at in range(0, batch.num_rows, some):
             part = batch.slice(at, some)
             texts = [folded(x or b"").split() for x in part.column(1).to_pylist()]
-            if sum(map(len, texts)) < 1_000_000:
+            if sum(map(len, texts)) < known.most:
                 known.learn(set().union(*texts))
             yield part.column(0).to_pylist(), [known.encoded(x) for x in texts]

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -38,6 +39,23 @@ def test_a_full_table_is_emptied(monkeypatch):
         assert own.encoded(words) == whole.encoded(words)
 
 
+def test_a_smaller_table_stays_small_and_packs_alike(spark, ids):
+    """As in the pipeline, where workers that remembered a million words took too much of an executor's memory."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    assert corpus_pipeline.WORDS <= T.REMEMBERED // 4
+    # More new words in one go than the table has room for, then many texts.
+    texts = [" ".join(f"x{k}y{j}." for j in range(3000)).encode() for k in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    whole = T.WordTokenizer(T.default_path())
+    for names, some in T.id_batches(iter([batch]), T.default_path(), some=1, most=1000):
+        assert some == [whole.encoded(texts[k].split()) for k in names]
+        assert len(T.tokenizer(T.default_path(), 1000).known) <= 3000  # the table and a block's words, stems and marks
+    assert Counter(P.pack(docs(spark), ids=False, words=50).collect()) == Counter(P.pack(docs(spark), ids=False).collect())
+
+
 def test_histogram_answers_every_limit(spark, ids):
     histogram = C.length_histogram(docs(spark))
     lengths = np.array([len(x) for x in ids])
