@@ -17,6 +17,7 @@ Defined results: null and empty texts have no spans; offsets are code points, en
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -46,6 +47,8 @@ ENCODINGS = (
 #: Least lengths of the classes of length.
 CLASSES = (20, 32, 64, 128)
 STEPS, LAST = 8, 8 * 60
+#: A sum of squares from which on any token is in the last step: its tail is less than 2 ** -60.
+SURE = 90.0
 #: Hits that are placed in one go, letters of a word of a structured string, and the shortest runs of whole words with as many letters as each class has, one after the other; a text may end after any.
 PLACED, LETTERS = 64, r"[A-Za-z]{2,}"
 RUNS = "".join(r"((?: ?[A-Za-z]){%d,}?(?![A-Za-z]))%s" % (least, "?" if k else "") for k, least in enumerate(CLASSES))
@@ -81,10 +84,15 @@ def _spans(hits: Column, kind: int) -> Column:
     return F.transform(hits, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("kind"), x["e"].alias("e")))
 
 
-def _coded(token: Column, alphabet: str) -> Column:
-    """Sum of the squares of the three statistics of one token."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once: a variable of a lambda is."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _coded(token: Column, alphabet: str, enough: float | None) -> Column:
+    """Sum of the squares of the three statistics of one token; without the last one, which takes longest, where the others alone reach enough."""
     k, n = len(alphabet), F.length(token).cast("double")
-    letters = F.array(*[F.lit(c) for c in alphabet])
+    letters = F.array_distinct(F.split(token, ""))
     squares = F.aggregate(letters, F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.call_function("replace", token, c, F.lit(""))), F.lit(2.0)))
     uneven = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
     half = F.translate(token, alphabet, "0" * (k // 2) + "1" * (k - k // 2))
@@ -98,16 +106,17 @@ def _coded(token: Column, alphabet: str) -> Column:
     step = lambda acc, x: F.struct(x.alias("x"), (acc["sum"] + acc["x"] * x).alias("sum"))
     moved = F.aggregate(codes, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
     serial = moved / ((k * k - 1) / 12) / F.sqrt(n - 1)
-    return F.pow(uneven, F.lit(2.0)) + F.pow(runs, F.lit(2.0)) + F.pow(serial, F.lit(2.0))
+    two, three = F.pow(uneven, F.lit(2.0)) + F.pow(runs, F.lit(2.0)), lambda q: q + F.pow(serial, F.lit(2.0))
+    return three(two) if enough is None else _let(two, lambda q: F.when(q >= enough, q).otherwise(three(q)))
 
 
-def battery(token: Column) -> Column:
-    """The p-value of a token under uniform random codes."""
+def battery(token: Column, enough: float | None = None) -> Column:
+    """The p-value of a token under uniform random codes; one whose sum reaches enough may get the larger one of two statistics alone."""
     total = None
     for pattern, alphabet in ENCODINGS:
-        own = _coded(token, alphabet)
+        own = _coded(token, alphabet, enough)
         total = F.when(token.rlike(pattern), own) if total is None else total.when(token.rlike(pattern), own)
-    return F.element_at(F.transform(F.array(total), tail), 1)  # so that the sum is worked out once
+    return _let(total, tail)
 
 
 def tail(q: Column) -> Column:
@@ -119,7 +128,7 @@ def tail(q: Column) -> Column:
 
 
 def _step(token: Column) -> Column:
-    return F.least(F.lit(LAST), F.floor(-F.log2(battery(token)) * STEPS)).cast("int")
+    return F.least(F.lit(LAST), F.floor(-F.log2(battery(token, SURE)) * STEPS)).cast("int")
 
 
 def structured(docs: DataFrame) -> DataFrame:

@@ -392,6 +392,16 @@ def test_found_tokens_are_random_and_random_tokens_are_found(spark):
         assert right >= 0.85 * told and (right >= 0.85 * real or least == 20 and right >= 0.4 * real), (least, right, told, real)
 
 
+def test_steps_need_the_last_statistic_only_below_the_last_step(spark):
+    rng = random.Random(13)
+    letters, words = string.ascii_letters + string.digits, ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    tokens = ["".join(rng.choice(letters[:k]) for _ in range(n)) for k in (2, 16, 30, 62) for n in (20, 32, 64, 128) for _ in range(5)] + ["_".join(rng.choices(words, k=40))[:n] for n in (20, 32, 64, 128) for _ in range(20)]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", S._step(F.col("t")).alias("step"), S.battery(F.col("t")).alias("p"), S.battery(F.col("t"), S.SURE).alias("short")).collect()
+    assert all(r.step == min(S.LAST, math.floor(-math.log2(r.p) * S.STEPS)) for r in rows)
+    assert tail(S.SURE) < 2.0**-60 and all(r.short == r.p or r.short < 2.0**-60 for r in rows)
+    assert any(r.short != r.p for r in rows) and len({r.step for r in rows}) > 20
+
+
 def test_rates_count_distinct_tokens_and_need_words(spark):
     rng = random.Random(8)
     token = "".join(rng.choice(string.ascii_letters) for _ in range(40))
