@@ -111,7 +111,8 @@ def mixed(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Places of each shard that occurs, in their order."""
-    order = np.argsort(shard, kind="stable")
+    least = np.min_scalar_type(int(shard.max(initial=0)))  # two bytes or one are sorted by radix
+    order = np.argsort(shard.astype(least), kind="stable")
     if len(order):
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         for places in np.split(order, cuts):
@@ -128,11 +129,22 @@ def discounts(n: list[int]) -> list[float]:
 
 def counted(context: np.ndarray, now: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (context, word) in sorted order and how often each occurs."""
-    order = np.lexsort((now, context))
-    context, now = context[order], now[order]
-    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (now[1:] != now[:-1])])) if len(now) else np.zeros(0, dtype=np.int64)
-    n = np.diff(np.append(first, len(now))) if times is None else np.add.reduceat(times[order], first) if len(now) else times
-    return context[first], now[first], n
+    if not len(now):
+        return context, now, np.zeros(0, dtype=np.int64) if times is None else times
+    # Contexts are sorted first; a context's place among the distinct ones and a word fit one key, so words are sorted within contexts by whole numbers.
+    order = np.argsort(context, kind="quicksort" if times is None else "stable")  # what tasks sent is sorted in runs
+    context = context[order]
+    keys = np.zeros(len(context), dtype="<u8")
+    np.cumsum(context[1:] != context[:-1], out=keys[1:])
+    keys = (keys << np.uint64(32)) | now[order]
+    if times is None:
+        keys.sort()
+    else:
+        within = np.argsort(keys, kind="stable")
+        keys, times = keys[within], times[order[within]]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    n = np.diff(np.append(first, len(keys))) if times is None else np.add.reduceat(times, first)
+    return context[first], (keys[first] & np.uint64(0xFFFFFFFF)).astype(now.dtype), n
 
 
 #: Counts from here on are stored apart, so that the others take a byte.
@@ -183,7 +195,7 @@ class Model:
     def mapped(self, name: str) -> np.ndarray:
         key, maps = f"{self.folder}/{name}", remembered("language_model").setdefault("maps", OrderedDict())
         if key not in maps:
-            maps[key] = np.load(f"{key}.npy", mmap_mode="r")
+            maps[key] = np.load(f"{key}.npy", mmap_mode="r").view(np.ndarray)  # a memmap would check each result of an index
             while len(maps) > self.maps:
                 maps.popitem(last=False)
         maps.move_to_end(key)

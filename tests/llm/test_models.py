@@ -304,6 +304,30 @@ def test_every_row_repeated_and_many_blocks(spark, monkeypatch):
     assert found.query_id.nunique() == 80 and hit / 400 > 0.97
 
 
+@pytest.mark.parametrize("times", [False, True])
+def test_counts_of_triples_and_places_of_shards_in_short_keys(monkeypatch, times):
+    rng, sorts = np.random.default_rng(14), []
+    context = np.concatenate([rng.integers(0, 50, 3000), rng.integers(0, 2**63, 50)]).astype("<u8") << np.uint64(1)
+    now, n = rng.choice([0, 1, 7, 2**32 - 1], len(context)).astype("<u4"), rng.integers(1, 9, len(context))
+    want = Counter()
+    for c, w, k in zip(context.tolist(), now.tolist(), n.tolist(), strict=True):
+        want[c, w] += k if times else 1
+    got = M.counted(context, now, n if times else None)
+    assert [x.dtype.kind for x in got] == ["u", "u", "i"] and got[1].dtype == np.dtype("<u4")
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == [(*key, k) for key, k in sorted(want.items())]
+    assert all(len(x) == 0 for x in M.counted(context[:0], now[:0], n[:0] if times else None))
+    own = np.argsort
+    monkeypatch.setattr(M.np, "argsort", lambda x, **more: sorts.append(x.dtype.itemsize) or own(x, **more))
+    shard = rng.integers(0, 300, 1000)
+    assert {s: at.tolist() for s, at in M.by_shard(shard)} == {s: np.flatnonzero(shard == s).tolist() for s in set(shard.tolist())}
+    assert sorts == [2] and not list(M.by_shard(shard[:0]))
+
+
+def test_mapped_arrays_are_plain(tmp_path):
+    np.save(tmp_path / "words-0.npy", np.arange(5))
+    assert type(M.Model(str(tmp_path), 1).mapped("words-0")) is np.ndarray
+
+
 # secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
