@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import lean, table, written
-from .components import stars
+from .components import Groups, stars
 from .similar import again, confirmed, printed, sharing
 
 #: Fingerprints of a subtrie at most, and bits by which a larger one is split.
@@ -33,6 +33,8 @@ SLICE, WAITING, FEW = 1 << 20, 1 << 17, 8
 HASHES = 50_000
 #: Pairs for each group beyond which not all are tried at once, and rounds in which they are not.
 MANY, ROUNDS = 4, 2
+#: Edges between texts that one task joins at most.
+ALONE = 1 << 18
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -81,25 +83,6 @@ def budgets(errors: int) -> np.ndarray:
     return np.array([[0] + [k for k, n in enumerate(sizes[r:] + sizes[:r]) for _ in range(n)] for r in range(errors + 1)])
 
 
-class _Groups:
-    """Smallest-label components of positions, joined link by link in bulk."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        label = self.label
-        while True:
-            a, b = label[i], label[j]
-            apart = a != b
-            if not apart.any():
-                return
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(up := label[label], label):
-                label[:] = up
-
-
 def near(values: np.ndarray, items: np.ndarray, rotation: np.ndarray, errors: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """values: rotated fingerprints, sorted within each item; items: where each begins, and the end. Yields all linked pairs of positions i < j, some at a time.
 
@@ -167,7 +150,7 @@ def near(values: np.ndarray, items: np.ndarray, rotation: np.ndarray, errors: in
 
 def walk(values: np.ndarray, items: np.ndarray, rotation: np.ndarray, errors: int) -> np.ndarray:
     """As near, but returns for each position that of a linked one, or its own: stars that connect just what links connect."""
-    groups = _Groups(len(values))
+    groups = Groups(len(values))
     for i, j in near(values, items, rotation, errors):
         groups.join(i, j)
     return groups.label
@@ -285,7 +268,7 @@ def similar_groups(docs: DataFrame, words: int = 5, errors: int = 10, prints: in
 
     Two texts link if the Jaccard similarity of their whole sets of shingles is at least share (a fraction) and one of their `prints` independent fingerprints differs in at most
     `errors` bits. The walks name the pairs; sets are compared exactly. First each text is held against a few centres of its stars, which joins large groups with few comparisons, then groups that are apart against
-    all such centres; a last walk gives all other pairs of the groups that are still apart. Texts with the same set are one text throughout. Null and empty texts have the empty set and form a group.
+    all such centres; shared rare shingles give all other pairs of the groups that are still apart. Texts with the same set are one text throughout. Null and empty texts have the empty set and form a group.
     """
     read = written(printed(docs, words, prints, seed))
     own = read.select("doc_id", "key")
@@ -297,7 +280,7 @@ def similar_groups(docs: DataFrame, words: int = 5, errors: int = 10, prints: in
     apart = edges.join(centre, ["m", "v"]).join(each.select("m", F.col("fp").alias("u"), F.col("key").alias("b")), ["m", "u"]).select("a", "b")
     equal = each.join(distinct.filter("least <> most").select("m", "fp", F.col("least").alias("a")), ["m", "fp"]).filter("key <> a").select("a", F.col("key").alias("b"))
     met = written(apart.unionByName(equal).filter("a <> b").distinct())
-    reach = stars(met.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    reach = stars(met.select(F.col("a").alias("u"), F.col("b").alias("v")), ALONE)
 
     def close(pairs: DataFrame) -> DataFrame:
         """Pairs that may be similar by their sizes and fingerprints."""
@@ -313,6 +296,13 @@ def similar_groups(docs: DataFrame, words: int = 5, errors: int = 10, prints: in
 
     spark = docs.sparkSession
     left, links, roots = written(close(met).withColumn("ra", F.col("a")).withColumn("rb", F.col("b"))), spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Adds those of the pairs that link; the roots of all links so far."""
+        nonlocal links
+        links = links.unionByName(confirmed(pairs, own, docs, words, seed, share))
+        return stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")), ALONE)
+
     for power in range(ROUNDS + 1):
         row = left.agg(F.count(F.lit(1)), F.count_distinct("rb")).first()
         if not row[0]:
@@ -320,8 +310,7 @@ def similar_groups(docs: DataFrame, words: int = 5, errors: int = 10, prints: in
         tried = left.select("a", "b")
         if power < ROUNDS and row[0] > MANY * row[1]:  # large groups: one pair of each group in the first round, at most eight in the next
             tried = written(left.groupBy("rb", F.pmod(F.xxhash64("a"), F.lit(8**power))).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
-        links = links.unionByName(confirmed(tried, own, docs, words, seed, share))
-        roots = stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        roots = joined(tried)
         if row[0] <= MANY * row[1]:
             break
         left = written(by_roots(left.select("a", "b").join(tried, ["a", "b"], "left_anti"), roots))
@@ -331,10 +320,13 @@ def similar_groups(docs: DataFrame, words: int = 5, errors: int = 10, prints: in
     several = label.groupBy("reach").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x <> y").select("reach")
     still = written(label.join(several, "reach", "left_semi").select("key", "reach", "of"))
     if not still.isEmpty():
-        others = sharing(again(still.select("key"), own, docs, words, seed).join(still, "key"), share)
         known = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = links.unionByName(confirmed(written(close(others.join(known, ["a", "b"], "left_anti"))), own, docs, words, seed, share))
-        roots = stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+        def unknown(pairs: DataFrame) -> DataFrame:
+            return written(close(pairs.join(known, ["a", "b"], "left_anti")))
+
+        texts_still = again(still.select("key"), own, docs, words, seed).join(still, "key")
+        roots = joined(unknown(sharing(texts_still, share, lambda pairs: joined(unknown(pairs)))))
     least = own.groupBy("key").agg(F.min("doc_id").alias("_least"))
     named = written(least.join(roots, F.col("key") == F.col("node"), "left").select("key", "_least", F.coalesce("root", "key").alias("root")))
     smallest = written(named.groupBy("root").agg(F.min("_least").alias("component_id")))

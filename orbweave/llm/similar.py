@@ -6,7 +6,7 @@ empty set; fewer words than a shingle form one; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +17,8 @@ from .common import lean, remembered, written
 SENT = 200_000
 #: Classes of shingles whose parities are compared.
 PARITIES = 1024
+#: Hubs of a shingle at most, in each round that holds texts against hubs (the next comes only if one has halved the comparisons), and comparisons for each row beyond which there are such rounds.
+HUBS, CROWDED = (4, 16), 16
 
 
 def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -92,11 +94,11 @@ def sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
 def again(keys: DataFrame, own: DataFrame, docs: DataFrame, words: int, seed: int) -> DataFrame:
     """key and own (as sets gives them) of the distinct keys. own: doc_id and key of all documents."""
     keys = written(keys)
-    few = F.broadcast(keys) if keys.count() <= SENT else keys
+    sent = keys.count() <= SENT
+    few = F.broadcast(keys) if sent else keys
     # One document stands for a set; its text is read again, as sets of all documents would take more room than the texts.
-    ids = own.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    ids = written(ids)
-    ids = F.broadcast(ids) if ids.count() <= SENT else ids
+    ids = own.join(few, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    ids = F.broadcast(ids) if sent else written(ids)
     texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
     return written(sets(texts, words, seed).join(few, "key", "left_semi").dropDuplicates(["key"]))
 
@@ -118,9 +120,12 @@ def reached(n: int, least: np.ndarray, share: tuple[int, int]) -> list[tuple[int
     return [(d, k) for d, k in out if k > 0]
 
 
-def sharing(texts: DataFrame, share: tuple[int, int]) -> DataFrame:
+def sharing(texts: DataFrame, share: tuple[int, int], joined: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b) of keys, a < b, of the same `reach` and another `of` that hold a shingle in common among their rarest: all such pairs with at least this Jaccard similarity, and few others.
 
+    joined tells for some of the pairs what they join: the root of each node that isn't its group's smallest, all groups so far being told. With it, a crowd is first held against hubs, a few texts of each shingle, which takes a bounded
+    number of comparisons a row; what that joins needs no further pairs, and the pairs returned are those between texts that are apart then.
+
     texts: key, own (the set), reach, of. Of two sets whose similarity is that of share, at least t shingles are in both, t following from their sizes; so, with the shingles of both in one order, the first of these
     is among the first n - t + 1 of either. The order is by rareness, so what only one text of a reach holds is passed over, and a crowd about one passage shares nothing where each has too much of its own. Sizes go by narrow classes,
     so that t is nearly exact. A shingle that many hold pairs only the texts that are not of its largest group, with those of other groups. A pair is given up if too few shingles are left from the common one on, or if the
@@ -130,10 +135,10 @@ def sharing(texts: DataFrame, share: tuple[int, int]) -> DataFrame:
 
     def each(batches: Iterator) -> Iterator:
         for batch in batches:
-            for key, own, reach, of in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for key, own, reach in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 h = np.frombuffer(own, dtype="<i8")
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x), pa.int64()) for x in (key, reach, of, len(h))] + [pa.array(h)], ["key", "reach", "of", "n", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x), pa.int64()) for x in (key, reach, len(h))] + [pa.array(h)], ["key", "reach", "n", "h"])
 
     def parities(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -143,39 +148,59 @@ def sharing(texts: DataFrame, share: tuple[int, int]) -> DataFrame:
     def dealt(batches: Iterator) -> Iterator:
         for batch in batches:
             rows: list[tuple] = []
-            for key, reach, of, n, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for key, reach, n, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 least = bounds(share, 2 * n)
                 mine = int(np.searchsorted(least, n, side="right")) - 1
                 alone = n - len(own)
                 for d, k in reached(n, least, share):
-                    rows += [(key, reach, of, n, n - alone - i, x, min(mine, d), max(mine, d), (mine > d) - (mine < d)) for i, x in enumerate(own[: max(0, k - alone)])]
+                    rows += [(key, reach, n, n - alone - i, x, min(mine, d), max(mine, d), (mine > d) - (mine < d)) for i, x in enumerate(own[: max(0, k - alone)])]
             for at in range(0, len(rows), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[at : at + (1 << 16)], strict=True)], ["key", "reach", "of", "n", "left", "h", "low", "high", "side"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[at : at + (1 << 16)], strict=True)], names)
 
-    tokens = written(texts.select("key", "own", "reach", "of").mapInArrow(lean(each), "key long, reach long, of long, n long, h long"))
+    names = ["key", "reach", "n", "left", "h", "low", "high", "side"]
+    tokens = written(texts.select("key", "own", "reach").mapInArrow(lean(each), "key long, reach long, n long, h long"))
     held = tokens.groupBy("reach", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    ranked = tokens.join(held, ["reach", "h"]).groupBy("key", "reach", "of", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))
-    rows = written(ranked.select("key", "reach", "of", "n", F.col("s.h").alias("own")).mapInArrow(lean(dealt), "key long, reach long, of long, n long, left long, h long, low long, high long, side long"))
-    bucket = ["reach", "h", "low", "high"]
-    sizes = rows.groupBy(*bucket, "of").agg(F.count(F.lit(1)).alias("n")).groupBy(*bucket).agg(F.max(F.struct("n", "of")).alias("top"), F.count(F.lit(1)).alias("groups"))
-    large = sizes.filter("groups > 1").select(*bucket, F.col("top.of").alias("top"))
-    bits = texts.select("key", "own").mapInArrow(lean(parities), "key long, bits array<long>")
-    several = written(rows.join(large, bucket).join(bits, "key"))
-    one, two = (several.select(*bucket, (F.col("side") * sign).alias("side"), "top", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "of", "n", "left", "bits")]) for x, sign in (("a", 1), ("b", -1)))
+    ranked = tokens.join(held, ["reach", "h"]).groupBy("key", "reach", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))
+    rows = written(ranked.select("key", "reach", "n", F.col("s.h").alias("own")).mapInArrow(lean(dealt), ", ".join(f"{x} long" for x in names)))
+    groups = written(texts.select("key", "of"))
+    bucket, row = ["reach", "h", "low", "high"], ["key", "of", "n", "left", "bits"]
+    bits = written(texts.select("key", "own").mapInArrow(lean(parities), "key long, bits array<long>"))
     sizes = F.col("a_n") + F.col("b_n")
     common = F.ceil(share[0] * sizes / (share[0] + share[1]))
     apart = sum((F.bit_count(F.col("a_bits")[k].bitwiseXOR(F.col("b_bits")[k])) for k in range(PARITIES // 64)), F.lit(0))
     fine = (F.col("a_of") != F.col("b_of")) & (F.least("a_left", "b_left") >= common) & (apart <= sizes - 2 * common)
-    pairs = one.filter("a_of <> top").drop("top").join(two.drop("top"), [*bucket, "side"]).filter(fine).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
-    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def sided(held: DataFrame, x: str, sign: int) -> DataFrame:
+        return held.select(*bucket, (F.col("side") * sign).alias("side"), "top", *[F.col(c).alias(f"{x}_{c}") for c in row])
+
+    def named(one: DataFrame, two: DataFrame) -> DataFrame:
+        pairs = one.drop("top").join(two.drop("top"), [*bucket, "side"]).filter(fine).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+        return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    before = float("inf")
+    for turn in range(len(HUBS) + 1):
+        own = rows.join(groups, "key")
+        counts = own.groupBy(*bucket, "of").agg(F.count(F.lit(1)).alias("n")).groupBy(*bucket).agg(F.max(F.struct("n", "of")).alias("top"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"))
+        large = written(counts.filter("groups > 1").select(*bucket, F.col("top.of").alias("top"), "n", (F.col("n") - F.col("top.n")).alias("others")))
+        several = written(own.join(large.select(*bucket, "top"), bucket).join(bits, "key"))
+        held, compared = large.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("others"))).first()
+        if joined is None or turn == len(HUBS) or not held or compared <= CROWDED * held or compared > before / 2:
+            break
+        before = compared
+        mixed = F.xxhash64("key", F.lit(turn))
+        first = F.struct((F.col("of") != F.col("top")).alias("_far"), mixed.alias("_mixed"), *row)
+        hubs = written(several.groupBy(*bucket, "side", "top", F.pmod(mixed, F.lit(HUBS[turn])).alias("_hub")).agg(F.min(first).alias("hub")).select(*bucket, "side", "top", *[F.col(f"hub.{c}").alias(c) for c in row]))
+        roots = joined(named(sided(several, "a", 1), sided(hubs, "b", -1)))
+        groups = written(groups.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "of").alias("of")))
+        rows = several.select(*names)  # one group alone stays so
+    return named(sided(several, "a", 1).filter("a_of <> top"), sided(several, "b", -1))
 
 
 def confirmed(pairs: DataFrame, own: DataFrame, docs: DataFrame, words: int, seed: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of keys whose sets have at least this Jaccard similarity, a fraction. own: doc_id and key of all documents."""
+    """The pairs (a, b) of keys, a table that is read twice, whose sets have at least this Jaccard similarity, a fraction. own: doc_id and key of all documents."""
     import pyarrow as pa
 
     over, under = share
-    pairs = written(pairs)
 
     def similar(batches: Iterator) -> Iterator:
         for batch in batches:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from orbweave.llm import similar as J, simhash as S
+from orbweave.llm.components import stars
 from orbweave.llm.simhash import fingerprint
 
 from .data import docs, nothing, rows
@@ -161,3 +162,45 @@ def test_a_crowd_is_not_paired_with_itself(spark, monkeypatch):
         data.append((k, " ".join(own)))
     assert groups(spark, data) == sorted((str(x[0]), str(k)) for x, k in zip(data, brute(data), strict=True))
     assert named[-1] < 3000, named
+
+
+def test_a_crowd_of_near_copies_is_held_against_hubs(spark):
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = set()
+    while len(texts) < 500:  # about half of all pairs are similar
+        own = list(base)
+        for i in rng.sample(range(12), rng.randint(1, 3)):
+            own[12 * i + 4 + rng.randrange(2)] = f"edited{rng.randrange(3)}"
+        texts.add(" ".join(own))
+    sets_ = {J._key(x): x for x in (J.shingles(t.encode()) for t in sorted(texts))}
+    keys, both = sorted(sets_), lambda a, b: len(np.intersect1d(sets_[a], sets_[b], assume_unique=True))
+    similar = lambda a, b: 5 * (k := both(a, b)) >= 4 * (len(sets_[a]) + len(sets_[b]) - k)
+    named, links = [], []
+
+    def joined(pairs):
+        found = [(r.a, r.b) for r in pairs.collect()]
+        named.append(len(found))
+        links.extend(p for p in found if similar(*p))
+        return stars(spark.createDataFrame(links, "u long, v long"))
+
+    def roots(links):
+        label = {k: k for k in keys}
+        for a, b in links:
+            x, y = sorted((label[a], label[b]))
+            label |= {k: x for k, v in label.items() if v == y}
+        return label
+
+    rows_ = spark.createDataFrame([(key, bytearray(x.tobytes()), 7, key) for key, x in sets_.items()], "key long, own binary, reach long, of long").repartition(3)
+    whole = [(r.a, r.b) for r in J.sharing(rows_, (4, 5)).collect()]
+    joined(J.sharing(rows_, (4, 5), joined))
+    assert roots(links) == roots(p for p in whole if similar(*p)) and len(set(roots(links).values())) < 20
+    assert len(named) > 1 and 4 * sum(named) < len(whole) > 20_000, (named, len(whole))
+
+
+@pytest.mark.parametrize("edges", [[], [(k, k + 1) for k in range(200)], [(9, 2), (2, 9), (4, 4), (-5, 9), (7, 8), (-(2**63), 2**63 - 1)]])
+def test_stars_in_one_task_are_the_same(spark, edges):
+    random.Random(5).shuffle(edges)
+    table = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    one, many = (sorted(tuple(r) for r in stars(table, alone).collect()) for alone in (1000, 0))
+    assert one == many and len(one) == len({x for e in edges for x in e if e[0] != e[1]}) - len({b for _, b in one})
