@@ -6,10 +6,12 @@ predicate filters what the cells bring together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import tiles
 from .lineage import kept
 
 
@@ -115,30 +117,35 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, xy: tuple[str
 def nearest(left: DataFrame, right: DataFrame, key: str, other_key: str, cell: float, into: Sequence[str] = (), reach: float = float("inf"), xy: tuple[str, str] = ("x", "y")) -> DataFrame:
     """left with _near (other_key), dist and `into` of the nearest right point; the smaller key of two as near; null beyond reach or without points.
 
-    Searches cells of doubling size: a point found within one cell's width is nearest for certain, and only points without
-    one go on to the next size. The rounds are as many as the emptiest neighbourhood needs.
+    Equal places count once. Searches cells of doubling size, at first of `cell` or of some sixteen right places if that is less: a point found
+    within one cell's width is nearest for certain, and only places without one go on to the next size. The rounds are as many as the emptiest neighbourhood needs.
     """
-    right = right.select(F.col(other_key).alias("_near"), *[F.col(c).alias(f"_o{c}") for c in xy], *[F.col(c).alias(f"_i{c}") for c in into])
-    span = right.agg(*[f(f"_o{c}").alias(f"{f.__name__}{c}") for c in xy for f in (F.min, F.max)]).first()
-    wide = left.agg(*[f(c).alias(f"{f.__name__}{c}") for c in xy for f in (F.min, F.max)]).first()
-    ends = [(min(a, b), max(c, d)) for a, b, c, d in ((span[f"min{c}"], wide[f"min{c}"], span[f"max{c}"], wide[f"max{c}"]) for c in xy) if a is not None and b is not None]
+    real = "x IS NOT NULL AND y IS NOT NULL AND abs(x) < double('infinity') AND abs(y) < double('infinity')"
+    item = F.struct(F.col(other_key).alias("_near"), *[F.col(c).alias(f"_i{c}") for c in into])
+    holes = kept(tiles.places(right, xy, key=F.min(other_key), _b=F.min_by(item, other_key)).filter(real))
+    open_ = kept(tiles.places(left, xy).filter(real))
+    told = [f(c).alias(f"{f.__name__}{c}") for c in ("x", "y") for f in (F.min, F.max)]
+    span, wide = holes.agg(F.count(F.lit(1)).alias("n"), *told).first(), open_.agg(*told).first()
+    ends = [(min(a, b), max(c, d)) for a, b, c, d in ((span[f"min{c}"], wide[f"min{c}"], span[f"max{c}"], wide[f"max{c}"]) for c in ("x", "y")) if a is not None and b is not None]
     extent = max((hi - lo for lo, hi in ends), default=0.0)
-    best = ["_near", "dist", *[f"_i{c}" for c in into]]
     done: DataFrame | None = None
-    open_, size = left, cell
+    size = cell
+    if ends:
+        sides = [span[f"max{c}"] - span[f"min{c}"] for c in ("x", "y")]
+        fair = max(math.sqrt(16 * sides[0] * sides[1] / span.n), 16 * max(sides) / span.n)
+        size = min(cell, fair) if 0 < fair < math.inf else cell
     while ends:
-        pairs = radius_pairs(open_, right.withColumnsRenamed({f"_o{c}": c for c in xy}), size, xy)
-        top = kept(pairs.groupBy(F.col(f"l.{key}").alias(key)).agg(F.min_by(F.struct("d", "r"), F.struct("d", "r._near")).alias("_b")))
-        found = open_.join(top, key).select(*left.columns, F.col("_b.r._near").alias("_near"), F.col("_b.d").alias("dist"), *[F.col(f"_b.r._i{c}").alias(f"_i{c}") for c in into])
+        found = kept(tiles.nearest(open_, holes.select("x", "y", "key"), size))
         done = found if done is None else done.unionByName(found)
-        open_ = kept(open_.join(top.select(key), key, "left_anti"))
+        open_ = kept(open_.join(found.select("x", "y"), ["x", "y"], "left_anti"))
         if size >= min(reach, extent * 1.5) or open_.isEmpty():
             break
         size *= 2
-    none = open_.select(*left.columns, *[F.lit(None).alias(c) for c in best])
-    out = none if done is None else done.unionByName(none)
-    far = F.col("dist") <= reach
-    return out.select(*left.columns, F.when(far, F.col("_near")).alias("_near"), F.when(far, F.col("dist")).alias("dist"), *[F.when(far, F.col(f"_i{c}")).alias(c) for c in into])
+    best = ["_near", *[f"_i{c}" for c in into]]
+    if done is None:
+        return left.select(*left.columns, F.lit(None).cast(right.schema[other_key].dataType).alias("_near"), F.lit(None).cast("double").alias("dist"), *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in into])
+    told_ = done.filter(F.col("d") <= reach).join(holes.select(F.col("x").alias("nx"), F.col("y").alias("ny"), "_b"), ["nx", "ny"]).select("x", "y", F.col("d").alias("dist"), *[F.col(f"_b.{c}").alias(c) for c in best])
+    return tiles.at_place(left, told_, xy, "left").select(*left.columns, "_near", "dist", *[F.col(f"_i{c}").alias(c) for c in into])
 
 
 def inside(ring: Column, x: Column, y: Column) -> Column:
@@ -199,7 +206,7 @@ def cell_means(points: DataFrame, size: float, value: str, least: int = 1, xy: t
 
 def away_from(points: DataFrame, events: DataFrame, key: str, radius: float, n: int, seed: int) -> DataFrame:
     """At most n points, chosen by a seeded hash, with no event within the radius."""
-    near = radius_pairs(points, events, radius).select(F.col(f"l.{key}").alias(key)).distinct()
+    near = tiles.at_place(points, tiles.within(points, events, radius, {}), ("x", "y")).select(key).distinct()
     free = points.join(near, key, "left_anti")
     return free.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
