@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import query, table
-from ..operators import joins as J
+from ..operators import joins as J, tiles
 from .common import GRID, SERIES, grid, points, points_sql, series
 
 _STRATA = "(SELECT s, g.k AS layer, g.k * 5.0::DOUBLE AS top, (g.k + 1) * 5.0::DOUBLE AS bottom FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem) , range(0, 10) g(k) WHERE (s + g.k) % 4 <> 0)"
@@ -72,13 +72,16 @@ def knn_gap_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def radius_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours within the radius, the point itself included."""
     rows = points(spark, sf_dir, "customer", "c_custkey")
-    return J.radius_pairs(rows, rows, 25.0).groupBy(F.col("l.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    near = tiles.within(rows, rows, 25.0, {"n": F.count(F.lit(1))})
+    return tiles.at_place(rows, near, ("x", "y")).groupBy("k").agg(F.sum("n").cast("long").alias("n"))
 
 
 @query(f"""SELECT a.k, max(b.c_acctbal) AS top, round(avg(b.c_acctbal), 6) AS mean FROM {points_sql('supplier', 's_suppkey')} a, {points_sql('customer', 'c_custkey')} b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600 GROUP BY a.k HAVING count(*) >= 3""")
 def radius_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = J.radius_pairs(points(spark, sf_dir, "supplier", "s_suppkey"), points(spark, sf_dir, "customer", "c_custkey", "c_acctbal"), 40.0)
-    return pairs.groupBy(F.col("l.k").alias("k")).agg(F.max("r.c_acctbal").alias("top"), F.round(F.avg("r.c_acctbal"), 6).alias("mean"), F.count(F.lit(1)).alias("n")).filter("n >= 3").drop("n")
+    rows, others = points(spark, sf_dir, "supplier", "s_suppkey"), points(spark, sf_dir, "customer", "c_custkey", "c_acctbal")
+    near = tiles.within(rows, others, 40.0, {"n": F.count(F.lit(1)), "valued": F.count("c_acctbal"), "total": F.sum("c_acctbal")}, {"top": F.max("c_acctbal")})
+    told = tiles.at_place(rows, near, ("x", "y")).groupBy("k").agg(F.max("top").alias("top"), F.round(F.try_divide(F.sum("total"), F.sum("valued")), 6).alias("mean"), F.sum("n").alias("n"))
+    return told.filter("n >= 3").drop("n")
 
 
 @query(f"""SELECT k FROM {points_sql('customer', 'c_custkey')} a WHERE NOT EXISTS (SELECT 1 FROM {points_sql('supplier', 's_suppkey')} b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600) ORDER BY md5('7:' || k::VARCHAR), k LIMIT 100""")

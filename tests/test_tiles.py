@@ -49,3 +49,18 @@ def test_nearest_in_a_crowd_makes_no_pairs(spark):
     began = time.time()
     found = J.nearest(crowd, crowd, "k", "k", 64.0).groupBy("_near", "dist").count().collect()
     assert [(r._near, r.dist, r["count"]) for r in found] == [(0, 0.0, 40_000)] and time.time() - began < 40
+
+
+def test_radius_sums_and_tops_are_those_of_all_pairs(spark):
+    for whole in (False, True):
+        left, a = spots(spark, 300, 3, whole=whole, more=ODD)
+        right, b = spots(spark, 300, 4, whole=whole, more=ODD)
+        found = {(r.x, r.y): (r.n, r.s, r.top) for r in L.within(a, b, 15.0, {"n": F.count(F.lit(1)), "s": F.sum("g")}, {"top": F.max("g")}).collect()}
+        near = {(p[1], p[2]): [q[3] for q in real(right) if inside(p, q, 15.0)] for p in real(left)}
+        assert found == {at: (len(g), sum(g), max(g)) for at, g in near.items() if g}
+
+
+def test_radius_sums_of_a_crowd_make_no_pairs(spark):
+    crowd = spark.range(40_000).select((F.col("id") % 4).cast("double").alias("x"), F.lit(7.0).alias("y"))
+    began = time.time()
+    assert {r.n for r in L.within(crowd, crowd, 25.0, {"n": F.count(F.lit(1))}).collect()} == {40_000.0} and time.time() - began < 40
