@@ -64,3 +64,23 @@ def test_radius_sums_of_a_crowd_make_no_pairs(spark):
     crowd = spark.range(40_000).select((F.col("id") % 4).cast("double").alias("x"), F.lit(7.0).alias("y"))
     began = time.time()
     assert {r.n for r in L.within(crowd, crowd, 25.0, {"n": F.count(F.lit(1))}).collect()} == {40_000.0} and time.time() - began < 40
+
+
+def test_accepted_and_fused_are_those_of_all_pairs(spark):
+    rows, a = spots(spark, 300, 5, whole=True, more=ODD[2:4])
+    other, b = spots(spark, 40, 6, whole=True)
+    accepted = {r.k: (r.standalone, r.neighbour, r.cluster) for r in fusion.accepted(a, 12.0).collect()}
+    fused = {r.k: (r.final, r.hotspot, r.rescue, r.void) for r in fusion.fused(a, b, 12.0, 20.0).collect()}
+    for p in rows:
+        near = [q[3] for q in rows if q[0] != p[0] and inside(p, q, 12.0)]
+        seen = [q[3] for q in other if inside(p, q, 20.0)]
+        up, many = p[3] > 0, sum(g > 0 for g in near)
+        assert accepted[p[0]] == (up, up and many >= 1, up and many >= 3 and (p[3] == 2 or 2 in near))
+        hot, rescue = up and many + 1 >= 2, up and max(seen, default=0) > 0
+        assert fused[p[0]] == (max(p[3], *seen, 0) if hot or rescue else 0, hot, rescue, not seen)
+
+
+def test_acceptance_in_a_crowd_makes_no_pairs(spark):
+    crowd = spark.range(40_000).select(F.col("id").alias("k"), F.lit(5.0).alias("x"), F.lit(7.0).alias("y"), F.lit(1).alias("g"))
+    began = time.time()
+    assert fusion.accepted(crowd, 30.0).filter("neighbour AND NOT cluster").count() == 40_000 and time.time() - began < 40
