@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import tiles
 from .joins import radius_pairs
 from .lineage import kept
 
@@ -31,15 +32,23 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dbscan(points: DataFrame, key: str, eps: float, least: int, xy: tuple[str, str] = ("x", "y")) -> DataFrame:
-    """key and cluster: the smallest core key of the cluster; a border point joins the lowest cluster in reach; noise is null. A point counts itself."""
+    """key and cluster: the smallest core key of the cluster; a border point joins the lowest cluster in reach; noise is null. A point counts itself.
+
+    Core points of one cell narrower than eps are one cluster, so components are of cells, and pairs of points are never kept: a crowd costs no more than its distinct places.
+    """
     rows = points.select(key, *xy)
-    pairs = kept(radius_pairs(rows, rows, eps, xy, xy).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b")))
-    core = kept(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("a"))
-    between = pairs.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi")
-    labels = components(core.select(F.col("a").alias("id")), between)
-    reached = pairs.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias(key)).agg(F.min("component").alias("_reach"))
-    own = rows.select(key).join(labels.select(F.col("id").alias(key), "component"), key, "left").join(reached, key, "left")
-    return own.select(key, F.coalesce("component", "_reach").alias("cluster"))
+    placed = kept(tiles.places(rows, xy, n=F.count(F.lit(1)), low=F.min(key)))
+    counts = tiles.within(placed, placed, eps, {"n": F.sum("n")}).select("x", "y", (F.col("n") >= least).alias("_core"))
+    told = kept(placed.select("x", "y", "low").join(counts, ["x", "y"]))
+    inner, side = told.filter("_core"), eps / 1.5
+    cell = [F.floor(F.col("x") / side).alias("_gx"), F.floor(F.col("y") / side).alias("_gy")]
+    ids = inner.groupBy(*cell).agg(F.min("low").alias("id"))
+    core = kept(inner.select("x", "y", *cell).join(ids, ["_gx", "_gy"]).select("x", "y", "id"))
+    labels = kept(components(core.select("id"), tiles.touching(core, eps)))
+    cored = core.join(labels, "id").select("x", "y", "component")
+    outer = told.filter(~F.col("_core")).select("x", "y")
+    border = radius_pairs(outer, cored, eps).groupBy(F.col("l.x").alias("x"), F.col("l.y").alias("y")).agg(F.min("r.component").alias("component"))
+    return tiles.at_place(rows, cored.unionByName(border), xy, "left").select(key, F.col("component").alias("cluster"))
 
 
 def cell_components(cells: DataFrame, height: int, diagonal: bool = True, least: int = 1) -> DataFrame:

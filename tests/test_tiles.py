@@ -84,3 +84,30 @@ def test_acceptance_in_a_crowd_makes_no_pairs(spark):
     crowd = spark.range(40_000).select(F.col("id").alias("k"), F.lit(5.0).alias("x"), F.lit(7.0).alias("y"), F.lit(1).alias("g"))
     began = time.time()
     assert fusion.accepted(crowd, 30.0).filter("neighbour AND NOT cluster").count() == 40_000 and time.time() - began < 40
+
+
+def clusters(rows, eps, least):
+    near = {p[0]: [q[0] for q in rows if inside(p, q, eps)] for p in rows}
+    core, label = {k for k, v in near.items() if len(v) >= least}, {}
+    for k in sorted(core):
+        todo = [k] if k not in label else []
+        while todo:
+            n = todo.pop()
+            if n not in label:
+                label[n] = k
+                todo += [m for m in near[n] if m in core]
+    return {k: label.get(k, min((label[m] for m in near[k] if m in core), default=None)) for k in near}
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_clusters_are_those_of_all_pairs(spark, whole):
+    for seed, eps, least in ((7, 7.0, 3), (8, 12.0, 6)):
+        rows, a = spots(spark, 300, seed, whole=whole, more=ODD)
+        want = clusters(real(rows), eps, least)
+        assert {r.k: r.cluster for r in C.dbscan(a, "k", eps, least).collect()} == {r[0]: want.get(r[0]) for r in rows}
+
+
+def test_a_crowd_is_one_cluster_without_pairs(spark):
+    crowd = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") % 5).cast("double").alias("x"), F.lit(7.0).alias("y"))
+    began = time.time()
+    assert [(r.cluster, r["count"]) for r in C.dbscan(crowd, "k", 20.0, 3).groupBy("cluster").count().collect()] == [(0, 40_000)] and time.time() - began < 60
