@@ -54,17 +54,81 @@ def robust_line(rows: DataFrame, by: Sequence[str], x: str, y: str, k: float = 1
     return rows.select(*by, x, y).groupBy(*by).applyInPandas(fit, _schema(rows, by, "slope double, intercept double"))
 
 
+def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes in an order in which each follows its parent, the parent (-1: a root), the edge to it (-1) and the root of each node."""
+    ends, others = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.argsort(ends, kind="stable")
+    starts = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
+    to, edge = others[order].tolist(), np.tile(np.arange(len(a)), 2)[order].tolist()
+    parent, by, root, walk = [-1] * n, [-1] * n, [-1] * n, []
+    for first in range(n):
+        if root[first] >= 0:
+            continue
+        root[first] = first
+        at = len(walk)
+        walk.append(first)
+        while at < len(walk):
+            u = walk[at]
+            at += 1
+            for k in range(starts[u], starts[u + 1]):
+                if root[to[k]] < 0:
+                    root[to[k]], parent[to[k]], by[to[k]] = first, u, edge[k]
+                    walk.append(to[k])
+    return np.array(walk), np.array(parent), np.array(by), np.array(root)
+
+
+def _levelled(n: int, a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least squares v with v[b] - v[a] = y, of mean zero in each linked part. Memory is that of nodes and pairs: what a spanning tree says, made better by conjugate gradients."""
+    a, b, y = (c[a != b] for c in (a, b, y))
+    walk, parent, by, root = _spanning(n, a, b)
+    steps, up, v = walk.tolist(), parent.tolist(), [0.0] * n
+    rise = np.where(by >= 0, np.where(b[by] == np.arange(n), y[by], -y[by]) if len(y) else 0.0, 0.0).tolist()
+    for u in steps:
+        if up[u] >= 0:
+            v[u] = v[up[u]] + rise[u]
+    sizes = np.bincount(root, minlength=n)
+    centred = lambda x: x - (np.bincount(root, weights=x, minlength=n) / np.maximum(sizes, 1))[root]
+    back = lambda e: np.bincount(b, weights=e, minlength=n) - np.bincount(a, weights=e, minlength=n)
+    v = centred(np.array(v))
+    extra = len(y) - int((parent >= 0).sum())
+    if not extra:
+        return v
+    degree = np.maximum(np.bincount(a, minlength=n) + np.bincount(b, minlength=n), 1)
+
+    def near(r: np.ndarray) -> np.ndarray:
+        if extra > 100:
+            return centred(r / degree)
+        flow, z = r.tolist(), [0.0] * n
+        for u in reversed(steps):
+            if up[u] >= 0:
+                flow[up[u]] += flow[u]
+        for u in steps:
+            if up[u] >= 0:
+                z[u] = z[up[u]] + flow[u]
+        return centred(np.array(z))
+
+    r = back(y - (v[b] - v[a]))
+    most = 1e-13 * max(np.abs(y).max(), 1e-300) * np.sqrt(n)
+    z = near(r)
+    p, rz = z, r @ z
+    for _ in range(10 * n):
+        if np.sqrt(r @ r) <= most or rz <= 0:
+            break
+        q = back(p[b] - p[a])
+        step = rz / (p @ q)
+        v, r = v + step * p, r - step * q
+        z = near(r)
+        rz, old = r @ z, rz
+        p = z + rz / old * p
+    return centred(v)
+
+
 def network_offsets(pairs: DataFrame, by: Sequence[str], a: str, b: str, value: str) -> DataFrame:
-    """Offsets (by..., node, offset) of scenes out of differences b - a, of sum zero per network."""
+    """Offsets (by..., node, offset) of scenes out of differences b - a, of sum zero per network and per linked part of it. A network must fit a task by its nodes and pairs, not by their product."""
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.concatenate([group[a], group[b]]))
-        m = np.zeros((len(group) + 1, len(nodes)))
-        rows = np.arange(len(group))
-        m[rows, np.searchsorted(nodes, group[b])] += 1
-        m[rows, np.searchsorted(nodes, group[a])] -= 1
-        m[-1] = 1.0
-        v = np.linalg.lstsq(m, np.append(group[value].to_numpy(dtype=float), 0.0), rcond=None)[0]
+        nodes, ends = np.unique(np.concatenate([group[a], group[b]]), return_inverse=True)
+        v = _levelled(len(nodes), ends[: len(group)], ends[len(group) :], group[value].to_numpy(dtype=float))
         return pd.DataFrame({**{k: group[k].iloc[0] for k in by}, "node": nodes, "offset": v})
 
     return pairs.select(*by, a, b, value).groupBy(*by).applyInPandas(solve, _schema(pairs, by, "node long, offset double"))
