@@ -158,14 +158,10 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
 
 def polygon_first(points: DataFrame, polygons: DataFrame, key: str, ring: str, order: str, into: Sequence[str], cell: float, xy: tuple[str, str] = ("x", "y")) -> DataFrame:
     """points with the columns of the first polygon (by `order`) that holds them; null without one. Polygons go to the cells of their bounding boxes."""
-    low = lambda c: F.floor(F.array_min(F.transform(ring, lambda p: p[c])) / cell)
-    high = lambda c: F.floor(F.array_max(F.transform(ring, lambda p: p[c])) / cell)
-    cover = polygons.select(ring, order, *into, F.explode(F.sequence(low("x"), high("x"))).alias("_cx"))
-    cover = cover.select("*", F.explode(F.sequence(low("y"), high("y"))).alias("_cy"))
-    cx, cy = cells(F.col(xy[0]), F.col(xy[1]), cell)
-    hits = points.select(key, *[F.col(c).alias(f"_p{c}") for c in xy], cx.alias("_cx"), cy.alias("_cy")).join(cover, ["_cx", "_cy"]).filter(inside(F.col(ring), F.col(f"_p{xy[0]}"), F.col(f"_p{xy[1]}")))
-    best = hits.groupBy(key).agg(F.min_by(F.struct(*into), order).alias("_b"))
-    return points.join(best, key, "left").select(*points.columns, *[F.col(f"_b.{c}").alias(c) for c in into])
+    corner = lambda c: F.transform(ring, lambda p: p[c].cast("double"))
+    shapes = kept(polygons.filter((F.size(ring) > 0) & F.col(order).isNotNull()).select(F.monotonically_increasing_id().alias("id"), F.col(order).alias("order"), corner("x").alias("rx"), corner("y").alias("ry"), F.struct(*into).alias("_b")))
+    found = tiles.first_ring(tiles.places(points, xy), shapes.drop("_b"), cell).join(shapes.select("id", "_b"), "id").select("x", "y", "_b")
+    return tiles.at_place(points, found, xy, "left").select(*points.columns, *[F.col(f"_b.{c}").alias(c) for c in into])
 
 
 def pairs_within(rows: DataFrame, by: Sequence[str], at: str, days: float, index: str, ahead: int) -> DataFrame:

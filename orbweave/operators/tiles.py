@@ -166,3 +166,37 @@ def touching(cells: DataFrame, radius: float) -> DataFrame:
 
     of = cells.schema["id"].dataType.simpleString()
     return met.mapInArrow(tell, f"a {of}, b {of}").distinct()
+
+
+def first_ring(points: DataFrame, rings: DataFrame, cell: float) -> DataFrame:
+    """x, y, id: the first ring (by order) that holds each distinct place. points: x, y; rings: id (a long), order, rx and ry (corners). Rings go to the cells of their boxes; a place that is settled is tested no more."""
+    low, high = (lambda v, f=f: F.floor(f(v) / cell) for f in (F.array_min, F.array_max))
+    real = "abs(x) < double('infinity') AND abs(y) < double('infinity')"
+    empty = F.lit(None).cast("array<double>")
+    cover = rings.select("*", F.explode(F.sequence(low("rx"), high("rx"))).alias("_cx")).select("*", F.explode(F.sequence(low("ry"), high("ry"))).alias("_cy"))
+    b = cover.select(F.lit(0).alias("_side"), "_cx", "_cy", "id", "order", "rx", "ry", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    a = points.filter(real).select(F.lit(1).alias("_side"), F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy"), F.lit(-1).cast("long").alias("id"), F.lit(None).cast(rings.schema["order"].dataType).alias("order"), empty.alias("rx"), empty.alias("ry"), "x", "y")
+    met = a.unionByName(b).repartition("_cx", "_cy").sortWithinPartitions("_cx", "_cy", "_side", "order").drop("order")
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, l in _tiles(batches, ["id", "rx", "ry"], ["x", "y"]):
+            x, y, of = l["x"], l["y"], np.full(len(l["x"]), -1, dtype=np.int64)
+            left = np.arange(len(x))
+            for id_, ax, ay in zip(r["id"], r["rx"], r["ry"], strict=True):
+                box = np.flatnonzero((x[left] >= ax.min()) & (x[left] <= ax.max()) & (y[left] >= ay.min()) & (y[left] <= ay.max()))
+                if not len(box):
+                    continue
+                px, py = x[left[box]], y[left[box]]
+                odd = np.zeros(len(box), dtype=bool)
+                for x0, y0, x1, y1 in zip(ax, ay, np.roll(ax, -1), np.roll(ay, -1), strict=True):
+                    if y0 != y1:
+                        odd ^= ((y0 > py) != (y1 > py)) & (px < x0 + (py - y0) * (x1 - x0) / (y1 - y0))
+                if odd.any():
+                    of[left[box[odd]]] = id_
+                    left = np.delete(left, box[odd])
+                    if not len(left):
+                        break
+            some = of >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]), pa.array(y[some]), pa.array(of[some])], names=["x", "y", "id"])
+
+    return met.mapInArrow(tell, "x double, y double, id long")

@@ -111,3 +111,21 @@ def test_a_crowd_is_one_cluster_without_pairs(spark):
     crowd = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") % 5).cast("double").alias("x"), F.lit(7.0).alias("y"))
     began = time.time()
     assert [(r.cluster, r["count"]) for r in C.dbscan(crowd, "k", 20.0, 3).groupBy("cluster").count().collect()] == [(0, 40_000)] and time.time() - began < 60
+
+
+def test_first_polygon_is_that_of_all_pairs(spark):
+    rows, a = spots(spark, 300, 9, more=ODD)
+    random = np.random.default_rng(10)
+    rings = [(n, [(float(x), float(y)) for x, y in random.uniform(-40, 40, (5, 2)) + random.uniform(-80, 80, (1, 2))]) for n in range(60)]
+    b = spark.createDataFrame(rings, "p long, ring array<struct<x: double, y: double>>")
+    pairs = a.select("k", "x", "y").crossJoin(b).filter(J.inside(F.col("ring"), F.col("x"), F.col("y"))).filter("x = x").groupBy("k").agg(F.min("p").alias("p"))
+    want = {r.k: r.p for r in pairs.collect()}
+    assert {r.k: r.p for r in J.polygon_first(a, b, "k", "ring", "p", ["p"], 25.0).collect()} == {r[0]: want.get(r[0]) for r in rows}
+
+
+def test_a_crowd_under_many_polygons_makes_no_pairs(spark):
+    crowd = spark.range(40_000).select(F.col("id").alias("k"), F.lit(5.0).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    at = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    rings = spark.range(10_000).select(F.col("id").alias("p"), F.array(at(-9.0, -9.0), at(9.0, -9.0), at(9.0, 9.0), at(-9.0, 9.0)).alias("ring"))
+    began = time.time()
+    assert J.polygon_first(crowd, rings, "k", "ring", "p", ["p"], 50.0).filter("p = 0").count() == 40_000 and time.time() - began < 40
