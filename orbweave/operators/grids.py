@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .lineage import kept
 from .shapes import edges
+from .tiles import _tiles
 
 
 class Grid(NamedTuple):
@@ -82,6 +86,85 @@ def cells_within(cells: DataFrame, polygons: DataFrame, key: str, rings: str, gr
     return whole.unionByName(values.join(parts, ["r", "c"])).select(F.col("_key").alias(key), *columns)
 
 
+def _spans(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """key, _cx (row), lo, hi: runs of cells whose centres are within, out of each polygon's edges in units of cells."""
+    for batch in batches:
+        keys, sides = batch.column(0), [batch.column(k) for k in range(1, 5)]
+        parts: list[tuple[np.ndarray, ...]] = []
+        for n in range(batch.num_rows):
+            ax, ay, bx, by = (np.asarray(c[n].values) for c in sides)
+            fine = ay != by
+            ax, ay, bx, by = ax[fine], ay[fine], bx[fine], by[fine]
+            if not len(ax):
+                continue
+            slope = (bx - ax) / (by - ay)
+            first, last = int(np.floor(min(ay.min(), by.min()))), int(np.ceil(max(ay.max(), by.max())))
+            step = max(1, (1 << 20) // len(ax))
+            for low in range(first, last + 1, step):
+                r = np.arange(low, min(low + step, last + 1))
+                y = r[:, None] + 0.5
+                x = np.sort(np.where((ay > y) != (by > y), ax + (y - ay) * slope, np.inf), axis=1)
+                x = x[:, : x.shape[1] // 2 * 2]
+                row, of = np.nonzero(np.isfinite(x[:, 0::2]))
+                lo, hi = np.ceil(x[row, 2 * of] - 0.5).astype(np.int64), np.ceil(x[row, 2 * of + 1] - 0.5).astype(np.int64) - 1
+                some = lo <= hi
+                parts.append((np.full(int(some.sum()), n), r[row[some]], lo[some], hi[some]))
+            if sum(len(p[0]) for p in parts[-64:]) > 1 << 16 or len(parts) > 1024:
+                yield _told(keys, parts, kind)
+                parts = []
+        if parts:
+            yield _told(keys, parts, kind)
+
+
+def _told(keys: pa.Array, parts: list[tuple[np.ndarray, ...]], kind: pa.DataType) -> pa.RecordBatch:
+    of, r, lo, hi = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(of)).cast(kind), pa.array(r.astype(np.int64)), pa.array(lo), pa.array(hi)], names=["_key", "_cx", "lo", "hi"])
+
+
+def zone_sums(cells: DataFrame, polygons: DataFrame, key: str, rings: str, grid: Grid, values: Sequence[str]) -> DataFrame:
+    """key and, for each value v, v_n, v_sum, v_low and v_high of the cells (r, c, values as numbers) whose centres are in each polygon, as cells_within() finds them; without a row per polygon and cell.
+
+    A polygon is runs of cells of a row; a row's runs meet its cells in one task, which adds up each run. Polygons without cells have no row.
+    """
+    unit = lambda v, origin: (v - origin) / grid.size
+    outline = F.flatten(F.transform(F.col(rings), edges))
+    side = lambda e, v, origin: F.transform("_e", lambda s: unit(s[e][v], origin).cast("double")).alias(e + v)
+    sides = [side(e, v, origin) for e in "ab" for v, origin in (("x", grid.x0), ("y", grid.y0))]
+    of = polygons.select(F.col(key).alias("_key"), outline.alias("_e")).filter(F.size("_e") > 0).select("_key", *sides)
+    of = of.filter(F.forall("ax", lambda x: x.isNotNull()) & F.forall("ay", lambda y: y.isNotNull()))
+    field = polygons.schema[key].dataType
+    kind, name = to_arrow_type(field), field.simpleString()  # keys are numbers or texts
+    runs = of.repartition(of.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(lambda batches: _spans(batches, kind), f"_key {name}, _cx long, lo long, hi long")
+    number = {f"_v{n}": F.col(v).cast("double") for n, v in enumerate(values)}
+    right = cells.filter("r IS NOT NULL AND c IS NOT NULL").select(
+        F.lit(0).alias("_side"), F.col("r").cast("long").alias("_cx"), F.lit(0).cast("long").alias("_cy"), F.col("c").cast("long").alias("lo"), F.col("c").cast("long").alias("hi"), F.lit(0).cast(field).alias("_key"),
+        *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in number.items()], *[c.isNotNull().cast("double").alias(f"{n}n") for n, c in number.items()])
+    columns = [f"{n}{e}" for n in number for e in ("", "n")]
+    left = runs.select(F.lit(1).alias("_side"), "_cx", F.lit(0).cast("long").alias("_cy"), "lo", "hi", "_key", *[F.lit(0.0).alias(c) for c in columns])
+    met = right.select(*left.columns).unionByName(left).repartition("_cx").sortWithinPartitions("_cx", "_side", "lo")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, l in _tiles(batches, ["lo", *columns], ["lo", "hi", "_key"]):
+            a, b = np.searchsorted(r["lo"], l["lo"], "left"), np.searchsorted(r["lo"], l["hi"], "right")
+            some = np.flatnonzero(b > a)
+            if not len(some):
+                continue
+            cuts = np.column_stack([a[some], b[some]]).ravel()
+            total = lambda f, x, rest: f.reduceat(np.append(x, rest), cuts)[::2]
+            out = [pa.array(l["_key"][some], kind, from_pandas=True)]
+            for n in number_names:
+                there = r[f"{n}n"] > 0
+                out += [pa.array(total(np.add, r[f"{n}n"], 0.0)), pa.array(total(np.add, np.where(there, r[n], 0.0), 0.0)), pa.array(total(np.minimum, np.where(there, r[n], np.inf), np.inf)), pa.array(total(np.maximum, np.where(there, r[n], -np.inf), -np.inf))]
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    number_names = list(number)
+    names = ["_key", *[f"{n}_{e}" for n in number for e in ("n", "sum", "low", "high")]]
+    sums = met.mapInArrow(add, f"_key {name}, " + ", ".join(f"{c} double" for c in names[1:]))
+    return sums.groupBy(F.col("_key").alias(key)).agg(*[c for n, v in zip(number, values, strict=True) for c in (
+        F.sum(f"{n}_n").cast("long").alias(f"{v}_n"), F.when(F.sum(f"{n}_n") > 0, F.sum(f"{n}_sum")).alias(f"{v}_sum"),
+        F.when(F.sum(f"{n}_n") > 0, F.min(f"{n}_low")).alias(f"{v}_low"), F.when(F.sum(f"{n}_n") > 0, F.max(f"{n}_high")).alias(f"{v}_high"))])
+
+
 def _reached(low: Column, high: Column, origin: float, size: float) -> Column:
     """Numbers of the cells from low to high."""
     return F.sequence(F.floor((low - origin) / size), F.ceil((high - origin) / size) - 1)

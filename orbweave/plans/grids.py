@@ -24,8 +24,9 @@ def polygon_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = lambda a, b: F.array(at(a, F.lit(0)), at(F.lit(0), b), at(-a, F.lit(0)), at(F.lit(0), -b))
     zones = table(spark, sf_dir, "supplier").select(k.alias("k"), F.array(ring(61 + 2 * (k % 25), 50 + 2 * (k % 20)), ring(11 + 2 * (k % 5), 6 + 2 * (k % 4))).alias("rings"))
     cells = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 997).alias("r"), ((F.col("l_partkey") * 37 + F.col("l_suppkey")) % 1009).alias("c")).agg(F.avg("l_quantity").alias("v"))
-    stats = Y.cells_within(cells, zones, "k", "rings", Y.Grid(1.0), 5).groupBy("k").agg(
-        F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.min("v"), 6).alias("low"), F.round(F.max("v"), 6).alias("high"), F.round(F.avg((F.col("v") >= 30).cast("double")), 6).alias("above"))
+    sums = Y.zone_sums(cells.withColumn("above", (F.col("v") >= 30).cast("double")), zones, "k", "rings", Y.Grid(1.0), ["v", "above"])
+    mean = lambda v: F.round(F.try_divide(F.col(f"{v}_sum"), F.col(f"{v}_n")), 6)
+    stats = sums.select("k", F.col("v_n").alias("n"), mean("v").alias("mean"), F.round("v_low", 6).alias("low"), F.round("v_high", 6).alias("high"), mean("above").alias("above"))
     return zones.select("k").join(stats, "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.operators import inversion as I, shapes as P
+from orbweave.operators import grids as Y, inversion as I, shapes as P
 
 
 def network(spark, pairs):
@@ -65,3 +65,22 @@ def test_buildings_of_one_spot_pair_without_their_rings(spark):
     crowd = spark.range(2500).select(F.col("id").alias("k"), F.array(at(0.0, 0.0), at(9.0, 0.0), at(9.0, 9.0), at(0.0, 9.0)).alias("ring"))
     began = time.time()
     assert P.distances(crowd, crowd, "k", "k", "ring", 40.0, 60.0).filter("d = 0").count() == 2500 * 2499 and time.time() - began < 40
+
+
+def test_zone_sums_are_those_of_the_cells_within(spark):
+    random = np.random.default_rng(3)
+    cells = spark.createDataFrame([(int(r), int(c), None if (r + c) % 7 == 0 else float(random.normal())) for r in range(-30, 60) for c in range(-30, 60) if random.random() < 0.8], "r long, c long, v double")
+    polygons = [(n % 25, [[(float(x), float(y)) for x, y in random.uniform(-50, 80, (6, 2))], [(float(x), float(y)) for x, y in random.integers(-50, 80, (4, 2))]]) for n in range(30)]
+    df = spark.createDataFrame([*polygons, (99, []), (98, None)], "k long, rings array<array<struct<x: double, y: double>>>")
+    of = Y.Grid(1.5, 0.25, -0.5)
+    want = {r.k: (r.n, r.s, r.lo, r.hi) for r in Y.cells_within(cells, df, "k", "rings", of, 3).groupBy("k").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    found = {r.k: (r.v_n, r.v_sum, r.v_low, r.v_high) for r in Y.zone_sums(cells, df, "k", "rings", of, ["v"]).collect()}
+    assert len(want) > 20 and found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_many_wide_zones_make_no_row_for_each_cell(spark):
+    cells = spark.range(400 * 400).select((F.col("id") % 400).alias("r"), F.floor(F.col("id") / 400).alias("c"), F.lit(1.0).alias("v"))
+    at = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    zones = spark.range(2000).select(F.col("id").alias("k"), F.array(F.array(at(-1.0, -1.0), at(401.0, -1.0), at(401.0, 401.0), at(-1.0, 401.0))).alias("rings"))
+    began = time.time()
+    assert Y.zone_sums(cells, zones, "k", "rings", Y.Grid(1.0), ["v"]).filter("v_n = 160000 AND v_sum = 160000").count() == 2000 and time.time() - began < 60
