@@ -130,9 +130,10 @@ def trailing_velocity(rows: DataFrame, by: Sequence[str], t: str, v: str, span:
 
 
 def walk_forward(rows: DataFrame, by: Sequence[str], i: str, t: str, v: str, span: float) -> DataFrame:
-    """Features of each epoch out of what came before it: cumF (first less now), cum (net over span), vel (trailing), vtr (all), dv (vel less vtr)."""
+    """Features of each epoch out of what came before it: cumF (first less now), cum (net over span), vel (trailing), vtr (all), dv (vel less vtr). Enough values that are all of one time have the slope NaN, as in SQL."""
     recent, past = back(by, t, span), upto(by, i)
-    vel, all_ = -over(F.regr_slope(v, t), 4, F.col(v), recent), -over(F.regr_slope(v, t), 4, F.col(v), past)
+    slope = lambda w: -F.when(F.count(v).over(w) >= 4, F.coalesce(over(F.regr_slope(v, t), 4, F.col(v), w), F.lit(float("nan"))))
+    vel, all_ = slope(recent), slope(past)
     return rows.withColumn("cumF", F.first(v).over(past) - F.col(v)).withColumn("cum", F.first(v).over(recent) - F.col(v)).withColumn("vel", vel).withColumn("vtr", all_).withColumn("dv", F.col("vel") - F.col("vtr"))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.operators import grids as Y, inversion as I, shapes as P
+from orbweave.operators import grids as Y, inversion as I, series as T, shapes as P
 
 
 def network(spark, pairs):
@@ -84,3 +84,9 @@ def test_many_wide_zones_make_no_row_for_each_cell(spark):
     zones = spark.range(2000).select(F.col("id").alias("k"), F.array(F.array(at(-1.0, -1.0), at(401.0, -1.0), at(401.0, 401.0), at(-1.0, 401.0))).alias("rings"))
     began = time.time()
     assert Y.zone_sums(cells, zones, "k", "rings", Y.Grid(1.0), ["v"]).filter("v_n = 160000 AND v_sum = 160000").count() == 2000 and time.time() - began < 60
+
+
+def test_slopes_of_epochs_at_one_time_are_not_a_number(spark):
+    rows = spark.createDataFrame([("a", k, 1.0 if k < 5 else float(k), float(k)) for k in range(8)], "u string, i long, t double, v double")
+    found = [(r.vel, r.vtr, r.dv) for r in T.walk_forward(rows, ["u"], "i", "t", "v", 10.0).orderBy("i").collect()]
+    assert [r[1] is None for r in found] == [True] * 3 + [False] * 5 and all(np.isnan(r[1]) for r in found[3:5]) and all(np.isnan(x) for x in found[4]) and found[7][1] < 0
