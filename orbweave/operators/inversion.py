@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .lineage import kept
 from .stats import plane
@@ -192,16 +192,24 @@ def ransac_line(rows: DataFrame, by: Sequence[str], key: str, x: str, y: str, tr
     """by..., slope, intercept, inliers, n: the line through two seeded points that most points lie near (the first of several such trials), fitted anew to those.
 
     Points of a trial are those of the smallest hashes of seed, trial and key, so any partitioning gives the same. Trials of equal x are left out; groups without any are too.
+    Trials are columns of a group's aggregates: rows aren't repeated for them, and tables are merged by group, so none is gathered by the driver to be sent out.
     """
-    tried = rows.select(*by, F.col(key).cast("string").alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("_t"))
-    order = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_t").cast("string"), F.col("_id")).cast("binary")).alias("h"), F.col("_id").alias("k"), F.col("_x").alias("x"), F.col("_y").alias("y"))
-    first = tried.groupBy(*by, "_t").agg(F.min(order).alias("_p"))
-    second = tried.join(first, [*by, "_t"]).filter(order > F.col("_p")).groupBy(*by, "_t", "_p").agg(F.min(order).alias("_q"))
-    slope = F.try_divide(F.col("_q.y") - F.col("_p.y"), F.col("_q.x") - F.col("_p.x"))
-    lines = second.select(*by, "_t", slope.alias("_a"), (F.col("_p.y") - slope * F.col("_p.x")).alias("_b")).filter(F.col("_a").isNotNull())
-    near = F.abs(F.col("_y") - F.col("_a") * F.col("_x") - F.col("_b")) <= within
-    counts = tried.join(lines, [*by, "_t"]).groupBy(*by, "_t", "_a", "_b").agg(F.count_if(near).alias("_n"))
-    best = counts.groupBy(*by).agg(F.min_by(F.struct("_a", "_b"), F.struct(-F.col("_n"), F.col("_t"))).alias("_l"))
+    points = rows.select(*by, F.col(key).cast("string").alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    every = range(trials)
+    order = lambda t: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(t + 1)), F.col("_id")).cast("binary")).alias("h"), F.col("_id").alias("k"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+    told = lambda of: points.join(of.hint("merge"), list(by))
+    first = points.groupBy(*by).agg(F.array(*[F.min(order(t)) for t in every]).alias("_p"))
+    second = told(first).groupBy(*by).agg(F.first("_p").alias("_p"), F.array(*[F.min(F.when(order(t) > F.col("_p")[t], order(t))) for t in every]).alias("_q"))
+
+    def line(p: Column, q: Column) -> Column:
+        slope = F.try_divide(q["y"] - p["y"], q["x"] - p["x"])
+        return F.struct(slope.alias("a"), (p["y"] - slope * p["x"]).alias("b"))
+
+    lines = second.select(*by, F.zip_with("_p", "_q", line).alias("_s"))
+    off = lambda t: F.abs(F.col("_y") - F.col("_s")[t]["a"] * F.col("_x") - F.col("_s")[t]["b"])
+    counts = told(lines).groupBy(*by).agg(F.first("_s").alias("_s"), F.array(*[F.count_if(off(t) <= within) for t in every]).alias("_c"))
+    ranked = F.transform("_s", lambda s, t: F.struct((-F.get("_c", t)).alias("n"), t.alias("t"), s["a"].alias("_a"), s["b"].alias("_b")))
+    best = counts.select(*by, F.array_min(F.filter(ranked, lambda s: s["_a"].isNotNull())).alias("_l")).filter("_l IS NOT NULL").hint("merge")
     return rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).join(best, list(by)).withColumn("_near", F.abs(F.col("_y") - F.col("_l._a") * F.col("_x") - F.col("_l._b")) <= within).groupBy(*by).agg(
         F.regr_slope(F.when(F.col("_near"), F.col("_y")), F.when(F.col("_near"), F.col("_x"))).alias("slope"), F.regr_intercept(F.when(F.col("_near"), F.col("_y")), F.when(F.col("_near"), F.col("_x"))).alias("intercept"),
         F.count_if("_near").alias("inliers"), F.count(F.lit(1)).alias("n"),

@@ -90,3 +90,11 @@ def test_slopes_of_epochs_at_one_time_are_not_a_number(spark):
     rows = spark.createDataFrame([("a", k, 1.0 if k < 5 else float(k), float(k)) for k in range(8)], "u string, i long, t double, v double")
     found = [(r.vel, r.vtr, r.dv) for r in T.walk_forward(rows, ["u"], "i", "t", "v", 10.0).orderBy("i").collect()]
     assert [r[1] is None for r in found] == [True] * 3 + [False] * 5 and all(np.isnan(r[1]) for r in found[3:5]) and all(np.isnan(x) for x in found[4]) and found[7][1] < 0
+
+
+def test_trials_of_lines_neither_repeat_rows_nor_are_sent_out(spark):
+    rows = spark.range(400).select((F.col("id") % 2).alias("u"), "id", F.col("id").cast("double").alias("t"), F.when(F.col("id") % 5 == 0, 900.0).otherwise(F.col("id") * 2.0 + 1).alias("v"))
+    found = I.ransac_line(rows, ["u"], "id", "t", "v", 20, 3.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Broadcast" not in plan
+    assert [(r.n, r.inliers, round(r.slope, 6), round(r.intercept, 6)) for r in found.collect()] == [(200, 160, 2.0, 1.0)] * 2
