@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import query, table
 from ..operators import grids as Y, transects as L
+from ..operators.lineage import kept
 from .common import GRID, grid
 
 #: Cells of parts and orders in SQL: r, c, v; and diamonds with a hole about each supplier: k, x, y and half diagonals (odd across, even along, so that no centre is on an edge).
@@ -68,7 +69,7 @@ def random_transects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median along a line at each supplier, of an event's cells and of a placebo's, against lines placed at random within reach."""
     k = F.col("s_suppkey")
     anchors = table(spark, sf_dir, "supplier").select(k.alias("k"), (k * 53 % 64).cast("double").alias("x"), (k * 29 % 64).cast("double").alias("y"))
-    cells = grid(spark, sf_dir).filter("(r + c) % 4 <> 0").select("r", "c", "v", "w")
+    cells = kept(grid(spark, sf_dir).filter("(r + c) % 4 <> 0").select("r", "c", "v", "w"))  # once, as means that are added up anew may tie otherwise
     own = anchors.select("k", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 12).alias("x1"), F.col("y").alias("y1"))
     observed = L.medians(own, cells, ["k"], ["v", "w"], Y.Grid(1.0), 1.0)
     lines = L.random_lines(anchors, cells, "k", ["v", "w"], Y.Grid(1.0), 20, 20.0, 12.0, 1.0, 11)
