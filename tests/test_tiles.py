@@ -129,3 +129,11 @@ def test_a_crowd_under_many_polygons_makes_no_pairs(spark):
     rings = spark.range(10_000).select(F.col("id").alias("p"), F.array(at(-9.0, -9.0), at(9.0, -9.0), at(9.0, 9.0), at(-9.0, 9.0)).alias("ring"))
     began = time.time()
     assert J.polygon_first(crowd, rings, "k", "ring", "p", ["p"], 50.0).filter("p = 0").count() == 40_000 and time.time() - began < 40
+
+
+def test_neighbours_around_a_walk_in_a_crowd(spark):
+    steps = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") % 3).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    holes = spark.range(40_000).select(F.col("id").alias("h"), (F.col("id") % 2 * 40).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    began = time.time()
+    found = J.nearest(steps, holes, "k", "h", 50.0).groupBy("x", "_near", "dist").count().collect()
+    assert {(r.x, r._near, r.dist) for r in found} == {(0.0, 0, 0.0), (1.0, 0, 1.0), (2.0, 0, 2.0)} and time.time() - began < 40
