@@ -137,3 +137,11 @@ def test_neighbours_around_a_walk_in_a_crowd(spark):
     began = time.time()
     found = J.nearest(steps, holes, "k", "h", 50.0).groupBy("x", "_near", "dist").count().collect()
     assert {(r.x, r._near, r.dist) for r in found} == {(0.0, 0, 0.0), (1.0, 0, 1.0), (2.0, 0, 2.0)} and time.time() - began < 40
+
+
+def test_reach_and_distance_from_events_in_a_crowd(spark):
+    crowd = spark.range(40_000).select(F.col("id").alias("k"), F.when(F.col("id") % 1000 == 0, 31.0).otherwise(1.0).alias("x"), F.lit(0.0).alias("y"))
+    events = spark.range(40_000).select(F.col("id").alias("k"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    began = time.time()
+    assert J.nearest(crowd, events, "k", "k", 32.0, reach=30.0).filter("dist IS NULL AND _near IS NULL").count() == 40
+    assert {r.k % 1000 for r in J.away_from(crowd, events, "k", 30.0, 100, 7).collect()} == {0} and time.time() - began < 60
